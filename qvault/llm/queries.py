@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from qvault.llm.decontamination import find_contained
 from qvault.llm.line_dedup import dedup_lines
 from qvault.llm.quality_rules import apply_quality_rules
+from qvault.llm.simhash import near_duplicates
 from qvault.storage import load
 
 QUERIES = {}
@@ -77,3 +78,8 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_quality_rules")
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return apply_quality_rules(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+
+
+@query("op4_simhash")
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(load(spark, sf_dir, "documents"), shingle=3)
