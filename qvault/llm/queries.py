@@ -9,8 +9,12 @@ from qvault.llm.decontamination import find_contained
 from qvault.llm.line_dedup import dedup_lines
 from qvault.llm.quality_rules import apply_quality_rules
 from qvault.llm.simhash import near_duplicates
+from qvault.llm.token_planes import tokenize_to_files
 from qvault.storage import load
 
+#: The public tokenizer that op7 and the pipeline write with; its file is a parameter of the operator.
+TOKENIZER = "word_bpe_49k.json"
+
 QUERIES = {}
 ORACLES = {}
 
@@ -83,3 +87,14 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_simhash")
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(load(spark, sf_dir, "documents"), shingle=3)
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(TOKENIZER)
+
+
+@query("op7_token_planes")
+def op7_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenize_to_files(load(spark, sf_dir, "documents"), tokenizer=tokenizer_path(), end_id=1)
