@@ -10,7 +10,8 @@ from qvault.llm.line_dedup import dedup_lines
 from qvault.llm.quality_rules import apply_quality_rules
 from qvault.llm.simhash import near_duplicates
 from qvault.llm.token_planes import tokenize_to_files
-from qvault.storage import load
+from qvault.llm.warc import read_warc, record_table, records, write_warc
+from qvault.storage import load, new_path
 
 #: The public tokenizer that op7 and the pipeline write with; its file is a parameter of the operator.
 TOKENIZER = "word_bpe_49k.json"
@@ -98,3 +99,10 @@ def tokenizer_path() -> str:
 @query("op7_token_planes")
 def op7_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenize_to_files(load(spark, sf_dir, "documents"), tokenizer=tokenizer_path(), end_id=1)
+
+
+@query("op5_warc")
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = new_path(spark, "warc")
+    write_warc(record_table(load(spark, sf_dir, "pages"), min_revisit_bytes=0), folder)
+    return records(read_warc(spark, folder, payload=False))
