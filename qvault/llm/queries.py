@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from qvault.llm.decontamination import find_contained
+from qvault.llm.language_model import score_documents
 from qvault.llm.line_dedup import dedup_lines
 from qvault.llm.quality_rules import apply_quality_rules
 from qvault.llm.simhash import near_duplicates
@@ -30,6 +31,13 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+
+
+def fold(doc_id, n: int):
+    """crc32 of the id as text, modulo ``n``; a null id is in fold 0 of no test."""
+    return F.crc32(doc_id.cast("string").cast("binary")) % n
+
+
 LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
@@ -106,3 +114,8 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = new_path(spark, "warc")
     write_warc(record_table(load(spark, sf_dir, "pages"), min_revisit_bytes=0), folder)
     return records(read_warc(spark, folder, payload=False))
+
+
+@query("op2_language_model")
+def op2_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(load(spark, sf_dir, "documents"), held_out=fold(F.col("doc_id"), 7) == 2)
