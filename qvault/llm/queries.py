@@ -11,6 +11,7 @@ from qvault.llm.line_dedup import dedup_lines
 from qvault.llm.quality_rules import apply_quality_rules
 from qvault.llm.simhash import near_duplicates
 from qvault.llm.token_planes import tokenize_to_files
+from qvault.llm.toxicity import score_toxicity
 from qvault.llm.warc import read_warc, record_table, records, write_warc
 from qvault.storage import load, new_path
 
@@ -119,3 +120,10 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_language_model")
 def op2_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(load(spark, sf_dir, "documents"), held_out=fold(F.col("doc_id"), 7) == 2)
+
+
+@query("op3_toxicity")
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.coalesce(fold(F.col("doc_id"), 5) == 0, F.lit(False))
+    scored = score_toxicity(load(spark, sf_dir, "documents").select("doc_id", "text"), load(spark, sf_dir, "labels"), learn=~held_out)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
