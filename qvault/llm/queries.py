@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from qvault.llm.decontamination import find_contained
+from qvault.llm.language_id import identify_languages
 from qvault.llm.language_model import score_documents
 from qvault.llm.line_dedup import dedup_lines
 from qvault.llm.quality_rules import apply_quality_rules
@@ -127,3 +128,10 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = F.coalesce(fold(F.col("doc_id"), 5) == 0, F.lit(False))
     scored = score_toxicity(load(spark, sf_dir, "documents").select("doc_id", "text"), load(spark, sf_dir, "labels"), learn=~held_out)
     return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
+@query("op10_language_id")
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents")
+    held_out = F.coalesce(fold(F.col("doc_id"), 4) == 2, F.lit(False))
+    return identify_languages(docs, learn=~held_out).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
