@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from qvault.llm.text import ascii_lower, words
+from qvault.storage import materialize
 
 #: Up to this many signature or shingle rows of the items are broadcast (24 bytes or one shingle each); more are joined by shuffle.
 BROADCAST_ROWS = 200_000
@@ -81,7 +82,7 @@ def find_contained(docs: DataFrame, items: DataFrame, *, shingle: int = 5, thres
     candidates = probe(ks[0])
     for k in ks[1:]:
         candidates = candidates.union(probe(k))
-    candidates = candidates.distinct()
+    candidates, _ = materialize(candidates.distinct(), "candidates")
     suspects = texts.join(candidates.select("doc_id").distinct(), "doc_id", "left_semi")
 
     def exact(k: int) -> DataFrame:
