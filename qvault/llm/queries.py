@@ -9,6 +9,7 @@ from qvault.llm.decontamination import find_contained
 from qvault.llm.language_id import identify_languages
 from qvault.llm.language_model import score_documents
 from qvault.llm.line_dedup import dedup_lines
+from qvault.llm.mixing import label_domains, mix
 from qvault.llm.quality_rules import apply_quality_rules
 from qvault.llm.simhash import near_duplicates
 from qvault.llm.token_planes import tokenize_to_files
@@ -135,3 +136,13 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents")
     held_out = F.coalesce(fold(F.col("doc_id"), 4) == 2, F.lit(False))
     return identify_languages(docs, learn=~held_out).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+#: The shares of tokens that op8 and the pipeline mix to.
+TARGETS = {"good": 0.95, "low": 0.05}
+
+
+@query("op8_mixing")
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mix(load(spark, sf_dir, "documents"), label_domains(load(spark, sf_dir, "labels")), TARGETS)
+    return mixed.select("doc_id", "n_tokens", *[F.col("p")[d].alias(f"p_{d}") for d in TARGETS], "rate", "copies")
