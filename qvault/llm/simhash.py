@@ -52,15 +52,18 @@ def with_neighbours(fps: DataFrame) -> DataFrame:
     """The rows of ``fps`` (fp, node) that may have another fingerprint within 3 bits; loses none that has.
 
     Three differing bits touch at most 3 of 8 bytes, so two such fingerprints
-    agree in 5 bytes: one row goes out for each choice of 5 of 8. Only keys
-    that two fingerprints share are kept; keys aggregate before the join.
+    agree in 5 bytes: one row goes out for each choice of 5 of 8. A row with a
+    neighbour in the order of its key is not alone there. The rows stream
+    through the window, and no more than 2^24 distinct fingerprints share 5
+    bytes.
     """
     masks = [sum(0xFF << (8 * i) for i in chosen) for chosen in combinations(range(8), 5)]
     signed = [m - (1 << 64) if m >> 63 else m for m in masks]
     keys = F.array(*[F.xxhash64(F.col("fp").bitwiseAND(F.lit(m)), F.lit(i)) for i, m in enumerate(signed)])
     sent = fps.select("fp", F.explode(keys).alias("key"))
-    shared = sent.groupBy("key").agg(F.min("fp").alias("a"), F.max("fp").alias("b")).where("a < b").select("key")
-    return fps.join(sent.join(shared, "key").select("fp").distinct(), "fp", "left_semi")
+    near = Window.partitionBy("key").orderBy("fp")
+    met = sent.withColumn("beside", F.coalesce(F.lag("fp").over(near), F.lead("fp").over(near))).where("beside is not null")
+    return fps.join(met.select("fp").distinct(), "fp", "left_semi")
 
 
 def ball_links(fps: DataFrame) -> DataFrame:
