@@ -44,7 +44,7 @@ SELECT l_orderkey AS scan_id, {ORDINAL} AS ordinal, {FILE} AS file,
   {pick("l_partkey + l_suppkey", "aes-hardcoded-key", "config-plaintext-secret", "entropy-secret-high-confidence", "md5-hashing", "rsa-keygen", "sca-library", "infra-k8s-secret-plaintext")} AS rule_id,
   {pick("l_suppkey + CAST(l_quantity AS BIGINT)", "hardcoded-secret", "secret", "hash", "symmetric-cipher", "asymmetric", "Cloud KMS")} AS category,
   {ALGORITHM} AS algorithm, {SEVERITY} AS severity, {RISK} AS quantum_risk,
-  CAST(l_quantity AS BIGINT) % 4 + 1 AS specificity, CAST(l_extendedprice AS BIGINT) % 5 = 0 AS generic,
+  CAST(l_quantity AS BIGINT) % 4 + 1 AS specificity, CAST(floor(l_extendedprice) AS BIGINT) % 5 = 0 AS generic,
   {pick("l_partkey + l_linenumber", "AST", "REGEX", "ENTROPY", "SCA")} AS detection_method,
   {pick("l_suppkey + l_partkey", "CBC", None, "GCM", None, "ECB")} AS mode,
   {pick("l_suppkey", "Likely", "Possible", "Confirmed")} AS confidence,
