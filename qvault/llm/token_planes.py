@@ -31,9 +31,9 @@ from qvault.storage import materialize, new_path
 MAGIC = b"QTP1"
 BLOCK = 1 << 16
 #: Text that is encoded at once, in bytes: bounds a task's memory however long a batch is.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 8 << 20
 #: Words whose ids a worker remembers.
-CACHE_WORDS = 200_000
+CACHE_WORDS = 500_000
 
 
 def to_planes(ids: np.ndarray, kind: str) -> list[bytes]:
@@ -145,45 +145,82 @@ class PlaneReader:
             yield doc, n, crc
 
 
+#: Letters that stay one piece of a word, whatever stands beside them: a-z and the lower-case letters of Latin-1.
+LETTERS = "a-z\u00df-\u00f6\u00f8-\u00ff"
+SPECIAL = "<|"
+
+
+def prepared(texts: pa.Array) -> pa.Array:
+    """Texts that encode alike and repeat fewer words: A-Z in lower case, and a blank before marks that end a word.
+
+    The tokenizer lowers case and parts letters from marks by itself. Texts
+    that might hold a special token, which is found before that, stay.
+    """
+    lowered = pc.ascii_lower(texts)
+    parted = pc.replace_substring_regex(lowered, f"([{LETTERS}])([.,;:!?]+)(\\s|$)", "\\1 \\2\\3")
+    return pc.if_else(pc.match_substring(texts, SPECIAL), texts, parted)
+
+
 class WordEncoder:
     """Encodes texts whose words the tokenizer treats one by one, each distinct word once.
 
-    Right for tokenizers that drop white space and never join what it parts,
-    such as word_bpe_49k.json; others take ``by_word=False``.
+    Right for tokenizers that lower case, drop white space and never join what
+    it parts, such as word_bpe_49k.json; others take ``by_word=False``.
     """
 
+    #: Words that are encoded in one call.
+    TOGETHER = 2000
+
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, list[int]] = {}
-
-    def _words(self, words: list[str]) -> list[list[int]]:
-        new = [w for w in words if w not in self.known]
-        if len(self.known) + len(new) > CACHE_WORDS:
-            self.known, new = {}, words
-        got = dict(zip(new, (e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)), strict=True))
-        out = [got[w] if w in got else self.known[w] for w in words]
-        if len(got) <= CACHE_WORDS:
-            self.known.update(got)
-        return out
+        self._forget()
+
+    def _forget(self) -> None:
+        self.slots: dict[str, int] = {}
+        self.lengths, self.flat = np.empty(0, np.int64), np.empty(0, np.uint32)
+
+    def _learn(self, words: list[str]) -> None:
+        plain = pc.match_substring_regex(pa.array(words, pa.string()), f"^[{LETTERS}]+$").to_pylist()
+        whole = [w for w, p in zip(words, plain, strict=True) if p]
+        rest = [w for w, p in zip(words, plain, strict=True) if not p]
+        lengths, ids = [], []
+        for i in range(0, len(whole), self.TOGETHER):
+            some = whole[i : i + self.TOGETHER]
+            e = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
+            lengths.append(np.bincount(np.array(e.word_ids, np.int64), minlength=len(some)))
+            ids.append(np.array(e.ids, np.uint32))
+        for e in self.tokenizer.encode_batch_fast(rest, add_special_tokens=False):
+            lengths.append([len(e.ids)])
+            ids.append(np.array(e.ids, np.uint32))
+        self.slots.update(zip(whole + rest, range(len(self.slots), len(self.slots) + len(words)), strict=True))
+        self.lengths, self.flat = np.concatenate([self.lengths, *lengths]).astype(np.int64), np.concatenate([self.flat, *ids])
+
+    def _slots(self, words: list[str]) -> np.ndarray:
+        known = self.slots
+        new = [w for w in words if w not in known]
+        if new and len(known) + len(new) > CACHE_WORDS:
+            self._forget()
+            known, new = self.slots, words
+        if new:
+            self._learn(new)
+        return np.fromiter((known[w] for w in words), np.int64, len(words))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in a row, ids per text)."""
-        lists = pc.ascii_split_whitespace(texts)
+        lists = pc.ascii_split_whitespace(prepared(texts))
         bounds = lists.offsets.to_numpy().astype(np.int64)
         coded = lists.values.slice(bounds[0], bounds[-1] - bounds[0]).dictionary_encode()
-        index = coded.indices.to_numpy(zero_copy_only=False)
-        per_word = self._words(coded.dictionary.to_pylist())
-        lengths = np.fromiter(map(len, per_word), np.int64, len(per_word))
-        flat = np.fromiter(chain.from_iterable(per_word), np.uint32, int(lengths.sum()))
-        offsets = np.cumsum(lengths) - lengths
-        n = lengths[index]
+        slots = self._slots(coded.dictionary.to_pylist())
+        index = slots[coded.indices.to_numpy(zero_copy_only=False)]
+        offsets = np.cumsum(self.lengths) - self.lengths
+        n = self.lengths[index]
         ends = np.cumsum(n)
-        ids = flat[np.repeat((offsets[index] - (ends - n)).astype(np.int64), n) + np.arange(int(n.sum()))] if len(n) else np.empty(0, np.uint32)
+        at = np.repeat(offsets[index] - (ends - n), n)
+        at += np.arange(len(at))
         total = np.concatenate(([0], ends))
-        at = total[bounds - bounds[0]]
-        return ids, np.diff(at)
+        return self.flat[at], np.diff(total[bounds - bounds[0]])
 
     def encode_whole(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         found = [e.ids for e in self.tokenizer.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)]
