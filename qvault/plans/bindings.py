@@ -10,7 +10,7 @@ TABLES = ("customer", "orders", "lineitem", "part", "supplier", "nation", "regio
 
 
 def sql(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
-    """Run ``text`` with the names of tables standing for the folder's tables."""
+    """Run ``text`` with the names of tables standing for the folder's tables; braces of its own are doubled."""
     used = {t: load(spark, sf_dir, t) for t in TABLES if "{" + t + "}" in text}
     return spark.sql(text, **used) if used else spark.sql(text)
 
@@ -19,7 +19,7 @@ def plain(text: str) -> str:
     """The same text for an engine that has the tables as views."""
     for t in TABLES:
         text = text.replace("{" + t + "}", t)
-    return text
+    return text.replace("{{", "{").replace("}}", "}")
 
 
 def pick(expr: str, *values: str | int | None) -> str:
