@@ -73,7 +73,8 @@ def fit_domains(docs: DataFrame, labelled: DataFrame) -> Softmax | None:
         return None
     domains = sorted(counts)
     share = F.create_map(*[x for d, n in counts.items() for x in (F.lit(d), F.lit(min(1.0, TEXTS_PER_DOMAIN / n)))])[F.col("domain")]
-    rows = docs.select("doc_id", "text").join(marked.where(sampled(share, "doc_id")), "doc_id")
+    drawn = marked.where(sampled(share, "doc_id"))  # about TEXTS_PER_DOMAIN ids of each domain: small enough to send to the texts
+    rows = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
