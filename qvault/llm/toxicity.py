@@ -114,7 +114,8 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column) -> Classifier:
     if not n_positive:
         return Classifier({}, np.zeros(0), -np.inf)
     prior = n_positive / n_labelled
-    positives = rows.join(marked.where("toxic = 1").select("doc_id"), "doc_id").where(sampled(min(1.0, MAX_POSITIVE / n_positive), "doc_id")).select("text", F.lit(True).alias("positive"))
+    drawn = marked.where("toxic = 1").where(sampled(min(1.0, MAX_POSITIVE / n_positive), "doc_id")).select("doc_id")  # about MAX_POSITIVE ids: small enough to send to the texts
+    positives = rows.join(F.broadcast(drawn), "doc_id").select("text", F.lit(True).alias("positive"))
     unlabelled = rows.where(sampled(min(1.0, MAX_UNLABELLED / n_rows), "doc_id")).select("text", F.lit(False).alias("positive"))
     sample, _ = materialize(positives.union(unlabelled).dropDuplicates(), "toxic")
     n_u, n_p = sample.agg(F.count_if(~F.col("positive")), F.count_if("positive")).first()
