@@ -13,13 +13,13 @@ from qvault.storage import materialize
 
 #: What rules may test; each is a number that one row gives.
 FEATURES = {
-    "n_words": F.col("n_words").cast("double"),
-    "mean_word_chars": F.try_divide(F.col("word_chars"), F.col("n_words")),
-    "symbols_per_word": F.try_divide(F.col("n_symbols"), F.col("n_words")),
-    "dup_line_share": F.try_divide(F.col("n_dup_lines"), F.col("n_lines")),
-    "repeat_word_share": F.try_divide(F.col("n_repeat_words"), F.col("n_words")),
-    "upper_share": F.try_divide(F.col("n_upper"), F.col("word_chars")),
-    "marks_per_word": F.try_divide(F.col("n_marks"), F.col("n_words")),
+    "n_words": "cast(n_words as double)",
+    "mean_word_chars": "try_divide(word_chars, n_words)",
+    "symbols_per_word": "try_divide(n_symbols, n_words)",
+    "dup_line_share": "try_divide(n_dup_lines, n_lines)",
+    "repeat_word_share": "try_divide(n_repeat_words, n_words)",
+    "upper_share": "try_divide(n_upper, word_chars)",
+    "marks_per_word": "try_divide(n_marks, n_words)",
 }
 
 
@@ -97,7 +97,7 @@ class Rule:
 
 
 def features(stats: DataFrame, *keep: str) -> DataFrame:
-    return stats.select(*keep, *[F.coalesce(c, F.lit(0.0)).alias(n) for n, c in FEATURES.items()])
+    return stats.select(*keep, *[F.expr(f"coalesce({c}, 0.0D)").alias(n) for n, c in FEATURES.items()])
 
 
 def _by_bin(rows: DataFrame, cuts: dict[str, list[float]]) -> dict[str, list[tuple[int, int]]]:
@@ -198,7 +198,7 @@ def apply_quality_rules(docs: DataFrame, labels: DataFrame, **options) -> DataFr
     labelled, _ = materialize(stats.where(~failed).join(marked, "doc_id").withColumn("bad", F.col("quality") == 0), "labelled")
     rules = learn_decision_list(labelled, **options)
     base = stats.withColumn("base_failed", failed)
-    judged = base.select("*", *[F.coalesce(c, F.lit(0.0)).alias(f"feature_{n}") for n, c in FEATURES.items()])
+    judged = base.select("*", *[F.expr(f"coalesce({c}, 0.0D)").alias(f"feature_{n}") for n, c in FEATURES.items()])
     return judged.withColumn("kept", ~F.col("base_failed") & verdict(rules, "feature_")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_lines", "n_upper", "n_marks"
     )
