@@ -158,7 +158,7 @@ def learn_decision_list(labelled: DataFrame, *, max_rules: int = 8, max_tests: i
     cuts = {n: sorted({c for r in found for c in r[n] or []}) for n in FEATURES}
     rules: list[Rule] = []
     left = rows
-    while len(rules) < max_rules:
+    while any(cuts.values()) and len(rules) < max_rules:
         rule = _grow(left.where("grows"), cuts, max_tests)
         if not rule.tests:
             break
