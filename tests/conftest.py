@@ -1,13 +1,13 @@
-import math
 import os
 import sys
-from collections import Counter
 
 import pytest
 
-sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+HERE = os.path.dirname(os.path.abspath(__file__))
+sys.path[:0] = [HERE, os.path.dirname(HERE)]
+
+from oracle_helpers import DATA  # noqa: E402
 
-DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
@@ -31,24 +31,3 @@ def duck():
     for t in TABLES:
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{DATA}/{t}.parquet')")
     return con
-
-
-def shown(v):
-    if isinstance(v, float):
-        return "nan" if math.isnan(v) else f"{v:.9g}"
-    if isinstance(v, (list, tuple)):
-        return str([shown(x) for x in v])
-    return str(v)
-
-
-def rows_of(df):
-    columns = sorted(df.columns)
-    return columns, Counter(tuple(shown(r[c]) for c in columns) for r in df.collect())
-
-
-def rows_of_sql(con, text):
-    found = con.execute(text)
-    names = [x[0] for x in found.description]
-    columns = sorted(names)
-    at = [names.index(c) for c in columns]
-    return columns, Counter(tuple(shown(r[i]) for i in at) for r in found.fetchall())

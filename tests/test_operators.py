@@ -10,7 +10,7 @@ from qvault.operators import detectors, findings, gate, integrity, runtime
 from qvault.operators import threat as model
 from qvault.plans import bindings
 
-from conftest import DATA, rows_of
+from oracle_helpers import DATA, rows_of
 
 
 def one(spark, column):
