@@ -68,7 +68,8 @@ def threat_assessment(assets: DataFrame, scenarios: DataFrame, *, n: int = 10_00
     }
     rows = rows.withColumns(cols).withColumn("risk_band", ft.risk_band(F.col("p_violated"))).drop("q", "broken", "violated", "stated")
     broken = assets.where("family <> 'PQC'").join(rows, ["family", "multiplier", "x", "y"])
-    safe = assets.where("family = 'PQC'").crossJoin(F.broadcast(scenarios.select("scenario").distinct()))  # PQC never breaks: one row per scenario, of which there are a handful
+    names = [r["scenario"] for r in scenarios.select("scenario").distinct().collect()]  # a handful
+    safe = assets.where("family = 'PQC'").withColumn("scenario", F.explode(F.array(*map(F.lit, names))))
     zero = {k: F.lit(0.0) for k in cols if k != "low_confidence"} | {"low_confidence": F.lit(False), "risk_band": F.lit("MINIMAL")}
     return broken.unionByName(safe.withColumns(zero))
 
