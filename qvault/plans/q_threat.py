@@ -10,6 +10,7 @@ from qvault.plans.bindings import catalogue, over, pick, plain, sql
 from qvault.plans.registry import query
 
 N, SEED = 10_000, 42
+HITS = f"CAST(round(p_violated * {N}) AS BIGINT)"
 ASSETS = f"SELECT c_custkey AS asset_id, {pick('c_custkey', 'RSA', 'ECDSA P-256', 'DH-2048', 'AES-256', 'SHA-256', 'ML-KEM-768', 'XYZ')} AS algorithm, {pick('c_nationkey', 1024, 128, 4096, 256, None, 3072)} AS key_size, {pick('c_custkey + c_nationkey', 'keyExchange', 'signature', 'data encryption', 'TLS certificate', None, 'mac')} AS usage, lower(c_mktsegment) AS service FROM {{customer}}"
 
 
@@ -46,6 +47,11 @@ def assessed(spark, d, shifts=(0.0,)):
     return op.threat_assessment(op.crypto_assets(sql(spark, d, ASSETS)), op.scenario_table(spark, shifts=shifts), n=N, seed=SEED)
 
 
+def counted(a):
+    """Assessments with whole numbers of draws for probabilities: their sums do not depend on order."""
+    return a.withColumn("p_violated", F.round(F.col("p_violated") * N).cast("long"))
+
+
 @query("a14_threat_assessment", _tables() + "SELECT asset_id, scenario, family, x, y, p_break, p_violated, low_confidence, risk_band FROM band")
 def a14(spark, d):
     return assessed(spark, d).select("asset_id", "scenario", "family", "x", "y", "p_break", "p_violated", "low_confidence", "risk_band")
@@ -58,22 +64,24 @@ def a15(spark, d):
     return q.select("scenario", "family", *[F.round(F.col("q")[i], 6).alias(n) for i, n in enumerate(("p10", "p50", "p90"))])
 
 
-@query("a16_threat_summary", _tables() + "SELECT scenario, round(sum(p_violated), 6) AS expected_violated, max(p_violated) AS max_p, round(avg(p_violated), 6) AS mean_p, count(*) FILTER (WHERE risk_band IN ('HIGH', 'CRITICAL')) AS high_or_critical FROM band GROUP BY scenario")
+@query("a16_threat_summary", _tables() + f"SELECT scenario, CAST(sum({HITS}) AS BIGINT) / {N}.0::DOUBLE AS expected_violated, max(p_violated) AS max_p, avg({HITS}) / {N} AS mean_p, count(*) FILTER (WHERE risk_band IN ('HIGH', 'CRITICAL')) AS high_or_critical FROM band GROUP BY scenario")
 def a16(spark, d):
-    s = op.threat_summary(assessed(spark, d))
-    return s.withColumn("expected_violated", F.round("expected_violated", 6)).withColumn("mean_p", F.round("mean_p", 6))
+    a = assessed(spark, d)
+    whole = op.threat_summary(counted(a)).select("scenario", (F.col("expected_violated") / N).alias("expected_violated"), (F.col("mean_p") / N).alias("mean_p"))
+    return whole.join(op.threat_summary(a).select("scenario", "max_p", "high_or_critical"), "scenario")
 
 
-@query("a17_heatmap", _tables() + "SELECT service AS row, " + ", ".join(f"round(avg(p_violated) FILTER (WHERE scenario = '{s}'), 6) AS {s}" for s in ft.SCENARIOS) + " FROM band GROUP BY service")
+@query("a17_heatmap", _tables() + "SELECT service AS row, " + ", ".join(f"avg({HITS}) FILTER (WHERE scenario = '{s}') / {N} AS {s}" for s in ft.SCENARIOS) + " FROM band GROUP BY service")
 def a17(spark, d):
-    h = op.heatmap(assessed(spark, d), "service")
-    return h.select("row", *[F.round(s, 6).alias(s) for s in ft.SCENARIOS])
+    h = op.heatmap(counted(assessed(spark, d)), "service")
+    return h.select("row", *[(F.col(s) / N).alias(s) for s in ft.SCENARIOS])
 
 
-@query("a18_sweep_arrival_shift", _tables((-2.0, 0.0, 3.0)) + "SELECT scenario, round(sum(p_violated), 6) AS expected_violated, count(*) FILTER (WHERE risk_band IN ('HIGH', 'CRITICAL')) AS high_or_critical FROM band GROUP BY scenario")
+@query("a18_sweep_arrival_shift", _tables((-2.0, 0.0, 3.0)) + f"SELECT scenario, CAST(sum({HITS}) AS BIGINT) / {N}.0::DOUBLE AS expected_violated, count(*) FILTER (WHERE risk_band IN ('HIGH', 'CRITICAL')) AS high_or_critical FROM band GROUP BY scenario")
 def a18(spark, d):
-    s = op.threat_summary(assessed(spark, d, (-2.0, 0.0, 3.0)))
-    return s.select("scenario", F.round("expected_violated", 6).alias("expected_violated"), "high_or_critical")
+    a = assessed(spark, d, (-2.0, 0.0, 3.0))
+    whole = op.threat_summary(counted(a)).select("scenario", (F.col("expected_violated") / N).alias("expected_violated"))
+    return whole.join(op.threat_summary(a).select("scenario", "high_or_critical"), "scenario")
 
 
 @query("j18_hydrate", _tables() + "SELECT r.asset_id, scenario, risk_band, algorithm, key_size FROM band r LEFT JOIN (SELECT * FROM raw WHERE asset_id % 3 <> 0) a ON r.asset_id = a.asset_id")
