@@ -149,7 +149,7 @@ def f5(spark, d):
     return p.select(F.col("p_partkey").alias("id"), ft.is_luhn((F.col("p_partkey") * 7919 + 1000000).cast("string")).alias("is_luhn"))
 
 
-@query("f6_verhoeff", "WITH RECURSIVE n AS (SELECT p_partkey AS id, CAST(p_partkey * 7919 + 1000000 AS VARCHAR) AS v FROM part), r(id, v, i, c) AS (SELECT id, v, 0, 0 FROM n UNION ALL SELECT id, v, i + 1, CAST(substr('" + "".join(ft.VERHOEFF_D) + "', c * 10 + CAST(substr('" + "".join(ft.VERHOEFF_P) + "', (i % 8) * 10 + CAST(substr(v, length(v) - i, 1) AS INTEGER) + 1, 1) AS INTEGER) + 1, 1) AS INTEGER) FROM r WHERE i < length(v)) SELECT id, c = 0 AS is_verhoeff FROM r WHERE i = length(v)")
+@query("f6_verhoeff", "WITH RECURSIVE n AS (SELECT p_partkey AS id, CAST(p_partkey * 7919 + 1000000 AS VARCHAR) AS v FROM part), r(id, v, i, c) AS (SELECT id, v, 0, 0 FROM n UNION ALL SELECT id, v, i + 1, CAST(substr('" + ft.VERHOEFF_D + "', c * 10 + CAST(substr('" + ft.VERHOEFF_P + "', (i % 8) * 10 + CAST(substr(v, length(v) - i, 1) AS INTEGER) + 1, 1) AS INTEGER) + 1, 1) AS INTEGER) FROM r WHERE i < length(v)) SELECT id, c = 0 AS is_verhoeff FROM r WHERE i = length(v)")
 def f6(spark, d):
     p = load(spark, d, "part")
     return p.select(F.col("p_partkey").alias("id"), ft.is_verhoeff((F.col("p_partkey") * 7919 + 1000000).cast("string")).alias("is_verhoeff"))
