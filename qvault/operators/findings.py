@@ -116,22 +116,27 @@ def merge_secrets(findings: DataFrame, keys: Sequence[str] = ("scan_id",)) -> Da
 def apply_suppressions(findings: DataFrame, rules: DataFrame) -> DataFrame:
     """``suppressed`` and ``suppression_reason`` by rules (ordinal, rule_id, path, line, token); nulls match anything.
 
-    The small rule table is joined by condition; per finding the first rule
-    counts, by its ordinal. Suppressed findings stay in the table for audit.
+    Rules see few attributes of a finding, so each distinct combination is
+    tested once, by a condition join with the small rule table; the first rule
+    by its ordinal counts. Suppressed findings stay in the table for audit.
     """
+    attributes = ["rule_id", "algorithm", "file", "line", "code_snippet"]
     path, rule_path = F.lower("file"), F.lower("r.path")
     base = F.element_at(F.split(path, "/"), -1)
     rule_base = F.element_at(F.split(rule_path, "/"), -1)
     by_path = (path == rule_path) | path.endswith(F.concat(F.lit("/"), rule_path)) | rule_path.endswith(F.concat(F.lit("/"), path)) | (rule_base == base)
     by_rule = F.lower("r.rule_id").isin("*") | (F.lower("r.rule_id") == F.lower("f.rule_id")) | (F.lower("r.rule_id") == F.lower("f.algorithm"))
     match = (F.col("r.rule_id").isNull() | by_rule) & (F.col("r.path").isNull() | by_path) & (F.col("r.line").isNull() | (F.col("r.line") == F.col("f.line"))) & (F.col("r.token").isNull() | (F.col("r.token") == F.col("f._fp")))
-    f = findings.withColumn("_fp", finding_fingerprint(F.col("rule_id"), F.col("algorithm"), F.col("code_snippet"))).withColumn("_row", F.monotonically_increasing_id())
-    n_rules = rules.count()
-    side = rules.alias("r") if n_rules > 10_000 else F.broadcast(rules.alias("r"))
-    joined = f.alias("f").join(side, match, "left")
+    f = findings.select(attributes).distinct().withColumn("_fp", finding_fingerprint(F.col("rule_id"), F.col("algorithm"), F.col("code_snippet")))
+    side = F.broadcast(rules.alias("r")) if rules.count() <= 10_000 else rules.alias("r")
     reason = F.when(F.col("r.token").isNotNull(), "fingerprint").when(F.col("r.rule_id").isNull(), "path").when(F.col("r.path").isNull(), "rule").when(F.col("r.line").isNull(), "rule and path").otherwise("rule, path and line")
-    first = joined.groupBy(*[F.col(f"f.{c}").alias(c) for c in f.columns]).agg(F.min_by(reason, F.col("r.ordinal")).alias("suppression_reason"), F.count("r.ordinal").alias("_hits"))
-    return first.withColumn("suppressed", F.col("suppressed") | (F.col("_hits") > 0)).withColumn("suppression_reason", F.when(F.col("_hits") > 0, F.col("suppression_reason"))).drop("_fp", "_row", "_hits")
+    hits = f.alias("f").join(side, match).groupBy(*[F.col(f"f.{c}").alias(c) for c in attributes]).agg(F.min_by(reason, F.col("r.ordinal")).alias("suppression_reason")).alias("h")
+    same = F.lit(True)
+    for c in attributes:
+        same = same & F.col(f"g.{c}").eqNullSafe(F.col(f"h.{c}"))
+    joined = findings.alias("g").join(hits, same, "left")
+    found = F.col("h.suppression_reason")
+    return joined.select(*[(F.col("g.suppressed") | found.isNotNull()).alias(c) if c == "suppressed" else F.col(f"g.{c}") for c in findings.columns if c != "suppression_reason"], found.alias("suppression_reason"))
 
 
 def active(findings: DataFrame) -> DataFrame:
