@@ -68,10 +68,16 @@ def session_progress(events: DataFrame, identity: Sequence[str], max_distinct: i
     return events.groupBy("run_id").agg(F.sum("count").alias("total"), F.max("ts").alias("last_event"), F.count_distinct(*identity).alias("distinct_events")).withColumn("over_limit", F.col("distinct_events") > max_distinct)
 
 
+def first_per_line(findings: DataFrame, path: Column) -> DataFrame:
+    """The finding with the smallest ordinal of each file, algorithm and line: no other of the line can be an event's match."""
+    f = findings.where("finding_id is not null").select(path.alias("_file"), canonical_algorithm(F.col("algorithm")).alias("_algo"), F.col("line").alias("_line"), F.struct(F.col("ordinal").alias("_ordinal"), "finding_id").alias("_first"))
+    return f.groupBy("_file", "_algo", "_line").agg(F.min("_first").alias("_first")).select("_file", "_algo", "_line", "_first.*")
+
+
 def match_events(events: DataFrame, findings: DataFrame, tolerance: int = 15, full_path: bool = False) -> DataFrame:
     """Events with the finding of the same file and algorithm: on the line, else the nearest within ``tolerance``, else the first in the file."""
     path = F.col("file") if full_path else base_name(F.col("file"))
-    f = findings.select(path.alias("_file"), canonical_algorithm(F.col("algorithm")).alias("_algo"), F.col("line").alias("_line"), "finding_id", F.col("ordinal").alias("_ordinal"))
+    f = first_per_line(findings, path)
     e = events.withColumns({"_file": path, "_algo": canonical_algorithm(F.col("algorithm"))})
     distance = F.when((F.col("line") > 0) & (F.col("_line") > 0), F.abs(F.col("line") - F.col("_line"))).otherwise(9999)
     kind = F.when(distance == 0, 0).when(distance <= tolerance, 1).otherwise(2)

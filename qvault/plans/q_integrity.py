@@ -112,7 +112,7 @@ m AS (SELECT event_id, finding_id AS matched_finding_id, CASE kind WHEN 0 THEN '
 
 
 def matched(spark, d):
-    f = findings(spark, d).where("scan_id < 400").withColumn("finding_id", F.col("scan_id") * 100 + F.col("ordinal")).withColumn("ordinal", F.col("finding_id"))
+    f = findings(spark, d).withColumn("finding_id", F.col("scan_id") * 100 + F.col("ordinal")).withColumn("ordinal", F.col("finding_id"))
     return rt.match_events(events(spark, d), f)
 
 

@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from qvault.functions import scores, text, threat
 from qvault.operators import detectors, findings, gate, integrity, runtime
 from qvault.operators import threat as model
-from qvault.plans import bindings
+from qvault.plans import bindings, q_integrity
+from qvault.plans.all_queries import ORACLES
 
-from oracle_helpers import DATA, rows_of
+from oracle_helpers import DATA, rows_of, rows_of_sql
 
 
 def one(spark, column):
@@ -122,6 +123,26 @@ def test_events_match_by_line_then_distance(spark):
     assert got == {1: ("f1", "exact_line"), 2: ("f2", "same_function"), 3: ("f1", "same_file_algorithm"), 4: (None, "unmatched")}
 
 
+def test_events_meet_one_finding_per_line(spark):
+    known = spark.range(3000).selectExpr("cast(id as string) finding_id", "'a.py' file", "'SHA-256' algorithm", "cast(id % 3 + 10 as int) line", "3000 - id ordinal")
+    assert runtime.first_per_line(known, F.col("file")).count() == 3
+    events = spark.createDataFrame([(1, "a.py", "sha256", 11), (2, "a.py", "sha256", 14)], "event_id int, file string, algorithm string, line int")
+    got = {r["event_id"]: (r["matched_finding_id"], r["match_reason"]) for r in runtime.match_events(events, known).collect()}
+    assert got == {1: ("2998", "exact_line"), 2: ("2999", "same_function")}
+
+
+def test_events_match_findings_of_all_scans(spark, duck):
+    whole = ORACLES["j8_match_events"].replace(" WHERE scan_id < 400", "")
+    assert "scan_id <" not in whole
+    assert rows_of(q_integrity.matched(spark, DATA)) == rows_of_sql(duck, whole)
+
+
+def test_events_match_findings_of_late_scans(spark, tmp_path):
+    spark.read.parquet(f"{DATA}/lineitem.parquet").where("l_orderkey >= 400").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.read.parquet(f"{DATA}/events.parquet").write.parquet(f"{tmp_path}/events.parquet")
+    assert q_integrity.matched(spark, str(tmp_path)).where("match_reason = 'exact_line'").count() > 0
+
+
 def test_audit_chain_finds_forks(spark):
     log = spark.createDataFrame([("a", None), ("b", "a"), ("c", "a")], "entry_hash string, previous_hash string")
     assert integrity.verify_audit_chain(log, F.col("entry_hash")).where("problem = 'fork'").count() == 2
