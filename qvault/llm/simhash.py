@@ -11,11 +11,14 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from qvault.llm.text import free_names
 from qvault.storage import drop_path, materialize
 
 #: Shingles whose bits are counted at once, so that a long text takes bounded memory.
 CHUNK = 1 << 16
 SEED = 42
+#: Fingerprints that differ in so many bits or fewer are linked.
+RADIUS = 3
 
 
 def fingerprint(text: bytes, shingle: int = 3) -> int:
@@ -49,7 +52,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
 
 
 def with_neighbours(fps: DataFrame) -> DataFrame:
-    """The rows of ``fps`` (fp, node) that may have another fingerprint within 3 bits; loses none that has.
+    """The rows of ``fps`` (fp) that may have another fingerprint within 3 bits; loses none that has.
 
     Three differing bits touch at most 3 of 8 bytes, so two such fingerprints
     agree in 5 bytes: one row goes out for each choice of 5 of 8. A row with a
@@ -67,25 +70,26 @@ def with_neighbours(fps: DataFrame) -> DataFrame:
 
 
 def ball_links(fps: DataFrame) -> DataFrame:
-    """Links (node, hub) that connect exactly the fingerprints within 3 bits of each other, directly or by way of a hub.
+    """Links (node, hub) of ``fps`` (fp) that connect exactly the fingerprints within 3 bits of each other, directly or by way of a hub.
 
     Every fingerprint emits its variants within half the radius. Half of 3 is
     rounded by parity: fingerprints with an even number of set bits emit all
     variants within 2 bits, the others within 1. Two fingerprints at distance 3
     or 1 differ in parity, and two at distance 2 both emit the variants within
     1, so each pair meets at a variant. There, the smallest fingerprint within
-    1 bit is the hub; all others at that variant are within 2 + 1 bits of it.
-    Each row gives at most one link, never one per pair, and at most 2081
-    distinct fingerprints can meet at a variant.
+    1 bit is the hub; all others at that variant are within 2 + 1 bits of it,
+    which each link is verified to be. Each row gives at most one link, never
+    one per pair, and at most 2081 distinct fingerprints can meet at a variant.
     """
     bit = lambda i: F.call_function("shiftleft", F.lit(1).cast("long"), i)
     one = F.concat(F.array(F.lit(0).cast("long")), F.transform(F.sequence(F.lit(0), F.lit(63)), bit))
     two = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(62)), lambda i: F.transform(F.sequence(i + 1, F.lit(63)), lambda j: bit(i).bitwiseOR(bit(j)))))
     even = F.bit_count("fp") % 2 == 0
-    sent = fps.select("fp", "node", F.explode(F.when(even, F.concat(one, two)).otherwise(one)).alias("mask"))
-    sent = sent.select("node", F.col("fp").bitwiseXOR(F.col("mask")).alias("variant"), (F.bit_count("mask") <= 1).alias("near"))
+    sent = fps.select("fp", F.explode(F.when(even, F.concat(one, two)).otherwise(one)).alias("mask"))
+    sent = sent.select(F.col("fp").alias("node"), F.col("fp").bitwiseXOR(F.col("mask")).alias("variant"), (F.bit_count("mask") <= 1).alias("near"))
     hub = F.min(F.when(F.col("near"), F.col("node"))).over(Window.partitionBy("variant"))
-    return sent.withColumn("hub", hub).where("hub <> node").select("node", "hub").distinct()
+    met = sent.withColumn("hub", hub).where("hub <> node").select("node", "hub").distinct()
+    return met.where(F.bit_count(F.col("node").bitwiseXOR(F.col("hub"))) <= RADIUS)
 
 
 def connected(links: DataFrame) -> DataFrame:
@@ -117,28 +121,40 @@ def connected(links: DataFrame) -> DataFrame:
     return edges.toDF("node", "root")
 
 
+def _grouped(docs: DataFrame, shingle: int) -> tuple[DataFrame, DataFrame]:
+    """The fingerprints of all rows, and (fp, root, component_id) of the distinct ones."""
+    rows, _ = materialize(fingerprints(docs, shingle), "fingerprints")
+    fps, _ = materialize(rows.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("doc_id")), "distinct")
+    active, _ = materialize(with_neighbours(fps.select("fp")), "active")
+    rooted = fps.join(connected(ball_links(active)).withColumnRenamed("node", "fp"), "fp", "left").select("fp", "doc_id", F.coalesce("root", "fp").alias("root"))
+    least = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    return rows, rooted.join(least, "root").select("fp", "root", "component_id")
+
+
 def near_duplicates(docs: DataFrame, *, shingle: int = 3) -> DataFrame:
     """The fingerprint and the component of every row of ``docs`` (doc_id, text; other columns are left out).
 
     Returns doc_id, fingerprint (16 hex digits) and component_id, the smallest
     doc_id reachable over fingerprints that differ in 3 bits or fewer. Equal
     fingerprints collapse first, so copies cost nothing further. Null and blank
-    texts have fingerprint zero and link like any other. Rows with a null
-    doc_id take the component of their fingerprint; it is null if no row with
-    an id has it. An empty table gives an empty result.
+    texts have fingerprint zero and link like any other. Rows that repeat a
+    doc_id are texts of their own, each with the component of its fingerprint.
+    Rows with a null doc_id take the component of their fingerprint; it is null
+    if no row with an id has it. An empty table gives an empty result.
     """
-    rows, _ = materialize(fingerprints(docs, shingle), "fingerprints")
-    fps, _ = materialize(rows.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("node")), "distinct")
-    active, _ = materialize(with_neighbours(fps), "active")
-    roots = connected(ball_links(active))
-    found = fps.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("component_id"))
+    rows, found = _grouped(docs, shingle)
     return rows.join(found, "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with one row per component: that of the smallest doc_id. Rows with a null doc_id can't be told apart and all stay."""
-    found = near_duplicates(docs, **options)
-    kept = found.where("doc_id = component_id").select("doc_id").distinct()
-    lone = docs.where("doc_id is null")
-    out = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
-    return out.unionByName(lone)
+def keep_one_of_each(docs: DataFrame, *, shingle: int = 3) -> DataFrame:
+    """``docs`` with one row per component: that of the smallest doc_id.
+
+    Where that doc_id has several rows in the component, one with the smallest
+    fingerprint stays. Rows with a null doc_id can't be told apart and all stay.
+    """
+    (at,) = free_names(docs.columns, "at")
+    numbered, _ = materialize(docs.where("doc_id is not null").withColumn(at, F.monotonically_increasing_id()), "numbered")
+    rows, found = _grouped(numbered.select(F.col(at).alias("doc_id"), "text"), shingle)
+    ids = rows.withColumnRenamed("doc_id", at).join(numbered.select(at, "doc_id"), at)
+    kept = ids.join(found, "fp").groupBy("root").agg(F.min(F.struct("doc_id", "fp", F.col(at).alias("at"))).alias("kept")).select(F.col("kept.at").alias(at))
+    return numbered.join(kept, at, "left_semi").select(docs.columns).unionByName(docs.where("doc_id is null"))

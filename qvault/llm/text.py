@@ -36,3 +36,14 @@ def let(value: Column, body) -> Column:
 def wide_hash(text: Column) -> Column:
     """128 bits of SHA-256: apart from collisions too rare to happen, equal for equal texts only."""
     return F.unhex(F.substring(F.sha2(text, 256), 1, 32))
+
+
+def free_names(taken: list[str], *wished: str) -> tuple[str, ...]:
+    """The wished column names, with underscores in front of those that ``taken`` has already."""
+    used, out = {c.lower() for c in taken}, []
+    for name in wished:
+        while name.lower() in used:
+            name = "_" + name
+        used.add(name.lower())
+        out.append(name)
+    return tuple(out)
