@@ -17,7 +17,7 @@ from qvault.storage import materialize
 
 #: Buckets of hashed affixes, n-grams and words.
 BUCKETS = 1 << 16
-#: About so many texts of each language, and so many windows of WINDOW words of them all, are fitted on; both are drawn by a hash.
+#: About so many texts of each language, and so many windows of WINDOW words, as many of each language, are fitted on; both are drawn by a hash.
 TEXTS_PER_LANGUAGE, MAX_WINDOWS, WINDOW = 400, 6000, 64
 #: The label of texts without letters.
 UNDETERMINED = "und"
@@ -32,7 +32,7 @@ def word_features(word: str) -> list[int]:
         w = word[:n].encode()
         found.add(b"<" + w)
         found.add(b">" + word[-n:].encode())
-    marked = f"^{word[:40]}$"
+    marked = f"^{word}$"
     found.update(marked[i : i + n].encode() for n in (2, 3) for i in range(len(marked) - n + 1))
     return [zlib.crc32(f) % BUCKETS for f in found]
 
@@ -170,8 +170,12 @@ def training_windows(docs: DataFrame, learn: Column) -> list[tuple[list[str], st
                 yield pa.RecordBatch.from_arrays([pa.array([c[0] for c in cut], pa.string()), pa.array([c[1] for c in cut], pa.list_(pa.string()))], ["lang", "words"])
 
     windows, _ = materialize(rows.where(sampled(share, "doc_id")).select("lang", "text").mapInArrow(run, "lang string, words array<string>"), "windows")
-    n = windows.count()
-    chosen = windows.where(sampled(min(1.0, MAX_WINDOWS / max(1, n)), "words"))
+    made = {r["lang"]: r["n"] for r in windows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # one row per language
+    if not made:
+        return []
+    each = MAX_WINDOWS / len(made)
+    part = F.create_map(*[x for lang, n in made.items() for x in (F.lit(lang), F.lit(min(1.0, each / n)))])[F.col("lang")]
+    chosen = windows.where(sampled(part, "words"))
     return sorted(((r["words"], r["lang"]) for r in chosen.collect()), key=lambda x: (x[1], x[0]))
 
 
@@ -182,7 +186,8 @@ def identify_languages(docs: DataFrame, *, learn: Column) -> DataFrame:
     mean posterior of that language over the words. Learns from rows with a
     language for which ``learn`` holds. Texts that are null or have no letter
     are ``und`` with score 0, and so are all if there is nothing to learn from.
-    Rows that repeat a doc_id are judged one by one.
+    Texts and words of any length count whole, also where a script has no
+    blanks. Rows that repeat a doc_id are judged one by one.
     """
     windows = training_windows(docs, learn)
     model = fit_crf(windows) if windows else Crf([], np.zeros((0, 0)), np.zeros((0, 0)), np.zeros(0))
