@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from qvault.llm.features import Adam, Words, sampled, slices, split_words
+from qvault.llm.text import free_names
 from qvault.storage import materialize
 
 #: Buckets of hashed words and word ends; about so many labelled texts of each domain are fitted on, drawn by a hash.
@@ -20,7 +21,7 @@ BUCKETS, TEXTS_PER_DOMAIN = 1 << 12, 2000
 
 def word_buckets(word: str) -> tuple[int, int, int]:
     """The word's bucket, that of its last two characters, and that of its kinds of characters."""
-    kind = "".join(sorted({"A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in word[:60]}))
+    kind = "".join(sorted({"A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in word}))
     return tuple(zlib.crc32(x.encode()) % BUCKETS for x in ("=" + word.lower(), ">" + word[-2:], "~" + kind))
 
 
@@ -167,8 +168,9 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], *, budg
     more with the rest as probability, by a hash of the row.
 
     Targets that no rates reach, because domains overlap in most texts, are met
-    as nearly as least squares allow. A token is a word, parted by blanks. Null and empty texts have no
-    token and the rate of their posterior. Rows that repeat a doc_id with the
+    as nearly as least squares allow. A token is a word, parted by blanks; texts
+    of any length are read whole, some megabytes of them at once. Null and empty
+    texts have no token and the rate of their posterior. Rows that repeat a doc_id with the
     same text get equal rates. Of labels that repeat a doc_id the smallest
     domain counts. An empty table gives an empty result.
     """
@@ -192,11 +194,15 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], *, budg
 
 
 def take_mixture(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], **options) -> DataFrame:
-    """The rows of ``docs``, each as often as ``mix`` says. Rows with a null doc_id are taken as they are."""
+    """The rows of ``docs``, each as often as ``mix`` says. Rows with a null doc_id are taken as they are.
+
+    Columns of any name are kept as they are.
+    """
     rates = mix(docs, labelled, targets, **options).where("doc_id is not null").select("doc_id", "text_hash", "copies").dropDuplicates(["doc_id", "text_hash"])
-    keyed = docs.withColumn("_hash", F.xxhash64(F.coalesce("text", F.lit("")))).join(rates.toDF("_doc", "_text", "_copies"), (F.col("doc_id") == F.col("_doc")) & (F.col("_hash") == F.col("_text")), "left")
-    copies = F.when(F.col("doc_id").isNull(), F.lit(1)).otherwise(F.coalesce("_copies", F.lit(0)))
-    return keyed.withColumn("_each", F.explode(F.array_repeat(F.lit(0), copies))).select(docs.columns)
+    own, doc, text, copies, each = free_names(docs.columns, "own_hash", "of_doc", "of_text", "copies", "each")
+    keyed = docs.withColumn(own, F.xxhash64(F.coalesce("text", F.lit("")))).join(rates.toDF(doc, text, copies), (F.col("doc_id") == F.col(doc)) & (F.col(own) == F.col(text)), "left")
+    times = F.when(F.col("doc_id").isNull(), F.lit(1)).otherwise(F.coalesce(copies, F.lit(0)))
+    return keyed.withColumn(each, F.explode(F.array_repeat(F.lit(0), times))).select(docs.columns)
 
 
 def label_domains(labels: DataFrame) -> DataFrame:
