@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -15,8 +16,7 @@ from qvault.storage import materialize
 
 #: Texts to fit on, about: confirmed toxic ones, and any others. Both are drawn by a hash of the row.
 MAX_POSITIVE, MAX_UNLABELLED = 6000, 12000
-#: Features of the classifier: words, and beginnings of words.
-MAX_FEATURES = 2048
+#: Features of the classifier are words, and beginnings of words of these lengths.
 PREFIXES = range(3, 9)
 
 
@@ -61,6 +61,17 @@ def _count_features(sample: DataFrame) -> DataFrame:
     return counted.groupBy("feature").agg(F.sum("n_pos").alias("n_pos"), F.sum("n_unl").alias("n_unl"))
 
 
+def _evidence(n_p: int, n_u: int) -> Column:
+    """The likelihood-ratio statistic of a feature's two shares of texts, against one share for both kinds."""
+    pos, unl, n = F.col("n_pos"), F.col("n_unl"), n_p + n_u
+    both = pos + unl
+
+    def term(seen: Column, expected: Column) -> Column:
+        return F.when(seen > 0, seen * F.log(seen / expected)).otherwise(F.lit(0.0))
+
+    return 2 * (term(pos, both * n_p / n) + term(unl, both * n_u / n) + term(n_p - pos, (n - both) * n_p / n) + term(n_u - unl, (n - both) * n_u / n))
+
+
 @dataclass
 class Classifier:
     features: dict[str, int]
@@ -104,8 +115,12 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column) -> Classifier:
 
     The class prior is the share of toxic rows among all labelled rows to learn
     from. Positives are rows with label 1; the unlabelled are drawn from all
-    rows to learn from, whatever their label. Exact copies count once. Without
-    positives, every text gets the score 0.
+    rows to learn from, whatever their label. Exact copies count once. A
+    feature is used if its likelihood-ratio statistic exceeds twice the
+    logarithm of the number of features, so the evidence asked for grows with
+    what there is to choose from, and with nothing else; the drawn texts bound
+    their number. Without positives, every text gets the score 0; without any
+    feature that passes, the class prior.
     """
     marked = labels.where("doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     rows = docs.where(F.coalesce(learn, F.lit(False))).select("doc_id", "text")
@@ -119,8 +134,9 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column) -> Classifier:
     unlabelled = rows.where(sampled(min(1.0, MAX_UNLABELLED / n_rows), "doc_id")).select("text", F.lit(False).alias("positive"))
     sample, _ = materialize(positives.union(unlabelled).dropDuplicates(), "toxic")
     n_u, n_p = sample.agg(F.count_if(~F.col("positive")), F.count_if("positive")).first()
-    lift = (F.col("n_pos") / n_p) / ((F.col("n_unl") + 1) / n_u)
-    chosen = _count_features(sample).where((F.col("n_pos") >= 8) & (lift >= 3)).orderBy(F.desc(F.col("n_pos") * F.log(lift)), "feature").limit(MAX_FEATURES).select("feature").collect()
+    counted, _ = materialize(_count_features(sample), "features")
+    evidence = _evidence(n_p, n_u)
+    chosen = counted.where(evidence > 2 * math.log(max(2, counted.count()))).select("feature").orderBy("feature").collect()
     known = {r["feature"]: i for i, r in enumerate(chosen)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,23 +153,27 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column) -> Classifier:
     return Classifier(known, weights, bias)
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, *, learn: Column) -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame, *, learn: Column, score: str = "score", predicted: str = "predicted") -> DataFrame:
     """``docs`` with score (0 to 1) and predicted (1 from 0.5 on) beside its own columns.
 
-    Only texts enter a score. Null and empty texts get the score of a text
-    without features. Rows that repeat a doc_id are scored one by one; of
-    labels that repeat one the largest counts. An empty table stays empty.
+    ``score`` and ``predicted`` name the two columns; columns of ``docs`` with
+    those names give way to them, so a caller that keeps all takes free names.
+    Only texts enter a score; whole texts of any length, some megabytes at once.
+    Null and empty texts get the score of a text without features. Rows that
+    repeat a doc_id are scored one by one; of labels that repeat one the
+    largest counts. An empty table stays empty.
     """
     model = fit(docs, labels, learn)
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    kept = [c for c in docs.columns if c not in ("score", "predicted")]
-    out = docs.select(kept).schema.add("score", "double")
+    kept = [c for c in docs.columns if c.lower() not in (score.lower(), predicted.lower())]
+    out = docs.select(kept).schema.add(score, "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = kept.index("text")
         for b in batches:
             texts = b.column(at)
             scores = np.concatenate([sent.value.score(texts.slice(first, n)) for first, n in slices(texts)] or [np.empty(0)])
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(scores)], [*kept, "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(scores)], [*kept, score])
+            pa.default_memory_pool().release_unused()
 
-    return docs.select(kept).mapInArrow(run, out).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    return docs.select(kept).mapInArrow(run, out).withColumn(predicted, (F.col(score) >= 0.5).cast("int"))
