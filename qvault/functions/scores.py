@@ -1,7 +1,7 @@
-"""Scores of findings and assets, as SQL expressions over named columns; ``F.expr`` makes them columns.
+"""Scores of findings and assets, as Spark SQL expressions over named columns; ``F.expr`` makes them columns.
 
 Each function takes column names (or SQL expressions) and returns the text of
-an expression, so it serves DataFrames and SQL alike. Half is rounded up.
+an expression, so it serves DataFrames and ``spark.sql`` alike. Half is rounded up.
 """
 
 from __future__ import annotations
@@ -82,18 +82,22 @@ def severity_label(score: str) -> str:
     return f"CASE WHEN {score} >= 80 THEN 'critical' WHEN {score} >= 60 THEN 'high' WHEN {score} >= 40 THEN 'medium' WHEN {score} >= 20 THEN 'low' ELSE 'info' END"
 
 
+def bound(value: str, name: str, body: str) -> str:
+    """``body`` with ``name`` standing for ``value``, which is written and computed once however often ``body`` uses it."""
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
+
+
 def detect_purpose(declared: str, text: str) -> str:
-    """A declared purpose that is known, else the first whose words occur most, else unknown."""
+    """A declared purpose that is known, else that whose words occur most, the first on a tie, else unknown."""
     known = ", ".join(f"'{k}'" for k in USAGE)
-    hits = {k: " + ".join(f"CASE WHEN lower(coalesce({text}, '')) LIKE '%{w}%' THEN 1 ELSE 0 END" for w in ws) for k, ws in PURPOSE_WORDS.items()}
-    most = "greatest(" + ", ".join(hits.values()) + ")"
-    return f"CASE WHEN {declared} IN ({known}) THEN {declared} WHEN {most} = 0 THEN 'unknown' " + " ".join(f"WHEN {h} = {most} THEN '{k}'" for k, h in hits.items()) + " END"
+    hits = ", ".join(f"named_struct('n', {' + '.join(f'CAST(contains(purpose_text, {chr(39)}{w}{chr(39)}) AS INT)' for w in ws)}, 'o', {-i}, 'k', '{k}')" for i, (k, ws) in enumerate(PURPOSE_WORDS.items()))
+    most = bound(f"array_max(array({hits}))", "most", "CASE WHEN most.n = 0 THEN 'unknown' ELSE most.k END")
+    return f"CASE WHEN {declared} IN ({known}) THEN {declared} ELSE {bound(f'lower(coalesce({text}, {chr(39) * 2}))', 'purpose_text', most)} END"
 
 
 def pqc_guidance(family: str, purpose: str) -> str:
-    exact = f"CASE {family} || '|' || {purpose} " + " ".join(f"WHEN '{f}|{p}' THEN '{v}'" for (f, p), v in GUIDANCE.items()) + " END"
-    fallback = f"CASE {family} " + " ".join(f"WHEN '{f}' THEN '{v}'" for (f, p), v in GUIDANCE.items() if p == "unknown") + " END"
-    return f"coalesce({exact}, {fallback}, 'manual review')"
+    table = "map(" + ", ".join(f"'{f}|{p}', '{v}'" for (f, p), v in GUIDANCE.items()) + ")"
+    return bound(family, "guided_family", f"coalesce({table}[guided_family || '|' || {purpose}], {table}[guided_family || '|unknown'], 'manual review')")
 
 
 def migration_effort(recommended: str, files: str) -> str:

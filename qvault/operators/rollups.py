@@ -145,19 +145,66 @@ def correlate_sca(manifest: DataFrame, source: DataFrame) -> DataFrame:
     return rows.withColumn("confidence", F.when(F.col("matched") > 0, "Confirmed").otherwise("Possible"))
 
 
-def link_fields(fields: DataFrame, assets: DataFrame, k: int = 3) -> DataFrame:
-    """Fields with their ``k`` likeliest assets, by noisy-or over same file, same folder and same service.
-
-    Candidates come from three equi-joins, not from all pairs of a repository.
+# What each sign that an asset protects a field weighs, the distance of close lines, and the most that signs add up to.
+SIGNS = {"same file": 0.6, "close lines": 0.25, "crypto call": 0.45, "same folder": 0.15, "import": 0.3, "same service": 0.1, "runtime": 0.15}
+CLOSE_LINES, MOST = 30, 0.9
+
+
+def link_fields(fields: DataFrame, assets: DataFrame, k: int = 3, *, calls: DataFrame | None = None, imports: DataFrame | None = None) -> DataFrame:
+    """Fields with their ``k`` likeliest assets, by noisy-or over signs.
+
+    ``fields`` has repo_id, field_id, file, line, service and is_column (of a
+    database model), ``assets`` repo_id, asset_id, file, line, service,
+    encrypts and runtime; ``calls`` (repo_id, file, line, field_id) are crypto
+    calls that name a field, ``imports`` (repo_id, file, imported) edges.
+    Returns repo_id, field_id, asset_id, score, rank and ambiguous: all of a
+    field's kept assets score alike.
+
+    No field meets all assets of its repository. In one file, pairs are looked
+    at with their lines. Outside it, what an asset scores depends on the
+    places of both alone, so assets are ranked once for each distinct (file,
+    folder, service, is_column) of fields, and only the ``k`` best of each go
+    on to its fields; an asset of the same file never scores less than that.
     """
-    folder = lambda c: F.regexp_replace(c, "/[^/]*$", "")
-    f = fields.select("repo_id", "field_id", "file", folder(F.col("file")).alias("folder"), "service")
-    a = assets.select("repo_id", "asset_id", "file", folder(F.col("file")).alias("folder"), "service")
-    signal = lambda on, s: f.join(a, ["repo_id", on]).select("repo_id", "field_id", "asset_id", F.lit(s).alias("s"))
-    votes = signal("file", 0.6).union(signal("folder", 0.4)).union(signal("service", 0.2))
-    scored = votes.groupBy("repo_id", "field_id", "asset_id").agg(F.round(noisy_or(F.collect_list("s")), 6).alias("score"))
-    w = Window.partitionBy("repo_id", "field_id").orderBy(F.desc("score"), "asset_id")
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    folder = lambda c: F.regexp_replace(c, "/?[^/]*$", "")
+    place = ["repo_id", "file", "folder", "service", "is_column"]
+    f = fields.withColumn("folder", folder(F.col("file"))).select(*place, "field_id", "line")
+    a = assets.select("repo_id", "asset_id", F.col("file").alias("at"), folder(F.col("file")).alias("folder"), F.col("line").alias("asset_line"), "service", "encrypts", "runtime")
+    bonus = F.when(F.col("runtime"), SIGNS["runtime"]).otherwise(0.0)
+    joint = lambda signs: F.round(noisy_or(F.array(*signs), MOST), 9)
+
+    # The same file: lines and calls tell.
+    near = F.when((F.col("line") > 0) & (F.col("asset_line") > 0) & (F.abs(F.col("line") - F.col("asset_line")) <= CLOSE_LINES), SIGNS["close lines"]).otherwise(0.0)
+    own = f.join(a.select("repo_id", F.col("at").alias("file"), "asset_id", "asset_line", "runtime"), ["repo_id", "file"])
+    called = F.lit(0.0)
+    if calls is not None:
+        named = calls.select("repo_id", "file", "field_id", F.col("line").alias("call_line")).distinct()
+        heard = own.join(named, ["repo_id", "file", "field_id"]).where(F.abs(F.col("call_line") - F.col("asset_line")) <= CLOSE_LINES).select("repo_id", "field_id", "asset_id", F.lit(SIGNS["crypto call"]).alias("call")).distinct()
+        own, called = own.join(heard, ["repo_id", "field_id", "asset_id"], "left"), F.coalesce("call", F.lit(0.0))
+    within = own.select("repo_id", "field_id", "asset_id", joint([F.lit(SIGNS["same file"]), near, called, bonus]).alias("score"))
+
+    # Other files: signs by place.
+    places = f.select(place).distinct()
+    sign = lambda name, met: met.where("file <> at").select(*place, "asset_id", "runtime", F.lit(name).alias("sign"), F.lit(SIGNS[name]).alias("w"))
+    votes = sign("same folder", places.join(a.drop("service"), ["repo_id", "folder"]))
+    votes = votes.unionByName(sign("same service", places.where("is_column").join(a.drop("folder").where("encrypts"), ["repo_id", "service"])))
+    if imports is not None:
+        edges = imports.select("repo_id", "file", F.col("imported").alias("at"))
+        votes = votes.unionByName(sign("import", places.join(edges, ["repo_id", "file"]).join(a.drop("folder", "service"), ["repo_id", "at"])))
+    told = votes.groupBy(*place, "asset_id", "runtime").agg(F.collect_set(F.struct("sign", "w")).alias("signs"))
+    product = F.aggregate("signs", F.lit(1.0), lambda x, s: x * (1 - s["w"])) * (1 - bonus)
+    scored = told.select(*place, "asset_id", F.round(F.least(F.lit(MOST), 1 - product), 9).alias("score"))
+    best = Window.partitionBy(*[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in place]).orderBy(F.desc("score"), "asset_id")
+    listed = scored.withColumn("n", F.row_number().over(best)).where(F.col("n") <= k).groupBy(*place).agg(F.collect_list(F.struct("asset_id", "score")).alias("best"))
+    same = F.lit(True)
+    for c in place:
+        same = same & F.col(f"f.{c}").eqNullSafe(F.col(f"l.{c}"))
+    beyond = f.alias("f").join(listed.alias("l"), same).select("f.repo_id", "f.field_id", F.explode("l.best").alias("b")).select("repo_id", "field_id", "b.*")
+
+    w = Window.partitionBy("repo_id", "field_id")
+    kept = within.unionByName(beyond).withColumn("rank", F.row_number().over(w.orderBy(F.desc("score"), "asset_id"))).where(F.col("rank") <= k)
+    spread = F.max("score").over(w) - F.min("score").over(w)
+    return kept.withColumn("ambiguous", (F.count("*").over(w) > 1) & (spread < 1e-9)).withColumn("score", F.round("score", 6))
 
 
 def combine_signals(values: DataFrame, names: DataFrame, on: Sequence[str]) -> DataFrame:
@@ -190,11 +237,17 @@ SIZES = {"RSA": (256, 256), "ECC": (64, 64), "DH": (256, 256), "ML-KEM-768": (11
 
 
 def pqc_size_impact(assets: DataFrame, limits: dict[str, int]) -> DataFrame:
-    """Bytes before and after by the recommended replacement, and which environments' limits the new size breaks."""
-    table = lambda i: F.create_map(*[F.lit(x) for k, v in SIZES.items() for x in (k, v[i])])
-    now, new = table(0)[F.col("family")] + table(1)[F.col("family")], table(0)[F.col("recommended")] + table(1)[F.col("recommended")]
-    broken = F.array_compact(F.array(*[F.when(new > limit, name) for name, limit in sorted(limits.items())]))
-    return assets.select("asset_id", now.alias("bytes_now"), new.alias("bytes_new"), F.array_join(broken, ",").alias("breaks")).where("bytes_now is not null and bytes_new is not null")
+    """Bytes before and after by the recommended replacement, and which environments' limits the new size breaks.
+
+    Assets of a family or with a replacement of unknown size are left out. The
+    sizes are a table of a few rows that is broadcast, so each asset's family
+    and replacement are computed once.
+    """
+    sizes = assets.sparkSession.createDataFrame([(k, sum(v)) for k, v in SIZES.items()], "name string, bytes int")
+    now, new = sizes.toDF("family", "bytes_now"), sizes.toDF("recommended", "bytes_new")
+    met = assets.select("asset_id", "family", "recommended").join(F.broadcast(now), "family").join(F.broadcast(new), "recommended")
+    broken = F.array_compact(F.array(*[F.when(F.col("bytes_new") > limit, name) for name, limit in sorted(limits.items())]))
+    return met.select("asset_id", "bytes_now", "bytes_new", F.array_join(broken, ",").alias("breaks"))
 
 
 def classify_exposure(findings: DataFrame) -> DataFrame:

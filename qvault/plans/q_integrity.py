@@ -102,8 +102,8 @@ def t4(spark, d):
     return rt.session_progress(events(spark, d), ["operation", "library"], 12)
 
 
-MATCH_FINDINGS = "f AS (SELECT scan_id * 100 + ordinal AS finding_id, scan_id * 100 + ordinal AS ordinal, string_split(file, '/')[-1] AS base, algorithm, line FROM findings WHERE scan_id < 400)"
-MATCH = f"""WITH f0 AS (SELECT * FROM f), fc AS (SELECT finding_id, ordinal, base, line AS fl, {CANON} AS ca FROM f0), ec AS (SELECT *, string_split(file, '/')[-1] AS base, {CANON} AS ca FROM events_),
+MATCH_FINDINGS = "f AS (SELECT scan_id * 100 + ordinal AS finding_id, scan_id * 100 + ordinal AS ordinal, string_split(file, '/')[-1] AS base, algorithm, line FROM findings)"
+MATCH = f"""WITH f0 AS (SELECT min(finding_id) AS finding_id, min(ordinal) AS ordinal, base, algorithm, line FROM f GROUP BY base, algorithm, line), fc AS (SELECT finding_id, ordinal, base, line AS fl, {CANON} AS ca FROM f0), ec AS (SELECT *, string_split(file, '/')[-1] AS base, {CANON} AS ca FROM events_),
 j AS (SELECT event_id, finding_id, ordinal, CASE WHEN line > 0 AND fl > 0 THEN abs(line - fl) ELSE 9999 END AS dist FROM ec LEFT JOIN fc USING (base, ca)),
 k AS (SELECT *, CASE WHEN finding_id IS NULL THEN 3 WHEN dist = 0 THEN 0 WHEN dist <= 15 THEN 1 ELSE 2 END AS kind FROM j),
 b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY kind, CASE WHEN kind = 1 THEN dist ELSE 0 END, ordinal) AS n FROM k) WHERE n = 1),

@@ -6,66 +6,21 @@ from pyspark.sql import functions as F
 
 from qvault.functions import scores as sc
 from qvault.functions import text as ft
-from qvault.functions.threat import risk_family
 from qvault.operators import findings as fo
 from qvault.operators import rollups as op
 from qvault.plans.bindings import catalogue, findings, over, pick, plain, scans, sql
 from qvault.plans.q_findings import FAMILY as DEDUP_FAMILY
 from qvault.plans.q_findings import RANK
-from qvault.plans.q_threat import FAMILY
+from qvault.plans.q_scores import GUIDED, SCORED, guided
 from qvault.plans.registry import query
 from qvault.storage import load
 
 SEV = RANK.format("severity")
 NAME = "CASE {} WHEN 4 THEN 'Critical' WHEN 3 THEN 'High' WHEN 2 THEN 'Medium' WHEN 1 THEN 'Low' ELSE 'Informational' END"
-SCORED = f"p AS (SELECT *, {sc.primitive('algorithm')} AS primitive, {sc.detect_purpose('category', 'code_snippet')} AS purpose FROM findings), s AS (SELECT *, {sc.vulnerability_score('primitive', 'key_size', 'mode', 'purpose', 'CAST(NULL AS INT)', 'exposure', chr(39) + 'Standard' + chr(39))} AS score FROM p)"
-
-
 def scored(spark, d):
     return op.scored_findings(findings(spark, d))
 
 
-def _expr(name, **columns):
-    """A query of scalar expressions over the catalogue that both engines read alike."""
-    text = ", ".join(f"{e} AS {n}" for n, e in columns.items())
-
-    @query(name, over("catalogue", f"SELECT asset_id, {text} FROM catalogue"))
-    def run(spark, d):
-        return catalogue(spark, d).select("asset_id", *[F.expr(e).alias(n) for n, e in columns.items()])
-
-
-PRIM = sc.primitive("algorithm")
-_expr("f12_vulnerability_score", service=sc.vulnerability_score(f"({PRIM})", "key_size", "mode", "'data_encryption'", "CAST(size AS INT)", "'external'", "'High'"), simple=sc.vulnerability_score(f"({PRIM})", "key_size", "mode", "'mac'", "NULL", "'internal'", "'Low'", "simple"), label=sc.severity_label("size * 2"))
-_expr("f13_mosca", risk=sc.mosca_risk("size", "3"), window_years=sc.exposure_window("size"), urgency=sc.urgency("size", "2"))
-_expr("f14_hndl_risk", x=sc.data_lifetime("CAST(NULL AS INT)", "CASE WHEN size % 3 = 0 THEN 'PII' END", "'mac'"), y=sc.migration_time("size % 9 + 1", "size % 2 = 0"), risk=sc.hndl_risk("size * 2", "size", "2.5"))
-_expr("f15_detect_purpose", purpose=sc.detect_purpose("CAST(NULL AS STRING)", "usage"))
-_expr("f17_migration_effort", effort=f"CAST({sc.migration_effort(sc.pqc_guidance(chr(39) + 'RSA' + chr(39), chr(39) + 'key_exchange' + chr(39)), 'size')} AS DOUBLE)", agility=f"CAST({sc.agility('size % 2 = 0', 'size', 'usage')} AS INT)")
-_expr("f29_suggest_lifetime", years=sc.suggest_lifetime("CASE WHEN size % 5 = 0 THEN 3 END", "usage"))
-_expr("f30_criticality", criticality=f"CAST({sc.criticality('CASE WHEN size % 2 = 0 THEN ' + chr(39) + 'PII' + chr(39) + ' END', 'CASE WHEN size % 3 = 0 THEN ' + chr(39) + 'internal' + chr(39) + ' ELSE ' + chr(39) + 'external' + chr(39) + ' END', 'name', 'size % 7 = 0')} AS INT)")
-_expr("f31_urgency", tier=sc.urgency("size / 4", "1"), risk=sc.mosca_risk("size / 4", "1"))
-_expr("f32_cipher_mode", mode_found=sc.cipher_mode("algorithm"))
-_expr("f33_enrichment", kind=sc.asset_type("usage"), years=sc.suggest_lifetime("NULL", "usage"), mode_found=sc.cipher_mode("coalesce(mode, algorithm)"), primitive=PRIM)
-_expr("p34_asset_type", kind=sc.asset_type("coalesce(usage, '') || ' ' || algorithm"))
-_expr("p21_risk_profile", quantum=sc.quantum_vulnerability(f"({PRIM})", "key_size"), strength=sc.key_strength(f"({PRIM})", "key_size"), deprecation=sc.classical_deprecation(f"({PRIM})", "mode"))
-_expr("p25_infer_key_size", inferred="coalesce(key_size, CASE WHEN upper(algorithm) LIKE '%256%' THEN 256 WHEN upper(algorithm) LIKE '%1024%' THEN 1024 WHEN upper(algorithm) LIKE 'RSA%' THEN 2048 WHEN upper(algorithm) LIKE '%DES%' THEN 168 END)")
-_expr("p26_infer_library", library="CASE WHEN name LIKE '%a%' AND brand LIKE '%1%' THEN 'openssl' WHEN lower(kind) LIKE '%std%' OR lower(kind) LIKE '%standard%' THEN 'hashlib' WHEN usage LIKE '%jwt%' THEN 'jsonwebtoken' END")
-
-NON_CRYPTO = ["gzip", "zstd", "snappy", "lz4", "deflate", "none", "random", "default", "lru"]
-STRONG = ["sha256", "sha-256", "sha3", "sha384", "sha512", "aes-gcm", "aes-256-gcm", "aes-128-gcm", "chacha20-poly1305", "ml-kem", "ml-dsa", "slh-dsa", "ed25519", "x25519", "argon2id", "bcrypt", "scrypt", "pbkdf2", "tls_aes_256_gcm_sha384"]
-WEAK = [("MD5", "Critical", ["md5", "md4", "md2"]), ("SHA-1", "High", ["sha1", "sha-1"]), ("RIPEMD-160", "Medium", ["ripemd160", "ripemd"]), ("3DES/DES", "Critical", ["des", "3des", "des3", "tripledes", "tdes"]), ("RC4", "Critical", ["rc4", "arc4", "rc2"]), ("Blowfish/Legacy", "High", ["blowfish", "cast5", "idea"])]
-
-
-def _classified(base: str) -> str:
-    """Fixed order: what is no cryptography or strong gives null, then weak classes, then ECB mode."""
-    has = lambda ws: "(" + " OR ".join(f"{x} IN ({', '.join(repr(w) for w in ws)})" for x in ("lower(trim(algorithm))", base)) + ")"
-    return f"CASE WHEN {has(NON_CRYPTO)} OR {has(STRONG)} THEN NULL " + " ".join(f"WHEN {has(ws)} THEN '{n}'" for n, _, ws in WEAK) + " WHEN lower(algorithm) LIKE '%ecb%' THEN 'ECB Mode' END"
-
-
-@query("p4_classify_algorithm", over("catalogue", f"SELECT asset_id, {_classified('regexp_extract(lower(trim(algorithm)), ' + chr(39) + '^[^/_\\s-]*' + chr(39) + ')')} AS weak FROM catalogue"))
-def p4(spark, d):
-    return catalogue(spark, d).select("asset_id", F.expr(_classified("regexp_extract(lower(trim(algorithm)), '^[^/_\\\\s-]*', 0)")).alias("weak"))
-
-
 @query("f9_version_compare", "SELECT p_partkey AS id, (p_partkey % 3, p_partkey % 20, p_partkey % 7) < (1, 10, 0) AS older FROM part")
 def f9(spark, d):
     v = F.expr("concat('v', p_partkey % 3, '.', p_partkey % 20, '.', p_partkey % 7)")
@@ -87,25 +42,6 @@ def f28(spark, d):
     return catalogue(spark, d).select("asset_id", F.concat(F.lit("field-"), F.substring(F.sha2(F.to_json(F.array("name", "file")), 256), 1, 24)).alias("field_id"))
 
 
-GUIDE = sc.pqc_guidance("family", "purpose")
-GUIDED = f"g0 AS (SELECT *, {FAMILY} AS family, {sc.detect_purpose('NULL', 'usage')} AS purpose FROM catalogue), g AS (SELECT *, {GUIDE} AS recommended FROM g0)"
-
-
-def guided(spark, d):
-    c = catalogue(spark, d).withColumn("family", risk_family(F.col("algorithm"))).withColumn("purpose", F.expr(sc.detect_purpose("NULL", "usage")))
-    return c.withColumn("recommended", F.expr(GUIDE))
-
-
-@query("f16_pqc_guidance", over("catalogue", f"WITH {GUIDED} SELECT asset_id, family, purpose, recommended FROM g"))
-def f16(spark, d):
-    return guided(spark, d).select("asset_id", "family", "purpose", "recommended")
-
-
-@query("a22_support_counts", over("catalogue", f"WITH {GUIDED} SELECT family, recommended, count(*) AS n, CAST(sum({sc.migration_effort('recommended', 'size')}) AS DOUBLE) AS effort FROM g GROUP BY ALL"))
-def a22(spark, d):
-    return op.support_counts(guided(spark, d).withColumn("effort", F.expr(f"CAST({sc.migration_effort('recommended', 'size')} AS DOUBLE)")))
-
-
 LIMITS = {"tls record": 16384, "mtu": 1500, "jwt header": 4096, "smart card": 2048}
 
 
@@ -257,21 +193,34 @@ def j11(spark, d):
     return op.advisory_join(deps(spark, d), adv).select("dep_id", "advisories")
 
 
-@query("j9_correlate_sca", over("findings", f"WITH d AS (SELECT DISTINCT repo_id, library FROM ({plain(DEPS)}) WHERE library <> 'left-pad'), l(library, safe, a) AS {LIBS}, u AS (SELECT DISTINCT scan_id % 30 AS repo_id, upper(algorithm) AS a FROM findings WHERE scan_id % 3 = 0 AND severity = 'Critical' AND line = 10 AND file = 'server.js'), r AS (SELECT repo_id, library, a FROM d JOIN l USING (library) UNION ALL SELECT repo_id, library, '3DES' FROM d) SELECT r.repo_id, library, count(u.a) AS matched, count(*) AS declared, CASE WHEN count(u.a) > 0 THEN 'Confirmed' ELSE 'Possible' END AS confidence FROM r LEFT JOIN u ON r.repo_id = u.repo_id AND r.a = u.a GROUP BY ALL"))
+SOURCE = "SELECT scan_id * 31 + ordinal AS repo_id, algorithm FROM findings"
+USED = f"SELECT p_partkey AS repo_id, {pick('p_size', 'openssl', 'jsonwebtoken', 'bcprov', 'md5', 'left-pad')} AS library FROM {{part}}"
+
+
+@query("j9_correlate_sca", over("findings", f"WITH d AS (SELECT DISTINCT repo_id, library FROM ({plain(USED)}) WHERE library <> 'left-pad'), l(library, safe, a) AS {LIBS}, u AS (SELECT DISTINCT repo_id, upper(algorithm) AS a FROM ({SOURCE})), r AS (SELECT repo_id, library, a FROM d JOIN l USING (library) UNION ALL SELECT repo_id, library, '3DES' FROM d) SELECT r.repo_id, library, count(u.a) AS matched, count(*) AS declared, CASE WHEN count(u.a) > 0 THEN 'Confirmed' ELSE 'Possible' END AS confidence FROM r LEFT JOIN u ON r.repo_id = u.repo_id AND r.a = u.a GROUP BY ALL"))
 def j9(spark, d):
     algos = F.create_map(*[F.lit(x) for pair in {"openssl": "RSA", "jsonwebtoken": "MD5", "bcprov": "SHA-1", "md5": "MD5"}.items() for x in pair])
-    manifest = deps(spark, d).where("library <> 'left-pad'").select("repo_id", "library").distinct().withColumn("algorithms", F.array(algos[F.col("library")], F.lit("3DES")))
-    source = findings(spark, d).where("scan_id % 3 = 0 AND severity = 'Critical' AND line = 10 AND file = 'server.js'").withColumn("repo_id", F.col("scan_id") % 30)
+    manifest = sql(spark, d, USED).where("library <> 'left-pad'").distinct().withColumn("algorithms", F.array(algos[F.col("library")], F.lit("3DES")))
+    source = findings(spark, d).selectExpr("scan_id * 31 + ordinal AS repo_id", "algorithm")
     return op.correlate_sca(manifest, source)
 
 
-FIELDS = f"SELECT o_custkey % 60 AS repo_id, o_orderkey AS field_id, {pick('o_orderkey', 'src/auth/user.sql', 'src/pay/card.py', 'lib/db/schema.sql')} AS file, {pick('o_orderkey', 'auth', 'pay', 'db')} AS service FROM {{orders}} WHERE o_orderkey % 4 = 0"
-LINKED = f"SELECT c_custkey % 60 AS repo_id, c_custkey AS asset_id, {pick('c_custkey', 'src/auth/user.sql', 'src/auth/login.py', 'src/pay/card.py', 'x/y.py')} AS file, {pick('c_custkey', 'auth', 'pay', 'db', None)} AS service FROM {{customer}}"
-LINKS = f"f AS (SELECT *, regexp_replace(file, '/[^/]*$', '') AS folder FROM ({plain(FIELDS)})), a AS (SELECT *, regexp_replace(file, '/[^/]*$', '') AS folder FROM ({plain(LINKED)})), v AS (SELECT f.repo_id, field_id, asset_id, 0.4 AS q FROM f JOIN a USING (repo_id, file) UNION ALL SELECT f.repo_id, field_id, asset_id, 0.6 FROM f JOIN a USING (repo_id, folder) UNION ALL SELECT f.repo_id, field_id, asset_id, 0.8 FROM f JOIN a USING (repo_id, service)), sc AS (SELECT repo_id, field_id, asset_id, round(least(0.9, 1 - product(q)), 6)::DOUBLE AS score FROM v GROUP BY ALL), k AS (SELECT *, CAST(row_number() OVER (PARTITION BY repo_id, field_id ORDER BY score DESC, asset_id) AS INTEGER) AS rank FROM sc), l AS (SELECT * FROM k WHERE rank <= 3)"
+FIELDS = f"SELECT o_custkey % 60 AS repo_id, o_orderkey AS field_id, {pick('o_orderkey', 'src/auth/user.sql', 'src/pay/card.py', 'lib/db/schema.sql', 'src/auth/form.py')} AS file, CAST(o_orderkey % 97 + 1 AS INT) AS line, {pick('o_orderkey', 'auth', 'pay', 'db')} AS service, o_orderkey % 3 = 0 AS is_column FROM {{orders}}"
+LINKED = f"SELECT c_custkey % 60 AS repo_id, c_custkey AS asset_id, {pick('c_custkey', 'src/auth/user.sql', 'src/auth/login.py', 'src/pay/card.py', 'x/y.py')} AS file, CAST(c_custkey % 89 + 1 AS INT) AS line, {pick('c_custkey', 'auth', 'pay', 'db', None)} AS service, c_custkey % 2 = 0 AS encrypts, c_custkey % 7 = 0 AS runtime FROM {{customer}}"
+CALLS = f"SELECT repo_id, file, line + 5 AS line, field_id FROM ({FIELDS}) x WHERE field_id % 6 = 0"
+EDGES = "SELECT DISTINCT c_custkey % 60 AS repo_id, 'src/auth/form.py' AS file, 'x/y.py' AS imported FROM {customer}"
+LINKS = f"""f AS (SELECT *, regexp_replace(file, '/?[^/]*$', '') AS folder FROM ({plain(FIELDS)})), a AS (SELECT *, regexp_replace(file, '/?[^/]*$', '') AS folder FROM ({plain(LINKED)})), c AS ({plain(CALLS)}), e AS ({plain(EDGES)}),
+p AS (SELECT f.repo_id, field_id, asset_id, CASE WHEN runtime THEN 0.85 ELSE 1.0 END * CASE WHEN f.file = a.file
+  THEN 0.4 * CASE WHEN abs(f.line - a.line) <= 30 THEN 0.75 ELSE 1.0 END * CASE WHEN EXISTS (SELECT 1 FROM c WHERE c.repo_id = f.repo_id AND c.file = f.file AND c.field_id = f.field_id AND abs(c.line - a.line) <= 30) THEN 0.55 ELSE 1.0 END
+  ELSE CASE WHEN f.folder = a.folder THEN 0.85 ELSE 1.0 END * CASE WHEN is_column AND encrypts AND f.service = a.service THEN 0.9 ELSE 1.0 END * CASE WHEN EXISTS (SELECT 1 FROM e WHERE e.repo_id = f.repo_id AND e.file = f.file AND e.imported = a.file) THEN 0.7 ELSE 1.0 END END AS q,
+  f.file = a.file OR f.folder = a.folder OR (is_column AND encrypts AND f.service = a.service) OR EXISTS (SELECT 1 FROM e WHERE e.repo_id = f.repo_id AND e.file = f.file AND e.imported = a.file) AS met
+ FROM f JOIN a USING (repo_id)),
+k AS (SELECT *, CAST(row_number() OVER (PARTITION BY repo_id, field_id ORDER BY score DESC, asset_id) AS INTEGER) AS rank FROM (SELECT repo_id, field_id, asset_id, round(least(0.9, 1 - q), 9)::DOUBLE AS score FROM p WHERE met)),
+l AS (SELECT repo_id, field_id, asset_id, round(score, 6) AS score, rank, count(*) OVER w > 1 AND max(score) OVER w - min(score) OVER w < 1e-9 AS ambiguous FROM k WHERE rank <= 3 WINDOW w AS (PARTITION BY repo_id, field_id))"""
 
 
 def linked(spark, d):
-    return op.link_fields(sql(spark, d, FIELDS), sql(spark, d, LINKED))
+    return op.link_fields(sql(spark, d, FIELDS), sql(spark, d, LINKED), calls=sql(spark, d, CALLS), imports=sql(spark, d, EDGES))
 
 
 @query("j12_link_fields", f"WITH {LINKS} SELECT * FROM l")
@@ -310,7 +259,8 @@ def o3(spark, d):
     return fo.top_per_group(findings(spark, d), ["scan_id", "file"], ["ordinal"], 2).select("scan_id", "file", "ordinal")
 
 
-SIGNALS = "SELECT CAST(l_suppkey % 9 AS BIGINT) AS repo_id, l_partkey % 400 AS place, CAST(l_quantity AS DOUBLE) / 100 AS confidence, l_linenumber AS n FROM {lineitem} WHERE l_linenumber <= 2 AND l_partkey % 5 = 0 AND l_orderkey % 9 = 0"
+#: A line item is a value hit or a name hit, by its number; a place is a part of an order.
+SIGNALS = "SELECT l_orderkey AS repo_id, l_partkey AS place, CAST(l_quantity AS DOUBLE) / 100 AS confidence, l_linenumber % 2 + 1 AS n FROM (SELECT l_orderkey, l_partkey % 3 AS l_partkey, l_quantity, l_linenumber FROM {lineitem}) x"
 
 
 @query("j14_combine_signals", f"WITH s AS ({plain(SIGNALS)}), v AS (SELECT *, count(*) OVER (PARTITION BY repo_id, place) AS c FROM s WHERE n = 1), m AS (SELECT *, count(*) OVER (PARTITION BY repo_id, place) AS c FROM s WHERE n = 2), b AS (SELECT coalesce(v.repo_id, m.repo_id) AS repo_id, coalesce(v.place, m.place) AS place, 1 - (1 - coalesce(v.confidence, 0)) * (1 - coalesce(m.confidence, 0)) AS confidence FROM (SELECT * FROM v WHERE c = 1) v FULL OUTER JOIN (SELECT * FROM m WHERE c = 1) m ON v.repo_id = m.repo_id AND v.place = m.place) SELECT repo_id, place, round(confidence, 6) AS confidence FROM (SELECT * FROM b UNION ALL SELECT repo_id, place, confidence FROM v WHERE c > 1 UNION ALL SELECT repo_id, place, confidence FROM m WHERE c > 1)")
