@@ -6,9 +6,10 @@ planes of small ids are nearly constant and cost almost nothing. Layout:
 
     b"QTP1" | planes of block 0 | planes of block 1 | ... | index | index length (8 bytes) | b"QTP1"
 
-The index is compressed JSON-free binary: kind of plane, number of blocks,
-documents and ids, then per block its offset and ids, per plane its length, and
-per document its id and number of ids, as little-endian arrays.
+The index is compressed binary: kind of plane, number of blocks, documents,
+ids, and documents without an id, which come first; then per block its offset
+and ids, per plane its length, and per document its id and number of ids, as
+little-endian arrays.
 """
 
 from __future__ import annotations
@@ -31,9 +32,9 @@ from qvault.storage import materialize, new_path
 MAGIC = b"QTP1"
 BLOCK = 1 << 16
 #: Text that is encoded at once, in bytes: bounds a task's memory however long a batch is.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 #: Words whose ids a worker remembers.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 250_000
 
 
 def to_planes(ids: np.ndarray, kind: str) -> list[bytes]:
@@ -62,9 +63,11 @@ class PlaneWriter:
         self.out.write(MAGIC)
         self.at, self.waiting, self.n_waiting = len(MAGIC), [], 0
         self.offsets, self.counts, self.lengths = [], [], []
-        self.doc_ids, self.doc_tokens = [], []
+        self.doc_ids, self.doc_tokens, self.n_null = [], [], 0
 
-    def add(self, doc_ids: np.ndarray, doc_tokens: np.ndarray, ids: np.ndarray) -> None:
+    def add(self, doc_ids: np.ndarray, doc_tokens: np.ndarray, ids: np.ndarray, n_null: int = 0) -> None:
+        """Adds documents; of all that are added, those without an id come first, and ``n_null`` counts them."""
+        self.n_null += n_null
         self.doc_ids.append(doc_ids)
         self.doc_tokens.append(doc_tokens)
         self.waiting.append(ids)
@@ -91,7 +94,7 @@ class PlaneWriter:
             self._block(np.concatenate(self.waiting))
         docs = np.concatenate(self.doc_ids) if self.doc_ids else np.empty(0, np.int64)
         tokens = np.concatenate(self.doc_tokens) if self.doc_tokens else np.empty(0, np.int64)
-        head = np.array([self.kind == "bit", len(self.counts), len(docs), sum(self.counts)], "<i8")
+        head = np.array([self.kind == "bit", len(self.counts), len(docs), sum(self.counts), self.n_null], "<i8")
         arrays = [head, np.array(self.offsets, "<i8"), np.array(self.counts, "<i8"), np.array(self.lengths, "<i8").reshape(-1), docs.astype("<i8"), tokens.astype("<i8")]
         index = self.zip.compress(b"".join(a.tobytes() for a in arrays))
         self.out.write(index + len(index).to_bytes(8, "little") + MAGIC)
@@ -113,9 +116,9 @@ class PlaneReader:
         length = int.from_bytes(tail[:8], "little")
         self.file.seek(size - 12 - length)
         raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(self.file.read(length)), "<i8")
-        bit, blocks, docs, self.n_ids = (int(x) for x in raw[:4])
+        bit, blocks, docs, self.n_ids, self.n_null = (int(x) for x in raw[:5])
         self.kind, planes = ("bit", 32) if bit else ("byte", 4)
-        parts = np.split(raw[4:], np.cumsum([blocks, blocks, blocks * planes, docs]))
+        parts = np.split(raw[5:], np.cumsum([blocks, blocks, blocks * planes, docs]))
         self.offsets, self.counts, self.lengths = parts[0], parts[1], parts[2].reshape(blocks, planes)
         self.doc_ids, self.doc_tokens = parts[3], parts[4]
 
@@ -130,10 +133,11 @@ class PlaneReader:
         held = [self.block(i) for i in range(first, min(last + 1, len(self.counts)))]
         return np.concatenate(held)[start - first * BLOCK :][:n] if held else np.empty(0, np.uint32)
 
-    def documents(self) -> Iterator[tuple[int, int, int]]:
-        """(doc_id, ids, crc32 of the ids as little-endian uint32) in the file's order, one block in memory at a time."""
+    def documents(self) -> Iterator[tuple[int | None, int, int]]:
+        """(doc_id or None, ids, crc32 of the ids as little-endian uint32) in the file's order, one block in memory at a time."""
         i, held, at = 0, np.empty(0, np.uint32), 0
-        for doc, n in zip(self.doc_ids.tolist(), self.doc_tokens.tolist(), strict=True):
+        ids = [None] * self.n_null + self.doc_ids[self.n_null :].tolist()
+        for doc, n in zip(ids, self.doc_tokens.tolist(), strict=True):
             crc, left = 0, n
             while left:
                 if at == len(held):
@@ -254,8 +258,7 @@ def write_token_files(docs: DataFrame, folder: str, *, tokenizer: str, end_id: i
     Documents are sorted by range over the cluster; each task streams its range
     into one file. The manifest (part, file, n_docs, n_ids) lists the files of
     the attempts that ended; read only those. Null texts count as empty: the
-    end id alone. Null doc_ids come first, and are written as the smallest
-    64-bit number. Rows that repeat a doc_id follow each other, ordered by text.
+    end id alone. Null doc_ids come first; the index counts them. Rows that repeat a doc_id follow each other, ordered by text.
     """
     make_folder(folder)
 
@@ -265,13 +268,14 @@ def write_token_files(docs: DataFrame, folder: str, *, tokenizer: str, end_id: i
         coder, out = encoder(tokenizer), None
         for b in batches:
             out = out or PlaneWriter(f"{folder}/{name}", kind)
-            ids = pc.fill_null(b.column(0), np.iinfo(np.int64).min).to_numpy(zero_copy_only=False)
+            named, ids = b.column(0).is_valid().to_numpy(zero_copy_only=False), pc.fill_null(b.column(0), 0).to_numpy(zero_copy_only=False)
             texts = pc.fill_null(b.column(1), "")
             for first, n in slices(texts):
                 part_of = texts.slice(first, n)
                 tokens, counts = coder.encode(part_of) if by_word else coder.encode_whole(part_of)
                 ended = np.insert(tokens, np.cumsum(counts), end_id).astype(np.uint32)
-                out.add(ids[first : first + n], counts + 1, ended)
+                out.add(ids[first : first + n], counts + 1, ended, int((~named[first : first + n]).sum()))
+            pa.default_memory_pool().release_unused()
         if out:
             n_docs, n_ids = out.close()
             yield pa.RecordBatch.from_pydict({"part": [part], "file": [name], "n_docs": [n_docs], "n_ids": [n_ids]})
@@ -295,7 +299,7 @@ def read_token_files(manifest: DataFrame, folder: str) -> DataFrame:
             for r in b.to_pylist():
                 start, rows = r["first"], []
                 for doc, n, crc in PlaneReader(f"{folder}/{r['file']}").documents():
-                    rows.append((None if doc == np.iinfo(np.int64).min else doc, start, n, crc))
+                    rows.append((doc, start, n, crc))
                     start += n
                     if len(rows) == 10_000:
                         yield batch(rows)
@@ -306,7 +310,8 @@ def read_token_files(manifest: DataFrame, folder: str) -> DataFrame:
         cols = list(zip(*rows, strict=True)) or [[]] * 4
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    spread = placed.select("file", "first").repartition(F.col("file"))
+    n_files = manifest.count()  # a number of partitions is kept, and deals out rows by turns: one file each
+    spread = placed.select("file", "first").repartition(max(1, n_files))
     return spread.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
