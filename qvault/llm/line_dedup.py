@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from qvault.llm.skew import join_split
 from qvault.llm.text import ascii_lower, strip_blanks, wide_hash
+from qvault.storage import materialize
 
 
 def document_lines(docs: DataFrame, min_chars: int) -> DataFrame:
@@ -20,17 +22,17 @@ def document_lines(docs: DataFrame, min_chars: int) -> DataFrame:
 
 
 def repeated_lines(lines: DataFrame, min_docs: int) -> DataFrame:
-    """(line_hash, keep_doc) of the lines that at least ``min_docs`` documents hold.
+    """(line_hash, keep_doc, n) of the lines that at least ``min_docs`` documents hold, in ``n`` places.
 
     For two documents the smallest and the largest id tell; any other number
     counts distinct pairs first. Both aggregate before they shuffle, so a line
     that a third of all documents hold costs one row per task.
     """
     if min_docs == 2:
-        ends = lines.groupBy("line_hash").agg(F.min("doc_id").alias("keep_doc"), F.max("doc_id").alias("last_doc"))
+        ends = lines.groupBy("line_hash").agg(F.min("doc_id").alias("keep_doc"), F.max("doc_id").alias("last_doc"), F.count("*").alias("n"))
         return ends.where("keep_doc < last_doc").drop("last_doc")
-    per_doc = lines.where("doc_id is not null").select("line_hash", "doc_id").distinct()
-    return per_doc.groupBy("line_hash").agg(F.min("doc_id").alias("keep_doc"), F.count("*").alias("n")).where(F.col("n") >= min_docs).drop("n")
+    per_doc = lines.where("doc_id is not null").groupBy("line_hash", "doc_id").agg(F.count("*").alias("c"))
+    return per_doc.groupBy("line_hash").agg(F.min("doc_id").alias("keep_doc"), F.count("*").alias("docs"), F.sum("c").alias("n")).where(F.col("docs") >= min_docs).drop("docs")
 
 
 def dedup_lines(docs: DataFrame, *, min_chars: int = 10, min_docs: int = 2) -> DataFrame:
@@ -41,17 +43,17 @@ def dedup_lines(docs: DataFrame, *, min_chars: int = 10, min_docs: int = 2) -> D
 
     Lines are split at ``\\n``. Line keys are stripped of blanks and lower-cased
     in A-Z. Only hashes of lines and positions are shuffled by line; the texts
-    move once, to meet their positions. The join on a line's hash is an inner
-    sort-merge join, whose hot keys adaptive execution splits.
+    move once, to meet their positions. The lines that are repeated are a
+    table, whose counts tell which of them to join in parts.
 
     Null texts count as empty: one empty line. Rows with a null doc_id keep all
     lines and count as no document. Rows that repeat a doc_id are treated alike:
     rows of one document count once. An empty table gives an empty table.
     """
     lines = document_lines(docs, min_chars)
-    repeated = repeated_lines(lines, min_docs)
+    repeated, _ = materialize(repeated_lines(lines, min_docs), "repeated")
     dropped = (
-        lines.join(repeated, "line_hash")
+        join_split(lines, repeated, "line_hash", n="n", by=["doc_id", "pos"])
         .where(F.col("doc_id") != F.col("keep_doc"))
         .groupBy("doc_id", "text_hash")
         .agg(F.sort_array(F.collect_set("pos")).alias("dropped"))
