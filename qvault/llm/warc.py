@@ -20,12 +20,13 @@ from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
 from qvault.llm.files import make_folder, resolve, unique_name
+from qvault.llm.skew import join_split
 from qvault.storage import materialize, new_path
 
 #: Payload bytes of one chunk row.
@@ -36,6 +37,9 @@ MANIFEST = "_manifest"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 SCHEMA = "record_id string, page_id long, record_type string, refers_to string, target_uri string, header_digest string, chunk_no long, data binary, bytes_so_far long, sha1_so_far string"
 
+#: What is written: a record's head, with the length and digest of its whole payload, and a chunk with those up to its end.
+CHUNK_SCHEMA = "record_id string, page_id long, record_type string, refers_to string, target_uri string, payload_bytes long, payload_digest string, chunk_no long, data binary, bytes_so_far long, sha1_so_far string"
+
 
 def base32_sha1(digest: bytes) -> str:
     return base64.b32encode(digest).decode()
@@ -69,7 +73,7 @@ class WarcDataSource(DataSource):
 
 
 class WarcWriter(DataSourceArrowWriter):
-    """Writes rows (record_id, page_id, record_type, refers_to, target_uri, payload_bytes, payload_digest, chunk_no, data).
+    """Writes rows of CHUNK_SCHEMA.
 
     The chunks of a record must follow each other in a partition. A file gets
     a name that no other attempt uses; the commit lists the files of the
@@ -263,54 +267,67 @@ def record_table(pages: DataFrame, *, min_revisit_bytes: int = 0) -> DataFrame:
     Of the pages with equal payloads of at least ``min_revisit_bytes`` bytes,
     that with the largest page_id is the response and the others revisit it;
     pages with smaller payloads are all responses. Payloads are compared by
-    SHA-256. Digests are grouped before the payloads move, and a payload that
-    a third of all pages have is one row per task there; the join on digests
-    is an inner sort-merge join, whose hot keys adaptive execution splits.
+    SHA-256. Only digests are grouped and joined by payload, a payload that
+    many pages have in parts; payloads themselves move by page, and those of
+    responses alone are cut into chunks.
 
     Null html counts as empty. Rows with a null page_id are responses. Rows
     that repeat page_id and payload share a record id; their archives hold each,
-    and ``records`` gives one row for them.
+    and ``records`` gives one row for them. An empty table gives no chunks.
     """
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").alias("target_uri"), F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("payload"))
     rows = rows.withColumn("payload_bytes", F.octet_length("payload").cast("long")).withColumn("sha256", F.unhex(F.sha2("payload", 256)))
-    last = rows.groupBy("sha256").agg(F.max("page_id").alias("last_page"))
-    joined = rows.join(last, "sha256")
+    shared = F.col("page_id").isNotNull() & (F.col("payload_bytes") >= min_revisit_bytes)
+    keyed = rows.where(shared).select("page_id", "target_uri", "payload_bytes", "sha256", F.unhex(F.sha1("payload")).alias("sha1"))
+    last, _ = materialize(keyed.groupBy("sha256").agg(F.max("page_id").alias("last_page"), F.count("*").alias("n")), "payloads")
     name = lambda page: F.concat(F.lit("urn:uuid:"), F.regexp_replace(F.md5(F.concat_ws(":", F.coalesce(page.cast("string"), F.lit("null")), F.hex("sha256"))), "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5"))
-    revisit = F.col("page_id").isNotNull() & (F.col("page_id") < F.col("last_page")) & (F.col("payload_bytes") >= min_revisit_bytes)
-    typed = joined.select(
-        name(F.col("page_id")).alias("record_id"),
-        "page_id",
-        F.when(revisit, "revisit").otherwise("response").alias("record_type"),
-        F.when(revisit, name(F.col("last_page"))).alias("refers_to"),
-        "target_uri",
-        "payload_bytes",
-        F.sha1("payload").alias("sha1"),
-        "payload",
-    )
-    n_chunks = F.when(F.col("record_type") == "revisit", F.lit(1)).otherwise(F.greatest(F.lit(1), F.ceil(F.col("payload_bytes") / CHUNK_BYTES).cast("int")))
-    chunks = typed.select("*", F.explode(F.sequence(F.lit(0), n_chunks - 1)).alias("chunk_no"))
-    data = F.when(F.col("record_type") == "revisit", F.lit(b"")).otherwise(F.substring("payload", F.col("chunk_no") * CHUNK_BYTES + 1, F.lit(CHUNK_BYTES)))
-    return chunks.select("record_id", "page_id", "record_type", "refers_to", "target_uri", "payload_bytes", F.unhex("sha1").alias("sha1"), F.col("chunk_no").cast("long").alias("chunk_no"), data.alias("data"))
+    ends = ["target_uri", "payload_bytes", "sha1", "payload"]
+    winners = rows.where(shared).join(last.select(F.col("last_page").alias("page_id"), "sha256"), ["page_id", "sha256"])
+    responses = rows.where(~shared).unionByName(winners).withColumn("sha1", F.lit(None).cast("binary"))
+    responses = responses.select(name(F.col("page_id")).alias("record_id"), "page_id", F.lit("response").alias("record_type"), F.lit(None).cast("string").alias("refers_to"), *ends)
+    older = join_split(keyed, last, "sha256", n="n", by=["page_id"]).where("page_id < last_page").withColumn("payload", F.lit(None).cast("binary"))
+    revisits = older.select(name(F.col("page_id")).alias("record_id"), "page_id", F.lit("revisit").alias("record_type"), name(F.col("last_page")).alias("refers_to"), *ends)
+    return responses.unionByName(revisits).mapInArrow(_cut, CHUNK_SCHEMA)
+
+
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Chunk rows of records: views into the payload, with the digest and the bytes up to their ends."""
+    names = [x.split()[0] for x in CHUNK_SCHEMA.split(", ")]
+    kinds = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.binary(), pa.int64(), pa.string()]
+
+    def made(rows: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+
+    for b in batches:
+        rows, held = [], 0
+        for i in range(b.num_rows):
+            head = [b.column(j)[i].as_py() for j in range(6)]
+            if head[2] == "revisit":
+                digest = base32_sha1(b.column(6)[i].as_py())
+                rows.append((*head, digest, 0, b"", head[5], digest))
+                continue
+            payload = memoryview(b.column(7)[i].as_buffer())
+            sha, digests = hashlib.sha1(), []
+            for at in range(0, max(1, len(payload)), CHUNK_BYTES):
+                sha.update(payload[at : at + CHUNK_BYTES])
+                digests.append(base32_sha1(sha.digest()))
+            for no, digest in enumerate(digests):
+                data = bytes(payload[no * CHUNK_BYTES : (no + 1) * CHUNK_BYTES])
+                rows.append((*head, digests[-1], no, data, min(len(payload), (no + 1) * CHUNK_BYTES), digest))
+                held += len(data)
+                if held >= 4 << 20:
+                    yield made(rows)
+                    rows, held = [], 0
+        if rows:
+            yield made(rows)
 
 
 def write_warc(chunks: DataFrame, folder: str) -> None:
-    """Write chunk rows as archives. The digests become base32 in the writer's tasks."""
+    """Write chunk rows as archives."""
     spark = chunks.sparkSession
     spark.dataSource.register(WarcDataSource)
     make_folder(folder)
-    chunks.withColumn("payload_digest", base32_column(F.col("sha1"))).drop("sha1").write.format("qvault_warc").mode("append").save(folder)
-
-
-def base32_column(digest: Column) -> Column:
-    """RFC 4648 base32 of 20 bytes: 40 bits at a time, 5 bits a digit."""
-    hexed, digits = F.hex(digest), "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
-    out = []
-    for part in range(4):
-        number = F.conv(F.substring(hexed, part * 10 + 1, 10), 16, 10).cast("long")
-        for i in range(8):
-            at = F.shiftright(number, 35 - 5 * i).bitwiseAND(F.lit(31)).cast("int")
-            out.append(F.substring(F.lit(digits), at + 1, F.lit(1)))
-    return F.concat(*out)
+    chunks.write.format("qvault_warc").mode("append").save(folder)
 
 
 def read_warc(spark: SparkSession, folder: str, *, payload: bool = True) -> DataFrame:
