@@ -8,12 +8,10 @@ from pyspark.sql import functions as F
 from qvault.llm.text import ascii_lower, words
 from qvault.storage import materialize
 
-#: Up to this many signature or shingle rows of the items are broadcast (24 bytes or one shingle each); more are joined by shuffle.
-BROADCAST_ROWS = 200_000
-
-
-def small(df: DataFrame, n_rows: int) -> DataFrame:
-    return F.broadcast(df) if n_rows <= BROADCAST_ROWS else df
+#: Items whose shingles take up to so many bytes are broadcast; more are joined by shuffle.
+BROADCAST_BYTES = 32 << 20
+#: Parts that each key is dealt to in a join by shuffle: documents go to one, items to all.
+PARTS = 32
 
 
 def window(k: int) -> list[Column]:
@@ -52,6 +50,14 @@ def signatures(shingles: DataFrame, threshold: float) -> DataFrame:
     return shingles.withColumn("rank", rank).where(F.col("rank") <= length).select("item_id", "k", "h")
 
 
+def met(held: DataFrame, items: DataFrame, key: str, n_bytes: int) -> DataFrame:
+    """The inner join of documents' shingles with those of items."""
+    if n_bytes <= BROADCAST_BYTES:
+        return held.join(F.broadcast(items), key)
+    dealt = held.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(PARTS)).cast("int"))
+    return dealt.join(items.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1)))), [key, "part"]).drop("part")
+
+
 def find_contained(docs: DataFrame, items: DataFrame, *, shingle: int = 5, threshold: float = 0.8) -> DataFrame:
     """Pairs of documents and items of which the document holds at least ``threshold`` of the distinct word shingles.
 
@@ -66,17 +72,19 @@ def find_contained(docs: DataFrame, items: DataFrame, *, shingle: int = 5, thres
 
     The documents are read once to probe the items' signatures and once more,
     for candidates alone, to count their shingles exactly. Items go to the
-    documents by broadcast up to BROADCAST_ROWS rows, by shuffle beyond.
+    documents by broadcast up to BROADCAST_BYTES, however long their words are.
+    Beyond, both are shuffled, and a shingle that many documents hold is dealt
+    to PARTS tasks.
     """
-    all_shingles = item_shingles(items, shingle).persist()
-    sizes = {r["k"]: r["n"] for r in all_shingles.groupBy("k").agg(F.count("*").alias("n")).collect()}  # one row per k, at most `shingle`
-    n_rows = sum(sizes.values())
+    all_shingles, _ = materialize(item_shingles(items, shingle), "items")
+    sizes = {r["k"]: r["bytes"] for r in all_shingles.groupBy("k").agg(F.sum(F.octet_length("shingle") + 40).alias("bytes")).collect()}  # one row per k, at most `shingle`
+    n_bytes = sum(sizes.values())
     signed = signatures(all_shingles, threshold)
     texts = docs.where("doc_id is not null").select("doc_id", words(ascii_lower(F.coalesce("text", F.lit("")))).alias("words"))
 
     def probe(k: int) -> DataFrame:
         hashed = windows(texts, "doc_id", k).select("doc_id", F.xxhash64(F.concat_ws(" ", *window(k))).alias("h"))
-        return hashed.join(small(signed.where(F.col("k") == k).select("item_id", "h"), n_rows), "h").select("doc_id", "item_id")
+        return met(hashed, signed.where(F.col("k") == k).select("item_id", "h"), "h", n_bytes).select("doc_id", "item_id")
 
     ks = sorted(sizes) or [shingle]
     candidates = probe(ks[0])
@@ -87,7 +95,7 @@ def find_contained(docs: DataFrame, items: DataFrame, *, shingle: int = 5, thres
 
     def exact(k: int) -> DataFrame:
         held = windows(suspects, "doc_id", k).select("doc_id", F.concat_ws(" ", *window(k)).alias("shingle"))
-        return held.join(small(all_shingles.where(F.col("k") == k).select("item_id", "shingle", "q"), n_rows), "shingle")
+        return met(held, all_shingles.where(F.col("k") == k).select("item_id", "shingle", "q"), "shingle", n_bytes)
 
     found = exact(ks[0])
     for k in ks[1:]:
