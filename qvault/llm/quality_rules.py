@@ -110,10 +110,10 @@ def _by_bin(rows: DataFrame, cuts: dict[str, list[float]]) -> dict[str, list[tup
     return out
 
 
-def _grow(rows: DataFrame, cuts: dict[str, list[float]], max_tests: int) -> Rule:
+def _grow(rows: DataFrame, cuts: dict[str, list[float]]) -> Rule:
     """Add the test of the largest information gain until no good row is left or nothing is gained."""
     rule = Rule()
-    while len(rule.tests) < max_tests:
+    while True:
         tables = _by_bin(rows.where(rule.column()), cuts)
         p0, n0 = next(((sum(x[0] for x in t), sum(x[1] for x in t)) for n, t in tables.items() if cuts[n]), (0, 0))
         if p0 == 0 or n0 == 0:
@@ -142,14 +142,14 @@ def _prune(rows: DataFrame, rule: Rule) -> tuple[Rule, int, int]:
     return prefixes[best], counts[f"p{best}"], counts[f"n{best}"]
 
 
-def learn_decision_list(labelled: DataFrame, *, max_rules: int = 8, max_tests: int = 3, n_cuts: int = 24, min_precision: float = 0.8, min_rows: int = 5) -> list[Rule]:
+def learn_decision_list(labelled: DataFrame, *, n_cuts: int = 24, min_precision: float = 0.8) -> list[Rule]:
     """An ordered list of rejecting rules by sequential covering.
 
     ``labelled`` has doc_id, the statistics and a boolean ``bad``; rows where it
     is null are left out. Each round grows a conjunction on two thirds of the
-    rows not yet covered, prunes it on the rest, and ends when a pruned rule's
-    precision there is below ``min_precision`` or it rejects fewer than
-    ``min_rows``. All counts are Spark aggregates over all labelled rows; only
+    rows not yet covered and prunes it on the rest. The list ends when a pruned
+    rule's precision there, with one row of each kind added to what it rejects,
+    is below ``min_precision``; it is as long as the rows bear out. All counts are Spark aggregates over all labelled rows; only
     per-bin counts come to the driver. Tables without labels give no rules.
     """
     rows = features(labelled.where("bad is not null"), "doc_id", "bad").withColumn("grows", F.pmod(F.xxhash64("doc_id"), F.lit(3)) != 0)
@@ -158,12 +158,12 @@ def learn_decision_list(labelled: DataFrame, *, max_rules: int = 8, max_tests: i
     cuts = {n: sorted({c for r in found for c in r[n] or []}) for n in FEATURES}
     rules: list[Rule] = []
     left = rows
-    while any(cuts.values()) and len(rules) < max_rules:
-        rule = _grow(left.where("grows"), cuts, max_tests)
+    while any(cuts.values()):
+        rule = _grow(left.where("grows"), cuts)
         if not rule.tests:
             break
         rule, p, n = _prune(left.where("not grows"), rule)
-        if p + n == 0 or p < min_rows or p / (p + n) < min_precision:
+        if (p + 1) / (p + n + 2) < min_precision:
             break
         rules.append(rule)
         left = left.where(~rule.column())
