@@ -106,6 +106,26 @@ def test_warc_round_trip(spark, monkeypatch):
     assert got == {1: (2500, "revisit", 5), 2: (1400, "response", None), 3: (0, "revisit", 4), 4: (0, "response", None), 5: (2500, "response", None), 6: (1000, "response", None), None: (1, "response", None)}
 
 
+def test_warc_of_nothing_and_of_repeated_rows(spark):
+    empty = spark.createDataFrame([], "page_id long, url string, html string")
+    twice = spark.createDataFrame([(1, "u", "x"), (1, "u", "x"), (1, "u", "other")], "page_id long, url string, html string")
+    for pages, want in ((empty, []), (twice, [(1, 1, "response", None), (1, 5, "response", None)])):
+        folder = new_path(spark, "warc-test")
+        warc.write_warc(warc.record_table(pages), folder)
+        assert sorted(tuple(r[c] for c in ("page_id", "payload_bytes", "record_type", "refers_to")) for r in warc.records(warc.read_warc(spark, folder)).collect()) == want
+
+
+def test_chunk_rows_carry_digests_so_far(spark, monkeypatch):
+    monkeypatch.setattr(warc, "CHUNK_BYTES", 1000)
+    page = spark.createDataFrame([(1, "u", "é" * 1700)], "page_id long, url string, html string")
+    chunks = sorted(warc.record_table(page).collect(), key=lambda r: r["chunk_no"])
+    whole = b"".join(r["data"] for r in chunks)
+    assert whole == ("é" * 1700).encode()
+    for r in chunks:
+        assert r["sha1_so_far"] == base64.b32encode(hashlib.sha1(whole[: r["bytes_so_far"]]).digest()).decode()
+        assert r["payload_digest"] == chunks[-1]["sha1_so_far"] and r["payload_bytes"] == len(whole)
+
+
 def test_warc_query(spark):
     pages = {r["page_id"]: (r["html"] or "").encode() for r in load(spark, DATA, "pages").collect()}
     last = {h: max(i for i in pages if pages[i] == h) for h in pages.values()}
