@@ -24,6 +24,9 @@ WEAK = {
     "RC4": ("Critical", ["rc4", "arc4", "rc2", "arc2"]),
     "Blowfish/Legacy": ("High", ["blowfish", "cast5", "idea"]),
 }
+OTHER_KNOWN = [
+    "aes", "aes-128", "aes-256", "aes-cbc", "aes-ecb", "rsa", "dsa", "ecdh", "ecdsa", "ecc", "rs256", "rs384", "rs512", "es256", "es384", "es512", "ps256", "ps384", "ps512", "jwt",
+]
 KEY_SIZES = [8192, 4096, 3072, 2048, 1024, 512, 256, 192, 128, 56, 112]
 SIZE_OF_NAME = {"3DES": 112, "DES": 56, "BLOWFISH": 128, "RC4": 128}
 TAG_LIBRARIES = {"dockerfile": "Dockerfile", "nginx": "nginx", "apache": "apache", "terraform": "terraform", "k8s": "kubernetes"}
@@ -45,6 +48,13 @@ def classify_algorithm(value: Column) -> Column:
     return F.struct(kind.alias("weak"), severity[kind].alias("severity"))
 
 
+def is_known_algorithm(value: Column) -> Column:
+    """Whether a value, or the part before its first separator, is the name of an algorithm and no secret."""
+    name = F.regexp_replace(F.lower(F.trim(value)), "^[\"']+|[\"']+$", "")
+    known = [*NON_CRYPTO, *STRONG, *OTHER_KNOWN, *(n for _, names in WEAK.values() for n in names)]
+    return name.isin(*known) | F.split(name, r"[/_\-\s]")[0].isin(*known)
+
+
 def infer_key_size(algorithm: Column, rule_id: Column, snippet: Column) -> Column:
     """Bits that the algorithm, else the rule, else an RSA snippet states; else those that the algorithm always has."""
     name, rule = F.upper(F.coalesce(algorithm, F.lit(""))), F.coalesce(rule_id, F.lit(""))

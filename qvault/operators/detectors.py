@@ -13,24 +13,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from qvault.functions import text as ft
+from qvault.functions.inference import is_known_algorithm
+from qvault.operators import rules
 
 #: Rules by detector, as (rule, severity, pattern).
 RULES: dict[str, list[tuple[str, str, str]]] = {
-    "p2_rule_scan": [
-        ("md5-use", "Critical", r"\b(MD5|md5)\s*[.(]"), ("sha1-use", "High", r"\b(SHA1|sha1)\s*[.(]"), ("des-use", "Critical", r"\bDES(\.new|/ECB|\()"), ("rc4-use", "Critical", r"\b(RC4|ARC4)\b"), ("rsa-keygen", "Critical", r"RSA\.generate|genrsa|KeyPairGenerator"),
-        ("ecb-mode", "Critical", r"MODE_ECB|/ECB/"), ("weak-random", "High", r"\b(Math\.random|random\.random)\("), ("license-line", "Informational", r"Licensed under|All rights reserved"), ("quoted-token", "Critical", r"token\s*=\s*\"[0-9a-f]{16,}\""),
-    ],
-    "p6_tls_disabled": [("verify-false", "High", r"verify\s*=\s*False"), ("reject-unauthorized", "High", r"rejectUnauthorized\s*:\s*false"), ("insecure-skip", "High", r"InsecureSkipVerify\s*:\s*true"), ("curl-insecure", "Medium", r"curl\s+(-k|--insecure)"), ("node-tls", "High", r"NODE_TLS_REJECT_UNAUTHORIZED\s*=\s*[\"']?0"), ("ssl-verify-off", "High", r"ssl_verify\s+off|sslVerify\s*=\s*false")],
-    "p7_key_custody": [("aws-kms", "Informational", r"kms\.(encrypt|decrypt|generate_data_key)|aws_kms_key"), ("gcp-kms", "Informational", r"google_kms|cloudkms"), ("azure-vault", "Informational", r"KeyVault|azurerm_key_vault"), ("hsm", "Informational", r"PKCS11|softhsm|CloudHSM"), ("tpm", "Informational", r"\btpm2?_")],
-    "p8_weak_factory": [("java-digest", "Critical", r"MessageDigest\.getInstance\(\"(MD5|SHA-?1)\"\)"), ("java-cipher", "Critical", r"Cipher\.getInstance\(\"(DES|DESede|RC4|Blowfish)"), ("cryptojs-hmac", "High", r"CryptoJS\.Hmac(MD5|SHA1)\(")],
-    "p12_weak_tls_config": [("nginx-protocol", "High", r"ssl_protocols\s+[^;]*(SSLv2|SSLv3|TLSv1(\.1)?[ ;])"), ("apache-protocol", "High", r"SSLProtocol\s+.*\+(SSLv3|TLSv1(\.1)?)\b"), ("haproxy-protocol", "High", r"ssl-min-ver\s+(SSLv3|TLSv1\.[01])"), ("weak-cipher", "High", r"ssl_ciphers\s+[^;]*(RC4|DES|MD5|NULL|EXPORT)")],
+    "p6_tls_disabled": rules.TLS_DISABLED,
+    "p7_key_custody": rules.KEY_CUSTODY,
     "p13_terraform_secrets": [("tf-secret", "Critical", r"^\s*(password|secret_key|access_key|token|private_key)\s*=\s*\"[^\"$]{4,}\"")],
-    "p15_ssh_ipsec": [("ssh-kex", "High", r"^\s*KexAlgorithms\s+.*(group1-sha1|group14-sha1)"), ("ssh-cipher", "High", r"^\s*Ciphers\s+.*(3des-cbc|arcfour|blowfish)"), ("ssh-mac", "Medium", r"^\s*MACs\s+.*(hmac-md5|hmac-sha1)"), ("ipsec-v1", "High", r"^\s*keyexchange\s*=\s*ikev1"), ("ipsec-esp", "High", r"^\s*esp\s*=\s*.*(des|md5|sha1)")],
-    "p16_container": [("legacy-image", "High", r"^\s*FROM\s+\S*(python:2|node:(8|10)|ubuntu:1[46]|debian:(8|9)|alpine:3\.[0-8])"), ("crypto-package", "Low", r"(apt-get|apk|yum)\s+.*(openssl|libssl|gnupg)"), ("compose-image", "Medium", r"^\s*image:\s*\S*(:latest|postgres:9|mysql:5)")],
-    "p17_binary_strings": [("library-name", "Low", r"(libcrypto|libssl|bcrypt\.dll)[.\w-]*"), ("symbol", "Medium", r"\b(MD5_Init|SHA1_Update|RSA_generate_key|EVP_des_cbc)\b")],
-    "p19_pem_blocks": [("private-key", "Critical", r"-----BEGIN (RSA |EC |DSA )?PRIVATE KEY-----"), ("certificate", "Informational", r"-----BEGIN CERTIFICATE-----")],
-    "p20_call_sites": [("hashlib", "Medium", r"hashlib\.(md5|sha1|new)\("), ("aes-new", "Medium", r"AES\.new\("), ("crypto-node", "Medium", r"crypto\.create(Hash|Cipheriv|Hmac)\("), ("eq-compare", "High", r"(signature|digest|hmac|token)\s*(==|!==?)\s*\w")],
-}
+}
 COMMENT = r"^\s*(//|#[^!]|\*|--\s|<!--)"
 ASSIGNMENT = r"([A-Za-z_][A-Za-z0-9_]*)\s*[:=]\s*\"([^\"]+)\""
 CONFIG_LINE = r"^\s*(?:ENV\s+|ARG\s+|export\s+)?([A-Za-z_][A-Za-z0-9_.-]*)\s*[=:]\s*(\S.*)$"
@@ -44,6 +35,124 @@ def scan_patterns(lines: DataFrame, rules: Sequence[tuple[str, str, str]], *, fi
     return rows.select("repo_id", "file", "line", F.explode(F.slice(hits, 1, 1) if first_only else hits).alias("hit")).select("repo_id", "file", "line", "hit.*")
 
 
+def rule_scan(lines: DataFrame, table: Sequence[tuple] = rules.LANGUAGE_RULES) -> DataFrame:
+    """Lines (repo_id, file, line, language, text) by the rules of their language (see rules.LANGUAGE_RULES), comments left out."""
+    names = ("rule_id", "algorithm", "category", "severity", "quantum_risk", "specificity")
+    hit = lambda r: F.when((F.col("language") == r[0]) & F.col("text").rlike("(?i)" + r[7]), F.struct(*[F.lit(x).alias(n) for n, x in zip(names, r[1:7], strict=True)]))
+    code = lines.where(F.col("language").isin(*{r[0] for r in table}) & ~F.col("text").rlike(r"^\s*(//|#|/\*|\*)"))
+    return code.select("repo_id", "file", "line", "language", F.explode(F.array_compact(F.array(*map(hit, table)))).alias("hit")).select("repo_id", "file", "line", "language", "hit.*")
+
+
+def weak_directives(lines: DataFrame, table: Sequence[tuple[str, str, str, str]]) -> DataFrame:
+    """Configuration directives whose value holds something weak: (rule, severity, directive with its value, weak part) per row of ``table``."""
+
+    def hit(r: tuple) -> Column:
+        value = F.trim(F.regexp_extract("text", r[2], 1))
+        return F.when((value != "") & value.rlike(r[3]), F.struct(F.lit(r[0]).alias("rule_id"), F.lit(r[1]).alias("severity")))
+
+    rows = lines.where(~F.col("text").rlike(r"^\s*#"))
+    return rows.select("repo_id", "file", "line", F.explode(F.array_compact(F.array(*map(hit, table)))).alias("hit")).select("repo_id", "file", "line", "hit.*")
+
+
+def weak_factories(lines: DataFrame) -> DataFrame:
+    """Factory calls that name a weak algorithm, with the name, its severity and what to use instead."""
+
+    def hit(r: tuple) -> Column:
+        name = F.upper(F.regexp_extract("text", r[1], 1))
+        severity = F.when(name.contains("MD5") | (F.lit(r[0]) == "java-cipher-weak"), "Critical").otherwise("High")
+        return F.when(F.col("text").rlike(r[1]), F.struct(F.lit(r[0]).alias("rule_id"), severity.alias("severity"), name.alias("algorithm"), F.lit(f"Use {r[2]}").alias("recommendation")))
+
+    rows = lines.where(~F.col("text").rlike(r"^\s*(//|\*|#)"))
+    return rows.select("repo_id", "file", "line", F.explode(F.array_compact(F.array(*map(hit, rules.FACTORIES)))).alias("hit")).select("repo_id", "file", "line", "hit.*")
+
+
+def container_findings(lines: DataFrame) -> DataFrame:
+    """Base images and service images out of support, and installed packages of cryptography."""
+    any_of = lambda text, parts: F.exists(F.array(*map(F.lit, parts)), lambda p: F.lower(text).contains(p))
+    base, image = F.regexp_extract("text", r"(?i)^\s*FROM\s+([^\s#]+)", 1), F.regexp_extract("text", r"(?i)^\s*image\s*:\s*[\"']?([^\s\"']+)[\"']?", 1)
+    installed = F.regexp_extract("text", r"(?i)^\s*RUN\s+.*(?:apt-get|apt|pip|pip3|npm|apk|yum)\s+install\s+([^\n#&;]+)", 1)
+    names = F.transform(F.filter(F.split(F.trim(installed), r"\s+"), lambda p: (p != "") & ~p.startswith("-")), lambda p: F.lower(F.split(p, "==|>=|=")[0]))
+    severity = F.create_map(*[F.lit(x) for k, v in rules.PACKAGES.items() for x in (k, v[0])])
+    risk = F.create_map(*[F.lit(x) for k, v in rules.PACKAGES.items() for x in (k, v[1])])
+    row = lambda *c: F.struct(*[x.alias(n) for x, n in zip(c, ("rule_id", "name", "severity", "quantum_risk"), strict=True)])
+    known = F.transform(F.filter(names, lambda p: p.isin(*rules.PACKAGES)), lambda p: row(F.concat(F.lit("container-crypto-pkg-"), p), p, severity[p], risk[p]))
+    images = F.array(
+        F.when(any_of(base, rules.LEGACY_BASES), row(F.lit("container-legacy-base-image"), base, F.lit("High"), F.lit("Classical Risk"))),
+        F.when(any_of(image, rules.LEGACY_SERVICES), row(F.lit("container-compose-legacy-image"), image, F.lit("Medium"), F.lit("Classical Risk"))),
+    )
+    rows = lines.where(~F.col("text").rlike(r"^\s*#"))
+    return rows.select("repo_id", "file", "line", F.explode(F.concat(F.array_compact(images), known)).alias("hit")).select("repo_id", "file", "line", "hit.*")
+
+
+def binary_findings(lines: DataFrame) -> DataFrame:
+    """The first line per file of each name in binaries, and strings of high entropy, each by its first eight characters."""
+    named = first_per_file(scan_patterns(lines, rules.BINARY_NAMES, skip_comments=False)).withColumn("evidence", F.lit(None).cast("string"))
+    each = lines.select("repo_id", "file", "line", F.explode(F.regexp_extract_all("text", F.lit(rules.PRINTABLE), F.lit(0))).alias("s"))
+    dense = each.where((F.length("s") >= rules.BINARY_LENGTH) & ~F.col("s").startswith("http") & ~F.col("s").startswith("/")).where(ft.shannon_entropy(F.col("s")) >= rules.BINARY_ENTROPY)
+    secrets = dense.groupBy("repo_id", "file", F.substring("s", 1, 8).alias("evidence")).agg(F.min("line").alias("line"))
+    return named.unionByName(secrets.select("repo_id", "file", F.lit("binary-high-entropy-secret").alias("rule_id"), F.lit("High").alias("severity"), "line", "evidence"))
+
+
+def pem_blocks(lines: DataFrame) -> DataFrame:
+    """PEM blocks with their kind, first and last line; a private key is encrypted if its block says so."""
+    w = Window.partitionBy("repo_id", "file").orderBy("line")
+    begins = F.regexp_extract("text", "-----BEGIN ([A-Z0-9 ]+)-----", 1)
+    numbered = lines.withColumn("kind", begins).withColumn("block", F.sum((F.col("kind") != "").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0))).where("block > 0")
+    ended = F.min(F.when(F.col("text").contains("-----END "), F.col("line"))).over(Window.partitionBy("repo_id", "file", "block"))
+    inside = numbered.withColumn("until", ended).where("until is not null and line <= until")
+    blocks = inside.groupBy("repo_id", "file", "block").agg(F.max("kind").alias("kind"), F.min("line").alias("line"), F.max("until").alias("last_line"), F.bool_or(F.col("text").contains("ENCRYPTED")).alias("encrypted"))
+    private = F.col("kind").endswith("PRIVATE KEY")
+    severity = F.when(private & ~F.col("encrypted"), "Critical").when(private, "Low").otherwise("Informational")
+    return blocks.select("repo_id", "file", "line", "last_line", "kind", "encrypted", severity.alias("severity"))
+
+
+def call_sites(lines: DataFrame) -> DataFrame:
+    """Every call on a line: its name and the text of its arguments; comments left out."""
+    pattern = r"([A-Za-z_$][\w$]*(?:(?:\.|::)[A-Za-z_$][\w$]*)*)\s*\(([^()]*)\)"
+    names, args = F.regexp_extract_all("text", F.lit(pattern), F.lit(1)), F.regexp_extract_all("text", F.lit(pattern), F.lit(2))
+    rows = lines.where(~F.col("text").rlike(r"^\s*(//|#|/\*|\*)"))
+    return rows.select("repo_id", "file", "line", F.explode(F.arrays_zip(names.alias("name"), args.alias("args"))).alias("c")).select("repo_id", "file", "line", "c.name", "c.args")
+
+
+def crypto_call_sites(lines: DataFrame, table: Sequence[tuple] = rules.CALL_RULES) -> DataFrame:
+    """Calls that a rule names (see rules.CALL_RULES), and comparisons of secrets that stop at the first difference."""
+
+    def hit(r: tuple) -> Column:
+        named = F.lit(False)
+        for n in r[3]:
+            named = named | (F.col("name") == n) | F.col("name").endswith("." + n)
+        held = F.lit(True) if r[4] is None else F.col("args").rlike(r[4])
+        return F.when(named & held, F.struct(F.lit(r[0]).alias("rule_id"), F.lit(r[1]).alias("severity"), F.lit(r[2]).alias("category")))
+
+    calls = call_sites(lines).select("repo_id", "file", "line", "name", F.explode(F.array_compact(F.array(*map(hit, table)))).alias("hit")).select("repo_id", "file", "line", "name", "hit.*")
+    compared = lines.where(F.col("text").rlike(rules.COMPARISON) & ~F.col("text").rlike(r"^\s*(//|#|/\*|\*)"))
+    of = {"name": "==", "rule_id": "timing-unsafe-comparison", "severity": "High", "category": "comparison"}
+    return calls.unionByName(compared.select("repo_id", "file", "line", *[F.lit(v).alias(k) for k, v in of.items()]))
+
+
+class Adapters:
+    """Detectors by language: functions from lines to hits, of which each language may have several."""
+
+    def __init__(self):
+        self.by_language: dict[str, list] = {}
+
+    def register(self, language: str, detector) -> None:
+        self.by_language.setdefault(language.lower(), []).append(detector)
+
+    def languages(self) -> list[str]:
+        return sorted(self.by_language)
+
+    def run(self, lines: DataFrame) -> DataFrame:
+        """The hits of every detector on the lines (with language) of its language, told apart by language."""
+        found = [f(lines.where(F.lower("language") == k)).select("repo_id", "file", "line", "rule_id", "severity", F.lit(k).alias("language")) for k, fs in sorted(self.by_language.items()) for f in fs]
+        if not found:
+            raise ValueError("no detector is registered")
+        out = found[0]
+        for one in found[1:]:
+            out = out.unionByName(one)
+        return out
+
+
 def first_per_file(hits: DataFrame) -> DataFrame:
     """The first hit of each rule in each file."""
     return hits.groupBy("repo_id", "file", "rule_id", "severity").agg(F.min("line").alias("line"))
@@ -64,14 +173,14 @@ def extract_config_kv(lines: DataFrame) -> DataFrame:
 
 
 def plaintext_secrets(pairs: DataFrame) -> DataFrame:
-    """Pairs whose name means a secret and whose value is long enough and no placeholder."""
-    return pairs.where(ft.names_secret(F.col("name")) & ~ft.is_placeholder(F.col("value")) & (F.length("value") >= 4))
+    """Pairs whose name means a secret and whose value is long enough, no placeholder and no algorithm's name."""
+    return pairs.where(ft.names_secret(F.col("name")) & ~ft.is_placeholder(F.col("value"), config=True) & ~is_known_algorithm(F.col("value")) & (F.length("value") >= 4))
 
 
 def entropy_secrets(pairs: DataFrame) -> DataFrame:
     """Pairs that look secret by entropy, by name, or both; the confidence tells which."""
-    pairs = pairs.where(~ft.is_false_positive(F.col("value"))).withColumn("entropy", F.round(ft.shannon_entropy(F.col("value")), 6))
-    dense, named = (F.col("entropy") >= 3.5) & (F.length("value") >= 16), ft.names_secret(F.col("name")) & (F.length("value") >= 8)
+    pairs = pairs.where(~ft.is_false_positive(F.col("value"), F.col("name"))).withColumn("entropy", F.round(ft.shannon_entropy(F.col("value")), 6))
+    dense, named = (F.col("entropy") >= 4.0) & (F.length("value") >= 16), ft.names_secret(F.col("name")) & (F.length("value") >= 8)
     kind = F.when(dense & named, "high-confidence").when(dense, "high-entropy-only").when(named, "name-hint-only")
     return pairs.withColumn("kind", kind).where("kind is not null")
 
@@ -134,11 +243,31 @@ def data_sensitivity(text: Column) -> Column:
     return F.when(low.rlike("patient|medical|health|diagnos"), "HEALTH").when(low.rlike("email|phone|address|passport|@"), "PII").when(low.rlike("card|iban|payment|invoice"), "FINANCIAL").when(low.rlike("password|token|session|login"), "AUTH")
 
 
+#: Statements of retention, each with an amount, and a unit unless the third part gives it.
+RETENTION = [
+    (r"(?i)\bretain(?:ed)?\s+(?:for\s+)?(\d+)\s*(year|month|day)s?\b", None),
+    (r"(?i)\bretention[_\s]days?\s*[:=]\s*(\d+)\b", "day"),
+    (r"(?i)\bretention[_\s](?:period[_\s])?months?\s*[:=]\s*(\d+)\b", "month"),
+    (r"(?i)\bretention[_\s](?:period[_\s])?years?\s*[:=]\s*(\d+)\b", "year"),
+    (r"(?i)\bttl\s*[:=]\s*(\d+)\b", ""),
+    (r"(?i)\bexpir(?:es?|y|ation)[_\s](?:after[_\s])?days?\s*[:=]\s*(\d+)\b", "day"),
+    (r"(?i)\bexpir(?:es?|y|ation)[_\s](?:after[_\s])?months?\s*[:=]\s*(\d+)\b", "month"),
+    (r"(?i)\bexpir(?:es?|y|ation)[_\s](?:after[_\s])?years?\s*[:=]\s*(\d+)\b", "year"),
+    (r"(?i)\binterval\s+['\"]?(\d+)\s*(year|month|day)s?\b", None),
+]
+
+
 def retention_statements(lines: DataFrame) -> DataFrame:
-    """Stated retention periods, in years."""
-    pattern = r"(?i)(?:retain|retention|keep|store)[^.\n]{0,40}?(\d+)\s*(years?|months?|days?)"
-    amount, unit = F.regexp_extract("text", pattern, 1).try_cast("double"), F.lower(F.regexp_extract("text", pattern, 2))
-    return lines.where(F.col("text").rlike(pattern)).select("repo_id", "file", "line", ft.to_years(amount, unit).alias("years"))
+    """Stated retention periods, in years: one row per statement on a line. A bare number means days, or seconds if it is large."""
+
+    def stated(pattern: str, unit: str | None) -> Column:
+        amounts = F.regexp_extract_all("text", F.lit(pattern), F.lit(1))
+        units = F.regexp_extract_all("text", F.lit(pattern), F.lit(2)) if unit is None else F.transform(amounts, lambda x: F.lit(unit))
+        return F.arrays_zip(amounts.alias("amount"), units.alias("unit"))
+
+    found = lines.select("repo_id", "file", "line", F.explode(F.concat(*[stated(*r) for r in RETENTION])).alias("s"))
+    years = ft.to_years(F.col("s.amount").try_cast("double"), F.lower("s.unit"))
+    return found.where(F.col("s.amount").try_cast("double") > 0).select("repo_id", "file", "line", years.alias("years"))
 
 
 def assign_retention(fields: DataFrame, statements: DataFrame, default_years: float = 7.0, near: int = 5) -> DataFrame:

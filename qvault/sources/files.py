@@ -73,6 +73,23 @@ def import_edges(lines: DataFrame) -> DataFrame:
     return asked.join(known, ["repo_id", "stem"]).where("file <> imported").select("repo_id", "file", "imported")
 
 
+RULE_FIELDS = ("language", "id", "algorithm", "category", "severity", "quantum_risk", "specificity", "pattern")
+
+
+def write_rules(spark: SparkSession, table: Sequence[tuple], path: str) -> None:
+    """Rules of operators.rules.LANGUAGE_RULES' form as JSON lines, a folder per language."""
+    schema = ", ".join(f"{f} {'int' if f == 'specificity' else 'string'}" for f in RULE_FIELDS)
+    spark.createDataFrame(list(table), schema).coalesce(1).write.mode("overwrite").partitionBy("language").json(path)
+
+
+def read_rules(spark: SparkSession, path: str) -> list[tuple]:
+    """Rules from JSON, in the form that rule_scan takes; a rule without a pattern is left out, other fields have defaults."""
+    schema = ", ".join(f"{f} {'int' if f == 'specificity' else 'string'}" for f in RULE_FIELDS)
+    rows = spark.read.schema(schema).json(path).where("pattern is not null").orderBy("language", "id").collect()  # a few hundred rules
+    default = {"id": "crypto-finding", "algorithm": "UNKNOWN", "category": "hash", "severity": "Medium", "quantum_risk": "Classical Risk", "specificity": 2}
+    return [tuple(default.get(f) if r[f] is None else r[f] for f in RULE_FIELDS) for r in rows]
+
+
 def gate_report_rows(violations: DataFrame, keys: Sequence[str], n: int = 20) -> DataFrame:
     """The worst ``n`` violations per repository, and how many more there are."""
     return capped_rows(violations, keys, [severity_rank(F.col("severity")).desc(), F.col("ordinal")], n)
