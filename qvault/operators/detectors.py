@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from qvault.functions import text as ft
 from qvault.functions.inference import is_known_algorithm
 from qvault.operators import rules
+from qvault.operators.running import running_totals
 
 #: Rules by detector, as (rule, severity, pattern).
 RULES: dict[str, list[tuple[str, str, str]]] = {
@@ -313,11 +314,17 @@ def backfill_language(findings: DataFrame) -> DataFrame:
 
 
 def file_manifest(files: DataFrame, *, max_bytes: int, max_total: int, max_files: int) -> DataFrame:
-    """Every file with its status, reason, hash and size; limits count in file order per repository."""
-    w = Window.partitionBy("repo_id").orderBy("path")
-    before = F.coalesce(F.sum("size").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    reason = F.when(F.row_number().over(w) > max_files, "file limit").when(F.col("size") > max_bytes, "too large").when(before + F.col("size") > max_total, "total limit").when(F.col("size") == 0, "empty")
-    return files.withColumn("reason", reason).select("repo_id", "path", "size", F.when(F.col("reason").isNull(), "SCANNED").otherwise("SKIPPED").alias("status"), "reason", F.sha2("content", 256).alias("sha256"))
+    """Every file with its status, reason, hash and size; limits count in file order per repository.
+
+    A file without content could not be read: its status is ERROR. Running
+    sums go over ranges of paths, so a repository may be of any size.
+    """
+    counted = running_totals(files, ["repo_id"], ["path"], {"_bytes": F.coalesce("size", F.lit(0)), "_files": F.lit(1)})
+    reason = (
+        F.when(F.col("content").isNull(), "unreadable").when(F.col("_files") >= max_files, "file limit").when(F.col("size") > max_bytes, "too large").when(F.col("_bytes") + F.col("size") > max_total, "total limit").when(F.col("size") == 0, "empty")
+    )
+    status = F.when(F.col("reason").isNull(), "SCANNED").when(F.col("reason") == "unreadable", "ERROR").otherwise("SKIPPED")
+    return counted.withColumn("reason", reason).select("repo_id", "path", "size", status.alias("status"), "reason", F.sha2("content", 256).alias("sha256"))
 
 
 def parse_suppressions(lines: DataFrame) -> DataFrame:

@@ -31,43 +31,44 @@ def _merge(acc: Column, x: Column) -> Column:
         F.when(wins, x["ordinal"]).otherwise(acc["ordinal"]).alias("ordinal"),
         F.when(wins, x["specificity"]).otherwise(acc["specificity"]).alias("specificity"),
         F.when(wins, F.coalesce(x["mode"], acc["mode"])).otherwise(F.coalesce(acc["mode"], x["mode"])).alias("mode"),
+        F.when(wins, x["row"]).otherwise(acc["row"]).alias("row"),
     )
 
 
-def _winners(findings: DataFrame, group: Sequence[str]) -> DataFrame:
-    """(group, ordinal and mode of the winner, members and their detection methods)."""
-    member = F.struct("ordinal", "specificity", "mode")
-    listed = findings.groupBy(*group).agg(F.array_sort(F.collect_list(member)).alias("l"), F.array_sort(F.collect_set(F.upper("detection_method"))).alias("methods"))
+def _winners(findings: DataFrame, group: Sequence[Column | str]) -> DataFrame:
+    """The winning finding of each group, whole, with its inherited mode, the number of members and their detection methods.
+
+    A group lies inside one site, so its members fit a list, and the winner
+    needs no join back to the findings.
+    """
+    member = F.struct("ordinal", "specificity", "mode", F.struct(*findings.columns).alias("row"))
+    listed = findings.groupBy(*group).agg(F.sort_array(F.collect_list(member)).alias("l"), F.array_sort(F.collect_set(F.upper("detection_method"))).alias("methods"))
     won = F.aggregate(F.slice("l", 2, F.greatest(F.size("l") - 1, F.lit(0))), F.get("l", F.lit(0)), _merge)
-    return listed.withColumn("w", won).select(*group, F.col("w.ordinal").alias("ordinal"), F.col("w.mode").alias("_mode"), F.size("l").alias("members"), "methods")
+    rows = listed.select(won.alias("w"), F.size("l").alias("_members"), F.col("methods").alias("_methods"))
+    return rows.select(*[F.col("w.mode").alias("mode") if c == "mode" else F.col(f"w.row.{c}").alias(c) for c in findings.columns], "_members", "_methods")
 
 
 def collapse_same_layer(findings: DataFrame, keys: Sequence[str] = ("scan_id",)) -> DataFrame:
     """One finding per site, detection method, algorithm and category: the most specific, with a mode inherited."""
-    group = [*keys, "file", "line", "detection_method", "algorithm", "category"]
-    won = _winners(findings, group).select(*group, "ordinal", "_mode")
-    return findings.join(won, [*group, "ordinal"]).withColumn("mode", F.col("_mode")).select(findings.columns)
+    return _winners(findings, [*keys, "file", "line", "detection_method", "algorithm", "category"]).select(findings.columns)
 
 
 def corroborate(findings: DataFrame, keys: Sequence[str] = ("scan_id",)) -> DataFrame:
     """One specific finding per site and algorithm family; two or more members make it confirmed and name their methods.
 
-    Members count, not distinct layers, as two findings of one layer also confirm. Generic findings pass.
+    Members count, not distinct layers, as two findings of one layer also
+    confirm. Generic findings pass: each is a group of its own.
     """
-    family = findings.withColumn("_family", algorithm_family(F.col("algorithm")))
-    group = [*keys, "file", "line", "_family"]
-    won = _winners(family.where("not generic"), group)
-    kept = family.where("not generic").join(won, [*group, "ordinal"])
-    several = F.col("members") >= 2
-    kept = kept.withColumns(
+    family = F.when(F.col("generic"), F.lit("")).otherwise(algorithm_family(F.col("algorithm"))).alias("_family")
+    alone = F.when(F.col("generic"), F.col("ordinal")).alias("_alone")
+    kept = _winners(findings, [*keys, "file", "line", family, alone])
+    several = ~F.col("generic") & (F.col("_members") >= 2)
+    return kept.withColumns(
         {
-            "mode": F.col("_mode"),
             "confidence": F.when(several, "Confirmed").otherwise(F.col("confidence")),
-            "detection": F.when(several, F.array_join("methods", ", ")).otherwise(F.upper("detection_method")),
+            "detection": F.when(several, F.array_join("_methods", ", ")).otherwise(F.upper("detection_method")),
         }
-    )
-    columns = [*findings.columns, "detection"]
-    return kept.select(columns).unionByName(findings.where("generic").withColumn("detection", F.upper("detection_method")).select(columns))
+    ).select([*findings.columns, "detection"])
 
 
 def suppress_generic(findings: DataFrame, keys: Sequence[str] = ("scan_id",)) -> DataFrame:
@@ -86,8 +87,13 @@ def suppress_generic(findings: DataFrame, keys: Sequence[str] = ("scan_id",)) ->
 
 
 def deduplicate(findings: DataFrame, keys: Sequence[str] = ("scan_id",)) -> DataFrame:
-    """The whole chain: exact, within a layer, between layers, generic."""
-    return suppress_generic(corroborate(collapse_same_layer(dedup_exact(findings, keys), keys), keys), keys)
+    """The whole chain: exact, within a layer, between layers, generic.
+
+    Findings are dealt by site once; every step groups inside sites and needs
+    no other shuffle.
+    """
+    sites = findings.repartition(*keys, "file", "line")
+    return suppress_generic(corroborate(collapse_same_layer(dedup_exact(sites, keys), keys), keys), keys)
 
 
 def merge_secrets(findings: DataFrame, keys: Sequence[str] = ("scan_id",)) -> DataFrame:
@@ -116,21 +122,25 @@ def merge_secrets(findings: DataFrame, keys: Sequence[str] = ("scan_id",)) -> Da
 def apply_suppressions(findings: DataFrame, rules: DataFrame) -> DataFrame:
     """``suppressed`` and ``suppression_reason`` by rules (ordinal, rule_id, path, line, token); nulls match anything.
 
-    Rules see few attributes of a finding, so each distinct combination is
-    tested once, by a condition join with the small rule table; the first rule
-    by its ordinal counts. Suppressed findings stay in the table for audit.
+    A path matches by its last part, which every longer match has, too. Rules
+    see few attributes of a finding, so each distinct combination is tested
+    once: it meets the rules by an equi-join on what a rule asks for first, a
+    token, a path, a rule or algorithm, or a line, and the rest is a condition.
+    The first rule by its ordinal counts. Suppressed findings stay in the table
+    for audit.
     """
     attributes = ["rule_id", "algorithm", "file", "line", "code_snippet"]
-    path, rule_path = F.lower("file"), F.lower("r.path")
-    base = F.element_at(F.split(path, "/"), -1)
-    rule_base = F.element_at(F.split(rule_path, "/"), -1)
-    by_path = (path == rule_path) | path.endswith(F.concat(F.lit("/"), rule_path)) | rule_path.endswith(F.concat(F.lit("/"), path)) | (rule_base == base)
-    by_rule = F.lower("r.rule_id").isin("*") | (F.lower("r.rule_id") == F.lower("f.rule_id")) | (F.lower("r.rule_id") == F.lower("f.algorithm"))
-    match = (F.col("r.rule_id").isNull() | by_rule) & (F.col("r.path").isNull() | by_path) & (F.col("r.line").isNull() | (F.col("r.line") == F.col("f.line"))) & (F.col("r.token").isNull() | (F.col("r.token") == F.col("f._fp")))
-    f = findings.select(attributes).distinct().withColumn("_fp", finding_fingerprint(F.col("rule_id"), F.col("algorithm"), F.col("code_snippet")))
-    side = F.broadcast(rules.alias("r")) if rules.count() <= 10_000 else rules.alias("r")
-    reason = F.when(F.col("r.token").isNotNull(), "fingerprint").when(F.col("r.rule_id").isNull(), "path").when(F.col("r.path").isNull(), "rule").when(F.col("r.line").isNull(), "rule and path").otherwise("rule, path and line")
-    hits = f.alias("f").join(side, match).groupBy(*[F.col(f"f.{c}").alias(c) for c in attributes]).agg(F.min_by(reason, F.col("r.ordinal")).alias("suppression_reason")).alias("h")
+    last = lambda c: F.element_at(F.split(F.lower(c), "/"), -1)
+    named = F.nullif(F.lower("rule_id"), F.lit("*"))
+    key = lambda kind, c: F.struct(F.lit(kind).alias("kind"), c.cast("string").alias("value"))
+    asked = F.when(F.col("token").isNotNull(), key("token", F.col("token"))).when(F.col("path").isNotNull(), key("path", last("path"))).when(named.isNotNull(), key("rule", named)).when(F.col("line").isNotNull(), key("line", F.col("line"))).otherwise(key("any", F.lit("")))
+    r = rules.withColumn("key", asked).select("key", *[F.col(c).alias(f"r_{c}") for c in ("ordinal", "rule_id", "path", "line", "token")])
+    f = findings.select(attributes).distinct().withColumn("fp", finding_fingerprint(F.col("rule_id"), F.col("algorithm"), F.col("code_snippet")))
+    own = F.array_distinct(F.array(key("token", F.col("fp")), key("path", last("file")), key("rule", F.lower("rule_id")), key("rule", F.lower("algorithm")), key("line", F.col("line")), key("any", F.lit(""))))
+    wanted = F.lower("r_rule_id")
+    match = (F.col("r_rule_id").isNull() | (wanted == "*") | (wanted == F.lower("rule_id")) | (wanted == F.lower("algorithm"))) & (F.col("r_path").isNull() | (last("r_path") == last("file"))) & (F.col("r_line").isNull() | (F.col("r_line") == F.col("line"))) & (F.col("r_token").isNull() | (F.col("r_token") == F.col("fp")))
+    reason = F.when(F.col("r_token").isNotNull(), "fingerprint").when(F.col("r_rule_id").isNull(), "path").when(F.col("r_path").isNull(), "rule").when(F.col("r_line").isNull(), "rule and path").otherwise("rule, path and line")
+    hits = f.withColumn("key", F.explode(own)).join(r, "key").where(match).groupBy(*attributes).agg(F.min_by(reason, F.col("r_ordinal")).alias("suppression_reason")).alias("h")
     same = F.lit(True)
     for c in attributes:
         same = same & F.col(f"g.{c}").eqNullSafe(F.col(f"h.{c}"))

@@ -76,27 +76,39 @@ def _glob(pattern: Column) -> Column:
 
 
 def match_waivers(assets: DataFrame, waivers: DataFrame) -> DataFrame:
-    """Assets joined with every waiver that covers them: by fingerprint, or by algorithm (either name in the other) and path glob."""
-    algo, target = F.upper(F.coalesce("a.algorithm", F.lit(""))), F.upper(F.trim("w.match_algorithm"))
-    path, glob = norm_path(F.col("a.file")), norm_path(F.col("w.match_path"))
+    """(algorithm, file, fingerprint, waiver_ordinal, waiver_id): the distinct assets that each waiver covers.
+
+    A waiver covers by fingerprint, or by algorithm (either name in the other)
+    and path glob. Which names hold each other is found among the distinct
+    names of both sides, some hundreds at most; then assets meet waivers by
+    equi-joins on fingerprint and on name, with the glob as a condition.
+    """
+    a = assets.select("algorithm", "file", "fingerprint").distinct().withColumn("name", F.upper(F.coalesce("algorithm", F.lit(""))))
+    w = waivers.select("waiver_ordinal", "waiver_id", F.upper(F.trim("match_algorithm")).alias("target"), "match_path", F.lower(F.trim("match_fingerprint")).alias("print"))
+    targets = w.agg(F.collect_set("target").alias("t")).scalar()
+    holds = F.col("name").contains(F.col("target")) | F.col("target").contains(F.col("name"))
+    pairs = a.select("name").distinct().withColumn("targets", targets).select("name", F.explode("targets").alias("target")).where(holds)
+    path, glob = norm_path(F.col("file")), norm_path(F.col("match_path"))
     by_path = F.rlike(path, _glob(glob)) | F.rlike(path, _glob(F.concat(F.lit("*/"), glob)))
-    by_name = (algo.contains(target) | target.contains(algo)) & by_path
-    by_print = F.lower(F.trim("w.match_fingerprint")) == F.lower("a.fingerprint")
-    side = waivers.alias("w")
-    # Waivers are written by hand; a table that grew beyond that is joined without the hint.
-    return assets.alias("a").join(F.broadcast(side) if waivers.count() <= 10_000 else side, F.coalesce(by_print, F.lit(False)) | F.coalesce(by_name, F.lit(False)), "inner")
+    named = a.join(pairs, "name").join(w.where("match_path is not null"), "target").where(by_path)
+    printed = a.withColumn("print", F.lower("fingerprint")).join(w.drop("target").where("print is not null"), "print")
+    columns = ["algorithm", "file", "fingerprint", "waiver_ordinal", "waiver_id"]
+    return named.select(columns).unionByName(printed.select(columns))
 
 
-def apply_waivers(violations: DataFrame, waivers: DataFrame, id_columns: Sequence[str]) -> DataFrame:
+def apply_waivers(violations: DataFrame, waivers: DataFrame) -> DataFrame:
     """Violations with the first waiver (by ordinal) that covers each, null if none."""
-    found = match_waivers(violations, waivers).groupBy(*[F.col(f"a.{c}").alias(c) for c in id_columns]).agg(F.min_by("w.waiver_id", "w.waiver_ordinal").alias("waiver_id"))
-    return violations.join(found, list(id_columns), "left")
+    of = ["algorithm", "file", "fingerprint"]
+    first = match_waivers(violations, waivers).groupBy(*of).agg(F.min_by("waiver_id", "waiver_ordinal").alias("waiver_id")).alias("m")
+    same = F.lit(True)
+    for c in of:
+        same = same & F.col(f"v.{c}").eqNullSafe(F.col(f"m.{c}"))
+    return violations.alias("v").join(first, same, "left").select("v.*", "m.waiver_id")
 
 
 def stale_waivers(waivers: DataFrame, assets: DataFrame) -> DataFrame:
     """Waivers that cover no asset."""
-    used = match_waivers(assets.select("algorithm", "file", "fingerprint").distinct(), waivers).select(F.col("w.waiver_id").alias("waiver_id")).distinct()
-    return waivers.join(used, "waiver_id", "left_anti")
+    return waivers.join(match_waivers(assets, waivers).select("waiver_id").distinct(), "waiver_id", "left_anti")
 
 
 def prohibited_spec(algorithm: Column, key_size: Column, specs: Sequence[str]) -> Column:
@@ -123,20 +135,33 @@ def gate_metrics(base: DataFrame, head: DataFrame, keys: Sequence[str] = ("repo_
 
 
 def gate_verdict(base: DataFrame, head: DataFrame, waivers: DataFrame | None = None, policy: dict | None = None, keys: Sequence[str] = ("repo_id",)) -> DataFrame:
-    """One row per repository: counts, verdict, exit code and reasons, for all repositories in one job."""
+    """One row per repository: counts, verdict, exit code, reasons and warnings, for all repositories in one job.
+
+    Warnings tell of new assets that a waiver lets pass, and of vulnerable
+    assets that grew in spite of one.
+    """
     policy = load_policy(policy)
-    added = pair_moves(asset_diff(base, head, keys), keys).where("moved_from is null")
-    marked = added.withColumn("_spec", prohibited_spec(F.col("algorithm"), F.col("key_size"), policy["prohibited_algorithms"]))
-    marked = apply_waivers(marked, waivers, [*keys, "ordinal"]) if waivers is not None else marked.withColumn("waiver_id", F.lit(None).cast("string"))
-    new = marked.groupBy(*keys).agg(
-        F.count_if(F.col("vulnerable") & F.col("waiver_id").isNull()).alias("unwaived"),
-        F.count_if(F.col("vulnerable") & F.col("waiver_id").isNotNull()).alias("waived"),
+    # Both inventories in one table; what is added, removed or moved follows from counts beside each asset.
+    both = base.withColumn("_head", F.lit(False)).unionByName(head.withColumn("_head", F.lit(True)))
+    equal, place = Window.partitionBy(*keys, "fingerprint"), Window.partitionBy(*keys, "moved_fingerprint")
+    both = both.withColumn("_lone", F.min("_head").over(equal) == F.max("_head").over(equal))
+    added, removed = F.col("_head") & F.col("_lone"), ~F.col("_head") & F.col("_lone")
+    both = both.withColumns({"_removed": F.count_if(removed).over(place), "_k": F.row_number().over(Window.partitionBy(*keys, "moved_fingerprint", "_head", "_lone").orderBy("ordinal"))})
+    marked = both.withColumn("_new", added & (F.col("_k") > F.col("_removed")))  # the k-th added pairs with the k-th removed
+    if waivers is not None:
+        marked = apply_waivers(marked, waivers)
+    else:
+        marked = marked.withColumn("waiver_id", F.lit(None).cast("string"))
+    marked = marked.withColumn("_spec", F.when(F.col("_new"), prohibited_spec(F.col("algorithm"), F.col("key_size"), policy["prohibited_algorithms"])))
+    fresh = F.col("_new") & F.col("vulnerable")
+    rows = marked.groupBy(*keys).agg(
+        F.count_if(F.col("vulnerable") & ~F.col("_head")).alias("base_vulnerable"),
+        F.count_if(F.col("vulnerable") & F.col("_head")).alias("head_vulnerable"),
+        F.count_if(fresh & F.col("waiver_id").isNull()).alias("unwaived"),
+        F.count_if(fresh & F.col("waiver_id").isNotNull()).alias("waived"),
         F.count("_spec").alias("prohibited"),
         F.array_join(F.array_sort(F.collect_set("_spec")), ", ").alias("specs"),
     )
-    totals = gate_metrics(base, head, keys).groupBy(*keys).agg(F.sum("base").alias("base_vulnerable"), F.sum("head").alias("head_vulnerable"))
-    repos = base.select(*keys).union(head.select(*keys)).distinct()
-    rows = repos.join(totals, list(keys), "left").join(new, list(keys), "left").fillna(0, ["base_vulnerable", "head_vulnerable", "unwaived", "waived", "prohibited"])
     ratchet = F.col("unwaived") > policy["max_new_quantum_vulnerable"]
     grown = F.lit(policy["max_total_quantum_vulnerable"] == "baseline") & (F.col("head_vulnerable") > F.col("base_vulnerable")) & (F.col("waived") == 0)
     banned = F.lit(bool(policy["fail_on_prohibited_in_new_code"])) & (F.col("prohibited") > 0)
@@ -148,6 +173,12 @@ def gate_verdict(base: DataFrame, head: DataFrame, waivers: DataFrame | None = N
         )
     )
     failed = F.size("reasons") > 0
+    warnings = F.array_compact(
+        F.array(
+            F.when(F.col("waived") > 0, F.format_string("%d new quantum-vulnerable assets are waived", "waived")),
+            F.when((F.col("waived") > 0) & (F.col("head_vulnerable") > F.col("base_vulnerable")), F.format_string("vulnerable assets grew from %d to %d under waivers", "base_vulnerable", "head_vulnerable")),
+        )
+    )
     return rows.withColumn("reasons", reasons).select(
-        *keys, "base_vulnerable", "head_vulnerable", "unwaived", "waived", "prohibited", F.when(failed, "FAIL").otherwise("PASS").alias("verdict"), failed.cast("int").alias("exit_code"), F.array_join("reasons", "; ").alias("reasons")
+        *keys, "base_vulnerable", "head_vulnerable", "unwaived", "waived", "prohibited", F.when(failed, "FAIL").otherwise("PASS").alias("verdict"), failed.cast("int").alias("exit_code"), F.array_join("reasons", "; ").alias("reasons"), F.array_join(warnings, "; ").alias("warnings")
     )

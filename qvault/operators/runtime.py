@@ -12,27 +12,26 @@ from qvault.functions.findings import lookup
 # Operations that events may name, canonical algorithm names, and names that a quantum computer breaks.
 OPERATIONS = ("hash", "encrypt", "decrypt", "sign", "verify", "keygen", "kdf", "hmac", "tls", "other")
 CANONICAL = {
-    "md5": "MD5", "sha1": "SHA-1", "sha-1": "SHA-1", "sha256": "SHA-256", "sha-256": "SHA-256", "sha_256": "SHA-256", "sha384": "SHA-384", "sha-384": "SHA-384", "sha512": "SHA-512", "sha-512": "SHA-512",
-    "aes": "AES", "aes128": "AES-128", "aes-128": "AES-128", "aes256": "AES-256", "aes-256": "AES-256", "des": "DES", "3des": "3DES", "tripledes": "3DES", "rc4": "RC4", "chacha20": "ChaCha20",
-    "chacha20-poly1305": "ChaCha20-Poly1305", "rsa": "RSA", "dsa": "DSA", "ecdsa": "ECDSA", "ec": "ECDSA", "ecdh": "ECDH", "ed25519": "Ed25519", "dh": "DH", "pbkdf2": "PBKDF2", "scrypt": "scrypt", "bcrypt": "bcrypt", "hmac": "HMAC",
+    "md5": "MD5", "sha1": "SHA-1", "sha-1": "SHA-1", "sha224": "SHA-224", "sha-224": "SHA-224", "sha256": "SHA-256", "sha-256": "SHA-256", "sha_256": "SHA-256", "sha384": "SHA-384", "sha-384": "SHA-384", "sha_384": "SHA-384",
+    "sha512": "SHA-512", "sha-512": "SHA-512", "sha_512": "SHA-512", "sha3_256": "SHA3-256", "sha3-256": "SHA3-256", "sha3_512": "SHA3-512", "sha3-512": "SHA3-512", "blake2b": "BLAKE2b", "blake2s": "BLAKE2s",
+    "aes": "AES", "aes128": "AES-128", "aes-128": "AES-128", "aes192": "AES-192", "aes-192": "AES-192", "aes256": "AES-256", "aes-256": "AES-256", "des": "DES", "3des": "3DES", "tripledes": "3DES", "rc4": "RC4",
+    "chacha20": "ChaCha20", "chacha20-poly1305": "ChaCha20-Poly1305", "rsa": "RSA", "dsa": "DSA", "ecdsa": "ECDSA", "ec": "ECDSA", "ecdh": "ECDH", "ed25519": "Ed25519", "ed448": "Ed448", "dh": "DH",
+    "pbkdf2": "PBKDF2", "scrypt": "scrypt", "argon2": "Argon2", "argon2i": "Argon2i", "argon2id": "Argon2id", "bcrypt": "bcrypt", "hkdf": "HKDF", "hmac": "HMAC", "hmac-sha256": "HMAC-SHA256",
 }
+#: How unlisted names begin, and what they hold, in the order that decides.
+BEGINNINGS = {"aes": "AES", "rsa": "RSA", "ecdsa": "ECDSA", "ec-": "ECDSA", "secp256r1": "ECDSA"}
+PARTS = {"sha256": "SHA-256", "sha-256": "SHA-256", "sha512": "SHA-512", "sha-512": "SHA-512", "sha1": "SHA-1", "sha-1": "SHA-1", "md5": "MD5", "hmac": "HMAC"}
 BROKEN_BY_QUANTUM = ("RSA", "ECDSA", "ECDH", "DH", "DSA", "ED25519", "ED448")
 MAX_COUNT = 1_000_000_000
 
 
 def canonical_algorithm(name: Column) -> Column:
+    """The one name of an algorithm: by the table, by how it begins, by what it holds, else in upper case."""
     low = F.lower(F.trim(F.coalesce(name, F.lit(""))))
     table = F.create_map(*[F.lit(x) for pair in CANONICAL.items() for x in pair])
-    return (
-        F.when(low == "", "UNKNOWN")
-        .otherwise(F.coalesce(
-            table[low],
-            F.when(low.startswith("aes"), "AES").when(low.startswith("rsa"), "RSA").when(low.startswith("ecdsa") | low.startswith("ec-") | (low == "secp256r1"), "ECDSA")
-            .when(low.contains("sha256") | low.contains("sha-256"), "SHA-256").when(low.contains("sha512") | low.contains("sha-512"), "SHA-512").when(low.contains("sha1") | low.contains("sha-1"), "SHA-1")
-            .when(low.contains("md5"), "MD5").when(low.contains("hmac"), "HMAC"),
-            F.upper(F.trim(name)),
-        ))
-    )
+    begun = [F.when(low.startswith(k), v) for k, v in BEGINNINGS.items()]
+    held = [F.when(low.contains(k), v) for k, v in PARTS.items()]
+    return F.when(low == "", "UNKNOWN").otherwise(F.coalesce(table[low], *begun, *held, F.upper(F.trim(name))))
 
 
 def base_name(path: Column) -> Column:

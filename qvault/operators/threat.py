@@ -74,9 +74,23 @@ def threat_assessment(assets: DataFrame, scenarios: DataFrame, *, n: int = 10_00
     return broken.unionByName(safe.withColumns(zero))
 
 
-def threat_summary(assessed: DataFrame) -> DataFrame:
+def family_quantiles(assets: DataFrame, timelines: DataFrame, *, n: int = 10_000, seed: int = 42) -> DataFrame:
+    """p10, p50 and p90 of the break time per scenario, of the families and multipliers that ``assets`` have, with their number of assets."""
+    z = draws(assets.sparkSession, timelines, FAMILIES, n, seed)
+    spread = z.groupBy("scenario", "family").agg(F.percentile("z", F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9))).alias("q"))
+    held = assets.where("family <> 'PQC'").groupBy("family", "multiplier").agg(F.count("*").alias("assets"))
+    return held.join(spread, "family").select("scenario", "family", "multiplier", "assets", *[(F.col("q")[i] * F.col("multiplier")).alias(c) for i, c in enumerate(("p10", "p50", "p90"))])
+
+
+def threat_summary(assessed: DataFrame, n: int) -> DataFrame:
+    """Per scenario: how many assets are expected to be violated, the highest and the mean probability, how many are likely.
+
+    Probabilities are shares of ``n`` draws; whole draws are added up, so sums
+    do not depend on the order of rows.
+    """
     p = F.col("p_violated")
-    return assessed.groupBy("scenario").agg(F.sum(p).alias("expected_violated"), F.max(p).alias("max_p"), F.avg(p).alias("mean_p"), F.count_if(F.col("risk_band").isin("HIGH", "CRITICAL")).alias("high_or_critical"))
+    hits = F.round(p * n).cast("long")
+    return assessed.groupBy("scenario").agg((F.sum(hits) / n).alias("expected_violated"), F.max(p).alias("max_p"), (F.avg(hits) / n).alias("mean_p"), F.count_if(F.col("risk_band").isin("HIGH", "CRITICAL")).alias("high_or_critical"))
 
 
 def heatmap(assessed: DataFrame, row: str, metric: str = "p_violated", scenarios: Sequence[str] = tuple(ft.SCENARIOS)) -> DataFrame:

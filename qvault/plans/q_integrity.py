@@ -61,7 +61,7 @@ EVENTS = f"""SELECT event_id, user_id AS run_id, ts, {pick('event_id', 'hash', '
  {pick('user_id + event_id', 'sha256', 'AES', 'rsa', 'MD5', 'ecdsa', 'SHA-1', None, 'hmac-sha256', 'AES-128-GCM')} AS algorithm, CAST(event_id % 4 AS BIGINT) AS count,
  {pick('event_id', 'openssl', 'hashlib', 'webcrypto')} AS library, 'app/' || {pick('user_id', 'login.py', 'tokens.js', 'cipher.py', 'main.tf')} AS file, CAST(user_id % 30 AS INTEGER) AS line,
  {pick('event_id', 'https', 'http', 'https', 'https')} AS scheme, 'host' || CAST(user_id % 5 AS STRING) AS host, event_type FROM {{events}}"""
-CANON = "CASE WHEN algorithm IS NULL THEN 'UNKNOWN' ELSE CASE lower(trim(algorithm)) WHEN 'sha256' THEN 'SHA-256' WHEN 'aes' THEN 'AES' WHEN 'rsa' THEN 'RSA' WHEN 'md5' THEN 'MD5' WHEN 'ecdsa' THEN 'ECDSA' WHEN 'sha-1' THEN 'SHA-1' WHEN 'sha-256' THEN 'SHA-256' WHEN '3des' THEN '3DES' ELSE CASE WHEN starts_with(lower(algorithm), 'aes') THEN 'AES' WHEN starts_with(lower(algorithm), 'rsa') THEN 'RSA' WHEN starts_with(lower(algorithm), 'ecdsa') THEN 'ECDSA' WHEN contains(lower(algorithm), 'sha256') OR contains(lower(algorithm), 'sha-256') THEN 'SHA-256' WHEN contains(lower(algorithm), 'hmac') THEN 'HMAC' ELSE upper(algorithm) END END END"
+CANON = "CASE WHEN algorithm IS NULL THEN 'UNKNOWN' ELSE CASE lower(trim(algorithm)) WHEN 'sha256' THEN 'SHA-256' WHEN 'aes' THEN 'AES' WHEN 'rsa' THEN 'RSA' WHEN 'md5' THEN 'MD5' WHEN 'ecdsa' THEN 'ECDSA' WHEN 'sha-1' THEN 'SHA-1' WHEN 'sha-256' THEN 'SHA-256' WHEN '3des' THEN '3DES' WHEN 'hmac-sha256' THEN 'HMAC-SHA256' ELSE CASE WHEN starts_with(lower(algorithm), 'aes') THEN 'AES' WHEN starts_with(lower(algorithm), 'rsa') THEN 'RSA' WHEN starts_with(lower(algorithm), 'ecdsa') THEN 'ECDSA' WHEN contains(lower(algorithm), 'sha256') OR contains(lower(algorithm), 'sha-256') THEN 'SHA-256' WHEN contains(lower(algorithm), 'hmac') THEN 'HMAC' ELSE upper(algorithm) END END END"
 REJECT = "CASE WHEN run_id IS NULL THEN 'run_id missing' WHEN algorithm IS NULL THEN 'algorithm missing' WHEN operation NOT IN ('hash', 'encrypt', 'decrypt', 'sign', 'verify', 'keygen', 'kdf', 'hmac', 'tls', 'other') THEN 'operation unknown' WHEN count < 1 OR count > 1000000000 THEN 'count out of range' END"
 IDENTITY = ["run_id", "operation", "algorithm", "library", "file", "line"]
 

@@ -82,7 +82,7 @@ def j2(spark, d):
 @query("j3_apply_waivers", over("assets", f"WITH {GATE}, {WAIVER_SQL} SELECT repo_id, ordinal, arg_min(wid, wo) AS waiver_id FROM h LEFT JOIN w ON {COVERS} WHERE vulnerable GROUP BY repo_id, ordinal"))
 def j3(spark, d):
     v = pair(spark, d)[1].where("vulnerable")
-    return gate.apply_waivers(v, waivers(spark), ["repo_id", "ordinal"]).select("repo_id", "ordinal", "waiver_id")
+    return gate.apply_waivers(v, waivers(spark)).select("repo_id", "ordinal", "waiver_id")
 
 
 @query("j4_stale_waivers", over("assets", f"WITH {GATE}, {WAIVER_SQL} SELECT wid AS waiver_id FROM w WHERE NOT EXISTS (SELECT 1 FROM h WHERE {COVERS})"))
@@ -109,7 +109,7 @@ c AS (SELECT repo_id, count(*) FILTER (WHERE vulnerable AND wid IS NULL) AS unwa
 t AS (SELECT repo_id, count(*) FILTER (WHERE vulnerable AND NOT is_head) AS base_vulnerable, count(*) FILTER (WHERE vulnerable AND is_head) AS head_vulnerable FROM g GROUP BY repo_id),
 r AS (SELECT repo_id, base_vulnerable, head_vulnerable, coalesce(unwaived, 0) AS unwaived, coalesce(waived, 0) AS waived, coalesce(prohibited, 0) AS prohibited, specs FROM t LEFT JOIN c USING (repo_id)),
 s AS (SELECT *, concat_ws('; ', CASE WHEN unwaived > 0 THEN unwaived || ' new quantum-vulnerable assets' END, CASE WHEN unwaived <= 0 AND head_vulnerable > base_vulnerable AND waived = 0 THEN 'vulnerable assets grew from ' || base_vulnerable || ' to ' || head_vulnerable END, CASE WHEN prohibited > 0 THEN prohibited || ' prohibited (' || specs || ')' END) AS reasons FROM r)
-SELECT repo_id, base_vulnerable, head_vulnerable, unwaived, waived, prohibited, CASE WHEN reasons <> '' THEN 'FAIL' ELSE 'PASS' END AS verdict, CAST(CASE WHEN reasons <> '' THEN 1 ELSE 0 END AS INTEGER) AS exit_code, reasons FROM s""",
+SELECT repo_id, base_vulnerable, head_vulnerable, unwaived, waived, prohibited, CASE WHEN reasons <> '' THEN 'FAIL' ELSE 'PASS' END AS verdict, CAST(CASE WHEN reasons <> '' THEN 1 ELSE 0 END AS INTEGER) AS exit_code, reasons, concat_ws('; ', CASE WHEN waived > 0 THEN waived || ' new quantum-vulnerable assets are waived' END, CASE WHEN waived > 0 AND head_vulnerable > base_vulnerable THEN 'vulnerable assets grew from ' || base_vulnerable || ' to ' || head_vulnerable || ' under waivers' END) AS warnings FROM s""",
     ),
 )
 def a9(spark, d):

@@ -57,18 +57,15 @@ def a14(spark, d):
     return assessed(spark, d).select("asset_id", "scenario", "family", "x", "y", "p_break", "p_violated", "low_confidence", "risk_band")
 
 
-@query("a15_z_quantiles", _tables() + "SELECT scenario, family, " + ", ".join(f"round(quantile_cont(z, {q}), 6) AS p{int(q * 100)}" for q in (0.1, 0.5, 0.9)) + " FROM z GROUP BY ALL")
+@query("a15_z_quantiles", _tables() + ", held AS (SELECT family, multiplier, count(*) AS assets FROM assets WHERE family <> 'PQC' GROUP BY ALL), qs AS (SELECT scenario, family, " + ", ".join(f"quantile_cont(z, {q}) AS q{int(q * 100)}" for q in (0.1, 0.5, 0.9)) + " FROM z GROUP BY ALL) SELECT scenario, family, multiplier, assets, round(q10 * multiplier, 6) AS p10, round(q50 * multiplier, 6) AS p50, round(q90 * multiplier, 6) AS p90 FROM held JOIN qs USING (family)")
 def a15(spark, d):
-    z = op.draws(spark, op.scenario_table(spark), op.FAMILIES, N, SEED)
-    q = z.groupBy("scenario", "family").agg(F.percentile("z", F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9))).alias("q"))
-    return q.select("scenario", "family", *[F.round(F.col("q")[i], 6).alias(n) for i, n in enumerate(("p10", "p50", "p90"))])
+    q = op.family_quantiles(op.crypto_assets(sql(spark, d, ASSETS)), op.scenario_table(spark), n=N, seed=SEED)
+    return q.select("scenario", "family", "multiplier", "assets", *[F.round(n, 6).alias(n) for n in ("p10", "p50", "p90")])
 
 
 @query("a16_threat_summary", _tables() + f"SELECT scenario, CAST(sum({HITS}) AS BIGINT) / {N}.0::DOUBLE AS expected_violated, max(p_violated) AS max_p, avg({HITS}) / {N} AS mean_p, count(*) FILTER (WHERE risk_band IN ('HIGH', 'CRITICAL')) AS high_or_critical FROM band GROUP BY scenario")
 def a16(spark, d):
-    a = assessed(spark, d)
-    whole = op.threat_summary(counted(a)).select("scenario", (F.col("expected_violated") / N).alias("expected_violated"), (F.col("mean_p") / N).alias("mean_p"))
-    return whole.join(op.threat_summary(a).select("scenario", "max_p", "high_or_critical"), "scenario")
+    return op.threat_summary(assessed(spark, d), N)
 
 
 @query("a17_heatmap", _tables() + "SELECT service AS row, " + ", ".join(f"avg({HITS}) FILTER (WHERE scenario = '{s}') / {N} AS {s}" for s in ft.SCENARIOS) + " FROM band GROUP BY service")
@@ -79,9 +76,7 @@ def a17(spark, d):
 
 @query("a18_sweep_arrival_shift", _tables((-2.0, 0.0, 3.0)) + f"SELECT scenario, CAST(sum({HITS}) AS BIGINT) / {N}.0::DOUBLE AS expected_violated, count(*) FILTER (WHERE risk_band IN ('HIGH', 'CRITICAL')) AS high_or_critical FROM band GROUP BY scenario")
 def a18(spark, d):
-    a = assessed(spark, d, (-2.0, 0.0, 3.0))
-    whole = op.threat_summary(counted(a)).select("scenario", (F.col("expected_violated") / N).alias("expected_violated"))
-    return whole.join(op.threat_summary(a).select("scenario", "high_or_critical"), "scenario")
+    return op.threat_summary(assessed(spark, d, (-2.0, 0.0, 3.0)), N).select("scenario", "expected_violated", "high_or_critical")
 
 
 @query("j18_hydrate", _tables() + "SELECT r.asset_id, scenario, risk_band, algorithm, key_size FROM band r LEFT JOIN (SELECT * FROM raw WHERE asset_id % 3 <> 0) a ON r.asset_id = a.asset_id")
@@ -96,9 +91,16 @@ def a27(spark, d):
     return a.groupBy("asset_id").agg(F.max("p_violated").alias("max_risk"), F.first("y").alias("y")).select("asset_id", "max_risk", F.greatest(F.lit(1), F.round(F.col("y") * 12)).cast("int").alias("duration_months"))
 
 
-@query("f18_uniform_draw", f"SELECT i, u FROM ({_sql_draw('i')} (SELECT unnest(range(1, 5001)) AS i)))))")
+DRAWN = "SELECT o_orderkey AS i, CAST(o_custkey % 9 + 1 AS DOUBLE) AS mean, CAST(o_custkey % 4 + 1 AS DOUBLE) / 2 AS sd FROM {orders}"
+#: The draws numbered 2 i - 1 and 2 i of each row.
+TWO_DRAWS = f"a AS ({_sql_draw('2 * i - 1')} ({plain(DRAWN)}))))), b AS ({_sql_draw('2 * i')} ({plain(DRAWN)})))))"
+
+
+@query("f18_uniform_draw", f"WITH {TWO_DRAWS}, n AS (SELECT a.i, a.mean, a.sd, a.u AS u, sqrt(-2 * ln(greatest(a.u, 5e-324))) * cos(2 * pi() * b.u) AS z FROM a JOIN b ON a.i = b.i) SELECT i, u, round(z, 6) AS z, round(exp(ln(mean) - ln(1 + (sd / mean) ** 2) / 2 + sqrt(ln(1 + (sd / mean) ** 2)) * z), 6) AS lognormal FROM n")
 def f18(spark, d):
-    return spark.range(1, 5001).select(F.col("id").alias("i"), ft.uniform_draw(SEED, F.col("id")).alias("u"))
+    rows = sql(spark, d, DRAWN)
+    u = rows.withColumns({"u": ft.uniform_draw(SEED, 2 * F.col("i") - 1), "u2": ft.uniform_draw(SEED, 2 * F.col("i"))})
+    return u.select("i", "u", F.round(ft.standard_normal(F.col("u"), F.col("u2")), 6).alias("z"), F.round(ft.lognormal(F.col("u"), F.col("u2"), F.col("mean"), F.col("sd")), 6).alias("lognormal"))
 
 
 @query("f19_bands", over("catalogue", f"SELECT asset_id, family, {MULT} AS multiplier, {X} AS x, {Y} AS y FROM (SELECT *, {FAMILY} AS family, {USAGE} AS cu FROM catalogue)"))
