@@ -222,26 +222,66 @@ def pii_stats(values: DataFrame) -> DataFrame:
     return values.groupBy("repo_id", "data_class").agg(F.count("*").alias("values"), F.count_distinct("file").alias("files"))
 
 
-#: Names of sensitive fields by class, as words of an identifier.
-FIELD_NAMES = {"AUTH": ["password", "secret", "token"], "FINANCIAL": ["card number", "iban", "account number"], "PII": ["email", "phone", "address", "birth date", "ssn"], "HEALTH": ["diagnosis", "blood type", "patient"]}
+# Names of sensitive fields by class, types that tell booleans and enumerations, and how sure a name, a name with a fitting type, and a weak one are.
+FIELD_NAMES = {
+    "AADHAAR": ["aadhaar", "aadhar", "adhaar", "uid", "uidai"],
+    "PAN": ["pan", "pan_number", "permanent_account"],
+    "PAYMENT_CARD": ["card_number", "cc_num", "cvv", "expiry", "card_holder", "primary_account_number", "credit_card_number", "debit_card_number"],
+    "HEALTH": ["diagnosis", "icd", "patient", "prescription", "medical_record", "abha", "blood_group"],
+    "PII_OTHER": ["phone", "mobile", "email", "dob", "date_of_birth", "address"],
+}
+WEAK_TYPES = ["bool", "boolean", "enum", "choice", "yesno", "flag"]
+NAME_ONLY, NAME_AND_TYPE, WEAK_NAME = 0.68, 0.9, 0.35
+#: Forms in which a field is declared, the first that fits counts: (form, pattern with the name, the type and the length if it has them).
+FIELD_FORMS = [
+    ("column", r"(?i)^\s*[\"`]?([a-z_]\w*)[\"`]?\s+(varchar|char|text|bigint|integer|int|numeric|boolean|bool|enum|date)\b(?:\s*\(\s*(\d+))?"),
+    ("model", r"(?i)^\s*([a-z_]\w*)\s*=\s*(?:models\.|db\.|sa\.)?(\w*field|column)\s*\((?:[^)]*?(?:max_length\s*=\s*|string\()(\d+))?"),
+    ("schema", r"(?i)^\s*([a-z_]\w*)\s+(string|int|bigint|boolean|datetime)\b()"),
+    ("object", r"(?i)^\s*[\"']?([a-z_]\w*)[\"']?\s*:\s*(?:(string|number|boolean|bigint)\b)?()"),
+    ("variable", r"(?i)^\s*(?:let\s+|const\s+|var\s+|final\s+)?([a-z_]\w*)\s*=[^=]()()"),
+]
+
+
+def declared_fields(lines: DataFrame) -> DataFrame:
+    """Fields that lines declare: form, name, type and length, from tables, models, schemas, objects and variables."""
+    told = lambda r: F.when(F.col("text").rlike(r[1]), F.struct(F.lit(r[0]).alias("form"), *[F.regexp_extract("text", r[1], i).alias(n) for i, n in ((1, "name"), (2, "type"), (3, "length"))]))
+    found = lines.withColumn("d", F.coalesce(*map(told, FIELD_FORMS))).where("d is not null")
+    return found.select("repo_id", "file", "line", "d.form", "d.name", F.lower("d.type").alias("type"), F.col("d.length").try_cast("int").alias("length"))
+
 
+def detect_names(fields: DataFrame) -> DataFrame:
+    """Fields (name, and type and length if known) that are sensitive by name: the words of the identifier hold a phrase of the class.
 
-def detect_names(pairs: DataFrame) -> DataFrame:
-    """Names that mean sensitive fields: the words of the identifier hold a phrase of the class."""
+    A type that fits the class makes a name surer, a boolean or an enumeration
+    makes it weak.
+    """
+    known = lambda c: F.col(c) if c in fields.columns else F.lit(None)
+    kind, length = F.coalesce(known("type").cast("string"), F.lit("")), known("length").cast("int")
     words = F.concat(F.lit(" "), F.array_join(ft.identifier_tokens(F.col("name")), " "), F.lit(" "))
-    kind = F.lit(None).cast("string")
+    of = F.lit(None).cast("string")
     for name, phrases in reversed(FIELD_NAMES.items()):
-        hit = F.lit(False)
-        for p in phrases:
-            hit = hit | words.contains(f" {p} ")
-        kind = F.when(hit, name).otherwise(kind)
-    return pairs.withColumn("data_class", kind).where("data_class is not null")
+        of = F.when(F.exists(F.array(*[F.lit(f" {p.replace('_', ' ')} ") for p in phrases]), lambda p: words.contains(p)), name).otherwise(of)
+    named = fields.withColumn("data_class", of).where("data_class is not null")
+    c = F.col("data_class")
+    fits = ((c == "AADHAAR") & ((length == 12) | (kind == "bigint"))) | ((c == "PAN") & (length == 10)) | ((c == "PAYMENT_CARD") & length.between(13, 19))
+    weak = F.exists(F.array(*map(F.lit, WEAK_TYPES)), lambda w: kind.contains(w))
+    return named.withColumn("confidence", F.when(weak, WEAK_NAME).when(F.coalesce(fits, F.lit(False)), NAME_AND_TYPE).otherwise(NAME_ONLY))
+
+
+# Keywords of each class of data, in the order that decides.
+SENSITIVE_WORDS = {
+    "HEALTH": ["health", "hipaa", "patient", "medical", "diagnosis", "ehr", "prescription"],
+    "PII": ["ssn", "social_security", "dob", "birthdate", "passport", "national_id", "email", "phone", "user_address"],
+    "FINANCIAL": ["credit_card", "card_number", "cvv", "iban", "bank_account", "pan", "payment_token", "billing"],
+    "AUTH": ["password", "passwd", "auth_token", "api_key", "jwt", "secret_key", "session_id"],
+}
 
 
 def data_sensitivity(text: Column) -> Column:
-    """The first class of which a keyword occurs."""
+    """The first class of which a keyword occurs, else GENERAL."""
     low = F.lower(text)
-    return F.when(low.rlike("patient|medical|health|diagnos"), "HEALTH").when(low.rlike("email|phone|address|passport|@"), "PII").when(low.rlike("card|iban|payment|invoice"), "FINANCIAL").when(low.rlike("password|token|session|login"), "AUTH")
+    hit = lambda words: F.exists(F.array(*map(F.lit, words)), lambda w: low.contains(w))
+    return F.coalesce(*[F.when(hit(ws), k) for k, ws in SENSITIVE_WORDS.items()], F.lit("GENERAL"))
 
 
 #: Statements of retention, each with an amount, and a unit unless the third part gives it.
@@ -335,9 +375,3 @@ def parse_suppressions(lines: DataFrame) -> DataFrame:
     path_like = clean.contains("/") | clean.rlike(r"\.\w{1,4}$")
     kind = F.when(n >= 3, F.when(F.get(parts, F.lit(2)).rlike("^[0-9]+$"), "line").otherwise("token")).when(n == 2, "path").when(path_like, "path only").otherwise("rule or fingerprint")
     return lines.where(clean != "").select("repo_id", "file", "line", kind.alias("kind"), F.get(parts, F.lit(0)).alias("first"), F.get(parts, F.lit(1)).alias("second"))
-
-
-def exposure_surface(lines: DataFrame) -> DataFrame:
-    """Exposed service names per repository, from compose, Docker and proxy lines; with dashes and underscores alike."""
-    hit = F.coalesce(*[F.nullif(F.regexp_extract("text", p, 1), F.lit("")) for p in (r"^\s*proxy_pass\s+https?://([\w-]+)", r"^\s*host:\s*([\w-]+)", r"^\s*EXPOSE\s+(\d+)")])
-    return lines.select("repo_id", F.lower(F.replace(hit, F.lit("_"), F.lit("-"))).alias("name")).where("name is not null").distinct()

@@ -40,6 +40,12 @@ def hndl_analysis(scored: DataFrame, key: str) -> DataFrame:
     )
 
 
+def hndl_algorithms(scored: DataFrame, key: str) -> DataFrame:
+    """Per portfolio and algorithm: findings, the highest score with its band, and distinct places."""
+    band = F.when(F.col("max_score") >= 80, "critical").when(F.col("max_score") >= 60, "high").when(F.col("max_score") >= 40, "medium").otherwise("low")
+    return scored.groupBy(key, "algorithm").agg(F.count("*").alias("findings"), F.max("score").alias("max_score"), F.count_distinct("file", "line").alias("places")).withColumn("band", band)
+
+
 def repo_risk_score(findings: DataFrame, key: str) -> DataFrame:
     """100 (1 - exp(-points / 32)) between 8 and 99."""
     points = F.sum(F.element_at(F.array(*map(F.lit, (0.0, 0.5, 1.0, 3.0, 6.0))), severity_rank(F.col("severity")) + 1))
@@ -64,6 +70,20 @@ def migration_plan(scored: DataFrame, key: str) -> DataFrame:
     return scored.groupBy(key, action.alias("action")).agg(F.count("*").alias("findings"), F.count_distinct("file").alias("files"), F.max("score").alias("max_score"))
 
 
+def migration_blockers(scored: DataFrame, key: str) -> DataFrame:
+    """Per portfolio: what stands in the way of a migration, and the mean agility of its findings.
+
+    A finding is hard-coded if its category is a secret, unsupported if its
+    library is unknown, and wide if its algorithm is in more than five files.
+    Agility starts at 100 and loses 40, 20 and 5 a file beyond the first.
+    """
+    spread = scored.groupBy(key, "algorithm").agg(F.count_distinct("file").alias("_files"))
+    hard, alone = F.col("category").isin("hardcoded-secret", "secret"), F.col("library").isNull()
+    rows = scored.join(spread, [key, "algorithm"])
+    agility = F.greatest(F.lit(0), 100 - F.when(hard, 40).otherwise(0) - F.when(alone, 20).otherwise(0) - F.least(F.lit(40), 5 * (F.col("_files") - 1)))
+    return rows.groupBy(key).agg(F.count_if(hard).alias("hardcoded"), F.count_if(alone).alias("unsupported"), F.count_if(F.col("_files") > 5).alias("wide"), F.round(F.avg(agility), 6).alias("mean_agility"))
+
+
 def projected_drop(scored: DataFrame, key: str) -> DataFrame:
     """For every algorithm at once: the mean score of a portfolio before, and after its findings drop to 10."""
     whole = scored.groupBy(key).agg(F.sum("score").alias("sum"), F.count("*").alias("n"))
@@ -93,6 +113,12 @@ def fleet_kpis(latest: DataFrame) -> DataFrame:
     return latest.agg(F.count("*").alias("repos"), F.round(F.sum("score"), 2).alias("total"), F.count_if(F.col("status") == "F").alias("finished"))
 
 
+def fleet_trend(scans: DataFrame, n: int = 14) -> DataFrame:
+    """The last ``n`` days that have scans, with their number, mean score and finished ones; a few rows, oldest first."""
+    days = scans.groupBy(F.to_date("created_at").alias("day")).agg(F.count("*").alias("scans"), F.round(F.avg("score"), 6).alias("mean_score"), F.count_if(F.col("status") == "F").alias("finished"))
+    return days.orderBy(F.desc("day")).limit(n).orderBy("day")
+
+
 def schedule_waves(gantt: DataFrame, plan: str) -> DataFrame:
     """Tasks with the number of their wave: equal starts share one."""
     return gantt.withColumn("wave", F.dense_rank().over(Window.partitionBy(plan).orderBy("start_month")))
@@ -108,6 +134,15 @@ def compare_schedules(base: DataFrame, variation: DataFrame) -> DataFrame:
     return joined.where("base_start <> new_start").withColumn("months_won", F.col("base_start") - F.col("new_start"))
 
 
+def schedule_improvement(base: DataFrame, variation: DataFrame, plan: str) -> DataFrame:
+    """Per plan: exposure of both schedules, the tasks that moved, and the improvement in percent of the base."""
+    total = lambda df, n: df.groupBy(plan).agg(F.sum(F.col("weight") * F.col("end_month")).alias(n))
+    moved = compare_schedules(base, variation).join(base.select("task_id", plan), "task_id").groupBy(plan).agg(F.count("*").alias("moved"))
+    both = total(base, "base_exposure").join(total(variation, "new_exposure"), plan).join(moved, plan, "left")
+    share = F.round(100 * F.try_divide(F.col("base_exposure") - F.col("new_exposure"), F.col("base_exposure")), 6)
+    return both.select(plan, "base_exposure", "new_exposure", F.coalesce("moved", F.lit(0)).alias("moved"), F.coalesce(share, F.lit(0.0)).alias("improvement"))
+
+
 def detection_quality(expected: DataFrame, actual: DataFrame) -> DataFrame:
     """True and false positives and misses, precision, recall and F1, by layer and over all."""
     joined = expected.select("item", "layer", F.lit(True).alias("_e")).join(actual.select("item", "layer", F.lit(True).alias("_a")), ["item", "layer"], "full_outer")
@@ -221,6 +256,17 @@ def data_exposure(links: DataFrame, assessed: DataFrame) -> DataFrame:
     return links.join(assessed.where("p_violated > 0").select("asset_id", "scenario", "p_violated"), "asset_id").select("field_id", "asset_id", "scenario", F.col("p_violated").alias("probability"), (F.col("p_violated") * F.col("score")).alias("weight"))
 
 
+def exposure_gaps(fields: DataFrame, links: DataFrame, assets: DataFrame) -> DataFrame:
+    """(field_id, gap): fields that no asset protects, and those whose assets are all skipped, being quantum-safe or signatures alone.
+
+    ``assets`` has asset_id, family and usage.
+    """
+    skipped = (F.col("family") == "PQC") | F.lower(F.coalesce("usage", F.lit(""))).rlike("signature|auth|jwt|certificate")
+    by_field = links.join(assets.select("asset_id", skipped.alias("_skipped")), "asset_id").groupBy("field_id").agg(F.bool_and("_skipped").alias("_all"))
+    told = fields.select("field_id").distinct().join(by_field, "field_id", "left")
+    return told.select("field_id", F.when(F.col("_all").isNull(), "unprotected").when(F.col("_all"), "skipped").alias("gap")).where("gap is not null")
+
+
 def exposure_summary(exposures: DataFrame) -> DataFrame:
     """Per scenario: the expected number of exposed fields, by each field's worst case, and how many are likely."""
     worst = exposures.groupBy("scenario", "field_id").agg(F.max("weight").alias("w"))
@@ -248,18 +294,3 @@ def pqc_size_impact(assets: DataFrame, limits: dict[str, int]) -> DataFrame:
     met = assets.select("asset_id", "family", "recommended").join(F.broadcast(now), "family").join(F.broadcast(new), "recommended")
     broken = F.array_compact(F.array(*[F.when(F.col("bytes_new") > limit, name) for name, limit in sorted(limits.items())]))
     return met.select("asset_id", "bytes_now", "bytes_new", F.array_join(broken, ",").alias("breaks"))
-
-
-def classify_exposure(findings: DataFrame) -> DataFrame:
-    """Exposure by precedence: tests are private, then services and folders that face outwards, then keywords, else internal."""
-    low = F.lower("file")
-    kind = F.when(low.rlike("(^|/)tests?/"), "private").when(low.rlike(r"(^|/)(api|public|gateway)/") | low.rlike(r"server\."), "external-facing").when(low.rlike("login|auth|pay"), "external-facing").otherwise("internal")
-    return findings.withColumn("exposure", kind)
-
-
-def exposure_scored(findings: DataFrame) -> DataFrame:
-    """Exposure with a score from several signals and their list."""
-    low = F.lower("file")
-    signals = F.array_compact(F.array(F.when(low.rlike("(^|/)api/"), "route"), F.when(low.rlike(r"server\."), "binding"), F.when(low.rlike("login|auth|pay"), "keyword"), F.when(low.rlike(r"\.(yml|tf)$"), "deploy config")))
-    score = F.least(F.lit(100), F.greatest(F.lit(0), 35 * F.size("signals") - F.when(low.rlike("(^|/)tests?/"), 50).otherwise(0)))
-    return findings.withColumn("signals", signals).withColumn("exposure_score", score).withColumn("signals", F.array_join("signals", ","))

@@ -305,15 +305,29 @@ def f8(spark, d):
     return op.extract_config_kv(config(spark, d)).select("repo_id", "file", "line", F.array_join(ft.identifier_tokens(F.col("name")), " ").alias("tokens"))
 
 
-NAMES = "CASE " + " ".join("WHEN " + " OR ".join(f"contains(w, ' {p} ')" for p in ps) + f" THEN '{n}'" for n, ps in op.FIELD_NAMES.items()) + " END"
+DECLARED = [
+    "  aadhaar_no VARCHAR(12) NOT NULL,", "uid BIGINT,", "pan_number CHAR(10),", "card_number varchar(16)", "is_patient BOOLEAN,", "email = models.EmailField(max_length=254)", "dob = Column(Date)", "phone String", "patientId Int", "mobile: string;", "\"cvv\": 123,", "const blood_group = 'A'", "let expiry = read()",
+    "address: one", "bloodGroup = x", "total = 1", "if email == x", "panorama = 2", "creditCardNumber = n", "icd_code text", "medical_record enum('a')", "uidai_flag = models.BooleanField()",
+]
+FIELDS = f"SELECT 'r' || CAST(p_size % 7 AS STRING) AS repo_id, 'm' || CAST(p_partkey % 37 AS STRING) AS file, p_partkey AS line, {pick('p_partkey', *[t.replace(chr(39), chr(39) * 2) for t in DECLARED])} AS text FROM {{part}}"
+
+
+def field_lines(spark, d):
+    own = lines(spark, d).select("repo_id", F.col("doc_id").cast("string").alias("file"), F.col("line").cast("long").alias("line"), "text")
+    return sql(spark, d, FIELDS).unionByName(own)
 
 
-@query("p28_detect_names", conf(KV + f", w AS (SELECT *, ' ' || array_to_string({TOKENS}, ' ') || ' ' AS w FROM k), n AS (SELECT *, {NAMES} AS data_class FROM w) SELECT repo_id, file, line, name, data_class FROM n WHERE data_class IS NOT NULL"))
+#: The forms apart, the first that fits by its number; names by the words of identifiers.
+FORMS_SQL = "c AS (SELECT * FROM (" + plain(FIELDS) + ") UNION ALL SELECT repo_id, CAST(doc_id AS VARCHAR), line, text FROM (" + LINES["duckdb"] + ")), d0 AS (" + " UNION ALL ".join(f"SELECT repo_id, file, line, {i} AS o, '{n}' AS form, regexp_extract(text, '{q(p)}', 1) AS name, lower(regexp_extract(text, '{q(p)}', 2)) AS type, TRY_CAST(nullif(regexp_extract(text, '{q(p)}', 3), '') AS INTEGER) AS length FROM c WHERE regexp_matches(text, '{q(p)}')" for i, (n, p) in enumerate(op.FIELD_FORMS)) + "), d AS (SELECT * EXCLUDE (o, n) FROM (SELECT *, row_number() OVER (PARTITION BY repo_id, file, line ORDER BY o) AS n FROM d0) WHERE n = 1)"
+SYNONYMS = "(VALUES " + ", ".join(f"({i}, '{k}', ' {w.replace('_', ' ')} ')" for i, (k, ws) in enumerate(op.FIELD_NAMES.items()) for w in ws) + ") y(o, k, w)"
+
+
+@query("p28_detect_names", f"WITH {FORMS_SQL}, n AS (SELECT *, ' ' || array_to_string({TOKENS}, ' ') || ' ' AS ws FROM d), k AS (SELECT *, (SELECT arg_min(k, o) FROM {SYNONYMS} WHERE contains(ws, w)) AS data_class FROM n) SELECT repo_id, file, line, form, name, data_class, CASE WHEN regexp_matches(type, 'bool|enum|choice|yesno|flag') THEN 0.35 WHEN (data_class = 'AADHAAR' AND (length = 12 OR type = 'bigint')) OR (data_class = 'PAN' AND length = 10) OR (data_class = 'PAYMENT_CARD' AND length BETWEEN 13 AND 19) THEN 0.9 ELSE 0.68 END::DOUBLE AS confidence FROM k WHERE data_class IS NOT NULL")
 def p28(spark, d):
-    return op.detect_names(op.extract_config_kv(config(spark, d))).select("repo_id", "file", "line", "name", "data_class")
+    return op.detect_names(op.declared_fields(field_lines(spark, d))).select("repo_id", "file", "line", "form", "name", "data_class", "confidence")
 
 
-SENS = "CASE WHEN regexp_matches(lower(text), 'patient|medical|health|diagnos') THEN 'HEALTH' WHEN regexp_matches(lower(text), 'email|phone|address|passport|@') THEN 'PII' WHEN regexp_matches(lower(text), 'card|iban|payment|invoice') THEN 'FINANCIAL' WHEN regexp_matches(lower(text), 'password|token|session|login') THEN 'AUTH' END"
+SENS = "coalesce((SELECT arg_min(k, o) FROM (VALUES " + ", ".join(f"({i}, '{k}', '{w}')" for i, (k, ws) in enumerate(op.SENSITIVE_WORDS.items()) for w in ws) + ") y(o, k, w) WHERE contains(lower(text), w)), 'GENERAL')"
 
 
 @query("p24_data_sensitivity", docs(f"SELECT {SENS} AS sensitivity, count(*) AS n FROM c GROUP BY ALL"))
@@ -384,9 +398,68 @@ def s9(spark, d):
     return op.parse_suppressions(config(spark, d))
 
 
-@query("p22_exposure_surface", conf("WITH n AS (SELECT repo_id, lower(replace(coalesce(nullif(regexp_extract(text, '^\\s*proxy_pass\\s+https?://([\\w-]+)', 1), ''), nullif(regexp_extract(text, '^\\s*host:\\s*([\\w-]+)', 1), ''), nullif(regexp_extract(text, '^\\s*EXPOSE\\s+(\\d+)', 1), '')), '_', '-')) AS name FROM c) SELECT DISTINCT repo_id, name FROM n WHERE name IS NOT NULL"))
+#: A repository of seven files for each part, some of which open it to the outside.
+SURFACE = """SELECT CAST(p_partkey AS BIGINT) AS repo_id, x.f AS file, x.l AS line, replace(replace(x.t, '@', CAST(p_partkey % 9 AS STRING)), '#', CASE WHEN p_partkey % 3 = 0 THEN '' ELSE 'x' END) AS text FROM {part}, (
+ SELECT 'deploy/docker-compose.yml' AS f, 1 AS l, 'services:' AS t UNION ALL SELECT 'deploy/docker-compose.yml', 2, '  web_@:' UNION ALL SELECT 'deploy/docker-compose.yml', 3, '    build: ./apps/web@' UNION ALL SELECT 'deploy/docker-compose.yml', 4, '    ports:' UNION ALL SELECT 'deploy/docker-compose.yml', 5, '      - "#8080:80"' UNION ALL SELECT 'deploy/docker-compose.yml', 6, '  db:' UNION ALL SELECT 'deploy/docker-compose.yml', 7, '    image: postgres'
+ UNION ALL SELECT 'svc@/Dockerfile', 1, 'FROM debian:12' UNION ALL SELECT 'svc@/Dockerfile', 2, '#EXPOSE 8080' UNION ALL SELECT 'svc@/Dockerfile', 3, 'LABEL service="pay-@"'
+ UNION ALL SELECT 'k8s/all.yaml', 1, 'kind: Service' UNION ALL SELECT 'k8s/all.yaml', 2, 'metadata:' UNION ALL SELECT 'k8s/all.yaml', 3, '  name: api_@' UNION ALL SELECT 'k8s/all.yaml', 4, '  type: #LoadBalancer' UNION ALL SELECT 'k8s/all.yaml', 5, '---' UNION ALL SELECT 'k8s/all.yaml', 6, 'kind: Ingress' UNION ALL SELECT 'k8s/all.yaml', 7, '  serviceName: shop'
+ UNION ALL SELECT 'infra/net/main.tf', 1, 'resource "aws_sg" "edge@-sg"' UNION ALL SELECT 'infra/net/main.tf', 2, '  cidr_blocks = ["#0.0.0.0/0"]'
+ UNION ALL SELECT 'conf/nginx.conf', 1, '  #listen 443;' UNION ALL SELECT 'conf/nginx.conf', 2, '  server_name www@.example.org localhost;' UNION ALL SELECT 'conf/nginx.conf', 3, '  proxy_pass http://up_@:80;') x"""
+#: What these files show, written down by hand for each repository: everything if its number divides by three, else what stays open.
+SHOWN = """WITH p AS (SELECT p_partkey AS repo_id, CAST(p_partkey % 9 AS VARCHAR) AS n, p_partkey % 3 = 0 AS o FROM part),
+r AS (SELECT repo_id, 'service' AS kind, unnest(['web_' || n, 'web-' || n]) AS name FROM p WHERE o UNION ALL SELECT repo_id, 'folder', 'apps/web' || n FROM p WHERE o UNION ALL SELECT repo_id, 'folder', 'svc@' FROM p WHERE o UNION ALL SELECT repo_id, 'service', unnest(['pay-' || n, 'pay_' || n]) FROM p
+ UNION ALL SELECT repo_id, 'service', unnest(['api_' || n, 'api-' || n]) FROM p WHERE o UNION ALL SELECT repo_id, 'folder', 'k8s' FROM p UNION ALL SELECT repo_id, 'service', 'shop' FROM p
+ UNION ALL SELECT repo_id, 'folder', 'infra/net' FROM p UNION ALL SELECT repo_id, 'service', 'edge' || n FROM p
+ UNION ALL SELECT repo_id, 'folder', 'conf' FROM p WHERE o UNION ALL SELECT repo_id, 'service', 'www' || n FROM p WHERE o UNION ALL SELECT repo_id, 'service', unnest(['up_' || n, 'up-' || n]) FROM p WHERE o)"""
+
+
+def surface(spark, d):
+    from qvault.operators.exposure import exposure_surface
+
+    return exposure_surface(sql(spark, d, SURFACE))
+
+
+@query("p22_exposure_surface", SHOWN + " SELECT DISTINCT * FROM r")
 def p22(spark, d):
-    return op.exposure_surface(config(spark, d))
+    return surface(spark, d)
+
+
+PATHS_OF = f"SELECT CAST(p_partkey AS BIGINT) AS repo_id, p_size AS n, {pick('p_partkey + p_size', 'apps/web1/app.py', 'lib/api-3/x.go', 'k8s/util.py', 'tests/gateway/t.py', 'src/public/key.js', 'src/public_key/a.js', 'a/edge/b.py', 'src/core/a.py', 'data/x.sqlite', 'prisma/s.py', 'up_4.conf', 'config/.env.local', 'pay-5/charge.py')} AS file FROM {{part}}"
+
+
+@query(
+    "p23_classify_exposure",
+    SHOWN
+    + f""", f AS (SELECT * FROM ({plain(PATHS_OF)})), v AS (SELECT *, string_split(lower(file), '/') AS parts, string_split(lower(file), '/')[-1] AS base FROM f),
+w AS (SELECT *, list_transform(parts, lambda x: regexp_replace(x, '[.][^.]*$', '')) AS stems FROM v),
+z AS (SELECT *, (SELECT min(name) FROM r WHERE r.repo_id = w.repo_id AND kind = 'service' AND (list_contains(parts, name) OR list_contains(stems, name) OR list_contains(list_transform(stems, lambda x: replace(x, '_', '-')), name) OR list_contains(list_transform(stems, lambda x: replace(x, '-', '_')), name))) AS svc, (SELECT min(name) FROM r WHERE r.repo_id = w.repo_id AND kind = 'folder' AND (starts_with(file, name || '/') OR file = name)) AS dir FROM w)
+SELECT repo_id, n, file, CASE WHEN reason = 'private artefact' OR reason = 'no sign' THEN 'internal' ELSE 'external-facing' END AS exposure, reason AS exposure_reason FROM (SELECT *, CASE WHEN (regexp_matches(base, '[.](db|sqlite|sqlite3|sql|prisma|lock|log)$') OR base = '.env' OR starts_with(base, '.env.') OR list_has_any(parts, ['tests', 'test', 'fixtures', 'mock', 'mocks', 'prisma', 'migrations', 'scripts', 'tools', 'internal'])) AND NOT regexp_matches(base, 'external|gateway|edge|webhook|dmz') THEN 'private artefact'
+ WHEN svc IS NOT NULL THEN 'service:' || svc WHEN dir IS NOT NULL THEN 'folder:' || dir WHEN contains(lower(file), 'external') THEN 'keyword:external' WHEN (starts_with(file, 'public/') OR contains(file, '/public/') OR contains(file, 'public_') OR contains(file, '_public') OR contains(file, 'public-') OR contains(file, '-public')) AND NOT contains(file, 'public_key') THEN 'keyword:public' WHEN contains(file, 'edge') THEN 'keyword:edge' WHEN contains(file, 'gateway') THEN 'keyword:gateway' ELSE 'no sign' END AS reason FROM z)""",
+)
+def p23(spark, d):
+    from qvault.operators.exposure import classify_exposure
+
+    return classify_exposure(sql(spark, d, PATHS_OF), surface(spark, d)).select("repo_id", "n", "file", "exposure", "exposure_reason")
+
+
+SCORED_PLACES = f"SELECT p_partkey AS id, {pick('p_size', 'src/a.py', 'lib/tests/x.py', 'edge/b.go', 'docker-compose.yml', 'src/jobs/j.py', 'x/tests/gateway.py', 'data/d.sqlite')} AS file, 'RSA' AS algorithm, {pick('p_partkey', 'app.post(x)', 'bind 0.0.0.0', 'connect localhost', 'x = 1', 'EXPOSE 80', 'type: ClusterIP', '@RestController', 'http.HandleFunc on 127.0.0.1')} AS code_snippet, {pick('p_partkey + p_size', None, None, 'internal', None, 'external-facing', None)} AS exposure FROM {{part}}"
+
+
+@query(
+    "p32_exposure_scored",
+    f"""WITH t AS (SELECT *, lower(file || ' RSA ' || code_snippet) AS x FROM ({plain(SCORED_PLACES)})),
+s AS (SELECT *, CASE WHEN contains(x, 'app.post(') THEN 'express route' WHEN contains(x, '@restcontroller') THEN 'spring controller' WHEN contains(x, 'http.handlefunc') THEN 'go handler' END AS route, CASE WHEN contains(x, 'docker-compose') AND contains(x, 'expose 80') THEN 'public deployment' WHEN contains(x, 'docker-compose') AND contains(x, 'clusterip') THEN 'internal deployment' END AS dep,
+ CASE WHEN contains(x, '0.0.0.0') THEN 'public binding' WHEN contains(x, '127.0.0.1') OR contains(x, 'localhost') THEN 'loopback binding' END AS bind, CASE WHEN contains(file, 'edge') OR contains(file, 'gateway') THEN 'outward path' WHEN contains(file, '/tests/') OR contains(file, '/jobs/') THEN 'internal path' END AS word FROM t),
+a AS (SELECT *, CASE WHEN route IS NOT NULL OR dep = 'public deployment' THEN 5.0 WHEN dep IS NOT NULL THEN 1.0 ELSE 0.0 END AS s0 FROM s),
+b AS (SELECT *, CASE bind WHEN 'public binding' THEN CASE WHEN s0 = 0 THEN 4.0 ELSE least(5.0, s0 + 0.5) END WHEN 'loopback binding' THEN CASE WHEN s0 = 0 THEN 1.0 ELSE greatest(1.0, s0 - 1) END ELSE s0 END AS s1 FROM a),
+c AS (SELECT *, CASE WHEN s1 > 0 THEN s1 WHEN word = 'outward path' THEN 4.0 ELSE 1.0 END AS s2, exposure = 'internal' AS si, exposure = 'external-facing' AS se, ends_with(file, '.sqlite') OR (contains(file, '/tests/') AND NOT contains(file, 'gateway')) AS kind FROM b)
+SELECT id, CASE WHEN si THEN 'Internal' WHEN se THEN 'External' WHEN kind THEN 'Internal' WHEN s2 >= 4 THEN 'External' ELSE 'Internal' END AS exposure_label, CASE WHEN si THEN 1.0 WHEN se THEN 5.0 WHEN kind THEN 1.0 ELSE s2 END::DOUBLE AS exposure_score,
+ CASE WHEN si OR se OR kind OR route IS NOT NULL OR dep IS NOT NULL THEN 'High' WHEN bind IS NOT NULL OR (s1 = 0 AND word = 'outward path') THEN 'Medium' ELSE 'Low' END AS exposure_confidence, CASE WHEN si OR se THEN 'stated' WHEN kind THEN 'internal file' ELSE coalesce(nullif(concat_ws(',', route, dep, bind, word), ''), 'no sign') END AS signals FROM c""",
+)
+def p32(spark, d):
+    from qvault.operators.exposure import classify_exposure_scored
+
+    return classify_exposure_scored(sql(spark, d, SCORED_PLACES)).select("id", "exposure_label", "exposure_score", "exposure_confidence", F.array_join("exposure_signals", ",").alias("signals"))
 
 
 @query("f23_minified", "WITH x AS (SELECT doc_id, text, list_max(list_transform(string_split(text, chr(10)), lambda s: length(s))) AS longest, length(regexp_replace(text, '[^\\s]', '', 'g')) AS blanks FROM documents) SELECT doc_id, longest > 500 OR (length(text) > 2000 AND blanks / length(text)::DOUBLE < 0.02) AS minified FROM x")

@@ -125,6 +125,20 @@ def j8(spark, d):
     return matched(spark, d)
 
 
+@query("t7_stream_matches", with_match("SELECT * FROM m"))
+def t7(spark, d):
+    """Events written as JSON lines, read as a stream, and matched batch by batch."""
+    from qvault.storage import new_path
+    from qvault.streaming.events import match_stream, read_event_stream
+
+    source, sink, state = (new_path(spark, f"stream-{x}") for x in ("events", "matches", "state"))
+    e = events(spark, d).select("event_id", "file", "line", "algorithm")
+    e.write.json(source)
+    f = findings(spark, d).withColumn("finding_id", F.col("scan_id") * 100 + F.col("ordinal")).withColumn("ordinal", F.col("finding_id"))
+    match_stream(read_event_stream(spark, source, e.schema), f, sink, state).awaitTermination()
+    return spark.read.parquet(sink).drop("epoch")
+
+
 @query("a21_evidence_report", with_match("SELECT run_id, algorithm, operation, library, file, line, count(*) AS count, min(ts) AS first_seen, max(ts) AS last_seen, arg_min(matched_finding_id, (ts, event_id)) FILTER (WHERE matched_finding_id IS NOT NULL) AS matched_finding_id, upper(algorithm) IN ('RSA', 'ECDSA', 'ECDH', 'DH', 'DSA', 'ED25519', 'ED448') AS is_quantum_vulnerable FROM events_ JOIN m USING (event_id) GROUP BY run_id, algorithm, operation, library, file, line"))
 def a21(spark, d):
     return rt.evidence_report(events(spark, d).join(matched(spark, d), "event_id"))

@@ -65,6 +65,16 @@ def a10(spark, d):
     return op.hndl_analysis(scored(spark, d), "scan_id").withColumn("portfolio", F.round("portfolio", 6))
 
 
+@query("a10_hndl_algorithms", over("findings", f"WITH {SCORED} SELECT scan_id, algorithm, count(*) AS findings, max(score) AS max_score, count(DISTINCT (file, line)) AS places, ['low', 'low', 'medium', 'high', 'critical', 'critical'][CAST(max(score) // 20 AS INTEGER) + 1] AS band FROM s GROUP BY scan_id, algorithm"))
+def a10b(spark, d):
+    return op.hndl_algorithms(scored(spark, d), "scan_id")
+
+
+@query("a13_migration_blockers", over("findings", "WITH n AS (SELECT scan_id, algorithm, count(DISTINCT file) AS n FROM findings GROUP BY ALL) SELECT scan_id, count(*) FILTER (WHERE category IN ('hardcoded-secret', 'secret')) AS hardcoded, count(*) FILTER (WHERE library IS NULL) AS unsupported, count(*) FILTER (WHERE n > 5) AS wide, round(avg(greatest(0, 100 - CASE WHEN category IN ('hardcoded-secret', 'secret') THEN 40 ELSE 0 END - CASE WHEN library IS NULL THEN 20 ELSE 0 END - least(40, 5 * n - 5))), 6) AS mean_agility FROM findings JOIN n USING (scan_id, algorithm) GROUP BY scan_id"))
+def a13b(spark, d):
+    return op.migration_blockers(findings(spark, d), "scan_id")
+
+
 @query("a11_repo_risk_score", over("findings", f"SELECT scan_id, sum(v) AS points, greatest(8.0, least(99.0, floor(100 * (1 - exp(-sum(v) / 32)) + 0.5)))::DOUBLE AS risk FROM (SELECT scan_id, CASE {SEV} WHEN 4 THEN 6.0 WHEN 3 THEN 3.0 WHEN 2 THEN 1.0 WHEN 1 THEN 0.5 ELSE 0.0 END::DOUBLE AS v FROM findings) GROUP BY scan_id"))
 def a11(spark, d):
     return op.repo_risk_score(findings(spark, d), "scan_id")
@@ -105,19 +115,6 @@ def p35(spark, d):
     return op.migration_scope(findings(spark, d))
 
 
-EXPOSED = "CASE WHEN regexp_matches(lower(file), '(^|/)tests?/') THEN 'private' WHEN regexp_matches(lower(file), '(^|/)(api|public|gateway)/') OR regexp_matches(lower(file), 'server\\.') THEN 'external-facing' WHEN regexp_matches(lower(file), 'login|auth|pay') THEN 'external-facing' ELSE 'internal' END"
-
-
-@query("p23_classify_exposure", over("findings", f"SELECT scan_id, ordinal, {EXPOSED} AS exposure FROM findings"))
-def p23(spark, d):
-    return op.classify_exposure(findings(spark, d)).select("scan_id", "ordinal", "exposure")
-
-
-@query("p32_exposure_scored", over("findings", "WITH g AS (SELECT scan_id, ordinal, lower(file) AS f FROM findings), h AS (SELECT *, concat_ws(',', CASE WHEN regexp_matches(f, '(^|/)api/') THEN 'route' END, CASE WHEN regexp_matches(f, 'server\\.') THEN 'binding' END, CASE WHEN regexp_matches(f, 'login|auth|pay') THEN 'keyword' END, CASE WHEN regexp_matches(f, '\\.(yml|tf)$') THEN 'deploy config' END) AS signals FROM g) SELECT scan_id, ordinal, signals, CAST(least(100, greatest(0, 35 * CASE WHEN signals = '' THEN 0 ELSE len(string_split(signals, ',')) END - CASE WHEN regexp_matches(f, '(^|/)tests?/') THEN 50 ELSE 0 END)) AS INTEGER) AS exposure_score FROM h"))
-def p32(spark, d):
-    return op.exposure_scored(findings(spark, d)).select("scan_id", "ordinal", "signals", "exposure_score")
-
-
 @query("j22_affected_by", over("findings", f"SELECT DISTINCT scan_id, file, line, algorithm FROM findings WHERE {DEDUP_FAMILY} = 'RSA'"))
 def j22(spark, d):
     from qvault.functions.findings import algorithm_family
@@ -132,6 +129,11 @@ def a25(spark, d):
     return op.fleet_kpis(latest_per_key(scans(spark, d), ["repo_id"], [F.desc("created_at"), F.desc("scan_id")]))
 
 
+@query("a25_fleet_trend", over("scans", "SELECT CAST(created_at AS DATE) AS day, count(*) AS scans, round(avg(score), 6) AS mean_score, count(*) FILTER (WHERE status = 'F') AS finished FROM scans GROUP BY 1 ORDER BY 1 DESC LIMIT 14"))
+def a25_trend(spark, d):
+    return op.fleet_trend(scans(spark, d))
+
+
 GANTT = "SELECT o_orderkey AS task_id, o_custkey % 50 AS plan, CAST(o_orderkey % 24 AS INT) AS start_month, CAST(o_orderkey % 24 + 1 + o_custkey % 6 AS INT) AS end_month, CAST(o_custkey % 30 AS INT) AS deadline, CAST(o_custkey % 5 AS DOUBLE) AS weight FROM {orders}"
 
 
@@ -151,6 +153,14 @@ def j20(spark, d):
     return op.compare_schedules(g, g.withColumn("start_month", F.expr("CAST(start_month - task_id % 3 AS INT)")))
 
 
+VARIED = f"SELECT task_id, plan, CAST(start_month - task_id % 3 AS INT) AS start_month, CAST(end_month - task_id % 3 AS INT) AS end_month, deadline, weight FROM ({GANTT}) x"
+
+
+@query("j20_improvement", f"WITH b AS ({plain(GANTT)}), v AS ({plain(VARIED)}) SELECT plan, sum(b.weight * b.end_month) AS base_exposure, sum(v.weight * v.end_month) AS new_exposure, count(*) FILTER (WHERE b.start_month <> v.start_month) AS moved, coalesce(round(100 * (sum(b.weight * b.end_month) - sum(v.weight * v.end_month)) / nullif(sum(b.weight * b.end_month), 0), 6), 0.0)::DOUBLE AS improvement FROM b JOIN v USING (task_id, plan) GROUP BY plan")
+def j20b(spark, d):
+    return op.schedule_improvement(sql(spark, d, GANTT), sql(spark, d, VARIED), "plan")
+
+
 @query("a24_u4_detection_quality", "WITH e AS (SELECT doc_id AS item, CASE WHEN doc_id % 2 = 0 THEN 'regex' ELSE 'ast' END AS layer FROM labels WHERE quality = 0), a AS (SELECT doc_id AS item, CASE WHEN doc_id % 2 = 0 THEN 'regex' ELSE 'ast' END AS layer FROM documents WHERE contains(text, '***') OR contains(text, '!!')), j AS (SELECT coalesce(e.layer, a.layer) AS layer, e.item AS e, a.item AS a FROM e FULL OUTER JOIN a ON e.item = a.item AND e.layer = a.layer), c AS (SELECT coalesce(layer, 'all') AS layer, count(*) FILTER (WHERE e IS NOT NULL AND a IS NOT NULL) AS tp, count(*) FILTER (WHERE e IS NULL) AS fp, count(*) FILTER (WHERE a IS NULL) AS fn FROM j GROUP BY ROLLUP (layer)) SELECT *, round(tp / (tp + fp), 6) AS precision, round(tp / (tp + fn), 6) AS recall, round(2 * (tp / (tp + fp)) * (tp / (tp + fn)) / (tp / (tp + fp) + tp / (tp + fn)), 6) AS f1 FROM c")
 def a24(spark, d):
     layer = F.when(F.col("item") % 2 == 0, "regex").otherwise("ast")
@@ -243,6 +253,14 @@ def j15(spark, d):
     return exposures(spark, d).withColumn("probability", F.round("probability", 6)).withColumn("weight", F.round("weight", 6))
 
 
+PROTECTORS = f"SELECT c_custkey AS asset_id, {pick('c_custkey', 'PQC', 'RSA', 'AES')} AS family, {pick('c_custkey', 'encryption', 'jwt', 'encryption', 'signature')} AS usage FROM {{customer}}"
+
+
+@query("j15_exposure_gaps", f"WITH {LINKS}, g AS (SELECT field_id, bool_and(family = 'PQC' OR usage IN ('jwt', 'signature')) AS skipped FROM l JOIN ({plain(PROTECTORS)}) USING (asset_id) GROUP BY field_id) SELECT f.field_id, CASE WHEN skipped IS NULL THEN 'unprotected' ELSE 'skipped' END AS gap FROM f LEFT JOIN g USING (field_id) WHERE skipped IS NULL OR skipped")
+def j15b(spark, d):
+    return op.exposure_gaps(sql(spark, d, FIELDS), linked(spark, d), sql(spark, d, PROTECTORS))
+
+
 @query("a19_exposure_summary", f"WITH {EXPOSURE}, w AS (SELECT scenario, field_id, max(weight) AS w FROM ex GROUP BY ALL) SELECT scenario, round(sum(w), 6) AS expected, count(*) FILTER (WHERE w >= 0.2) AS likely FROM w GROUP BY scenario")
 def a19(spark, d):
     return op.exposure_summary(exposures(spark, d))
