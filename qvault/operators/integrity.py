@@ -75,6 +75,13 @@ def verify_batch(claims: DataFrame, anchors: DataFrame) -> DataFrame:
     return joined.withColumn("reason", reason).withColumn("valid", F.col("reason").isNull()).drop("_anchored")
 
 
+def verify_batch_proofs(claims: DataFrame, anchors: DataFrame) -> DataFrame:
+    """Claims (batch, leaf, proof) of members of a batch against the batch's anchored root (batch, root): the proof must lead there."""
+    joined = claims.join(anchors.select("batch", F.col("root").alias("_anchored")), "batch", "left")
+    reason = F.when(F.col("_anchored").isNull(), "not anchored").when(~verify_proof(F.col("leaf"), F.col("proof"), F.col("_anchored")), "proof invalid")
+    return joined.withColumn("reason", reason).withColumn("valid", F.col("reason").isNull()).drop("_anchored")
+
+
 def first_anchor(anchors: DataFrame, key: str, order: Sequence) -> DataFrame:
     """The first anchor per key counts; later ones are marked rejected."""
     return anchors.withColumn("accepted", F.row_number().over(Window.partitionBy(key).orderBy(*order)) == 1)

@@ -39,6 +39,21 @@ def j19(spark, d):
     return op.verify_batch(roots, anchors).select("tree", "reason", "valid")
 
 
+@query("j19_batch_proofs", over("findings", "WITH s AS (SELECT DISTINCT scan_id, scan_id // 64 AS batch FROM findings), r AS (SELECT *, row_number() OVER (PARTITION BY batch ORDER BY scan_id) - 1 AS idx FROM s) SELECT batch, idx, CASE WHEN batch % 5 = 0 THEN 'not anchored' WHEN idx % 7 = 0 THEN 'proof invalid' END AS reason, NOT (batch % 5 = 0 OR idx % 7 = 0) AS valid FROM r"))
+def j19b(spark, d):
+    """Scans committed in batches of neighbours; some batches are not anchored, some scans were changed since."""
+    from pyspark.sql import Window
+
+    batch = F.floor(F.col("tree") / 64)
+    w = Window.partitionBy("batch")
+    members = op.merkle_roots(leaves(spark, d)).select(batch.alias("batch"), "tree", "root")
+    table = members.select(F.col("batch").alias("tree"), (F.row_number().over(w.orderBy("tree")) - 1).cast("long").alias("idx"), F.col("root").alias("hash"), F.count("*").over(w).alias("n"))
+    proofs = op.merkle_proofs(table).withColumnRenamed("tree", "batch")
+    anchors = proofs.where("batch % 5 <> 0").select("batch", "root").distinct()
+    changed = proofs.withColumn("leaf", F.when(F.col("idx") % 7 == 0, "00").otherwise(F.col("leaf")))
+    return op.verify_batch_proofs(changed.drop("root"), anchors).select("batch", "idx", "reason", "valid")
+
+
 @query("j23_verify_packages", over("findings", f"WITH {LEVELS} SELECT scan_id AS package_id, concat_ws(',', CASE WHEN scan_id % 4 = 0 THEN 'content hash' END, CASE WHEN scan_id % 6 = 0 THEN 'merkle root' END) AS errors, NOT (scan_id % 4 = 0 OR scan_id % 6 = 0) AS valid FROM l4"))
 def j23(spark, d):
     roots = op.merkle_roots(leaves(spark, d))
