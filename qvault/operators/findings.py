@@ -215,3 +215,10 @@ def summarize(findings: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     dims = ["severity", "quantum_risk", "language"]
     tall = findings.select(*keys, "suppressed", F.explode(F.array(F.struct(F.lit("total").alias("dimension"), F.lit("all").alias("value")), *[F.struct(F.lit(d).alias("dimension"), F.col(d).alias("value")) for d in dims])).alias("x"))
     return tall.groupBy(*keys, "x.dimension", "x.value").agg(F.count_if(~F.col("suppressed")).alias("active"), F.count_if("suppressed").alias("suppressed"))
+
+
+def files_with_findings(findings: DataFrame, keys: Sequence[str] = ("scan_id",)) -> DataFrame:
+    """Per scan: the files that have findings, the active and the suppressed findings, and the worst active severity."""
+    kept = ~F.col("suppressed")
+    worst = severity_of_rank(F.max(F.when(kept, severity_rank(F.col("severity")))))
+    return findings.groupBy(*keys).agg(F.count_distinct("file").alias("files"), F.count_if(kept).alias("active"), F.count_if(~kept).alias("suppressed"), worst.alias("worst"))

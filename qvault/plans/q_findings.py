@@ -160,6 +160,11 @@ def a1(spark, d):
     return op.summarize(findings(spark, d))
 
 
+@query("a1_files_with_findings", over("findings", f"SELECT scan_id, count(DISTINCT file) AS files, count(*) FILTER (WHERE NOT suppressed) AS active, count(*) FILTER (WHERE suppressed) AS suppressed, ['Informational', 'Low', 'Medium', 'High', 'Critical'][max({RANK.format('severity')}) FILTER (WHERE NOT suppressed) + 1] AS worst FROM findings GROUP BY scan_id"))
+def a1_files(spark, d):
+    return op.files_with_findings(findings(spark, d))
+
+
 @query("f1_finding_fingerprint", over("findings", "SELECT scan_id, ordinal, substr(sha256(rule_id || ':' || algorithm || ':' || trim(code_snippet)), 1, 16) AS fingerprint FROM findings"))
 def f1(spark, d):
     return findings(spark, d).select(*ID, finding_fingerprint(F.col("rule_id"), F.col("algorithm"), F.col("code_snippet")).alias("fingerprint"))

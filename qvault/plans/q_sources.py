@@ -10,7 +10,7 @@ from qvault.operators.gate import load_policy
 from qvault.plans.bindings import assets, findings, over, pick, plain, sql
 from qvault.plans.registry import query
 from qvault.sources import files as src
-from qvault.storage import new_path
+from qvault.storage import load, new_path
 
 
 @query("s3_findings_round_trip", over("findings", "SELECT scan_id, ordinal, file, algorithm, mode, CAST(key_size AS BIGINT) AS key_size, suppressed FROM findings"))
@@ -59,3 +59,42 @@ def s8(spark, d):
     rows = src.policy_table(spark, {"waiver_max_days": "30"}).collect()  # one row per key of the policy
     each = F.explode(F.array(*[F.struct(F.lit(r["key"]).alias("key"), F.lit(r["value"]).alias("value")) for r in rows]))
     return sql(spark, d, "SELECT c_custkey AS repo_id FROM {customer}").withColumn("p", each).select("repo_id", "p.*")
+
+
+@query("s1_source_tree", "SELECT source AS repo_id, CAST(sum(octet_length(encode(coalesce(text, ''))) + 1) AS BIGINT) AS bytes FROM documents WHERE source IS NOT NULL GROUP BY source")
+def s1_tree(spark, d):
+    """Documents written as files of a tree, a folder per source, beside a vendor folder that the scan leaves out."""
+    path = new_path(spark, "tree")
+    docs = load(spark, d, "documents").where("source is not null").select(F.coalesce("text", F.lit("")).alias("value"), "source")
+    for folder in ("src", "vendor"):
+        docs.write.partitionBy("source").text(f"{path}/{folder}")
+    found = src.read_source_files(spark, path, glob="*.txt", max_bytes=1 << 40)
+    return found.groupBy(F.regexp_extract("path", "source=([^/]+)/", 1).alias("repo_id")).agg(F.sum("size").alias("bytes"))
+
+
+WAIVED = "SELECT o_orderkey AS n, 'W' || CAST(o_orderkey AS STRING) AS id, 'owner' || CAST(o_custkey % 9 AS STRING) AS owner, 'accepted until the next release' AS reason, substr(CAST(o_orderdate AS STRING), 1, 10) AS expires, CASE WHEN o_orderkey % 2 = 0 THEN 'RSA' END AS algorithm, CASE WHEN o_orderkey % 3 = 0 THEN 'src/*' END AS path FROM {orders}"
+
+
+@query("s8_load_waivers", f"SELECT id AS waiver_id, owner, expires, NULL AS match_fingerprint, algorithm AS match_algorithm, path AS match_path FROM ({plain(WAIVED)})")
+def s8_waivers(spark, d):
+    path = new_path(spark, "waivers")
+    rows = sql(spark, d, WAIVED)
+    rows.select("id", "owner", "reason", "expires", F.struct("algorithm", "path").alias("match")).write.json(path)
+    return src.load_waivers(spark, path, lines=True).select("waiver_id", "owner", "expires", "match_fingerprint", "match_algorithm", "match_path")
+
+
+LOCKS = f"""SELECT p_partkey AS repo_id, 'r/' || {pick('p_partkey', 'package-lock.json', 'requirements.txt', 'package-lock.json', 'requirements.lock', 'pom.xml')} AS path, replace({pick('p_partkey', '{{"packages":{{"":{{"version":"9.9.9"}},"node_modules/left-pad":{{"version":"1.@.0"}},"node_modules/a/node_modules/b":{{"version":"2.0.@"}}}}}}', 'PyCrypto==2.@ # pinned', '{{"dependencies":{{"left-pad":{{"version":"1.3.@"}}}}}}', 'requests==2.@.1', 'none')}, '@', CAST(p_size % 7 AS STRING)) AS content FROM {{part}}"""
+LOCKED = "SELECT p_partkey AS repo_id, p_partkey % 5 AS k, CAST(p_size % 7 AS VARCHAR) AS n FROM part"
+
+
+@query("s10_read_locks", f"WITH k AS ({LOCKED}) SELECT repo_id, 'npm' AS ecosystem, 'left-pad' AS library, CASE k WHEN 0 THEN '1.' || n || '.0' ELSE '1.3.' || n END AS resolved_version FROM k WHERE k IN (0, 2) UNION ALL SELECT repo_id, 'npm', 'b', '2.0.' || n FROM k WHERE k = 0 UNION ALL SELECT repo_id, 'pypi', 'pycrypto', '2.' || n FROM k WHERE k = 1 UNION ALL SELECT repo_id, 'pypi', 'requests', '2.' || n || '.1' FROM k WHERE k = 3")
+def s10_locks(spark, d):
+    return src.read_locks(sql(spark, d, LOCKS)).drop("path")
+
+
+@query("s13_report_csv", over("findings", "SELECT scan_id, ordinal, CASE WHEN ordinal % 5 = 0 THEN chr(39) || '=' || file ELSE file END AS file, severity FROM findings WHERE severity = 'Critical'"))
+def s13_csv(spark, d):
+    path = new_path(spark, "report")
+    rows = findings(spark, d).where("severity = 'Critical'").select("scan_id", "ordinal", F.expr("CASE WHEN ordinal % 5 = 0 THEN '=' || file ELSE file END").alias("file"), "severity")
+    src.write_report_csv(rows, path)
+    return spark.read.option("header", True).schema("scan_id long, ordinal long, file string, severity string").csv(path)

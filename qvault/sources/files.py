@@ -42,10 +42,10 @@ def policy_table(spark: SparkSession, given: dict | None = None) -> DataFrame:
     return spark.createDataFrame([(k, json.dumps(v)) for k, v in sorted(load_policy(given).items())], "key string, value string")
 
 
-def load_waivers(spark: SparkSession, path: str) -> DataFrame:
-    """Waivers from JSON: a list of objects with id, owner, reason, expires and match."""
+def load_waivers(spark: SparkSession, path: str, *, lines: bool = False) -> DataFrame:
+    """Waivers from JSON, a list of objects with id, owner, reason, expires and match, or with ``lines`` an object a line."""
     schema = "id string, owner string, reason string, expires string, ticket string, match struct<fingerprint:string,algorithm:string,path:string>"
-    rows = spark.read.schema(schema).option("multiLine", True).json(path)
+    rows = spark.read.schema(schema).option("multiLine", not lines).json(path)
     return rows.select(F.col("id").alias("waiver_id"), "owner", "reason", "expires", F.col("match.fingerprint").alias("match_fingerprint"), F.col("match.algorithm").alias("match_algorithm"), F.col("match.path").alias("match_path"))
 
 
@@ -62,6 +62,19 @@ def read_dependencies(files: DataFrame) -> DataFrame:
     return tagged[0].unionByName(tagged[1]).unionByName(tagged[2]).where("library is not null")
 
 
+def read_locks(files: DataFrame) -> DataFrame:
+    """Locked versions (repo_id, path, ecosystem, library, resolved_version) of files (repo_id, path, content): package-lock.json in both its forms, and pins of requirements files."""
+    name = F.element_at(F.split("path", "/"), -1)
+    versions = "map<string,struct<version:string>>"
+    held = lambda at: F.from_json(F.get_json_object("content", at), versions)
+    npm = files.where(name == "package-lock.json").select("repo_id", "path", F.explode(F.array(held("$.packages"), held("$.dependencies"))).alias("m")).select("repo_id", "path", F.explode("m").alias("library", "v"))
+    npm = npm.where("library <> ''").select("repo_id", "path", F.lit("npm").alias("ecosystem"), F.regexp_replace("library", r"^(.*/)?node_modules/", "").alias("library"), F.col("v.version").alias("resolved_version"))
+    pin = r"^([A-Za-z0-9_.-]+)\s*==\s*([\w.]+)"
+    pip = files.where(name.rlike(r"^requirements.*\.(txt|lock)$")).select("repo_id", "path", F.explode(F.split("content", "\n")).alias("line")).where(F.col("line").rlike(pin))
+    pip = pip.select("repo_id", "path", F.lit("pypi").alias("ecosystem"), F.lower(F.regexp_extract("line", pin, 1)).alias("library"), F.regexp_extract("line", pin, 2).alias("resolved_version"))
+    return npm.unionByName(pip).where("resolved_version is not null").distinct()
+
+
 def import_edges(lines: DataFrame) -> DataFrame:
     """One-hop import edges between the files of a repository: (repo_id, file, imported), from lines (repo_id, file, line, text).
 
@@ -96,4 +109,7 @@ def gate_report_rows(violations: DataFrame, keys: Sequence[str], n: int = 20) ->
 
 
 def write_report_csv(rows: DataFrame, path: str) -> None:
+    """Rows as CSV with a header; cells that a spreadsheet would take for a formula begin with an apostrophe."""
+    safe = lambda c: F.when(F.col(c).rlike(r"^[=+\-@\t\r]"), F.concat(F.lit("'"), F.col(c))).otherwise(F.col(c)).alias(c)
+    rows = rows.select(*[safe(c) if kind == "string" else F.col(c) for c, kind in rows.dtypes])
     rows.write.mode("overwrite").option("header", True).csv(path)
