@@ -112,7 +112,7 @@ def latest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence) -> DataF
 
 
 def cbom_diff(current: DataFrame, previous: DataFrame, keys: Sequence[str] = ("repo_id",)) -> DataFrame:
-    """Components of two inventories side by side: added, removed, changed or unchanged, with places that came and went.
+    """Components of two inventories side by side: added, removed, changed or unchanged, with the fields that changed, and places that came and went.
 
     Nulls in the identity are equal to each other.
     """
@@ -125,9 +125,10 @@ def cbom_diff(current: DataFrame, previous: DataFrame, keys: Sequence[str] = ("r
     pick = [F.coalesce(f"a.{k}", f"b.{k}").alias(k) for k in on]
     spots = lambda side: F.coalesce(F.transform(F.col(f"{side}.places"), lambda p: F.concat_ws(":", p["file"], p["line"].cast("string"))), F.array().cast("array<string>"))
     came, went = F.array_except(spots("a"), spots("b")), F.array_except(spots("b"), spots("a"))
-    worse = ~F.col("a.max_severity_rank").eqNullSafe(F.col("b.max_severity_rank"))
-    change = F.when(F.col("b.occurrences").isNull(), "added").when(F.col("a.occurrences").isNull(), "removed").when(worse | (F.size(came) > 0) | (F.size(went) > 0), "changed").otherwise("unchanged")
-    return joined.select(*pick, change.alias("change"), F.size(came).alias("places_added"), F.size(went).alias("places_removed"))
+    differs = lambda c: ~F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}"))
+    fields = F.array_compact(F.array(*[F.when(differs(c), name) for c, name in (("max_severity_rank", "severity"), ("library", "library"), ("occurrences", "occurrences"))], F.when((F.size(came) > 0) | (F.size(went) > 0), "places")))
+    change = F.when(F.col("b.occurrences").isNull(), "added").when(F.col("a.occurrences").isNull(), "removed").when(F.size(fields) > 0, "changed").otherwise("unchanged")
+    return joined.select(*pick, change.alias("change"), F.when(change == "changed", F.array_join(fields, ",")).alias("changed_fields"), F.size(came).alias("places_added"), F.size(went).alias("places_removed"))
 
 
 def version_diff(current: DataFrame, previous: DataFrame, key: str, fields: Sequence[str]) -> DataFrame:

@@ -200,7 +200,8 @@ REPO_COMPONENTS = "SELECT repo_id, algorithm, key_size, usage AS mode, count(*)
 j AS (SELECT coalesce(a.repo_id, b.repo_id) AS repo_id, coalesce(a.algorithm, b.algorithm) AS algorithm, coalesce(a.key_size, b.key_size) AS key_size, coalesce(a.mode, b.mode) AS mode, a.occurrences AS ao, b.occurrences AS bo, a.r AS ar, b.r AS br,
  len(list_filter(coalesce(a.spots, []), lambda x: NOT list_contains(coalesce(b.spots, []), x))) AS came, len(list_filter(coalesce(b.spots, []), lambda x: NOT list_contains(coalesce(a.spots, []), x))) AS went
  FROM a FULL OUTER JOIN b ON a.repo_id = b.repo_id AND a.algorithm = b.algorithm AND a.key_size IS NOT DISTINCT FROM b.key_size AND a.mode IS NOT DISTINCT FROM b.mode)
-SELECT repo_id, algorithm, key_size, mode, CASE WHEN bo IS NULL THEN 'added' WHEN ao IS NULL THEN 'removed' WHEN ar IS DISTINCT FROM br OR came > 0 OR went > 0 THEN 'changed' ELSE 'unchanged' END AS change, CAST(came AS INTEGER) AS places_added, CAST(went AS INTEGER) AS places_removed FROM j""",
+SELECT repo_id, algorithm, key_size, mode, CASE WHEN bo IS NULL THEN 'added' WHEN ao IS NULL THEN 'removed' WHEN ar IS DISTINCT FROM br OR ao <> bo OR came > 0 OR went > 0 THEN 'changed' ELSE 'unchanged' END AS change,
+ CASE WHEN bo IS NOT NULL AND ao IS NOT NULL THEN nullif(concat_ws(',', CASE WHEN ar IS DISTINCT FROM br THEN 'severity' END, CASE WHEN ao <> bo THEN 'occurrences' END, CASE WHEN came > 0 OR went > 0 THEN 'places' END), '') END AS changed_fields, CAST(came AS INTEGER) AS places_added, CAST(went AS INTEGER) AS places_removed FROM j""",
     ),
 )
 def j6(spark, d):
