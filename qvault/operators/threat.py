@@ -19,6 +19,20 @@ def crypto_assets(findings: DataFrame) -> DataFrame:
     return with_family.withColumns({"x": ft.lifetime_years(c("usage")), "y": ft.migration_years(c("usage"), c("family")), "multiplier": ft.key_size_multiplier(c("family"), c("key_size"))})
 
 
+def with_overrides(assets: DataFrame, overrides: DataFrame) -> DataFrame:
+    """Assets whose lifetime x and migration time y give way to those of ``overrides`` (asset_id, data_lifetime_years, migration_time_years) that are stated and not negative."""
+    stated = lambda c: F.when(F.col(c) >= 0, F.col(c).cast("double"))
+    given = overrides.groupBy("asset_id").agg(F.max(stated("data_lifetime_years")).alias("_x"), F.max(stated("migration_time_years")).alias("_y"))
+    return assets.join(given, "asset_id", "left").withColumns({"x": F.coalesce("_x", "x"), "y": F.coalesce("_y", "y")}).drop("_x", "_y")
+
+
+def patch_scenarios(patch: dict[str, dict[str, tuple]], scenarios: dict | None = None) -> dict:
+    """Scenarios with some timelines replaced: only those whose three years ascend from zero or more; others stay as they were."""
+    valid = lambda t: len(t) == 3 and 0 <= t[0] <= t[1] <= t[2]
+    known = scenarios or ft.SCENARIOS
+    return {name: known.get(name, {}) | {f: t for f, t in patch.get(name, {}).items() if valid(t)} for name in {**known, **patch}}
+
+
 def scenario_table(spark: SparkSession, scenarios: dict | None = None, shifts: Sequence[float] = (0.0,)) -> DataFrame:
     """One row per scenario, shift and family, with the timeline's parameters: a few dozen rows."""
     rows = [

@@ -112,3 +112,11 @@ def f19(spark, d):
 def f11(spark, d):
     text = F.expr("CASE WHEN asset_id % 4 = 0 THEN 'Likely' WHEN asset_id % 4 = 1 THEN CAST(size AS STRING) || '%' WHEN asset_id % 4 = 2 THEN CAST(size AS STRING) ELSE 'odd' END")
     return catalogue(spark, d).select("asset_id", ft.confidence_value(text).alias("confidence"))
+
+
+OVERRIDES = "SELECT c_custkey AS asset_id, CASE WHEN c_custkey % 3 = 0 THEN CAST(c_custkey % 30 AS DOUBLE) END AS data_lifetime_years, CASE WHEN c_custkey % 5 = 0 THEN CAST(c_custkey % 7 AS DOUBLE) - 2 END AS migration_time_years FROM {customer} WHERE c_custkey % 2 = 0"
+
+
+@query("x3_overrides", _tables() + f", o AS ({plain(OVERRIDES)}) SELECT a.asset_id, coalesce(data_lifetime_years, x) AS x, coalesce(CASE WHEN migration_time_years >= 0 THEN migration_time_years END, y) AS y FROM assets a LEFT JOIN o ON a.asset_id = o.asset_id")
+def x3(spark, d):
+    return op.with_overrides(op.crypto_assets(sql(spark, d, ASSETS)), sql(spark, d, OVERRIDES)).select("asset_id", "x", "y")

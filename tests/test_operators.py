@@ -111,6 +111,11 @@ def test_gate_verdicts(spark):
     assert verdict(spark, [], [("MD5", "hash", None, "x.py", "digest", "safe")])["prohibited"] == 1
 
 
+def test_patched_scenarios_take_valid_timelines_only():
+    got = model.patch_scenarios({"median": {"RSA": (5, 6, 7), "ECC": (9, 6, 7)}, "mine": {"AES": (1, 2, 3), "DH": (-1, 2, 3)}})
+    assert got["median"]["RSA"] == (5, 6, 7) and got["median"]["ECC"] == threat.SCENARIOS["median"]["ECC"] and got["mine"] == {"AES": (1, 2, 3)} and got["optimistic"] == threat.SCENARIOS["optimistic"]
+
+
 def test_policy_repairs_types():
     got = gate.load_policy({"waiver_max_days": "x", "unknown": 1, "prohibited_algorithms": "MD5", "max_new_quantum_vulnerable": "3"})
     assert got["waiver_max_days"] == 90 and got["max_new_quantum_vulnerable"] == 3 and isinstance(got["prohibited_algorithms"], list) and "unknown" not in got
