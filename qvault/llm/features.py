@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -60,6 +61,15 @@ def sampled(share: float | Column, *columns: str) -> Column:
     return F.pmod(F.xxhash64(F.lit("sample"), *columns), F.lit(1_000_000)) < F.ceil(F.lit(1_000_000) * share)
 
 
+def release_memory() -> None:
+    """Give memory that is no longer used back to the system: workers are reused, and what one task took else stays with the process."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not every C library has it
+        pass
+
+
 class Adam:
     """Gradient steps with momentum and per-weight scale."""
 
