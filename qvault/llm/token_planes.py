@@ -26,15 +26,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from qvault.llm.features import release_memory
 from qvault.llm.files import make_folder, resolve, unique_name
 from qvault.storage import materialize, new_path
 
 MAGIC = b"QTP1"
 BLOCK = 1 << 16
 #: Text that is encoded at once, in bytes: bounds a task's memory however long a batch is.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 8 << 20
 #: Words whose ids a worker remembers.
-CACHE_WORDS = 250_000
+CACHE_WORDS = 400_000
 
 
 def to_planes(ids: np.ndarray, kind: str) -> list[bytes]:
@@ -175,10 +176,11 @@ class WordEncoder:
     #: Words that are encoded in one call.
     TOGETHER = 2000
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cache_words: int = CACHE_WORDS):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.cache_words = cache_words
         self._forget()
 
     def _forget(self) -> None:
@@ -204,7 +206,7 @@ class WordEncoder:
     def _slots(self, words: list[str]) -> np.ndarray:
         known = self.slots
         new = [w for w in words if w not in known]
-        if new and len(known) + len(new) > CACHE_WORDS:
+        if new and len(known) + len(new) > self.cache_words:
             self._forget()
             known, new = self.slots, words
         if new:
@@ -235,24 +237,25 @@ class WordEncoder:
 _encoders: dict[str, WordEncoder] = {}
 
 
-def encoder(path: str) -> WordEncoder:
+def encoder(path: str, cache_words: int = CACHE_WORDS) -> WordEncoder:
     if path not in _encoders:
         _encoders[path] = WordEncoder(path)
+    _encoders[path].cache_words = cache_words
     return _encoders[path]
 
 
-def slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
-    """(first, number) of runs of texts of about SLICE_BYTES; a longer text is a run of its own."""
+def slices(texts: pa.Array, size: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
+    """(first, number) of runs of texts of about ``size`` bytes; a longer text is a run of its own."""
     ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
     first = 0
     while first < len(ends):
         base = ends[first - 1] if first else 0
-        last = max(first + 1, int(np.searchsorted(ends, base + SLICE_BYTES, "right")))
+        last = max(first + 1, int(np.searchsorted(ends, base + size, "right")))
         yield first, last - first
         first = last
 
 
-def write_token_files(docs: DataFrame, folder: str, *, tokenizer: str, end_id: int = 1, kind: str = "byte", by_word: bool = True) -> DataFrame:
+def write_token_files(docs: DataFrame, folder: str, *, tokenizer: str, end_id: int = 1, kind: str = "byte", by_word: bool = True, slice_bytes: int = SLICE_BYTES, cache_words: int = CACHE_WORDS) -> DataFrame:
     """Encode ``docs`` (doc_id, text) in ascending doc_id order into files in ``folder``; returns the manifest.
 
     Documents are sorted by range over the cluster; each task streams its range
@@ -265,17 +268,17 @@ def write_token_files(docs: DataFrame, folder: str, *, tokenizer: str, end_id: i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
         name = unique_name(part, ".qtp")
-        coder, out = encoder(tokenizer), None
+        coder, out = encoder(tokenizer, cache_words), None
         for b in batches:
             out = out or PlaneWriter(f"{folder}/{name}", kind)
             named, ids = b.column(0).is_valid().to_numpy(zero_copy_only=False), pc.fill_null(b.column(0), 0).to_numpy(zero_copy_only=False)
             texts = pc.fill_null(b.column(1), "")
-            for first, n in slices(texts):
+            for first, n in slices(texts, slice_bytes):
                 part_of = texts.slice(first, n)
                 tokens, counts = coder.encode(part_of) if by_word else coder.encode_whole(part_of)
                 ended = np.insert(tokens, np.cumsum(counts), end_id).astype(np.uint32)
                 out.add(ids[first : first + n], counts + 1, ended, int((~named[first : first + n]).sum()))
-            pa.default_memory_pool().release_unused()
+            release_memory()
         if out:
             n_docs, n_ids = out.close()
             yield pa.RecordBatch.from_pydict({"part": [part], "file": [name], "n_docs": [n_docs], "n_ids": [n_ids]})
@@ -315,8 +318,8 @@ def read_token_files(manifest: DataFrame, folder: str) -> DataFrame:
     return spread.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
-def tokenize_to_files(docs: DataFrame, *, tokenizer: str, end_id: int = 1, kind: str = "byte", by_word: bool = True, folder: str | None = None) -> DataFrame:
+def tokenize_to_files(docs: DataFrame, *, tokenizer: str, end_id: int = 1, kind: str = "byte", by_word: bool = True, folder: str | None = None, **bounds) -> DataFrame:
     """Write ``docs`` as token files and read them back: one row per document. An empty table gives no file and no row."""
     folder = folder or new_path(docs.sparkSession, "tokens")
-    manifest, _ = materialize(write_token_files(docs, folder, tokenizer=tokenizer, end_id=end_id, kind=kind, by_word=by_word), "manifest")
+    manifest, _ = materialize(write_token_files(docs, folder, tokenizer=tokenizer, end_id=end_id, kind=kind, by_word=by_word, **bounds), "manifest")
     return read_token_files(manifest, folder)
