@@ -48,3 +48,19 @@ def materialize(df: DataFrame, label: str) -> tuple[DataFrame, str]:
     path = new_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
+
+
+class Scratch:
+    """Tables that an operator writes on its way to a result, so that it can delete those that the result doesn't read."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
+
+    def table(self, df: DataFrame, label: str) -> DataFrame:
+        """``df`` written to the shared folder and read back."""
+        out, self.paths[label] = materialize(df, label)
+        return out
+
+    def drop(self, *labels: str) -> None:
+        for label in labels:
+            drop_path(self.spark, self.paths.pop(label))
