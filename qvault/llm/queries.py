@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from qvault.llm.decontamination import find_contained
+from qvault.llm.divergence import audit_sources
 from qvault.llm.language_id import identify_languages
 from qvault.llm.language_model import score_documents
 from qvault.llm.line_dedup import dedup_lines
@@ -146,3 +147,32 @@ TARGETS = {"good": 0.95, "low": 0.05}
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix(load(spark, sf_dir, "documents"), label_domains(load(spark, sf_dir, "labels")), TARGETS)
     return mixed.select("doc_id", "n_tokens", *[F.col("p")[d].alias(f"p_{d}") for d in TARGETS], "rate", "copies")
+
+
+@query(
+    "op11_source_divergence",
+    f"""
+WITH d AS (
+  SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all({LOWER.format("coalesce(text, '')")}, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS w FROM documents
+), t AS (SELECT id, lang, source, unnest(w) AS term FROM d),
+kept AS (SELECT lang, term, count(*) AS n FROM t GROUP BY lang, term HAVING count(DISTINCT id) >= 30),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT t.lang, t.source, t.term, count(*) AS n FROM t JOIN kept ON t.lang = kept.lang AND t.term = kept.term GROUP BY t.lang, t.source, t.term),
+s AS (SELECT g.lang, g.source, coalesce(sum(c.n), 0) AS total FROM g LEFT JOIN c ON g.lang = c.lang AND g.source = c.source GROUP BY g.lang, g.source),
+l AS (SELECT lang, count(*) AS v, sum(n) AS total FROM kept GROUP BY lang),
+p AS (
+  SELECT s.lang, s.source, kept.term, coalesce(c.n, 0) AS n,
+    1 + CAST(1000000000 AS HUGEINT) * (coalesce(c.n, 0) + 5) // (s.total + 5 * l.v) AS p, 1 + CAST(1000000000 AS HUGEINT) * (kept.n + 5) // (l.total + 5 * l.v) AS q
+  FROM s JOIN kept ON s.lang = kept.lang JOIN l ON l.lang = s.lang LEFT JOIN c ON c.lang = s.lang AND c.source = s.source AND c.term = kept.term
+), f AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY a.lang, a.source, b.source),
+parts AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(f.value, 0) AS BIGINT) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, CAST(p - q AS BIGINT) FROM p WHERE n > 0 AND p > q
+)
+SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM parts) WHERE part = 'pair' OR rank <= 50
+""",
+)
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit_sources(load(spark, sf_dir, "documents"), min_docs=30, top=50)
