@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from qvault.llm.decontamination import find_contained
 from qvault.llm.divergence import audit_sources
+from qvault.llm.hard_negatives import mine_hard_negatives
 from qvault.llm.language_id import identify_languages
 from qvault.llm.language_model import score_documents
 from qvault.llm.line_dedup import dedup_lines
@@ -176,3 +177,25 @@ SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part
 )
 def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit_sources(load(spark, sf_dir, "documents"), min_docs=30, top=50)
+
+
+@query(
+    "op12_hard_negatives",
+    """
+WITH e AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS v
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT a.vec_id AS anchor_id, c.vec_id AS id, a.label = c.label AS same, CAST(list_inner_product(a.v, c.v) AS BIGINT) AS score FROM e a JOIN e c ON a.vec_id <> c.vec_id WHERE a.vec_id % 100 = 0
+), p AS (
+  SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5
+)
+SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY s.score DESC, s.id) AS INTEGER) AS rank, s.id AS negative_id, positive_score, s.score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT s.same AND 30 * positive_score <= 100 * s.score AND 100 * s.score <= 90 * positive_score
+QUALIFY row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY s.score DESC, s.id) <= 10
+""",
+)
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = load(spark, sf_dir, "embeddings")
+    relabelled = rows.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return mine_hard_negatives(relabelled, anchors=F.col("vec_id") % 100 == 0)
