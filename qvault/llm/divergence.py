@@ -117,15 +117,16 @@ def _share(count: Column, total: Column, v: Column) -> Column:
 def _tile_distances(rows: pa.Table) -> pa.Table:
     """(lang, source, item, value): distances of the sources of two blocks over a shard's terms.
 
-    Rows without a term name the tile's sources and what they give a term that
-    they don't have.
+    Rows without a term name the tile's sources, what they give a term that
+    they don't have, and in shard 0 how many terms the language keeps: a term
+    that is in neither block makes the difference of those two shares.
     """
     named = rows.filter(pc.is_null(rows["term"]))
-    names, block = named["source"].combine_chunks(), named["block"].to_numpy()
+    names, block, zero, v = named["source"].combine_chunks(), named["block"].to_numpy(), named["p"].to_numpy(), named["v"][0].as_py()
     sources = pc.index_in(rows["source"], value_set=names).to_numpy()
     terms = rows["term"].combine_chunks().dictionary_encode()
     has = pc.is_valid(rows["term"]).to_numpy()
-    dense = np.repeat(named["p"].to_numpy()[:, None], len(terms.dictionary), axis=1)
+    dense = np.repeat(zero[:, None], len(terms.dictionary), axis=1)
     dense[sources[has], terms.indices.drop_null().to_numpy()] = rows["p"].to_numpy()[has]
     lo, hi = rows["lo"][0].as_py(), rows["hi"][0].as_py()
     a, b, value = [], [], []
@@ -135,7 +136,7 @@ def _tile_distances(rows: pa.Table) -> pa.Table:
         others = others[others != i]
         a.append(np.full(len(others), i))
         b.append(others)
-        value.append(np.abs(dense[others] - dense[i]).sum(axis=1))
+        value.append(np.abs(dense[others] - dense[i]).sum(axis=1) + (v - dense.shape[1]) * np.abs(zero[others] - zero[i]))
     a, b, value = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b, value))
     return pa.table({"lang": pa.array([rows["lang"][0].as_py()] * len(a), pa.string()), "source": pc.take(names, pa.array(a)), "item": pc.take(names, pa.array(b)), "value": pa.array(value.astype(np.int64))})
 
@@ -143,11 +144,12 @@ def _tile_distances(rows: pa.Table) -> pa.Table:
 def _pair_distances(vectors: DataFrame, groups: DataFrame) -> DataFrame:
     """(lang, source, item, value) for every two sources of a language, from vectors (lang, source, term, p, shards, blocks) and groups."""
     block = F.pmod(F.xxhash64("source", F.lit("block")), F.col("blocks")).cast("int")
-    listed = vectors.select("lang", "source", "term", "p", F.pmod(F.xxhash64("term"), F.col("shards")).cast("int").alias("shard"), "blocks")
-    markers = groups.select("lang", "source", F.lit(None).cast("string").alias("term"), F.coalesce("zero", F.lit(0)).alias("p"), F.explode(F.sequence(F.lit(0), (F.col("shards") - 1).cast("int"))).alias("shard"), "blocks")
+    listed = vectors.select("lang", "source", "term", "p", F.pmod(F.xxhash64("term"), F.col("shards")).cast("int").alias("shard"), "blocks", F.lit(None).cast("long").alias("v"))
+    markers = groups.select("lang", "source", F.lit(None).cast("string").alias("term"), F.coalesce("zero", F.lit(0)).alias("p"), F.explode(F.sequence(F.lit(0), (F.col("shards") - 1).cast("int"))).alias("shard"), "blocks", "v")
+    markers = markers.withColumn("v", F.when(F.col("shard") == 0, F.col("v")).otherwise(0))
     placed = listed.unionByName(markers).withColumn("block", block)
     other = placed.withColumn("other", F.explode(F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int"))))
-    tiles = other.select("lang", "source", "term", "p", "shard", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
+    tiles = other.select("lang", "source", "term", "p", "v", "shard", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
     return tiles.groupBy("lang", "lo", "hi", "shard").applyInArrow(_tile_distances, "lang string, source string, item string, value long").groupBy("lang", "source", "item").agg(F.sum("value").alias("value"))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from qvault.llm.decontamination import find_contained
 from qvault.llm.divergence import audit_sources
+from qvault.llm.embedding_dedup import near_duplicate_vectors
 from qvault.llm.hard_negatives import mine_hard_negatives
 from qvault.llm.language_id import identify_languages
 from qvault.llm.language_model import score_documents
@@ -199,3 +200,21 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = load(spark, sf_dir, "embeddings")
     relabelled = rows.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
     return mine_hard_negatives(relabelled, anchors=F.col("vec_id") % 100 == 0)
+
+
+@query(
+    "op13_embedding_dedup",
+    """
+WITH RECURSIVE u AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), l AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.label = b.label AND a.vec_id <> b.vec_id AND list_cosine_similarity(a.v, b.v) >= 0.98
+), r AS (
+  SELECT vec_id, vec_id AS reached FROM embeddings UNION SELECT r.vec_id, l.b FROM r JOIN l ON l.a = r.reached
+), c AS (SELECT vec_id, min(reached) AS component_id FROM r GROUP BY vec_id)
+SELECT e.vec_id, (SELECT count(*) FROM l WHERE l.a = e.vec_id) AS n_links, c.component_id, e.vec_id = c.component_id AS kept FROM embeddings e JOIN c USING (vec_id)
+""",
+)
+def op13_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicate_vectors(load(spark, sf_dir, "embeddings"), threshold=0.98)
