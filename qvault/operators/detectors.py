@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from qvault.functions import text as ft
 from qvault.functions.inference import is_known_algorithm
+from qvault.functions.languages import detect_language
 from qvault.operators import rules
 from qvault.operators.running import running_totals
 
@@ -324,29 +325,6 @@ def assign_retention(fields: DataFrame, statements: DataFrame, default_years: fl
     return joined.withColumns({"retention_years": F.coalesce("_near", "_wide", F.lit(default_years)), "retention_source": source, "conflict": F.coalesce(F.col("_stated") > 1, F.lit(False))}).drop("_near", "_wide", "_stated")
 
 
-#: Languages by exact name, by extension, and by what a text begins with.
-EXACT = {"dockerfile": "Dockerfile", "makefile": "Makefile", "gemfile": "Ruby", "package.json": "JSON"}
-EXTENSIONS = {"py": "Python", "js": "JavaScript", "ts": "TypeScript", "java": "Java", "go": "Go", "rb": "Ruby", "rs": "Rust", "tf": "HCL", "yml": "YAML", "yaml": "YAML", "html": "HTML", "sh": "Shell", "php": "PHP", "cs": "C#", "cpp": "C++", "kt": "Kotlin"}
-SHEBANGS = {"python": "Python", "node": "JavaScript", "bash": "Shell", "sh": "Shell", "ruby": "Ruby"}
-
-
-def detect_language(path: Column, content: Column) -> Column:
-    """By exact name, prefix, extension, first line, then content; else Unknown."""
-    name = F.lower(F.element_at(F.split(path, "/"), -1))
-    table = lambda d: F.create_map(*[F.lit(x) for pair in d.items() for x in pair])
-    extension = F.when(name.contains("."), F.element_at(F.split(name, r"\."), -1))
-    shebang = F.regexp_extract(content, r"^#!.*?\b(python|node|bash|sh|ruby)\b", 1)
-    head = F.substring(content, 1, 2000)
-    return F.coalesce(
-        table(EXACT)[name],
-        F.when(name.startswith("dockerfile."), "Dockerfile").when(name.startswith(".env"), "Dotenv"),
-        table(EXTENSIONS)[extension],
-        table(SHEBANGS)[shebang],
-        F.when(head.rlike(r"(?i)^\s*<!doctype html|<html"), "HTML").when(head.rlike(r"^\s*<\?xml"), "XML").when(head.rlike(r"^\s*[\[{]"), "JSON").when(head.rlike(r"(?m)^\s*def \w+\("), "Python"),
-        F.lit("Unknown"),
-    )
-
-
 def backfill_language(findings: DataFrame) -> DataFrame:
     """Findings whose language is null, empty or Unknown get that of their path and content."""
     missing = F.coalesce("language", F.lit("")).isin("", "Unknown")

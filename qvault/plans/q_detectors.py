@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from qvault.functions import languages
 from qvault.functions import text as ft
 from qvault.operators import detectors as op
 from qvault.operators import rules
@@ -352,19 +353,58 @@ def p29(spark, d):
     return op.assign_retention(op.extract_config_kv(c).drop("value"), op.retention_statements(c), near=100)
 
 
-PATHS = f"SELECT page_id, {pick('page_id', 'a/main.py', 'Dockerfile', 'web/app.ts', 'notes', 'infra/x.tf', '.env.local', 'lib/unknown.zzz')} AS path, html AS content, {pick('page_id', 'Python', None, 'Unknown', '')} AS language FROM {{pages}}"
-NAME = "lower(string_split(path, '/')[-1])"
-LANG = f"coalesce(CASE {NAME} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in op.EXACT.items()) + f" END, CASE WHEN starts_with({NAME}, 'dockerfile.') THEN 'Dockerfile' WHEN starts_with({NAME}, '.env') THEN 'Dotenv' END, CASE WHEN contains({NAME}, '.') THEN CASE string_split({NAME}, '.')[-1] " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in op.EXTENSIONS.items()) + " END END, CASE WHEN regexp_matches(left(content, 2000), '(?i)^\\s*<!doctype html|<html') THEN 'HTML' END, 'Unknown')"
+def _language_samples() -> list[tuple[str, str | None]]:
+    """A path and a content for each entry of each table, and some that none knows; {0} stands for a number, no content for the document's own."""
+    names = [f"app{{0}}/{n}" for v in languages.NAMES.values() for n in v.split()] + ["APP{0}/MAKEFILE", "a\\{0}\\pom.xml"]
+    prefixes = [f"a/{p}x{{0}}" for p, _ in languages.PREFIXES]
+    extensions = [f"a/File{{0}}.{e}" for v in languages.EXTENSIONS.values() for e in v.split()] + ["a/b{0}.test.PY", "a/.hidden{0}", "a/..odd{0}", "a/b.{0}"]
+    paths = [f"x/{p}y/f{{0}}.yml" for p, _ in languages.PATHS]
+    shebangs = [f"#!/usr/bin/{i}3.1 -u\nx" for i, _ in languages.INTERPRETERS] + [f"#!/usr/bin/env {i}\nx" for i, _ in languages.INTERPRETERS] + ["#! /opt/my-ruby-wrapper", "#!", "no\n#!/bin/sh"]
+    heads = ["-----BEGIN RSA PRIVATE KEY-----", "x\n-----BEGIN EC PRIVATE KEY-----", "-----BEGIN OPENSSH PRIVATE", "-----BEGIN CERTIFICATE", "host ssh-rsa AAAA", "a\n%YAML 1.2", "---\nk: v", 'x = {\n "a": 1', "[DEFAULT]\n", "a\n[global]", "FROM scratch", "x\n  RUN it", "plain", ""]
+    return [(p, None) for p in [*names, *prefixes, *extensions, *paths]] + [("bin/tool{0}", c) for c in [*shebangs, *heads]]
 
 
-@query("p1_detect_language", f"SELECT page_id, {LANG} AS language FROM ({plain(PATHS)})")
+LANGUAGE_SAMPLES = _language_samples()
+
+
+def _literal(text: str | None) -> str:
+    return "NULL" if text is None else "'" + text.replace("'", "''") + "'"
+
+
+#: Each entry as (order, kind, key, language): the smallest order that holds wins.
+LANGUAGE_ENTRIES = (
+    [(100 + i, "path", k, v) for i, (k, v) in enumerate(languages.PATHS)] + [(o, kind, k, v) for o, kind in ((200, "name"), (201, "low name")) for v, ks in languages.NAMES.items() for k in ks.split()]
+    + [(300 + i, "prefix", k, v) for i, (k, v) in enumerate(languages.PREFIXES)] + [(o, kind, k, v) for o, kind in ((400, "ext"), (401, "low ext")) for v, ks in languages.EXTENSIONS.items() for k in ks.split()]
+    + [(500 + i, "program", k, v) for i, (k, v) in enumerate(languages.INTERPRETERS)] + [(600 + i, "line", k, v) for i, (k, v) in enumerate(languages.INTERPRETERS)] + [(700 + i, "head", k, v) for i, (k, v) in enumerate(languages.CONTENTS)]
+)
+LANGUAGE_SQL = f"""
+s(n, path, content) AS (VALUES {", ".join(f"({i}, {_literal(p)}, {_literal(c)})" for i, (p, c) in enumerate(LANGUAGE_SAMPLES))}),
+e(o, kind, k, language) AS (VALUES {", ".join(f"({o}, '{kind}', {_literal(k)}, {_literal(v)})" for o, kind, k, v in LANGUAGE_ENTRIES)}),
+f AS (SELECT doc_id, replace(replace(path, '{{0}}', CAST(doc_id AS VARCHAR)), chr(92), '/') AS path, coalesce(content, text) AS content FROM documents JOIN s ON s.n = doc_id % {len(LANGUAGE_SAMPLES)}),
+g AS (SELECT *, parse_filename(path) AS name, CASE WHEN starts_with(content, '#!') THEN trim(string_split(content, chr(10))[1]) END AS first FROM f),
+h AS (SELECT *, CASE WHEN contains(ltrim(name, '.'), '.') THEN string_split(name, '.')[-1] END AS ext, string_split(string_split(trim(replace(substr(first, 3), '/usr/bin/env', '')), ' ')[1], '/')[-1] AS program FROM g),
+found AS (
+  SELECT doc_id, arg_min(language, o) AS language FROM h JOIN e ON CASE kind WHEN 'path' THEN contains(path, k) WHEN 'name' THEN name = k WHEN 'low name' THEN lower(name) = k WHEN 'prefix' THEN starts_with(name, k) OR starts_with(lower(name), lower(k))
+    WHEN 'ext' THEN ext = k WHEN 'low ext' THEN lower(ext) = k WHEN 'program' THEN program = k OR rtrim(program, '0123456789.') = k WHEN 'line' THEN contains(first, k) ELSE regexp_matches(left(content, 2000), '(?m)' || k) END GROUP BY doc_id
+)"""
+
+
+def language_files(spark, d):
+    """The documents as files: each has the path, and the content if it has one, of a sample."""
+    samples = F.broadcast(spark.createDataFrame([(i, *x) for i, x in enumerate(LANGUAGE_SAMPLES)], "n long, path string, content string"))  # a fixed number of rows
+    docs = load(spark, d, "documents").withColumn("n", F.col("doc_id") % len(LANGUAGE_SAMPLES))
+    return docs.join(samples, "n").select("doc_id", F.replace("path", F.lit("{0}"), F.col("doc_id").cast("string")).alias("path"), F.coalesce("content", "text").alias("content"))
+
+
+@query("p1_detect_language", f"WITH {LANGUAGE_SQL} SELECT doc_id, coalesce(language, 'Unknown') AS language FROM h LEFT JOIN found USING (doc_id)")
 def p1(spark, d):
-    return sql(spark, d, PATHS).select("page_id", op.detect_language(F.col("path"), F.col("content")).alias("language"))
+    return language_files(spark, d).select("doc_id", op.detect_language(F.col("path"), F.col("content")).alias("language"))
 
 
-@query("p33_backfill_language", f"SELECT page_id, CASE WHEN coalesce(language, '') IN ('', 'Unknown') THEN {LANG} ELSE language END AS language FROM ({plain(PATHS)})")
+@query("p33_backfill_language", f"WITH {LANGUAGE_SQL} SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'Java' ELSE coalesce(language, 'Unknown') END AS language FROM h LEFT JOIN found USING (doc_id)")
 def p33(spark, d):
-    return op.backfill_language(sql(spark, d, PATHS)).select("page_id", "language")
+    stored = F.when(F.col("doc_id") % 3 == 0, "Java").when(F.col("doc_id") % 3 == 1, "Unknown")
+    return op.backfill_language(language_files(spark, d).withColumn("language", stored)).select("doc_id", "language")
 
 
 FILES = "SELECT source AS repo_id, doc_id AS path, CAST(n_chars AS BIGINT) AS size, text AS content FROM documents"

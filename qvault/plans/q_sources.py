@@ -10,6 +10,7 @@ from qvault.operators.gate import load_policy
 from qvault.plans.bindings import assets, findings, over, pick, plain, sql
 from qvault.plans.registry import query
 from qvault.sources import files as src
+from qvault.sources.imports import import_edges
 from qvault.storage import load, new_path
 
 
@@ -42,12 +43,17 @@ def s10(spark, d):
     return src.read_dependencies(sql(spark, d, MANIFESTS))
 
 
-IMPORTS = f"SELECT p_size % 6 AS repo_id, 'a' || CAST(p_partkey % 12 AS STRING) || '.py' AS file, p_partkey AS line, CASE WHEN p_partkey % 3 = 0 THEN 'import a' || CAST(p_size % 12 AS STRING) ELSE 'x = 1' END AS text FROM {{part}}"
+# Documents as the files of repositories, four kinds of places; besides its text each imports others by paths of every form.
+IMPORTING = "SELECT doc_id, doc_id % 7 AS repo_id, CASE doc_id % 4 WHEN 0 THEN concat('src/a/f', doc_id, '.js') WHEN 1 THEN concat('src/b/f', doc_id, '.ts') WHEN 2 THEN concat('lib/m', doc_id, '/index.js') ELSE concat('lib/p', doc_id, '.py') END AS file, {0} FROM {{documents}}"
+ASKS = """array(concat('import x from "./f', doc_id + 28, '";'), concat('const y = require( \\'../b//./f', doc_id + 21, '.js\\' )'), concat('export * from \\'../../lib/m', doc_id + 14, '\\''), concat('from lib.p', doc_id + 28, ' import z'), 'import React from "react"', concat('require("../../../../f', doc_id, '")'))"""
+IMPORTED = """SELECT a.repo_id, a.file, b.file AS imported FROM d a JOIN d b ON a.repo_id = b.repo_id AND (
+  (a.doc_id % 4 IN (0, 1) AND b.doc_id = a.doc_id + 28) OR (a.doc_id % 4 = 0 AND b.doc_id = a.doc_id + 21) OR (a.doc_id % 4 = 0 AND b.doc_id = a.doc_id + 14) OR b.doc_id = a.doc_id + 28 AND a.doc_id % 4 = 3)"""
 
 
-@query("j13_import_edges", f"WITH c AS ({plain(IMPORTS)}), i AS (SELECT DISTINCT repo_id, file, regexp_extract(text, '^import (\\w+)', 1) || '.py' AS imported FROM c WHERE starts_with(text, 'import ')), k AS (SELECT DISTINCT repo_id, file FROM c) SELECT i.repo_id, i.file, i.imported FROM i JOIN k ON i.repo_id = k.repo_id AND i.imported = k.file WHERE i.file <> i.imported")
+@query("j13_import_edges", f"WITH d AS ({plain(IMPORTING.format('1'))}) {IMPORTED}")
 def j13(spark, d):
-    return src.import_edges(sql(spark, d, IMPORTS))
+    lines = sql(spark, d, IMPORTING.format(f"posexplode(concat(split(coalesce(text, ''), '\n'), {ASKS})) AS (line, text)"))
+    return import_edges(lines.select("repo_id", "file", "line", "text"))
 
 
 def policy_rows() -> str:

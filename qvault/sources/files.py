@@ -75,17 +75,6 @@ def read_locks(files: DataFrame) -> DataFrame:
     return npm.unionByName(pip).where("resolved_version is not null").distinct()
 
 
-def import_edges(lines: DataFrame) -> DataFrame:
-    """One-hop import edges between the files of a repository: (repo_id, file, imported), from lines (repo_id, file, line, text).
-
-    Imports and files meet by an equi-join on the path without extension.
-    """
-    spec = F.coalesce(*[F.nullif(F.regexp_extract("text", p, 1), F.lit("")) for p in (r"^\s*from\s+([\w.]+)\s+import", r"^\s*import\s+([\w.]+)", r"require\(['\"]\./([\w/]+)['\"]\)")])
-    asked = lines.select("repo_id", "file", F.replace(spec, F.lit("."), F.lit("/")).alias("stem")).where("stem is not null").distinct()
-    known = lines.select("repo_id", F.col("file").alias("imported")).distinct().withColumn("stem", F.regexp_replace("imported", r"\.\w+$", ""))
-    return asked.join(known, ["repo_id", "stem"]).where("file <> imported").select("repo_id", "file", "imported")
-
-
 RULE_FIELDS = ("language", "id", "algorithm", "category", "severity", "quantum_risk", "specificity", "pattern")
 
 
