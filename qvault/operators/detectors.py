@@ -16,17 +16,23 @@ from qvault.functions import text as ft
 from qvault.functions.inference import is_known_algorithm
 from qvault.functions.languages import detect_language
 from qvault.operators import rules
+from qvault.operators.blocks import assigned_name, with_blocks
 from qvault.operators.running import running_totals
 
 #: Rules by detector, as (rule, severity, pattern).
 RULES: dict[str, list[tuple[str, str, str]]] = {
     "p6_tls_disabled": rules.TLS_DISABLED,
     "p7_key_custody": rules.KEY_CUSTODY,
-    "p13_terraform_secrets": [("tf-secret", "Critical", r"^\s*(password|secret_key|access_key|token|private_key)\s*=\s*\"[^\"$]{4,}\"")],
 }
 COMMENT = r"^\s*(//|#[^!]|\*|--\s|<!--)"
-ASSIGNMENT = r"([A-Za-z_][A-Za-z0-9_]*)\s*[:=]\s*\"([^\"]+)\""
-CONFIG_LINE = r"^\s*(?:ENV\s+|ARG\s+|export\s+)?([A-Za-z_][A-Za-z0-9_.-]*)\s*[=:]\s*(\S.*)$"
+#: A name that a literal in any quotes is assigned to; possessive, so that a long line takes no stack.
+ASSIGNMENT = r"[A-Za-z_$][A-Za-z0-9_$]*+[ \t]*[:=][ \t]*(?:[brufBRUF]{1,2})?(?:\"[^\"\\]*+(?:\\.[^\"\\]*+)*+\"|'[^'\\]*+(?:\\.[^'\\]*+)*+'|`[^`\\]*+(?:\\.[^`\\]*+)*+`)"
+#: A whole line that gives a variable of the environment a bare value.
+BARE_ASSIGNMENT = r"^\s*(?:export\s+)?([A-Za-z_][A-Za-z0-9_]*)=([^\s\"'`=(){};][^\s\"'`(){};]*)(?:\s+#.*)?$"
+#: A key of a configuration line, bare or in quotes, perhaps after the brace of an object, and what follows it.
+CONFIG_LINE = r"^[\s{]*(?:ENV\s+|ARG\s+|export\s+)?(?:[\"']([A-Za-z0-9_.-]+)[\"']|([A-Za-z_][A-Za-z0-9_.-]*))\s*[=:]\s*(\S.*)$"
+CODE_COMMENT = r"^\s*(//|#|/\*|\*)"
+TERRAFORM = r"^[ \t]*([A-Za-z0-9_-]+)[ \t]*=[ \t]*\"([^\"$][^\"]*)\""
 
 
 def scan_patterns(lines: DataFrame, rules: Sequence[tuple[str, str, str]], *, first_only: bool = False, skip_comments: bool = True) -> DataFrame:
@@ -127,11 +133,29 @@ def crypto_call_sites(lines: DataFrame, table: Sequence[tuple] = rules.CALL_RULE
         return F.when(named & held, F.struct(F.lit(r[0]).alias("rule_id"), F.lit(r[1]).alias("severity"), F.lit(r[2]).alias("category")))
 
     calls = call_sites(lines).select("repo_id", "file", "line", "name", F.explode(F.array_compact(F.array(*map(hit, table)))).alias("hit")).select("repo_id", "file", "line", "name", "hit.*")
+    calls = calls.where(~needs_context(F.col("rule_id"), F.col("name"))).unionByName(secret_randoms(lines, calls))
     compared = lines.where(F.col("text").rlike(rules.COMPARISON) & ~F.col("text").rlike(r"^\s*(//|#|/\*|\*)"))
     of = {"name": "==", "rule_id": "timing-unsafe-comparison", "severity": "High", "category": "comparison"}
     return calls.unionByName(compared.select("repo_id", "file", "line", *[F.lit(v).alias(k) for k, v in of.items()]))
 
 
+def needs_context(rule: Column, name: Column) -> Column:
+    """Whether a call matters only where a secret is made: this generator draws for anything else, too."""
+    return (rule == "weak-random") & (name == "Math.random")
+
+
+def secret_randoms(lines: DataFrame, calls: DataFrame) -> DataFrame:
+    """The calls of a weak generator whose line assigns to a name like a secret's, or that are inside a function with such a name.
+
+    Only files with such a call are looked at for their functions.
+    """
+    asked = calls.where(needs_context(F.col("rule_id"), F.col("name"))).distinct()
+    files = asked.select("repo_id", "file").distinct()
+    around = with_blocks(lines.join(files, ["repo_id", "file"], "left_semi"))
+    secret = F.coalesce(ft.names_secret(assigned_name(F.col("text"))), F.lit(False)) | F.coalesce(ft.names_secret(F.col("function")), F.lit(False))
+    return asked.join(around.where(secret).select("repo_id", "file", "line").distinct(), ["repo_id", "file", "line"], "left_semi").select(calls.columns)
+
+
 class Adapters:
     """Detectors by language: functions from lines to hits, of which each language may have several."""
 
@@ -161,17 +185,34 @@ def first_per_file(hits: DataFrame) -> DataFrame:
 
 
 def extract_assignments(lines: DataFrame) -> DataFrame:
-    """Literal assignments: every name = "value" on a line."""
-    names, values = F.regexp_extract_all("text", F.lit(ASSIGNMENT), 1), F.regexp_extract_all("text", F.lit(ASSIGNMENT), 2)
-    return lines.select("repo_id", "file", "line", F.explode(F.arrays_zip(names.alias("name"), values.alias("value"))).alias("x")).select("repo_id", "file", "line", "x.name", "x.value")
+    """Literal assignments: every name = "value" or name: 'value' on a line, in any of three quotes, and whole lines NAME=value without any; comments left out."""
+    text = F.col("text")
+    quoted = F.when(text.rlike("[:=][ \\t]*[brufBRUF]{0,2}[\"'`]"), F.regexp_extract_all(text, F.lit(ASSIGNMENT), F.lit(0)))
+    literal = lambda m: F.replace(F.replace(F.regexp_extract(m, "^[^\"'`]*[\"'`](?s)(.*).$", 1), F.lit("\\n"), F.lit("\n")), F.lit("\\t"), F.lit("\t"))
+    pair = lambda name, value: F.struct(name.alias("name"), value.alias("value"))
+    each = F.transform(quoted, lambda m: pair(F.regexp_extract(m, "^[A-Za-z0-9_$]+", 0), literal(m)))
+    bare = F.when(text.rlike(BARE_ASSIGNMENT), F.array(pair(F.regexp_extract(text, BARE_ASSIGNMENT, 1), F.regexp_extract(text, BARE_ASSIGNMENT, 2))))
+    rows = lines.where(text.rlike("[:=]") & ~text.rlike(CODE_COMMENT))
+    return rows.select("repo_id", "file", "line", F.explode(F.coalesce(bare, each)).alias("x")).select("repo_id", "file", "line", "x.name", "x.value")
 
 
 def extract_config_kv(lines: DataFrame) -> DataFrame:
-    """Keys and values of configuration lines, without quotes and comments behind."""
-    raw = F.regexp_extract("text", CONFIG_LINE, 2)
-    bare = F.trim(F.regexp_replace(raw, r"\s+#.*$", ""))
-    value = F.regexp_replace(bare, "^[\"'](.*)[\"']$", "$1")
-    return lines.where(F.col("text").rlike(CONFIG_LINE)).select("repo_id", "file", "line", F.regexp_extract("text", CONFIG_LINE, 1).alias("name"), value.alias("value"))
+    """Keys and values of configuration lines, also of objects and in quotes; values without quotes, commas, closing braces and comments behind."""
+    text, marks = F.col("text"), F.lit(",\"'")
+    part = lambda i: F.regexp_extract(text, CONFIG_LINE, i)
+    raw = F.trim(part(3))
+    bare = F.trim(F.when(raw.rlike("^[\"']"), raw).otherwise(F.regexp_replace(raw, r"\s+#.*$", "")), marks)
+    value = F.when(bare.endswith("}") & ~bare.startswith("${") & ~bare.startswith("{{"), F.trim(F.rtrim(bare, F.lit("} ")), marks)).otherwise(bare)
+    rows = lines.where(text.rlike("[:=]") & ~text.rlike(r"^\s*(#|//)")).where(text.rlike(CONFIG_LINE))
+    return rows.select("repo_id", "file", "line", F.concat(part(1), part(2)).alias("name"), value.alias("value"))
+
+
+def terraform_secrets(lines: DataFrame) -> DataFrame:
+    """Attributes that are named like a secret and given a literal of 6 characters or more; references to variables are none."""
+    name, value = F.regexp_extract("text", TERRAFORM, 1), F.trim(F.regexp_extract("text", TERRAFORM, 2))
+    rows = lines.where(F.col("text").rlike(TERRAFORM)).select("repo_id", "file", "line", name.alias("name"), value.alias("value"))
+    held = rows.where((F.length("value") >= 6) & ~F.col("value").rlike(r"^(var|local|data)\.") & ft.names_secret(F.col("name")))
+    return held.select("repo_id", "file", "line", "name", F.lit("tf-secret").alias("rule_id"), F.lit("High").alias("severity"))
 
 
 def plaintext_secrets(pairs: DataFrame) -> DataFrame:
@@ -194,18 +235,28 @@ def carry_state(lines: DataFrame, marker: Column, name: str = "state") -> DataFr
 
 
 def k8s_secrets(lines: DataFrame) -> DataFrame:
-    """Entries of Secret documents in YAML: the kind above a line decides."""
-    kind = F.nullif(F.regexp_extract("text", r"^\s*kind:\s*(\w+)", 1), F.lit(""))
-    stated = carry_state(lines, F.when(F.col("text").rlike("^---"), F.lit("none")).otherwise(kind), "kind")
-    entry = r"^\s+([A-Za-z0-9_.-]+):\s*([A-Za-z0-9+/=]{4,})\s*$"
-    hits = stated.where((F.col("kind") == "Secret") & F.col("text").rlike(entry))
-    value = F.regexp_extract("text", entry, 2)
-    return hits.select("repo_id", "file", "line", F.regexp_extract("text", entry, 1).alias("name"), F.try_to_binary(value, F.lit("base64")).isNotNull().alias("is_base64"))
+    """Entries of the sections data and stringData of Secret documents in YAML, with whether the section holds base64.
+
+    The kind above a line decides, then the section above it, which a key
+    without indent ends. Values shorter than 4 characters (of data, when
+    decoded) and those that stand for others are none.
+    """
+    text, bare = F.col("text"), F.trim(F.col("text"))
+    kind = F.when(bare == "---", "none").when(bare.rlike(r"(?i)^kind\s*:\s*[A-Za-z0-9]"), F.when(bare.rlike(r"(?i)^kind\s*:\s*Secret\b"), "Secret").otherwise("other"))
+    stated = carry_state(lines, kind, "kind").where(~bare.rlike("^(#|$)"))
+    section = F.when(F.col("kind") != "Secret", "none").when(bare.rlike(r"^stringData\s*:\s*$"), "stringData").when(bare.rlike(r"^data\s*:\s*$"), "data").when(~text.rlike(r"^\s") & bare.contains(":") & ~bare.rlike(r"^(stringData|data|(?i:kind\s*:))"), "none")
+    inside = carry_state(stated, section, "section").where(F.col("section").isin("data", "stringData") & ~bare.rlike(r"^(stringData|data)\s*:\s*$") & ~bare.rlike(r"(?i)^kind\s*:") & bare.contains(":"))
+    value = F.trim(F.trim(F.regexp_extract(bare, "^[^:]*:(.*)$", 1)), F.lit("\"'"))
+    pairs = inside.select("repo_id", "file", "line", F.trim(F.split(bare, ":")[0]).alias("name"), value.alias("value"), "section").where(~F.col("value").rlike(r"^($|<|\$\{)") & (F.length("value") >= 4))
+    decoded = F.trim(F.replace(F.make_valid_utf8(F.try_to_binary("value", F.lit("base64")).cast("string")), F.lit("\ufffd"), F.lit("")))
+    held = (F.col("section") == "stringData") | (F.length(decoded) >= 4)
+    return pairs.where(held).select("repo_id", "file", "line", "name", (F.col("section") == "data").alias("is_base64"))
 
 
 def detect_values(lines: DataFrame, classes: Sequence[str] = ("AADHAAR", "PAN", "PAYMENT_CARD"), cap: int = 200) -> DataFrame:
     """Sensitive values, checked and masked; at most ``cap`` per file, in their order, as reports show."""
-    safe = lines.withColumn("_safe", ft.mask_spans(F.col("text")))
+    # Every class has four digits in a row: other lines need no masks.
+    safe = lines.where(F.col("text").rlike("[0-9]{4}")).withColumn("_safe", ft.mask_spans(F.col("text")))
     found = lambda pattern, group: F.regexp_extract_all("_safe", F.lit(pattern), group)
     kinds = {
         "AADHAAR": F.filter(F.transform(found(r"(?<!\d)([2-9]\d{11}|[2-9]\d{3} \d{4} \d{4}|[2-9]\d{3}-\d{4}-\d{4})(?!\d)", 1), lambda x: F.regexp_replace(x, "[ -]", "")), ft.is_verhoeff),
@@ -223,14 +274,19 @@ def pii_stats(values: DataFrame) -> DataFrame:
     return values.groupBy("repo_id", "data_class").agg(F.count("*").alias("values"), F.count_distinct("file").alias("files"))
 
 
-# Names of sensitive fields by class, types that tell booleans and enumerations, and how sure a name, a name with a fitting type, and a weak one are.
+# Names of sensitive fields by class in the order that decides, words around a field that tell of payments and of taxes,
+# beginnings of names and types that tell booleans and enumerations, and how sure a name, a name with a fitting type, and a weak one are.
 FIELD_NAMES = {
-    "AADHAAR": ["aadhaar", "aadhar", "adhaar", "uid", "uidai"],
     "PAN": ["pan", "pan_number", "permanent_account"],
     "PAYMENT_CARD": ["card_number", "cc_num", "cvv", "expiry", "card_holder", "primary_account_number", "credit_card_number", "debit_card_number"],
+    "AADHAAR": ["aadhaar", "aadhar", "adhaar", "uid", "uidai"],
     "HEALTH": ["diagnosis", "icd", "patient", "prescription", "medical_record", "abha", "blood_group"],
     "PII_OTHER": ["phone", "mobile", "email", "dob", "date_of_birth", "address"],
 }
+TAX_NAMES = ["pan_number", "permanent_account"]
+PAYMENT_CUES = ["payment", "payments", "credit", "debit", "cc", "cc_num", "cvv", "expiry", "expiration", "issuer", "billing", "merchant", "card_holder", "primary_account_number"]
+TAX_CUES = ["income_tax", "taxpayer", "tax_id", "tax", "permanent_account", "pan_number"]
+WEAK_BEGINNINGS = ["has", "is", "was", "can", "should", "enabled", "valid", "verified"]
 WEAK_TYPES = ["bool", "boolean", "enum", "choice", "yesno", "flag"]
 NAME_ONLY, NAME_AND_TYPE, WEAK_NAME = 0.68, 0.9, 0.35
 #: Forms in which a field is declared, the first that fits counts: (form, pattern with the name, the type and the length if it has them).
@@ -250,22 +306,69 @@ def declared_fields(lines: DataFrame) -> DataFrame:
     return found.select("repo_id", "file", "line", "d.form", "d.name", F.lower("d.type").alias("type"), F.col("d.length").try_cast("int").alias("length"))
 
 
+#: Parameters between parentheses, and one of them with its name, also before a colon or after a type.
+PARAMETERS, PARAMETER = r"\(([^()]*)\)", r"(?:^|\s)([A-Za-z_$][\w$-]*)\s*(?:\??\s*:.*)?$"
+#: Definitions of columns that a line with CREATE TABLE holds itself.
+INLINE_TABLE = r"(?i)\bCREATE\s+TABLE\s+[^(]*\((.*)$"
+
+
+def scoped_fields(lines: DataFrame) -> DataFrame:
+    """Fields that lines declare, with the table or class around them: form, name, type, length, table and the line as context.
+
+    Besides the forms of whole lines, parameters of functions and methods count,
+    and columns on the line of their CREATE TABLE.
+    """
+    around = with_blocks(lines.where(F.col("text").isNotNull()))
+    held = F.regexp_extract("text", INLINE_TABLE, 1)
+    # The table's own parenthesis, where this line closes it, holds no column.
+    held = F.when(F.length(F.replace(held, F.lit(")"), F.lit(""))) < F.length(F.replace(held, F.lit("("), F.lit(""))), F.regexp_replace(held, r"\)[^)]*$", "")).otherwise(held)
+    columns = F.transform(F.filter(F.split(held, r",(?![^(]*\))"), lambda c: F.trim(c) != ""), F.trim)
+    own = around.where(F.col("text").rlike(INLINE_TABLE)).select("repo_id", "file", "line", "table", F.col("text").alias("context"), F.explode(columns).alias("text"))
+    rows = around.where(~F.col("text").rlike(INLINE_TABLE)).select("repo_id", "file", "line", "table", F.col("text").alias("context"), "text").unionByName(own)
+    rows = rows.where(~F.col("text").rlike(r"^\s*(//|#|--|/\*|\*|$)") & ~F.col("text").rlike(r"(?i)^\s*(constraint|primary|foreign|unique|check|index|key|create|class|model)\b"))
+    told = lambda r: F.when(F.col("text").rlike(r[1]), F.struct(F.lit(r[0]).alias("form"), *[F.regexp_extract(F.col("text"), r[1], i).alias(n) for i, n in ((1, "name"), (2, "type"), (3, "length"))]))
+    whole = rows.withColumn("d", F.coalesce(*map(told, FIELD_FORMS))).where("d is not null")
+    groups = F.regexp_extract_all("text", F.lit(PARAMETERS), F.lit(1))
+    named = F.transform(F.flatten(F.transform(groups, lambda g: F.split(g, ","))), lambda x: F.regexp_extract(F.trim(F.split(x, "=")[0]), PARAMETER, 1))
+    typed = F.struct(F.lit("parameter").alias("form"), F.col("p").alias("name"), F.lit("").alias("type"), F.lit("").alias("length"))
+    given = around.where(F.col("text").rlike(PARAMETERS) & ~F.col("text").rlike(r"^\s*(//|#|--|/\*|\*)") & ~F.col("text").rlike(INLINE_TABLE)).select("repo_id", "file", "line", "table", F.col("text").alias("context"), F.explode(named).alias("p"))
+    given = given.where("p <> ''").withColumn("d", typed)
+    kept = ["repo_id", "file", "line", "table", "context", "d"]
+    both = whole.select(kept).unionByName(given.select(kept))
+    return both.select("repo_id", "file", "line", "table", "context", "d.form", "d.name", F.lower("d.type").alias("type"), F.col("d.length").try_cast("int").alias("length"))
+
+
+def _phrases(words: Column, phrases: Sequence[str]) -> Column:
+    """Whether words between blanks hold one of the phrases as whole words."""
+    return F.exists(F.array(*[F.lit(f" {p.replace('_', ' ')} ") for p in phrases]), lambda p: words.contains(p))
+
+
+def _spaced(name: Column) -> Column:
+    return F.concat(F.lit(" "), F.array_join(ft.identifier_tokens(name), " "), F.lit(" "))
+
+
 def detect_names(fields: DataFrame) -> DataFrame:
-    """Fields (name, and type and length if known) that are sensitive by name: the words of the identifier hold a phrase of the class.
+    """Fields (name, and type, length, table, context and file if known) that are sensitive by name: the words of the identifier hold a phrase of the class.
 
-    A type that fits the class makes a name surer, a boolean or an enumeration
-    makes it weak.
+    A bare account number (``pan``) among payments, by its line, table and file,
+    is one of a card, unless something there tells of taxes. A type that fits
+    the class makes a name surer; a boolean or an enumeration, by type or by
+    the beginning of the name, makes it weak.
     """
     known = lambda c: F.col(c) if c in fields.columns else F.lit(None)
     kind, length = F.coalesce(known("type").cast("string"), F.lit("")), known("length").cast("int")
-    words = F.concat(F.lit(" "), F.array_join(ft.identifier_tokens(F.col("name")), " "), F.lit(" "))
+    words = _spaced(F.col("name"))
     of = F.lit(None).cast("string")
     for name, phrases in reversed(FIELD_NAMES.items()):
-        of = F.when(F.exists(F.array(*[F.lit(f" {p.replace('_', ' ')} ") for p in phrases]), lambda p: words.contains(p)), name).otherwise(of)
+        of = F.when(_phrases(words, phrases), name).otherwise(of)
+    if "table" in fields.columns:
+        around = _spaced(F.concat_ws(" ", known("context"), known("table"), known("file")))
+        of = F.when((of == "PAN") & ~_phrases(words, TAX_NAMES) & ~_phrases(around, TAX_CUES) & _phrases(around, PAYMENT_CUES), "PAYMENT_CARD").otherwise(of)
     named = fields.withColumn("data_class", of).where("data_class is not null")
     c = F.col("data_class")
     fits = ((c == "AADHAAR") & ((length == 12) | (kind == "bigint"))) | ((c == "PAN") & (length == 10)) | ((c == "PAYMENT_CARD") & length.between(13, 19))
-    weak = F.exists(F.array(*map(F.lit, WEAK_TYPES)), lambda w: kind.contains(w))
+    fits = fits | ((c == "PII_OTHER") & ((_phrases(words, ["dob", "date_of_birth"]) & kind.rlike("^(date|datetime|timestamp)")) | (_phrases(words, ["phone", "mobile"]) & length.between(7, 20))))
+    weak = F.exists(F.array(*map(F.lit, WEAK_TYPES)), lambda w: kind.contains(w)) | F.get(ft.identifier_tokens(F.col("name")), F.lit(0)).isin(*WEAK_BEGINNINGS)
     return named.withColumn("confidence", F.when(weak, WEAK_NAME).when(F.coalesce(fits, F.lit(False)), NAME_AND_TYPE).otherwise(NAME_ONLY))
 
 
@@ -312,12 +415,20 @@ def retention_statements(lines: DataFrame) -> DataFrame:
     return found.where(F.col("s.amount").try_cast("double") > 0).select("repo_id", "file", "line", years.alias("years"))
 
 
-def assign_retention(fields: DataFrame, statements: DataFrame, default_years: float = 7.0, near: int = 5) -> DataFrame:
-    """Fields with the longest statement within ``near`` lines, else the longest of the repository, else the default.
+def within_lines(left: DataFrame, right: DataFrame, near: int, at: str = "_l") -> DataFrame:
+    """Rows of ``left`` and ``right`` (line as ``at``) of one file whose lines are ``near`` or less apart.
 
-    The near join is on repository and file, with the distance as a condition.
+    Lines fall into bands of near + 1; a row meets those of its own band and
+    the two beside it by equality, so a large file is not joined with itself.
     """
-    close = fields.join(statements.select("repo_id", "file", F.col("line").alias("_l"), "years"), ["repo_id", "file"]).where(F.abs(F.col("line") - F.col("_l")) <= near)
+    band = lambda c: F.floor(F.col(c) / (near + 1))
+    placed = left.withColumn("_band", F.explode(F.sequence(band("line") - 1, band("line") + 1)))
+    return placed.join(right.withColumn("_band", band(at)), ["repo_id", "file", "_band"]).where(F.abs(F.col("line") - F.col(at)) <= near).drop("_band")
+
+
+def assign_retention(fields: DataFrame, statements: DataFrame, default_years: float = 7.0, near: int = 5) -> DataFrame:
+    """Fields with the longest statement within ``near`` lines, else the longest of the repository, else the default."""
+    close = within_lines(fields, statements.select("repo_id", "file", F.col("line").alias("_l"), "years"), near)
     local = close.groupBy("repo_id", "file", "line", "name").agg(F.max("years").alias("_near"), F.size(F.collect_set("years")).alias("_stated"))
     wide = statements.groupBy("repo_id").agg(F.max("years").alias("_wide"))
     joined = fields.join(local, ["repo_id", "file", "line", "name"], "left").join(wide, "repo_id", "left")
@@ -325,6 +436,53 @@ def assign_retention(fields: DataFrame, statements: DataFrame, default_years: fl
     return joined.withColumns({"retention_years": F.coalesce("_near", "_wide", F.lit(default_years)), "retention_source": source, "conflict": F.coalesce(F.col("_stated") > 1, F.lit(False))}).drop("_near", "_wide", "_stated")
 
 
+# Years that data of a class is kept where nothing says so, amounts of time anywhere, keys that name a field and its retention in days, and files that such keys count in.
+DEFAULT_YEARS = {"AADHAAR": 5.0, "PAN": 8.0, "PAYMENT_CARD": 5.0, "HEALTH": 7.0, "PII_OTHER": 3.0}
+AMOUNT = r"(?i)\b(\d+)\s*(year|month|day)s?\b"
+RETENTION_KEY = r"(?i)\b([a-z0-9_]+?)[_.](?:retention[_.]?(?:days?|months?|years?)?|ttl|expir[a-z]*)['\"]?\s*[:=]\s*(\d+)"
+CONFIG_FILE = r"(?i)\.(json|yaml|yml|toml|ini|env|conf|config|properties|constants?)\b"
+
+
+def normal_name(name: Column) -> Column:
+    return F.regexp_replace(F.lower(name), "[^a-z0-9]", "_")
+
+
+def word_runs(text: Column) -> Column:
+    """The runs of words inside each identifier of a text, joined by _: of user_phone_no also phone and user_phone."""
+    words = lambda t: F.filter(F.split(t, "_"), lambda w: w != "")
+    runs = lambda w: F.flatten(F.transform(F.sequence(F.lit(1), F.size(w)), lambda i: F.transform(F.sequence(i, F.size(w)), lambda j: F.array_join(F.slice(w, i, j - i + 1), "_"))))
+    found = F.regexp_extract_all(F.lower(text), F.lit("([a-z0-9_]*[a-z0-9][a-z0-9_]*)"), F.lit(1))
+    return F.array_distinct(F.flatten(F.transform(found, lambda t: F.when(F.size(words(t)) > 0, runs(words(t))).otherwise(F.array().cast("array<string>")))))
+
+
+def resolve_retention(fields: DataFrame, lines: DataFrame, overrides: DataFrame | None = None, near: int = 5) -> DataFrame:
+    """Fields (repo_id, field_id, name, data_class) with retention_years, retention_source and conflict, from the lines of their repository.
+
+    An override of (repo_id, field_id, years) wins. Else the longest of what
+    the repository states and of amounts of time within ``near`` lines of a
+    mention of the field's name; else a configuration key that names the field,
+    the first by file and line, in days; else the default of the class. Only
+    lines near an amount are searched for names.
+    """
+    stated = retention_statements(lines).groupBy("repo_id").agg(F.collect_set("years").alias("_wide"))
+    found = lambda i: F.regexp_extract_all("text", F.lit(AMOUNT), F.lit(i))
+    amounts = lines.where(F.col("text").rlike(AMOUNT)).select("repo_id", "file", F.col("line").cast("long").alias("_l"), F.explode(F.arrays_zip(found(1).alias("n"), found(2).alias("unit"))).alias("a"))
+    amounts = amounts.where(F.col("a.n").try_cast("double") > 0).select("repo_id", "file", "_l", ft.to_years(F.col("a.n").try_cast("double"), F.lower("a.unit")).alias("years"))
+    beside = within_lines(lines.select("repo_id", "file", F.col("line").cast("long").alias("line"), "text"), amounts, near)
+    mentioned = beside.select("repo_id", F.explode(word_runs(F.col("text"))).alias("_name"), "years").distinct().groupBy("repo_id", "_name").agg(F.collect_set("years").alias("_near"))
+    keys = lines.where(F.col("file").rlike(CONFIG_FILE) & F.col("text").rlike(RETENTION_KEY)).select("repo_id", "file", "line", F.lower(F.regexp_extract("text", RETENTION_KEY, 1)).alias("_name"), F.regexp_extract("text", RETENTION_KEY, 2).try_cast("double").alias("n"))
+    inferred = keys.where("n > 0").groupBy("repo_id", "_name").agg(F.min_by(ft.to_years(F.col("n"), F.lit("day")), F.struct("file", "line")).alias("_key"))
+    rows = fields.withColumn("_name", normal_name(F.col("name"))).join(stated, "repo_id", "left").join(mentioned, ["repo_id", "_name"], "left").join(inferred, ["repo_id", "_name"], "left")
+    none = F.array().cast("array<double>")
+    rows = rows.join(overrides.select("repo_id", "field_id", F.col("years").alias("_own")), ["repo_id", "field_id"], "left") if overrides is not None else rows.withColumn("_own", F.lit(None).cast("double"))
+    every = F.array_union(F.coalesce("_wide", none), F.coalesce("_near", none))
+    default = F.create_map(*[F.lit(x) for pair in DEFAULT_YEARS.items() for x in pair])
+    years = F.coalesce("_own", F.array_max(every), "_key", default[F.col("data_class")], F.lit(DEFAULT_YEARS["PII_OTHER"]))
+    source = F.when(F.col("_own").isNotNull() | (F.size(every) > 0), "stated").when(F.col("_key").isNotNull(), "inferred").otherwise("default")
+    conflict = F.col("_own").isNull() & (F.size(every) > 1)
+    return rows.select(*fields.columns, years.alias("retention_years"), source.alias("retention_source"), conflict.alias("conflict"))
+
+
 def backfill_language(findings: DataFrame) -> DataFrame:
     """Findings whose language is null, empty or Unknown get that of their path and content."""
     missing = F.coalesce("language", F.lit("")).isin("", "Unknown")

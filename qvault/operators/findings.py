@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from qvault.functions.findings import algorithm_family, finding_fingerprint, layer, rule_quality, severity_of_rank, severity_rank
+from qvault.operators.scopes import scope, scopes, shared_keys
 
 KMS = ("Cloud KMS / HSM", "Cloud KMS", "Hardware Module")
 SECRETS = ("hardcoded-secret", "secret")
@@ -119,9 +120,12 @@ def merge_secrets(findings: DataFrame, keys: Sequence[str] = ("scan_id",)) -> Da
     )
 
 
-def apply_suppressions(findings: DataFrame, rules: DataFrame) -> DataFrame:
+def apply_suppressions(findings: DataFrame, rules: DataFrame, keys: Sequence[str] = ("repo_id",)) -> DataFrame:
     """``suppressed`` and ``suppression_reason`` by rules (ordinal, rule_id, path, line, token); nulls match anything.
 
+    A rule holds for the repository that its ``keys`` name; where they are
+    null, or the rules have none of them, for all.
+
     A path matches by its last part, which every longer match has, too. Rules
     see few attributes of a finding, so each distinct combination is tested
     once: it meets the rules by an equi-join on what a rule asks for first, a
@@ -129,18 +133,19 @@ def apply_suppressions(findings: DataFrame, rules: DataFrame) -> DataFrame:
     The first rule by its ordinal counts. Suppressed findings stay in the table
     for audit.
     """
-    attributes = ["rule_id", "algorithm", "file", "line", "code_snippet"]
+    on = shared_keys(rules, keys)
+    attributes = [*on, "rule_id", "algorithm", "file", "line", "code_snippet"]
     last = lambda c: F.element_at(F.split(F.lower(c), "/"), -1)
     named = F.nullif(F.lower("rule_id"), F.lit("*"))
     key = lambda kind, c: F.struct(F.lit(kind).alias("kind"), c.cast("string").alias("value"))
     asked = F.when(F.col("token").isNotNull(), key("token", F.col("token"))).when(F.col("path").isNotNull(), key("path", last("path"))).when(named.isNotNull(), key("rule", named)).when(F.col("line").isNotNull(), key("line", F.col("line"))).otherwise(key("any", F.lit("")))
-    r = rules.withColumn("key", asked).select("key", *[F.col(c).alias(f"r_{c}") for c in ("ordinal", "rule_id", "path", "line", "token")])
+    r = rules.withColumn("key", asked).select("key", scope(on).alias("scope"), *[F.col(c).alias(f"r_{c}") for c in ("ordinal", "rule_id", "path", "line", "token")])
     f = findings.select(attributes).distinct().withColumn("fp", finding_fingerprint(F.col("rule_id"), F.col("algorithm"), F.col("code_snippet")))
     own = F.array_distinct(F.array(key("token", F.col("fp")), key("path", last("file")), key("rule", F.lower("rule_id")), key("rule", F.lower("algorithm")), key("line", F.col("line")), key("any", F.lit(""))))
     wanted = F.lower("r_rule_id")
     match = (F.col("r_rule_id").isNull() | (wanted == "*") | (wanted == F.lower("rule_id")) | (wanted == F.lower("algorithm"))) & (F.col("r_path").isNull() | (last("r_path") == last("file"))) & (F.col("r_line").isNull() | (F.col("r_line") == F.col("line"))) & (F.col("r_token").isNull() | (F.col("r_token") == F.col("fp")))
     reason = F.when(F.col("r_token").isNotNull(), "fingerprint").when(F.col("r_rule_id").isNull(), "path").when(F.col("r_path").isNull(), "rule").when(F.col("r_line").isNull(), "rule and path").otherwise("rule, path and line")
-    hits = f.withColumn("key", F.explode(own)).join(r, "key").where(match).groupBy(*attributes).agg(F.min_by(reason, F.col("r_ordinal")).alias("suppression_reason")).alias("h")
+    hits = f.withColumn("key", F.explode(own)).withColumn("scope", F.explode(scopes(on))).join(r, ["scope", "key"]).where(match).groupBy(*attributes).agg(F.min_by(reason, F.col("r_ordinal")).alias("suppression_reason")).alias("h")
     same = F.lit(True)
     for c in attributes:
         same = same & F.col(f"g.{c}").eqNullSafe(F.col(f"h.{c}"))

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from qvault.functions.assets import asset_category, asset_fingerprint, is_quantum_vulnerable, norm_path
+from qvault.operators.scopes import scope, scopes, shared_keys
 
 # The policy where none is given.
 DEFAULT_POLICY = {
@@ -75,40 +76,50 @@ def _glob(pattern: Column) -> Column:
     return F.concat(F.lit("^"), F.replace(F.replace(escaped, F.lit("*"), F.lit(".*")), F.lit("?"), F.lit(".")), F.lit("$"))
 
 
-def match_waivers(assets: DataFrame, waivers: DataFrame) -> DataFrame:
-    """(algorithm, file, fingerprint, waiver_ordinal, waiver_id): the distinct assets that each waiver covers.
+def _held_names(name: Column) -> Column:
+    """Every part of a name, the empty one included; names of algorithms are short."""
+    parts = F.transform(F.sequence(F.lit(1), F.length(name)), lambda i: F.transform(F.sequence(i, F.length(name)), lambda j: F.substring(name, i, j - i + 1)))
+    return F.array_distinct(F.concat(F.array(F.lit("")), F.when(F.length(name) > 0, F.flatten(parts)).otherwise(F.array().cast("array<string>"))))
+
+
+def match_waivers(assets: DataFrame, waivers: DataFrame, keys: Sequence[str] = ("repo_id",)) -> DataFrame:
+    """(keys, algorithm, file, fingerprint, waiver_ordinal, waiver_id): the distinct assets that each waiver covers.
 
     A waiver covers by fingerprint, or by algorithm (either name in the other)
-    and path glob. Which names hold each other is found among the distinct
-    names of both sides, some hundreds at most; then assets meet waivers by
-    equi-joins on fingerprint and on name, with the glob as a condition.
+    and path glob. It holds for the repository that its ``keys`` name; where
+    they are null, or it has none, for all. Which names hold each other is an
+    equi-join of the distinct names of one side with the parts of the other's;
+    then assets meet waivers by equi-joins on scope and fingerprint, and on
+    scope and name with the glob as a condition.
     """
-    a = assets.select("algorithm", "file", "fingerprint").distinct().withColumn("name", F.upper(F.coalesce("algorithm", F.lit(""))))
-    w = waivers.select("waiver_ordinal", "waiver_id", F.upper(F.trim("match_algorithm")).alias("target"), "match_path", F.lower(F.trim("match_fingerprint")).alias("print"))
-    targets = w.agg(F.collect_set("target").alias("t")).scalar()
-    holds = F.col("name").contains(F.col("target")) | F.col("target").contains(F.col("name"))
-    pairs = a.select("name").distinct().withColumn("targets", targets).select("name", F.explode("targets").alias("target")).where(holds)
+    on = shared_keys(waivers, keys)
+    a = assets.select(*keys, "algorithm", "file", "fingerprint").distinct().withColumn("name", F.upper(F.coalesce("algorithm", F.lit("")))).withColumn("scope", F.explode(scopes(on)))
+    w = waivers.select("waiver_ordinal", "waiver_id", F.upper(F.trim("match_algorithm")).alias("target"), "match_path", F.lower(F.trim("match_fingerprint")).alias("print"), scope(on).alias("scope"))
+    names, targets = a.select("name").distinct(), w.select("target").where("target is not null").distinct()
+    within = names.withColumn("target", F.explode(_held_names(F.col("name")))).join(targets, "target", "left_semi").select("name", "target")
+    around = targets.withColumn("name", F.explode(_held_names(F.col("target")))).join(names, "name", "left_semi").select("name", "target")
     path, glob = norm_path(F.col("file")), norm_path(F.col("match_path"))
     by_path = F.rlike(path, _glob(glob)) | F.rlike(path, _glob(F.concat(F.lit("*/"), glob)))
-    named = a.join(pairs, "name").join(w.where("match_path is not null"), "target").where(by_path)
-    printed = a.withColumn("print", F.lower("fingerprint")).join(w.drop("target").where("print is not null"), "print")
-    columns = ["algorithm", "file", "fingerprint", "waiver_ordinal", "waiver_id"]
+    named = a.join(within.union(around).distinct(), "name").join(w.where("match_path is not null"), ["scope", "target"]).where(by_path)
+    printed = a.withColumn("print", F.lower("fingerprint")).join(w.drop("target").where("print is not null"), ["scope", "print"])
+    columns = [*keys, "algorithm", "file", "fingerprint", "waiver_ordinal", "waiver_id"]
     return named.select(columns).unionByName(printed.select(columns))
 
 
-def apply_waivers(violations: DataFrame, waivers: DataFrame) -> DataFrame:
+def apply_waivers(violations: DataFrame, waivers: DataFrame, keys: Sequence[str] = ("repo_id",)) -> DataFrame:
     """Violations with the first waiver (by ordinal) that covers each, null if none."""
-    of = ["algorithm", "file", "fingerprint"]
-    first = match_waivers(violations, waivers).groupBy(*of).agg(F.min_by("waiver_id", "waiver_ordinal").alias("waiver_id")).alias("m")
+    of = [*keys, "algorithm", "file", "fingerprint"]
+    first = match_waivers(violations, waivers, keys).groupBy(*of).agg(F.min_by("waiver_id", "waiver_ordinal").alias("waiver_id")).alias("m")
     same = F.lit(True)
     for c in of:
         same = same & F.col(f"v.{c}").eqNullSafe(F.col(f"m.{c}"))
     return violations.alias("v").join(first, same, "left").select("v.*", "m.waiver_id")
 
 
-def stale_waivers(waivers: DataFrame, assets: DataFrame) -> DataFrame:
-    """Waivers that cover no asset."""
-    return waivers.join(match_waivers(assets, waivers).select("waiver_id").distinct(), "waiver_id", "left_anti")
+def stale_waivers(waivers: DataFrame, assets: DataFrame, keys: Sequence[str] = ("repo_id",)) -> DataFrame:
+    """Waivers that cover no asset of the repositories that they hold for; waivers are told apart by ordinal and id."""
+    on = ["waiver_ordinal", "waiver_id"]
+    return waivers.join(match_waivers(assets, waivers, keys).select(on).distinct(), on, "left_anti")
 
 
 def prohibited_spec(algorithm: Column, key_size: Column, specs: Sequence[str]) -> Column:
@@ -149,7 +160,7 @@ def gate_verdict(base: DataFrame, head: DataFrame, waivers: DataFrame | None = N
     both = both.withColumns({"_removed": F.count_if(removed).over(place), "_k": F.row_number().over(Window.partitionBy(*keys, "moved_fingerprint", "_head", "_lone").orderBy("ordinal"))})
     marked = both.withColumn("_new", added & (F.col("_k") > F.col("_removed")))  # the k-th added pairs with the k-th removed
     if waivers is not None:
-        marked = apply_waivers(marked, waivers)
+        marked = apply_waivers(marked, waivers, keys)
     else:
         marked = marked.withColumn("waiver_id", F.lit(None).cast("string"))
     marked = marked.withColumn("_spec", F.when(F.col("_new"), prohibited_spec(F.col("algorithm"), F.col("key_size"), policy["prohibited_algorithms"])))

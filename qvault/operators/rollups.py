@@ -11,6 +11,7 @@ from qvault.functions import scores
 from qvault.functions.findings import severity_of_rank, severity_rank
 from qvault.functions.text import noisy_or, version_lt
 
+
 def scored_findings(findings: DataFrame, variant: str = "service") -> DataFrame:
     """Findings with primitive, purpose and score."""
     with_name = findings.withColumn("primitive", F.expr(scores.primitive("algorithm"))).withColumn("purpose", F.expr(scores.detect_purpose("category", "code_snippet")))
@@ -159,11 +160,29 @@ def certificate_posture(certificates: DataFrame, as_of: Column) -> DataFrame:
     return certificates.select("cert_id", left.alias("days_left"), expiry.alias("expiry"), severity_of_rank(rank).alias("severity"))
 
 
-def sca_findings(deps: DataFrame, catalogue: DataFrame, locks: DataFrame) -> DataFrame:
-    """Dependencies with the catalogue's row, the locked version or the cleaned declared one, and whether it is too old."""
-    joined = deps.join(locks, ["ecosystem", "library"], "left").join(catalogue, ["ecosystem", "library"])
-    version = F.coalesce("resolved_version", F.regexp_replace("declared_version", "^[^0-9]*", ""))
-    return joined.withColumn("version", version).withColumn("needs_bump", F.coalesce(version_lt(F.col("version"), F.col("min_safe_version")), F.lit(False)))
+def library_key(ecosystem: Column, library: Column) -> Column:
+    """The name that libraries of an ecosystem are compared by: lower case, and in Python without - and _."""
+    low = F.lower(F.trim(library))
+    return F.when(ecosystem.isin("pypi", "pip"), F.regexp_replace(low, "[-_]", "")).otherwise(low)
+
+
+def locked_versions(locks: DataFrame, keys: Sequence[str] = ("repo_id",)) -> DataFrame:
+    """One resolved version per repository (by those of ``keys`` that locks have), ecosystem and library: that of the shortest path, the first of such."""
+    on = [k for k in keys if k in locks.columns]
+    place = F.struct(F.length("path"), "path", "resolved_version") if "path" in locks.columns else F.col("resolved_version")
+    return locks.groupBy(*on, "ecosystem", library_key(F.col("ecosystem"), F.col("library")).alias("_key")).agg(F.min_by("resolved_version", place).alias("resolved_version"))
+
+
+def sca_findings(deps: DataFrame, catalogue: DataFrame, locks: DataFrame, keys: Sequence[str] = ("repo_id",)) -> DataFrame:
+    """Dependencies with the catalogue's row, the version locked in their repository or the cleaned declared one, and whether it is too old."""
+    on = [k for k in keys if k in locks.columns]
+    key = library_key(F.col("ecosystem"), F.col("library"))
+    known = catalogue.withColumn("_key", key).drop("library")
+    joined = deps.withColumn("_key", key).join(locked_versions(locks, keys), [*on, "ecosystem", "_key"], "left").join(known, ["ecosystem", "_key"]).drop("_key")
+    cleaned = F.regexp_replace("declared_version", "^[^0-9]*", "")
+    version = F.coalesce("resolved_version", F.when(cleaned == "", F.col("declared_version")).otherwise(cleaned))
+    numbered = F.col("version").rlike("[0-9]")  # a version without numbers is not known to be old
+    return joined.withColumn("version", version).withColumn("needs_bump", F.coalesce(numbered & version_lt(F.col("version"), F.col("min_safe_version")), F.lit(False)))
 
 
 def advisory_join(deps: DataFrame, advisories: DataFrame) -> DataFrame:

@@ -67,21 +67,25 @@ def session_progress(events: DataFrame, identity: Sequence[str], max_distinct: i
     return events.groupBy("run_id").agg(F.sum("count").alias("total"), F.max("ts").alias("last_event"), F.count_distinct(*identity).alias("distinct_events")).withColumn("over_limit", F.col("distinct_events") > max_distinct)
 
 
-def first_per_line(findings: DataFrame, path: Column) -> DataFrame:
-    """The finding with the smallest ordinal of each file, algorithm and line: no other of the line can be an event's match."""
-    f = findings.where("finding_id is not null").select(path.alias("_file"), canonical_algorithm(F.col("algorithm")).alias("_algo"), F.col("line").alias("_line"), F.struct(F.col("ordinal").alias("_ordinal"), "finding_id").alias("_first"))
-    return f.groupBy("_file", "_algo", "_line").agg(F.min("_first").alias("_first")).select("_file", "_algo", "_line", "_first.*")
+def first_per_line(findings: DataFrame, path: Column, keys: Sequence[str] = ()) -> DataFrame:
+    """The finding with the smallest ordinal of each file (of a repository, by ``keys``), algorithm and line: no other of the line can be an event's match."""
+    f = findings.where("finding_id is not null").select(*keys, path.alias("_file"), canonical_algorithm(F.col("algorithm")).alias("_algo"), F.col("line").alias("_line"), F.struct(F.col("ordinal").alias("_ordinal"), "finding_id").alias("_first"))
+    return f.groupBy(*keys, "_file", "_algo", "_line").agg(F.min("_first").alias("_first")).select(*keys, "_file", "_algo", "_line", "_first.*")
 
 
-def match_events(events: DataFrame, findings: DataFrame, tolerance: int = 15, full_path: bool = False) -> DataFrame:
-    """Events with the finding of the same file and algorithm: on the line, else the nearest within ``tolerance``, else the first in the file."""
+def match_events(events: DataFrame, findings: DataFrame, tolerance: int = 15, full_path: bool = False, keys: Sequence[str] = ()) -> DataFrame:
+    """Events with the finding of the same file and algorithm: on the line, else the nearest within ``tolerance``, else the first in the file.
+
+    ``keys`` (a repository, a scan) are columns of both that must be equal: over
+    a fleet the same names of files are in many repositories.
+    """
     path = F.col("file") if full_path else base_name(F.col("file"))
-    f = first_per_line(findings, path)
+    f = first_per_line(findings, path, keys)
     e = events.withColumns({"_file": path, "_algo": canonical_algorithm(F.col("algorithm"))})
     distance = F.when((F.col("line") > 0) & (F.col("_line") > 0), F.abs(F.col("line") - F.col("_line"))).otherwise(9999)
     kind = F.when(distance == 0, 0).when(distance <= tolerance, 1).otherwise(2)
     # The best of each event by a plain aggregate: it combines before the shuffle, where a window would gather all candidates.
-    joined = e.join(f, ["_file", "_algo"], "left")
+    joined = e.join(f, [*keys, "_file", "_algo"], "left")
     best = joined.groupBy("event_id").agg(F.min(F.when(F.col("finding_id").isNotNull(), F.struct(kind.alias("kind"), F.when(kind == 1, distance).otherwise(0).alias("distance"), F.col("_ordinal"), F.col("finding_id")))).alias("m"))
     reason = F.when(F.col("m").isNull(), "unmatched").otherwise(F.element_at(F.array(F.lit("exact_line"), F.lit("same_function"), F.lit("same_file_algorithm")), F.col("m.kind") + 1))
     certainty = F.when(F.col("m").isNull(), "none").otherwise(F.element_at(F.array(F.lit("high"), F.lit("medium"), F.lit("low")), F.col("m.kind") + 1))

@@ -71,24 +71,24 @@ def w5(spark, d):
     return op.merge_secrets(findings(spark, d)).select(*ID, "confidence", "severity")
 
 
-SUPPRESSIONS = [(1, "md5-hashing", None, None, None), (2, None, "tests/unit/test_hash.py", None, None), (3, "rsa-keygen", "server.js", 10, None), (4, "SHA-1", "app.yml", None, None)]
+SUPPRESSIONS = [(1, "md5-hashing", None, None, None, 1), (2, None, "tests/unit/test_hash.py", None, None, None), (3, "rsa-keygen", "server.js", 10, None, None), (4, "SHA-1", "app.yml", None, None, 2), (5, None, None, 11, None, 0)]
 
 
 @query(
     "x4_apply_suppressions",
     over(
         "findings",
-        """WITH r(ro, rr, rp, rl) AS (VALUES (1, 'md5-hashing', NULL, NULL), (2, NULL, 'tests/unit/test_hash.py', NULL), (3, 'rsa-keygen', 'server.js', 10), (4, 'sha-1', 'app.yml', NULL)),
-h AS (SELECT scan_id, ordinal, ro FROM findings JOIN r ON (rr IS NULL OR rr = lower(rule_id) OR rr = lower(algorithm)) AND (rl IS NULL OR rl = line)
+        """WITH r(ro, rr, rp, rl, rk) AS (VALUES (1, 'md5-hashing', NULL, NULL, 1), (2, NULL, 'tests/unit/test_hash.py', NULL, NULL), (3, 'rsa-keygen', 'server.js', 10, NULL), (4, 'sha-1', 'app.yml', NULL, 2), (5, NULL, NULL, 11, 0)),
+h AS (SELECT scan_id, ordinal, ro FROM findings JOIN r ON (rk IS NULL OR rk = scan_id % 3) AND (rr IS NULL OR rr = lower(rule_id) OR rr = lower(algorithm)) AND (rl IS NULL OR rl = line)
   AND (rp IS NULL OR lower(file) = rp OR ends_with(lower(file), '/' || rp) OR ends_with(rp, '/' || lower(file)) OR string_split(lower(file), '/')[-1] = string_split(rp, '/')[-1])),
 k AS (SELECT scan_id, ordinal, min(ro) AS ro FROM h GROUP BY ALL)
-SELECT f.scan_id, f.ordinal, suppressed OR ro IS NOT NULL AS suppressed, CASE ro WHEN 1 THEN 'rule' WHEN 2 THEN 'path' WHEN 3 THEN 'rule, path and line' WHEN 4 THEN 'rule and path' END AS suppression_reason
+SELECT f.scan_id, f.ordinal, suppressed OR ro IS NOT NULL AS suppressed, CASE ro WHEN 1 THEN 'rule' WHEN 2 THEN 'path' WHEN 3 THEN 'rule, path and line' WHEN 4 THEN 'rule and path' WHEN 5 THEN 'path' END AS suppression_reason
 FROM findings f LEFT JOIN k ON f.scan_id = k.scan_id AND f.ordinal = k.ordinal""",
     ),
 )
 def x4(spark, d):
-    rules = spark.createDataFrame(SUPPRESSIONS, "ordinal int, rule_id string, path string, line int, token string")
-    return op.apply_suppressions(findings(spark, d), rules).select(*ID, "suppressed", "suppression_reason")
+    rules = spark.createDataFrame(SUPPRESSIONS, "ordinal int, rule_id string, path string, line int, token string, repo_id long")
+    return op.apply_suppressions(findings(spark, d).withColumn("repo_id", F.col("scan_id") % 3), rules).select(*ID, "suppressed", "suppression_reason")
 
 
 @query("p31_active", over("findings", "SELECT scan_id, ordinal FROM findings WHERE NOT suppressed AND status <> 'RESOLVED'"))

@@ -117,18 +117,27 @@ def t4(spark, d):
     return rt.session_progress(events(spark, d), ["operation", "library"], 12)
 
 
-MATCH_FINDINGS = "f AS (SELECT scan_id * 100 + ordinal AS finding_id, scan_id * 100 + ordinal AS ordinal, string_split(file, '/')[-1] AS base, algorithm, line FROM findings)"
-MATCH = f"""WITH f0 AS (SELECT min(finding_id) AS finding_id, min(ordinal) AS ordinal, base, algorithm, line FROM f GROUP BY base, algorithm, line), fc AS (SELECT finding_id, ordinal, base, line AS fl, {CANON} AS ca FROM f0), ec AS (SELECT *, string_split(file, '/')[-1] AS base, {CANON} AS ca FROM events_),
-j AS (SELECT event_id, finding_id, ordinal, CASE WHEN line > 0 AND fl > 0 THEN abs(line - fl) ELSE 9999 END AS dist FROM ec LEFT JOIN fc USING (base, ca)),
+MATCH_FINDINGS = "f AS (SELECT scan_id * 100 + ordinal AS finding_id, scan_id * 100 + ordinal AS ordinal, scan_id % 50 AS repo_id, string_split(file, '/')[-1] AS base, algorithm, line FROM findings)"
+MATCH = f"""WITH f0 AS (SELECT min(finding_id) AS finding_id, min(ordinal) AS ordinal, repo_id, base, algorithm, line FROM f GROUP BY repo_id, base, algorithm, line), fc AS (SELECT finding_id, ordinal, repo_id, base, line AS fl, {CANON} AS ca FROM f0), ec AS (SELECT *, run_id % 50 AS repo_id, string_split(file, '/')[-1] AS base, {CANON} AS ca FROM events_),
+j AS (SELECT event_id, finding_id, ordinal, CASE WHEN line > 0 AND fl > 0 THEN abs(line - fl) ELSE 9999 END AS dist FROM ec LEFT JOIN fc USING (repo_id, base, ca)),
 k AS (SELECT *, CASE WHEN finding_id IS NULL THEN 3 WHEN dist = 0 THEN 0 WHEN dist <= 15 THEN 1 ELSE 2 END AS kind FROM j),
 b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY kind, CASE WHEN kind = 1 THEN dist ELSE 0 END, ordinal) AS n FROM k) WHERE n = 1),
 m AS (SELECT event_id, finding_id AS matched_finding_id, CASE kind WHEN 0 THEN 'exact_line' WHEN 1 THEN 'same_function' WHEN 2 THEN 'same_file_algorithm' ELSE 'unmatched' END AS match_reason, CASE kind WHEN 0 THEN 'high' WHEN 1 THEN 'medium' WHEN 2 THEN 'low' ELSE 'none' END AS match_confidence FROM b)
 """
 
 
+def scoped_findings(spark, d):
+    """Findings of 50 repositories, which have the same paths."""
+    f = findings(spark, d).withColumn("finding_id", F.col("scan_id") * 100 + F.col("ordinal"))
+    return f.withColumn("ordinal", F.col("finding_id")).withColumn("repo_id", F.col("scan_id") % 50)
+
+
+def scoped_events(spark, d):
+    return events(spark, d).withColumn("repo_id", F.col("run_id") % 50)
+
+
 def matched(spark, d):
-    f = findings(spark, d).withColumn("finding_id", F.col("scan_id") * 100 + F.col("ordinal")).withColumn("ordinal", F.col("finding_id"))
-    return rt.match_events(events(spark, d), f)
+    return rt.match_events(scoped_events(spark, d), scoped_findings(spark, d), keys=["repo_id"])
 
 
 def with_match(select: str) -> str:
@@ -147,10 +156,9 @@ def t7(spark, d):
     from qvault.streaming.events import match_stream, read_event_stream
 
     source, sink, state = (new_path(spark, f"stream-{x}") for x in ("events", "matches", "state"))
-    e = events(spark, d).select("event_id", "file", "line", "algorithm")
+    e = scoped_events(spark, d).select("event_id", "repo_id", "file", "line", "algorithm")
     e.write.json(source)
-    f = findings(spark, d).withColumn("finding_id", F.col("scan_id") * 100 + F.col("ordinal")).withColumn("ordinal", F.col("finding_id"))
-    match_stream(read_event_stream(spark, source, e.schema), f, sink, state).awaitTermination()
+    match_stream(read_event_stream(spark, source, e.schema), scoped_findings(spark, d), sink, state, keys=["repo_id"]).awaitTermination()
     return spark.read.parquet(sink).drop("epoch")
 
 

@@ -28,9 +28,10 @@ SPEC = """CASE WHEN regexp_replace(upper(trim(algorithm)), '[^A-Z0-9]', '', 'g')
  WHEN regexp_replace(upper(trim(algorithm)), '[^A-Z0-9]', '', 'g') = 'RC4' OR list_contains(string_split(upper(trim(algorithm)), '-'), 'RC4') THEN 'RC4'
  WHEN contains(upper(algorithm), 'RSA') AND coalesce(key_size, TRY_CAST(nullif(regexp_extract(upper(algorithm), '(\\d+)', 1), '') AS BIGINT)) < 2048 THEN 'RSA<2048'
  WHEN contains(upper(algorithm), 'DH') AND coalesce(key_size, TRY_CAST(nullif(regexp_extract(upper(algorithm), '(\\d+)', 1), '') AS BIGINT)) < 2048 THEN 'DH<2048' END"""
-WAIVERS = [(1, "W-rsa", None, "RSA", "src/m1/*"), (2, "W-aes", None, "AES-256", "f3.py"), (3, "W-none", None, "ChaCha20", "src/*")]
-WAIVER_SQL = "w(wo, wid, wa, rx) AS (VALUES (1, 'W-rsa', 'RSA', '(.*/)?src/m1/.*'), (2, 'W-aes', 'AES-256', '(.*/)?f3[.]py'), (3, 'W-none', 'CHACHA20', '(.*/)?src/.*'))"
-COVERS = "(contains(upper(algorithm), wa) OR contains(wa, upper(algorithm))) AND regexp_full_match(file, rx)"
+# Waivers of all repositories, and of one each.
+WAIVERS = [(1, "W-rsa", None, "RSA", "src/m1/*", None), (2, "W-aes", None, "AES-256", "f3.py", 3), (3, "W-none", None, "ChaCha20", "src/*", None), (4, "W-ecc", None, "EC", "src/*", 7), (5, "W-dh", None, "dh-1024-old", "*/f5.py", 11), (6, "W-rsa-all", None, "rsa", "*", 12)]
+WAIVER_SQL = "w(wo, wid, wa, rx, wr) AS (VALUES (1, 'W-rsa', 'RSA', '(.*/)?src/m1/.*', NULL), (2, 'W-aes', 'AES-256', '(.*/)?f3[.]py', 3), (3, 'W-none', 'CHACHA20', '(.*/)?src/.*', NULL), (4, 'W-ecc', 'EC', '(.*/)?src/.*', 7), (5, 'W-dh', 'DH-1024-OLD', '.*/f5[.]py', 11), (6, 'W-rsa-all', 'RSA', '.*', 12))"
+COVERS = "(wr IS NULL OR wr = repo_id) AND (contains(upper(algorithm), wa) OR contains(wa, upper(algorithm))) AND regexp_full_match(file, rx)"
 
 
 def pair(spark, d):
@@ -39,7 +40,7 @@ def pair(spark, d):
 
 
 def waivers(spark):
-    return spark.createDataFrame(WAIVERS, "waiver_ordinal int, waiver_id string, match_fingerprint string, match_algorithm string, match_path string")
+    return spark.createDataFrame(WAIVERS, "waiver_ordinal int, waiver_id string, match_fingerprint string, match_algorithm string, match_path string, repo_id long")
 
 
 @query("f2_asset_fingerprint", over("assets", f"SELECT repo_id, ordinal, {FP} AS fingerprint, {MFP} AS moved_fingerprint FROM assets"))

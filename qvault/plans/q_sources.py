@@ -7,6 +7,7 @@ import json
 from pyspark.sql import functions as F
 
 from qvault.operators.gate import load_policy
+from qvault.operators.rollups import sca_findings
 from qvault.plans.bindings import assets, findings, over, pick, plain, sql
 from qvault.plans.registry import query
 from qvault.sources import files as src
@@ -98,6 +99,17 @@ def s10_locks(spark, d):
     return src.read_locks(sql(spark, d, LOCKS)).drop("path")
 
 
+# Every repository asks for the same libraries, spelled differently; each has locks of its own for some.
+ASKED = "SELECT p_partkey AS repo_id, explode(array(named_struct('ecosystem', 'npm', 'library', 'Left-Pad', 'declared_version', '^1.2.9'), named_struct('ecosystem', 'pypi', 'library', 'py-crypto', 'declared_version', '>=2.1'), named_struct('ecosystem', 'pypi', 'library', 'Requests', 'declared_version', 'latest'))) AS d FROM {part}"
+
+
+@query("j10_locked_versions", f"WITH k AS ({LOCKED}), a(library, declared, safe) AS (VALUES ('Left-Pad', '1.2.9', '1.3.0'), ('py-crypto', '2.1', '2.4'), ('Requests', 'latest', '2.3.1')), v AS (SELECT repo_id, library, safe, CASE WHEN library = 'Left-Pad' AND k = 0 THEN '1.' || n || '.0' WHEN library = 'Left-Pad' AND k = 2 THEN '1.3.' || n WHEN library = 'py-crypto' AND k = 1 THEN '2.' || n WHEN library = 'Requests' AND k = 3 THEN '2.' || n || '.1' ELSE declared END AS version FROM k, a) SELECT repo_id, library, version, version <> 'latest' AND list_transform(string_split(version, '.'), lambda x: TRY_CAST(x AS INTEGER)) < list_transform(string_split(safe, '.'), lambda x: CAST(x AS INTEGER)) AS needs_bump FROM v")
+def j10_locks(spark, d):
+    safe = spark.createDataFrame([("npm", "left-pad", "1.3.0"), ("pypi", "pycrypto", "2.4"), ("pypi", "requests", "2.3.1")], "ecosystem string, library string, min_safe_version string")
+    asked = sql(spark, d, ASKED).select("repo_id", "d.*")
+    return sca_findings(asked, safe, src.read_locks(sql(spark, d, LOCKS))).select("repo_id", "library", "version", "needs_bump")
+
+
 @query("s13_report_csv", over("findings", "SELECT scan_id, ordinal, CASE WHEN ordinal % 5 = 0 THEN chr(39) || '=' || file ELSE file END AS file, severity FROM findings WHERE severity = 'Critical'"))
 def s13_csv(spark, d):
     path = new_path(spark, "report")

@@ -56,8 +56,10 @@ def read_dependencies(files: DataFrame) -> DataFrame:
     line = F.regexp_replace("line", r"\s*(#.*)?$", "")
     pip = files.where(name == "requirements.txt").select("repo_id", "path", F.explode(F.split("content", "\n")).alias("line"))
     pip = pip.where(line.rlike(r"^[A-Za-z0-9_.-]+")).select("repo_id", "path", F.lower(F.regexp_extract(line, r"^([A-Za-z0-9_.-]+)", 1)).alias("library"), F.nullif(F.regexp_extract(line, r"[=<>~!]=?\s*([\w.]+)", 1), F.lit("")).alias("declared_version"))
-    pom = files.where(name == "pom.xml").select("repo_id", "path", F.xpath("content", F.lit("//dependency/artifactId/text()")).alias("l"), F.xpath("content", F.lit("//dependency/version/text()")).alias("v"))
-    pom = pom.select("repo_id", "path", F.explode(F.arrays_zip("l", "v")).alias("d")).select("repo_id", "path", F.col("d.l").alias("library"), F.col("d.v").alias("declared_version"))
+    # Each dependency by itself, as one may lack a version; a version that is a property is not known.
+    pom = files.where(name == "pom.xml").select("repo_id", "path", F.explode(F.regexp_extract_all("content", F.lit(r"(?s)<dependency>(.*?)</dependency>"), F.lit(1))).alias("d"))
+    part = lambda tag: F.nullif(F.trim(F.regexp_extract("d", rf"(?s)<{tag}>\s*(.*?)\s*</{tag}>", 1)), F.lit(""))
+    pom = pom.select("repo_id", "path", F.lower(part("artifactId")).alias("library"), F.when(~part("version").startswith("${"), part("version")).alias("declared_version"))
     tagged = [df.withColumn("ecosystem", F.lit(e)) for df, e in ((npm, "npm"), (pip, "pypi"), (pom, "maven"))]
     return tagged[0].unionByName(tagged[1]).unionByName(tagged[2]).where("library is not null")
 
@@ -68,10 +70,10 @@ def read_locks(files: DataFrame) -> DataFrame:
     versions = "map<string,struct<version:string>>"
     held = lambda at: F.from_json(F.get_json_object("content", at), versions)
     npm = files.where(name == "package-lock.json").select("repo_id", "path", F.explode(F.array(held("$.packages"), held("$.dependencies"))).alias("m")).select("repo_id", "path", F.explode("m").alias("library", "v"))
-    npm = npm.where("library <> ''").select("repo_id", "path", F.lit("npm").alias("ecosystem"), F.regexp_replace("library", r"^(.*/)?node_modules/", "").alias("library"), F.col("v.version").alias("resolved_version"))
+    npm = npm.where("library <> ''").select("repo_id", "path", F.lit("npm").alias("ecosystem"), F.lower(F.regexp_replace("library", r"^(.*/)?node_modules/", "")).alias("library"), F.col("v.version").alias("resolved_version"))
     pin = r"^([A-Za-z0-9_.-]+)\s*==\s*([\w.]+)"
     pip = files.where(name.rlike(r"^requirements.*\.(txt|lock)$")).select("repo_id", "path", F.explode(F.split("content", "\n")).alias("line")).where(F.col("line").rlike(pin))
-    pip = pip.select("repo_id", "path", F.lit("pypi").alias("ecosystem"), F.lower(F.regexp_extract("line", pin, 1)).alias("library"), F.regexp_extract("line", pin, 2).alias("resolved_version"))
+    pip = pip.select("repo_id", "path", F.lit("pypi").alias("ecosystem"), F.regexp_replace(F.lower(F.regexp_extract("line", pin, 1)), "[-_]", "").alias("library"), F.regexp_extract("line", pin, 2).alias("resolved_version"))
     return npm.unionByName(pip).where("resolved_version is not null").distinct()
 
 

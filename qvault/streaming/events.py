@@ -51,10 +51,10 @@ def read_counts(spark: SparkSession, path: str, identity: Sequence[str]) -> Data
     return spark.read.parquet(path).groupBy(*identity).agg(F.sum("count").alias("count"), F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"))
 
 
-def match_stream(events: DataFrame, findings: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Each batch matched to the findings, by the batch function."""
+def match_stream(events: DataFrame, findings: DataFrame, path: str, checkpoint: str, keys: Sequence[str] = ()) -> StreamingQuery:
+    """Each batch matched to the findings (of the same ``keys``), by the batch function."""
 
     def write(batch: DataFrame, epoch: int) -> None:
-        match_events(batch, findings).write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
+        match_events(batch, findings, keys=keys).write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
 
     return events.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
