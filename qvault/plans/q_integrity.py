@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import functions as F
 
 from qvault.operators import gate
 from qvault.operators import integrity as op
 from qvault.operators import runtime as rt
+from qvault.operators import runtime_events as ev_rules
 from qvault.plans.bindings import assets, findings, over, pick, plain, sql
 from qvault.plans.q_inventory import GATE
 from qvault.plans.registry import query
@@ -181,6 +184,168 @@ def t5(spark, d):
     return named.withColumn("finding_id", F.substring(F.sha2(F.concat_ws(":", F.col("run_id").cast("string"), "algorithm"), 256), 1, 32))
 
 
+#: Raw events as (JSON, why it is rejected, its findings as algorithm, severity, risk and category), made by hand.
+INFO, WARN, BROKEN = ("Informational", "Safe"), ("High", "Classical Risk"), ("Critical", "Quantum-Broken")
+
+
+def _event(source, algorithm, operation, key=None, reason=None, found=(), **more):
+    return json.dumps({"source": source, "algorithm": algorithm, "operation": operation, "callerScript": "https://App.example:443/js/a.js?v=1:12:5"} | ({"keyInfo": key} if key is not None else {}) | more), reason, list(found)
+
+
+RAW_EVENTS = [
+    _event("crypto", "eth_signTypedData_v4", "wallet", found=[("ECDSA secp256k1", *BROKEN, "algorithm")]),
+    _event("crypto", "Math.random", "random", found=[("Non-CSPRNG", *INFO, "algorithm")]),
+    _event("crypto", "crypto.getRandomValues", "random", found=[("CSPRNG", *INFO, "algorithm")]),
+    _event("crypto", "jwt HS512", "sign", found=[("HMAC-SHA512 (JWT)", *INFO, "algorithm")]),
+    _event("crypto", "JWT PS256", "sign"),
+    _event("crypto", "ES256", "sign", found=[("ECDSA-P256-SHA256 (JWT)", *BROKEN, "algorithm")]),
+    _event("crypto", "AES-CBC", "encrypt", {"keySize": 256}, found=[("AES-256-CBC", "Low", "Quantum-Weakened", "algorithm")]),
+    _event("crypto", "AES-256-GCM", "encrypt", found=[("AES-GCM", *INFO, "algorithm")]),
+    _event("crypto", "aes", "encrypt", {"mode": "ecb", "keySize": "128"}, found=[("AES-128-ECB", "Critical", "Classical Risk", "algorithm")]),
+    _event("crypto", "AES_KW", "wrapKey", {"keySize": 192}, found=[("AES-192-", "Medium", "Quantum-Weakened", "algorithm")]),
+    _event("crypto", "AES-GCM", "encrypt", {"keySize": 128}, found=[("AES-128-GCM", "Medium", "Quantum-Weakened", "algorithm")]),
+    _event("crypto", "RSASSA-PKCS1-v1_5", "sign", {"modulusLength": 4096, "hash": "SHA-256"}, found=[("RSA-4096", *BROKEN, "algorithm")]),
+    _event("crypto", "ECDH", "deriveBits", {"curve": "P-256"}, found=[("ECDH (P-256)", *BROKEN, "algorithm")]),
+    _event("crypto", "ECDSA", "sign", {"curve": "P-384"}, found=[("ECDSA (P-384)", *BROKEN, "algorithm")]),
+    _event("crypto", "Ed25519", "verify", found=[("ECDSA (ed25519)", *BROKEN, "algorithm")]),
+    _event("crypto", "wallet signing", "wallet", found=[("ECDSA (secp256k1)", *BROKEN, "algorithm")]),
+    _event("crypto", "SHA-1", "digest", found=[("SHA-1", *WARN, "hash")]),
+    _event("crypto", "keccak256", "digest", found=[("SHA-3", *INFO, "algorithm")]),
+    _event("crypto", "PBKDF2", "deriveKey", found=[("PBKDF2", *INFO, "algorithm")]),
+    _event("crypto", "HMAC", "sign", {"hash": "SHA-384"}, found=[("SHA-384", *INFO, "algorithm")]),
+    _event("crypto", "hmac-sha1", "sign", found=[("SHA-1", *WARN, "hash")]),
+    _event("crypto", "hmac md5", "sign", found=[("MD5", "Critical", "Classical Risk", "hash")]),
+    _event("crypto", "HMAC", "sign"),
+    _event("crypto", "des-ede3", "encrypt", found=[("3DES/DES", "Critical", "Classical Risk", "symmetric-cipher")]),
+    _event("crypto", "rc4", "encrypt", found=[("RC4", "Critical", "Classical Risk", "symmetric-cipher")]),
+    _event("crypto", "ChaCha20", "encrypt"),
+    _event("network", "NETWORK", "network", scheme="http", hostOrigin="http://CDN.other:80/x?y", crossOrigin=True, port=80, found=[("Unencrypted transport", *WARN, "protocol"), ("Cross-origin host", *INFO, "network")]),
+    _event("network", "NETWORK", "network", scheme="wss", hostOrigin="wss://app.example", found=[]),
+    _event("network", "NETWORK", "network", scheme="https", hostOrigin="https://third.example:8443", found=[("Cross-origin host", *INFO, "network")]),
+    _event("library", "forge", "library", found=[("forge", *INFO, "library")]),
+    _event("wasm", "WASM", "wasm", found=[("WebAssembly module", *INFO, "library")]),
+    _event("tls", "TLSv1.1", "handshake", {"cipherSuite": "AES128-SHA"}, found=[("TLSv1.1", *WARN, "protocol")]),
+    _event("tls", "TLS", "load", {"version": "TLSv1.3"}, found=[("TLSv1.3", *INFO, "protocol")]),
+    _event("tls", "TLSv1", "protocol", {"version": "TLSv1.3"}, found=[("TLSv1", *WARN, "protocol")]),
+    _event("tls", "RSA", "certificate", {"keySize": 2048}, found=[("RSA-2048", *BROKEN, "certificate")]),
+    _event("tls", "unheard", "certificate"),
+    _event("tls", "ecdsa_with_SHA-256", "signature", {"keySize": 256}, found=[("SHA-256", *INFO, "algorithm")]),
+    _event("tls", "rsaEncryption", "signature", {"keySize": 4096}, found=[("RSA", *BROKEN, "algorithm")]),
+    _event("tls", "ECDHE_RSA", "key_exchange", found=[("ECDHE", *BROKEN, "protocol")]),
+    _event("tls", "DHE", "key_exchange"),
+    _event("crypto", "RSA", "sign", callerScript="C:\\x.py:3", reason="callerScript malformed"),
+    _event("crypto", "SHA-256", "digest", callerScript="app\\main.py:7", found=[("SHA-256", *INFO, "algorithm")]),
+    _event("crypto", "SHA-256", "digest", callerScript="inline:x:9", count=1_000_000, timestamp="2024-05-01T10:00:00.5Z", found=[("SHA-256", *INFO, "algorithm")]),
+    _event("crypto", "SHA-256", "digest", callerScript="../x.py:7", reason="callerScript malformed"),
+    _event("crypto", "SHA-256", "digest", callerScript="https://u:p@h/x:7", reason="callerScript malformed"),
+    _event("crypto", "SHA-256", "digest", callerScript="https://h/x", reason="callerScript malformed"),
+    _event("crypto", "SHA-256", "digest", secret="x", reason="field unknown"),
+    _event("disk", "SHA-256", "digest", reason="source unknown"),
+    _event("crypto", "SHA-256", "hash", reason="operation unknown"),
+    _event("crypto", "a;b", "digest", reason="algorithm malformed"),
+    _event("library", "left-pad", "library", reason="library unknown"),
+    _event("network", "TCP", "network", reason="algorithm malformed"),
+    _event("wasm", "asm", "wasm", reason="algorithm malformed"),
+    _event("crypto", "RSA", "sign", [1], reason="keyInfo malformed"),
+    _event("crypto", "RSA", "sign", {"key": "x"}, reason="keyInfo field unknown"),
+    _event("crypto", "RSA", "sign", {"keySize": 0}, reason="keyInfo malformed"),
+    _event("crypto", "RSA", "sign", {"bits": 1.5}, reason="keyInfo malformed"),
+    _event("crypto", "RSA", "sign", {"curve": "a\"b"}, reason="keyInfo malformed"),
+    _event("crypto", "RSA", "sign", scheme="ftp", reason="scheme unknown"),
+    _event("crypto", "RSA", "sign", hostOrigin="nowhere", reason="hostOrigin malformed"),
+    _event("crypto", "RSA", "sign", port=65536, reason="port out of range"),
+    _event("network", "NETWORK", "network", scheme="http", reason="network without host"),
+    _event("crypto", "RSA", "sign", crossOrigin="yes", reason="crossOrigin malformed"),
+    _event("crypto", "RSA", "sign", count=0, reason="count out of range"),
+    _event("crypto", "RSA", "sign", timestamp="yesterday", reason="timestamp malformed"),
+    ("[1, 2]", "not an object", []), ("{broken", "not an object", []),
+]
+CASE = f"event_id % {len(RAW_EVENTS)}"
+_text = lambda x: "NULL" if x is None else "'" + x.replace("'", "''") + "'"
+REASONS = f"(VALUES {', '.join(f'({i}, {_text(r)})' for i, (_, r, _) in enumerate(RAW_EVENTS))}) r(k, reject_reason)"
+FOUND = "(VALUES " + ", ".join(f"({i}, {p}, {', '.join(map(_text, f))})" for i, (_, _, fs) in enumerate(RAW_EVENTS) for p, f in enumerate(fs)) + ") f(k, position, algorithm, severity, quantum_risk, category)"
+
+
+def raw_events(spark, d):
+    """The table's events, each with one of the raw events as its JSON."""
+    cases = F.broadcast(spark.createDataFrame([(i, v) for i, (v, _, _) in enumerate(RAW_EVENTS)], "k long, value string"))  # a fixed number of rows
+    e = load(spark, d, "events").select("event_id", F.col("user_id").alias("run_id"), (F.col("event_id") % len(RAW_EVENTS)).alias("k"))
+    return e.join(cases, "k").drop("k").withColumn("target_origin", F.lit("https://app.example"))
+
+
+@query("t1_normalise_events", f"SELECT event_id, reject_reason FROM events JOIN {REASONS} ON k = {CASE}")
+def t1(spark, d):
+    return ev_rules.normalise_events(raw_events(spark, d)).select("event_id", "reject_reason")
+
+
+@query("f26_classify_events", f"SELECT event_id, CAST(position AS INTEGER) AS position, algorithm, severity, quantum_risk, category FROM events JOIN {FOUND} ON k = {CASE}")
+def f26_rules(spark, d):
+    return ev_rules.classify_events(ev_rules.normalise_events(raw_events(spark, d)).where("reject_reason is null"))
+
+
+#: The identity in SQL for events of one form: a key with all its fields, out of order.
+IDENTIFIED = "SELECT event_id, user_id, event_id % 50 AS size, event_id % 3 = 0 AS far FROM events"
+
+
+@query("f27_identity_of_ten", f"""SELECT event_id, sha256('["' || user_id || '","crypto","RSA","sign","{{\\"curve\\":\\"P-' || size || '\\",\\"hash\\":\\"a/b\\",\\"keySize\\":' || (size + 1) || '}}","https://h.example/a.js:' || size || '","' || CASE WHEN far THEN 'https://far.example' ELSE '' END || '","' || CASE WHEN far THEN 'https' ELSE '' END || '",' || CASE WHEN far THEN 443 ELSE 0 END || ',' || CASE WHEN far THEN 'true' ELSE 'false' END || ']') AS identity FROM ({IDENTIFIED})""")
+def f27_ten(spark, d):
+    size, far = F.col("event_id") % 50, F.col("event_id") % 3 == 0
+    key = F.struct((size + 1).alias("keySize"), F.lit("a/b").alias("hash"), F.concat(F.lit("P-"), size.cast("string")).alias("curve"))
+    fields = [F.lit("crypto").alias("source"), F.lit("RSA").alias("algorithm"), F.lit("sign").alias("operation"), key.alias("keyInfo"), F.format_string("https://H.example:443/a.js?q:%d:9", size).alias("callerScript")]
+    more = [F.when(far, "https://FAR.example:443/p").alias("hostOrigin"), F.when(far, "https").alias("scheme"), F.when(far, 443).alias("port"), F.when(far, True).alias("crossOrigin")]
+    raw = load(spark, d, "events").select("event_id", F.col("user_id").alias("run_id"), F.to_json(F.struct(*fields, *more)).alias("value"))
+    return ev_rules.normalise_events(raw).select("event_id", ev_rules.event_identity().alias("identity"))
+
+
+@query("t5_session_findings", f"""WITH f AS (SELECT DISTINCT user_id AS run_id, k, position, algorithm, severity, quantum_risk, category FROM events JOIN {FOUND} ON k = {CASE}), c AS (SELECT user_id AS run_id, {CASE} AS k, count(*) AS n, count(DISTINCT user_id) FROM events GROUP BY ALL)
+SELECT run_id, position, algorithm, severity, quantum_risk, category, CAST(sum(n * CASE WHEN k = {next(i for i, (v, _, _) in enumerate(RAW_EVENTS) if '"count": 1000000' in v)} THEN 1000000 ELSE 1 END) AS BIGINT) AS count, count(*) AS findings FROM f JOIN c USING (run_id, k) GROUP BY ALL""")
+def t5_findings(spark, d):
+    """All findings of all runs, as when each stops; how many there are of each kind, and how often their calls were seen."""
+    ok = ev_rules.normalise_events(raw_events(spark, d)).where("reject_reason is null").withColumn("event_id", ev_rules.event_identity())
+    found = ev_rules.session_findings(ok.select("event_id", "run_id", "source", "algorithm", "operation", "key_info", "caller", "scheme", "host_origin", "target_origin", "count", "seen"))
+    once = found.dropDuplicates(["finding_id"])
+    return once.groupBy("run_id", "position", "algorithm", "severity", "quantum_risk", "category").agg(F.sum("count").alias("count"), F.count("*").alias("findings"))
+
+
+#: An hour of a user as requests: a start, events in batches of equal types, a stop for some, and more after it.
+SESSION_SQL = """WITH RECURSIVE e AS (SELECT user_id AS run_id, event_id, event_type || ':' || (event_id % 7) AS call, event_id % 5 + 1 AS n, event_id // 16 AS slot FROM events),
+q AS (SELECT run_id, min(event_id) * 10 + 1 AS request_id, 'events' AS kind, list(call ORDER BY event_id) AS calls, CAST(sum(n) AS BIGINT) AS inc FROM e GROUP BY run_id, slot
+ UNION ALL SELECT run_id, min(event_id) * 10, 'start', [], 0 FROM e GROUP BY run_id UNION ALL SELECT run_id, max(event_id) * 10 - 5, 'stop', [], 0 FROM e WHERE run_id % 3 = 0 GROUP BY run_id),
+o AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY request_id) AS i FROM q),
+s AS (SELECT run_id, CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS request_id, 'ready' AS status, CAST(NULL AS VARCHAR) AS reason, CAST(0 AS BIGINT) AS total, CAST([] AS VARCHAR[]) AS seen, '' AS kind FROM (SELECT DISTINCT run_id FROM e)
+ UNION ALL SELECT run_id, i, request_id, CASE WHEN reason IS NULL AND kind = 'start' THEN 'recording' WHEN kind = 'stop' THEN 'stopped' ELSE status END, reason, CASE WHEN reason IS NULL THEN total + inc ELSE total END, CASE WHEN reason IS NULL THEN list_distinct(list_concat(seen, calls)) ELSE seen END, kind
+ FROM (SELECT o.*, s.status, s.total, s.seen, CASE WHEN o.kind = 'start' THEN CASE WHEN s.status <> 'ready' THEN 'not ready' END WHEN o.kind = 'stop' THEN NULL WHEN len(o.calls) > 3 THEN 'batch too large' WHEN s.status <> 'recording' THEN 'not recording' WHEN s.total + o.inc > 120 THEN 'event limit' WHEN len(s.seen) + len(list_distinct(o.calls)) > 18 THEN 'aggregate limit' END AS reason FROM s JOIN o ON o.run_id = s.run_id AND o.i = s.i + 1))
+SELECT run_id, request_id, kind, reason IS NULL AS accepted, reason, total, CAST(len(seen) AS BIGINT) AS distinct_events FROM s WHERE i > 0"""
+
+
+def session_requests(spark, d):
+    e = load(spark, d, "events").select(F.col("user_id").alias("run_id"), "event_id", "ts", F.concat("event_type", F.lit(":"), (F.col("event_id") % 7).cast("string")).alias("call"), (F.col("event_id") % 5 + 1).alias("n"))
+    listed = F.array_sort(F.collect_list(F.struct("event_id", "call", "n")))  # a slot of 16 events bounds it
+    batches = e.groupBy("run_id", F.floor(F.col("event_id") / 16).alias("slot")).agg(F.max("ts").alias("ts"), (F.min("event_id") * 10 + 1).alias("request_id"), listed.alias("c"))
+    batches = batches.select("run_id", "request_id", F.lit("events").alias("kind"), "ts", F.col("c.call").alias("calls"), F.col("c.n").alias("counts"))
+    none = [F.array().cast("array<string>").alias("calls"), F.array().cast("array<long>").alias("counts")]
+    edge = lambda rows, at, kind: rows.groupBy("run_id").agg(at.alias("request_id"), F.min("ts").alias("ts")).select("run_id", "request_id", F.lit(kind).alias("kind"), "ts", *none)
+    return batches.unionByName(edge(e, F.min("event_id") * 10, "start")).unionByName(edge(e.where("run_id % 3 = 0"), F.max("event_id") * 10 - 5, "stop"))
+
+
+@query("t4_session_state", SESSION_SQL)
+def t4_state(spark, d):
+    """Requests written as JSON lines, in files by their order, and decided on as a stream whose state spans its triggers."""
+    from qvault.storage import new_path
+    from qvault.streaming import sessions as se
+
+    source, out, state = (new_path(spark, f"sessions-{x}") for x in ("requests", "out", "state"))
+    session = spark.newSession()  # the state store is a setting of the stream's own session
+    se.use_state_store(session)
+    cut = session_requests(spark, d).agg(F.percentile("request_id", 0.5)).first()[0] or 0
+    for part in ("request_id <= {}", "request_id > {}"):  # the stream starts again over what it has left
+        session_requests(spark, d).where(part.format(cut)).write.mode("append").json(source)
+        stream = session.readStream.schema(se.REQUEST).json(source)
+        se.record_sessions(stream, out, state, max_batch=3, max_distinct=18, max_total=120).awaitTermination()
+    columns = ["run_id", "request_id", "kind", "accepted", "reason", "total", "distinct_events"]
+    return se.session_table(spark, out, "accepted").select(columns).unionByName(se.session_table(spark, out, "rejected").select(columns))
+
+
 @query("t6_tls_fan_out", "SELECT s_suppkey AS probe_id, unnest(['keygen', 'encrypt', 'sign']) AS operation, unnest(['ECDHE', 'AES-256-GCM', 'RSA-PSS']) AS algorithm FROM supplier WHERE s_suppkey % 2 = 0 UNION ALL SELECT s_suppkey, 'encrypt', 'AES-256-GCM' FROM supplier WHERE s_suppkey % 2 = 1")
 def t6(spark, d):
     even = F.col("s_suppkey") % 2 == 0
