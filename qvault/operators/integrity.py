@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from qvault.operators.running import running_totals
 from qvault.storage import materialize
 
 
@@ -19,12 +20,25 @@ def hash_pair(a: Column, b: Column) -> Column:
     return F.sha2(F.concat(F.least(a, b), F.greatest(a, b)), 256)
 
 
-def merkle_leaves(components: DataFrame, tree: str, order: Sequence, *columns: str) -> DataFrame:
-    """(tree, idx, hash, n): a leaf per row, numbered per tree."""
-    w = Window.partitionBy(tree)
-    return components.select(
-        F.col(tree).alias("tree"), (F.row_number().over(w.orderBy(*order)) - 1).cast("long").alias("idx"), F.sha2(canonical_json(*columns), 256).alias("hash"), F.count("*").over(w).alias("n")
-    )
+def number_leaves(rows: DataFrame, tree: str, order: Sequence[str], digest: Column) -> DataFrame:
+    """(tree, idx, hash, n): a leaf per row, numbered per tree by ``order``, which must tell the rows of a tree apart.
+
+    Numbers come from sums of ranges, so that one tree may hold the whole table.
+    """
+    keyed = rows.select(F.col(tree).alias("tree"), *[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)], digest.alias("hash"))
+    numbered = running_totals(keyed, ["tree"], [f"_o{i}" for i in range(len(order))], {"idx": F.lit(1).cast("long")})
+    sizes = keyed.groupBy("tree").agg(F.count("*").alias("n"))
+    return numbered.join(sizes, "tree").select("tree", F.col("idx").cast("long").alias("idx"), "hash", "n")
+
+
+def merkle_leaves(components: DataFrame, tree: str, order: Sequence[str], *columns: str) -> DataFrame:
+    """(tree, idx, hash, n): the leaf of each component, the hash of its columns as canonical JSON."""
+    return number_leaves(components, tree, order, F.sha2(canonical_json(*columns), 256))
+
+
+def batch_leaves(roots: DataFrame, batch: Column) -> DataFrame:
+    """The leaves of trees over trees: roots (tree, root) numbered by tree in each batch."""
+    return number_leaves(roots.withColumn("_batch", batch), "_batch", ["tree"], F.col("root"))
 
 
 def merkle_levels(leaves: DataFrame) -> list[DataFrame]:
@@ -113,6 +127,41 @@ def verify_packages(packages: DataFrame, roots: DataFrame) -> DataFrame:
     return joined.withColumn("errors", F.array_join(errors, ",")).withColumn("valid", F.col("errors") == "").drop("_root")
 
 
+def verify_signed_packages(packages: DataFrame, proofs: DataFrame, statements: DataFrame, statement_type: str, predicate_type: str) -> DataFrame:
+    """Each package with every check at once, apart from signatures: what it says of itself, its components' proofs, and the statement about it.
+
+    ``packages`` has package_id, components (an array of JSON), content_hash
+    and merkle_root; ``proofs`` package_id, leaf and proof, a row per component,
+    which are nested into packages and folded there; ``statements`` package_id,
+    type, predicate_type, subject_name, subject_sha256, has_summary and
+    n_fingerprints (null if it lists none). Returns package_id, valid, n_proofs,
+    bad_proofs and errors, in the order of the checks. A package without
+    components is a tree of its content alone.
+    """
+    rows = packages.select("package_id", F.posexplode("components").alias("at", "component"))
+    leaves = number_leaves(rows, "package_id", ["at"], F.sha2("component", 256))
+    roots = merkle_roots(leaves).select(F.col("tree").alias("package_id"), F.col("root").alias("_root"))
+    folded = proofs.join(packages.select("package_id", "merkle_root"), "package_id").withColumn("_ok", F.coalesce(verify_proof(F.col("leaf"), F.col("proof"), F.col("merkle_root")), F.lit(False)))
+    checked = folded.groupBy("package_id").agg(F.count("*").alias("n_proofs"), F.count_if(~F.col("_ok")).alias("bad_proofs"))
+    content = F.sha2(F.concat(F.lit("["), F.array_join("components", ","), F.lit("]")), 256)
+    joined = packages.withColumn("_content", content).join(roots, "package_id", "left").join(checked, "package_id", "left").join(statements.withColumn("_stated", F.lit(True)), "package_id", "left")
+    stated = F.col("_stated").isNotNull()
+    odd = lambda c: ~F.coalesce(c, F.lit(False))
+    errors = F.array_compact(
+        F.array(
+            F.when(odd(F.col("_content") == F.col("content_hash")), "content hash"),
+            F.when(odd(F.coalesce("_root", "_content") == F.col("merkle_root")), "merkle root"),
+            F.when(F.coalesce("bad_proofs", F.lit(0)) > 0, "component proof"),
+            F.when(F.coalesce("n_proofs", F.lit(0)) != F.size("components"), "proofs missing"),
+            F.when(~stated, "no statement"),
+            F.when(stated & odd(F.lower("subject_sha256") == F.lower("content_hash")), "subject digest"),
+            F.when(stated & odd(F.length("subject_name") > 0), "subject name"),
+            F.when(stated & odd((F.col("type") == statement_type) & (F.col("predicate_type") == predicate_type) & F.col("has_summary") & F.col("n_fingerprints").isNotNull()), "predicate"),
+        )
+    )
+    return joined.select("package_id", (F.size(errors) == 0).alias("valid"), F.coalesce("n_proofs", F.lit(0)).cast("long").alias("n_proofs"), F.coalesce("bad_proofs", F.lit(0)).cast("long").alias("bad_proofs"), F.array_join(errors, ",").alias("errors"))
+
+
 def attestation_summary(assets: DataFrame, key: str) -> DataFrame:
     """Per subject: components, vulnerable and compliant ones, and one fingerprint over theirs."""
     return assets.groupBy(key).agg(F.count_distinct("fingerprint").alias("components"), F.count_if("vulnerable").alias("vulnerable"), F.count_if(~F.col("vulnerable")).alias("compliant"), F.sha2(F.array_join(F.array_sort(F.collect_set("fingerprint")), ","), 256).alias("digest"))

@@ -199,6 +199,47 @@ def correlate_sca(manifest: DataFrame, source: DataFrame) -> DataFrame:
     return rows.withColumn("confidence", F.when(F.col("matched") > 0, "Confirmed").otherwise("Possible"))
 
 
+# Words of names of algorithms that name none, and names of libraries' algorithms that say too little.
+NO_NAMES = ["MODE", "KEY", "WEAK", "STATIC", "RAW"]
+VAGUE = ["GENERAL CRYPTO", "LEGACY CRYPTO", "SSH/CRYPTO", "BOUNCYCASTLE"]
+
+
+def sub_names(algorithm: Column) -> Column:
+    """An algorithm's name in upper case, and the names inside it: of AES-256-ECB also AES, 256 and ECB."""
+    name = F.upper(F.trim(algorithm))
+    parts = F.filter(F.split(name, r"[/\-,\s]+"), lambda p: (F.length(p) >= 2) & ~p.isin(*NO_NAMES))
+    return F.array_distinct(F.concat(F.array(name), parts))
+
+
+def parts_of(name: Column) -> Column:
+    """Every part of a name, of any length: names of algorithms are short."""
+    every = F.transform(F.sequence(F.lit(1), F.length(name)), lambda i: F.transform(F.sequence(i, F.length(name)), lambda j: F.substring(name, i, j - i + 1)))
+    return F.array_distinct(F.when(F.length(name) > 0, F.flatten(every)).otherwise(F.array().cast("array<string>")))
+
+
+def corroborate(manifest: DataFrame, source: DataFrame) -> DataFrame:
+    """(repo_id, finding_id, layer) of the findings that the other layer of their repository bears out, in both directions.
+
+    ``manifest`` has repo_id, finding_id and algorithms, what a declared library
+    offers; ``source`` has repo_id, finding_id and algorithm. An inverted index
+    holds the names, and the names inside names, that a repository's source
+    uses. A manifest's finding is borne out if one of its algorithms is in the
+    index; a source's, if its name or a name inside it is such an algorithm, or
+    is in the index and holds one. No finding meets another: both meet the index.
+    """
+    used = source.select("repo_id", F.explode(sub_names(F.col("algorithm"))).alias("name")).where("name is not null").distinct()
+    index = used.union(used.select("repo_id", F.explode(F.split("name", r"\s+")).alias("name"))).where("name <> ''").distinct()
+    offered = manifest.select("repo_id", "finding_id", F.explode(F.transform("algorithms", lambda a: F.upper(a))).alias("name")).where(~F.col("name").isin(*VAGUE))
+    met = offered.join(index, ["repo_id", "name"], "left_semi")
+    shared = met.select("repo_id", "name").distinct()
+    holding = used.withColumn("part", F.explode(parts_of(F.col("name")))).join(shared.withColumnRenamed("name", "part"), ["repo_id", "part"], "left_semi").select("repo_id", "name")
+    borne = shared.union(holding).distinct()
+    asked = F.array_distinct(F.concat(F.array(F.upper(F.trim("algorithm"))), F.filter(F.split(F.upper(F.trim("algorithm")), r"[/\-\s]+"), lambda p: p != "")))
+    own = source.select("repo_id", "finding_id", F.explode(asked).alias("name")).join(borne, ["repo_id", "name"], "left_semi")
+    of = lambda rows, layer: rows.select("repo_id", "finding_id").distinct().withColumn("layer", F.lit(layer))
+    return of(met, "manifest").unionByName(of(own, "source"))
+
+
 # What each sign that an asset protects a field weighs, the distance of close lines, and the most that signs add up to.
 SIGNS = {"same file": 0.6, "close lines": 0.25, "crypto call": 0.45, "same folder": 0.15, "import": 0.3, "same service": 0.1, "runtime": 0.15}
 CLOSE_LINES, MOST = 30, 0.9

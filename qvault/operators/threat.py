@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from qvault.functions import threat as ft
@@ -42,19 +42,61 @@ def scenario_table(spark: SparkSession, scenarios: dict | None = None, shifts: S
     return spark.createDataFrame(rows, "scenario string, family string, low double, mode double, high double, stated boolean")
 
 
-def draws(spark: SparkSession, timelines: DataFrame, families: Sequence[str], n: int, seed: int) -> DataFrame:
-    """(scenario, family, z): ``n`` break times per scenario and family, shared by all assets.
+#: How many uniform draws a break time of each distribution takes.
+DRAWS = {"triangular": 1, "normal": 2, "lognormal": 2}
+
+
+def timeline_table(spark: SparkSession, scenarios: dict[str, dict[str, tuple]]) -> DataFrame:
+    """Scenarios by name, each with timelines by family as (distribution, parameters), as rows in the form of ``scenario_table``.
+
+    Triangular ones have low, mode and high, the others mean and sd. A family
+    that a scenario does not state takes its OTHER, or the default one.
+    """
+    rows = []
+    for name, lines in scenarios.items():
+        for f in FAMILIES:
+            kind, params = lines.get(f) or lines.get("OTHER") or ("triangular", ft.OTHER_TIMELINE)
+            a, b, c = (*map(float, params), None)[:3] if len(params) >= 2 else (None, None, None)
+            rows.append((name, f, kind, *((a, b, c, None, None) if kind == "triangular" else (None, None, None, a, b)), f in lines))
+    return spark.createDataFrame(rows, "scenario string, family string, distribution string, low double, mode double, high double, mean double, sd double, stated boolean")
 
-    Families that assets have, sorted, take the draws in turn; a draw depends
-    on its number alone, so the table is made in parallel and in no order.
+
+def check_timelines(timelines: DataFrame) -> DataFrame:
+    """Timelines with ``reject_reason``, null where their distribution and parameters can be drawn from."""
+    c = F.col
+    finite = lambda *cs: F.forall(F.array(*[c(x) for x in cs]), lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
+    reason = (
+        F.when(~F.coalesce(c("distribution").isin(*DRAWS), F.lit(False)), "distribution unknown")
+        .when((c("distribution") == "triangular") & ~finite("low", "mode", "high"), "parameters not finite")
+        .when((c("distribution") == "triangular") & ~((c("low") >= 0) & (c("low") <= c("mode")) & (c("mode") <= c("high"))), "years do not ascend")
+        .when((c("distribution") != "triangular") & ~finite("mean", "sd"), "parameters not finite")
+        .when((c("distribution") != "triangular") & (c("sd") <= 0), "sd not positive")
+        .when((c("distribution") == "lognormal") & (c("mean") <= 0), "mean not positive")
+    )
+    return timelines.withColumn("reject_reason", reason)
+
+
+def draws(spark: SparkSession, timelines: DataFrame, families: Sequence[str], n: int, seed: int) -> DataFrame:
+    """(scenario, family, stated, z): ``n`` break times per scenario and family, shared by all assets.
+
+    Families that assets have, sorted, take the draws of a scenario in turn, one
+    for a triangular time and two for a normal or lognormal one, so a family
+    begins after the sum of what those before it take. A draw depends on its
+    number alone, so the table is made in parallel and in no order. Timelines
+    without a distribution are triangular; those that ``check_timelines``
+    rejects give no times.
     """
     used = sorted(set(families) - {"PQC"})
-    place = F.create_map(*[x for i, f in enumerate(used) for x in (F.lit(f), F.lit(i * n))])
-    numbered = timelines.where(F.col("family").isin(*used)).select("*", place[F.col("family")].alias("first"))
-    rows = numbered.select("*", F.explode(F.sequence(F.lit(1), F.lit(n))).alias("i"))
-    u = rows.withColumn("u", ft.uniform_draw(seed, F.col("first") + F.col("i")))
-    z = F.greatest(F.lit(0.0), ft.triangular(F.col("u"), F.col("low"), F.col("mode"), F.col("high")))
-    return u.select("scenario", "family", "stated", z.alias("z"))
+    mixed = "distribution" in timelines.columns
+    kept = check_timelines(timelines).where("reject_reason is null") if mixed else timelines.withColumns({"distribution": F.lit("triangular"), "mean": F.lit(None).cast("double"), "sd": F.lit(None).cast("double")})
+    each = F.create_map(*[F.lit(x) for pair in DRAWS.items() for x in pair])[F.col("distribution")]
+    before = Window.partitionBy("scenario").orderBy("family").rowsBetween(Window.unboundedPreceding, -1)
+    placed = kept.where(F.col("family").isin(*used)).withColumn("k", each).withColumn("first", F.coalesce(F.sum("k").over(before), F.lit(0)) * n)
+    rows = placed.select("*", F.explode(F.sequence(F.lit(1), F.lit(n))).alias("i")).withColumn("at", F.col("first") + (F.col("i") - 1) * F.col("k") + 1)
+    u = rows.withColumns({"u": ft.uniform_draw(seed, F.col("at")), "v": F.when(F.col("k") == 2, ft.uniform_draw(seed, F.col("at") + 1))} if mixed else {"u": ft.uniform_draw(seed, F.col("at")), "v": F.lit(None).cast("double")})
+    normal = F.col("mean") + F.col("sd") * ft.standard_normal(F.col("u"), F.col("v"))
+    time = F.when(F.col("distribution") == "normal", normal).when(F.col("distribution") == "lognormal", ft.lognormal(F.col("u"), F.col("v"), F.col("mean"), F.col("sd"))).otherwise(ft.triangular(F.col("u"), F.col("low"), F.col("mode"), F.col("high")))
+    return u.select("scenario", "family", "stated", F.greatest(F.lit(0.0), time).alias("z"))
 
 
 def threat_assessment(assets: DataFrame, scenarios: DataFrame, *, n: int = 10_000, seed: int = 42) -> DataFrame:

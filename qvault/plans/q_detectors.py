@@ -11,7 +11,8 @@ from qvault.operators import rules
 from qvault.operators.running import running_totals
 from qvault.plans.bindings import LINES, lines, over, pick, plain, sql
 from qvault.plans.registry import query
-from qvault.storage import load
+from qvault.sources.binaries import printable_strings, read_binaries
+from qvault.storage import load, new_path
 
 SAMPLES = [
     "ssl_protocols TLSv1 TLSv1.2;", "SSLProtocol all +TLSv1.1", "ssl_ciphers HIGH:RC4:!aNULL;", "bind *:443 ssl-min-ver TLSv1.0", "KexAlgorithms diffie-hellman-group1-sha1", "Ciphers aes256-ctr,3des-cbc", "MACs hmac-md5", "  esp = aes128-sha1", "FROM python:2.7-slim", "RUN apt-get install -y openssl", "RUN pip install --no-cache-dir pycryptodome==3.9 requests bcrypt", "  image: postgres:9.6", "FROM debian:12", "SSLCipherSuite HIGH:!aNULL:MD5", "ssl-default-bind-ciphers ECDHE+AESGCM:RC4", "ssl-default-bind-options no-sslv3", "HostKeyAlgorithms ssh-rsa,ssh-ed25519", "MACs hmac-sha1-etm@openssh.com", "keyexchange = ikev1", "ike=3des-sha1-modp1024", "wget --no-check-certificate https://x", "verify: false", "boto3.client('kms')", "yubikey attached",
@@ -215,6 +216,23 @@ def p17(spark, d):
     return op.binary_findings(config(spark, d))
 
 
+BINARY_TEXT = "coalesce(text, '') || chr(0) || 'sig ' || chr(7) || CASE doc_id % 4 WHEN 0 THEN 'MD5_Init' WHEN 1 THEN 'libBouncyCastle.so' WHEN 2 THEN 'DES_set_key=1' ELSE 'none' END"
+
+
+def binary_files(spark, d):
+    """Documents written as binary files, a folder per source, with names of symbols between bytes that don't print."""
+    path = new_path(spark, "binaries")
+    load(spark, d, "documents").where("source is not null").selectExpr(f"{BINARY_TEXT.replace('chr(', 'char(')} AS value", "source").write.partitionBy("source").text(path)
+    return read_binaries(spark, path, glob="*.txt")
+
+
+@query("p17_file_strings", f"WITH s AS (SELECT source, unnest(regexp_extract_all({BINARY_TEXT}, '[A-Za-z0-9_\\-.:/=+%$@]{{6,}}')) AS s FROM documents WHERE source IS NOT NULL) SELECT source, count(*) AS strings, CAST(sum(length(s)) AS BIGINT) AS characters, max(length(s)) AS longest, count(DISTINCT s) AS distinct_strings FROM s GROUP BY source")
+def p17_strings(spark, d):
+    """Small chunks, so that many strings are cut by a chunk's end."""
+    found = printable_strings(binary_files(spark, d), chunk=509).withColumn("source", F.regexp_extract("file", "source=([^/]+)/", 1))
+    return found.groupBy("source").agg(F.count("*").alias("strings"), F.sum(F.length("text")).alias("characters"), F.max(F.length("text")).cast("long").alias("longest"), F.count_distinct("text").alias("distinct_strings"))
+
+
 @query("p9_extract_assignments", conf(ASSIGN + " SELECT * FROM a"))
 def p9(spark, d):
     return op.extract_assignments(config(spark, d))

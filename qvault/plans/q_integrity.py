@@ -29,6 +29,53 @@ def a28(spark, d):
     return op.merkle_roots(leaves(spark, d))
 
 
+#: One tree over all findings, whatever their scan: as many levels as 2 million leaves have.
+BATCH_LEVELS = "l0 AS (SELECT 0 AS scan_id, row_number() OVER (ORDER BY scan_id, ordinal) - 1 AS idx, sha256('{\"algorithm\":\"' || algorithm || '\",\"file\":\"' || file || '\",\"line\":' || line || '}') AS h, count(*) OVER () AS n FROM findings), " + ", ".join(LEVEL.format(f"l{i}", f"l{i + 1}") for i in range(21))
+
+
+@query("a28_batch_tree", over("findings", f"WITH {BATCH_LEVELS} SELECT h AS root, (SELECT count(*) FROM findings) AS leaves FROM l21"))
+def a28_batch(spark, d):
+    all_of = op.merkle_leaves(findings(spark, d).withColumn("batch", F.lit(0)), "batch", ["scan_id", "ordinal"], "algorithm", "file", "line")
+    return op.merkle_roots(all_of).select("root", F.lit(findings(spark, d).count()).alias("leaves"))
+
+
+@query("a28_scan_batch", over("findings", f"WITH {LEVELS}, b0 AS (SELECT 0 AS scan_id, row_number() OVER (ORDER BY scan_id) - 1 AS idx, h, count(*) OVER () AS n FROM l4), {', '.join(LEVEL.format(f'b{i}', f'b{i + 1}') for i in range(21))} SELECT scan_id AS tree, idx, CASE WHEN idx % 5 = 0 THEN 'proof invalid' END AS reason, b21.h AS root FROM (SELECT l4.scan_id, row_number() OVER (ORDER BY l4.scan_id) - 1 AS idx FROM l4) l, (SELECT h FROM b21) b21"))
+def a28_scans(spark, d):
+    """All scans in one batch: their roots are the leaves, and every fifth claim was changed after the batch was anchored."""
+    roots = op.merkle_roots(leaves(spark, d))
+    numbered = op.batch_leaves(roots, F.lit(0))
+    proofs = op.merkle_proofs(numbered).withColumnRenamed("tree", "batch")
+    anchor = proofs.select("batch", "root").distinct()
+    claims = proofs.withColumn("leaf", F.when(F.col("idx") % 5 == 0, F.reverse("leaf")).otherwise(F.col("leaf"))).drop("root")
+    checked = op.verify_batch_proofs(claims, anchor)
+    names = op.number_leaves(roots.withColumn("_b", F.lit(0)), "_b", ["tree"], F.col("tree").cast("string")).select("idx", F.col("hash").cast("long").alias("tree"))
+    return checked.join(names, "idx").join(anchor, "batch").select("tree", "idx", "reason", "root")
+
+
+#: Packages of scans: components as JSON in the findings' order, proofs and statements, some of each not right.
+PACKED = """WITH c AS (SELECT scan_id, list('{"algorithm":"' || algorithm || '","line":' || line || '}' ORDER BY ordinal) AS cs FROM findings GROUP BY scan_id)
+SELECT scan_id AS package_id, len(errors) = 0 AS valid, n_proofs, CASE WHEN scan_id % 13 = 0 THEN n_proofs WHEN scan_id % 11 = 0 AND n_proofs > 0 THEN 1 ELSE 0 END AS bad_proofs, array_to_string(errors, ',') AS errors FROM (
+ SELECT scan_id, CAST(CASE WHEN scan_id % 17 = 0 THEN len(cs) - 1 ELSE len(cs) END AS BIGINT) AS n_proofs, list_filter([CASE WHEN scan_id % 7 = 0 THEN 'content hash' END, CASE WHEN scan_id % 13 = 0 THEN 'merkle root' END, CASE WHEN (scan_id % 11 = 0 OR scan_id % 13 = 0) AND NOT (scan_id % 17 = 0 AND len(cs) = 1) THEN 'component proof' END, CASE WHEN scan_id % 17 = 0 THEN 'proofs missing' END,
+  CASE WHEN scan_id % 19 = 0 THEN 'no statement' END, CASE WHEN scan_id % 19 <> 0 AND scan_id % 23 = 0 THEN 'subject digest' END, CASE WHEN scan_id % 19 <> 0 AND scan_id % 29 = 0 THEN 'subject name' END, CASE WHEN scan_id % 19 <> 0 AND scan_id % 31 = 0 THEN 'predicate' END], lambda x: x IS NOT NULL) AS errors FROM c)"""
+
+
+@query("j23_signed_packages", over("findings", PACKED))
+def j23_signed(spark, d):
+    rows = findings(spark, d).withColumn("json", op.canonical_json("algorithm", "line"))
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "json"))), lambda x: x["json"])  # a package bounds it
+    packages = rows.groupBy("scan_id").agg(listed.alias("components")).withColumnRenamed("scan_id", "package_id")
+    numbered = op.number_leaves(rows, "scan_id", ["ordinal"], F.sha2("json", 256))
+    proofs = op.merkle_proofs(numbered).withColumnRenamed("tree", "package_id")
+    roots = proofs.groupBy("package_id").agg(F.first("root").alias("root"))
+    p, every = F.col("package_id"), lambda k: F.col("package_id") % k == 0
+    content = F.sha2(F.concat(F.lit("["), F.array_join("components", ","), F.lit("]")), 256)
+    stored = packages.join(roots, "package_id").select("package_id", "components", F.when(every(7), F.reverse(content)).otherwise(content).alias("content_hash"), F.when(every(13), F.reverse("root")).otherwise(F.col("root")).alias("merkle_root"))
+    last = F.col("idx") == F.size("components") - 1
+    kept = proofs.join(packages, "package_id").where(~(every(17) & last)).select("package_id", F.when(every(11) & (F.col("idx") == 0), "00").otherwise(F.col("leaf")).alias("leaf"), "proof")
+    stated = stored.where(~every(19)).select("package_id", F.lit("statement/v1").alias("type"), F.when(every(31), "other").otherwise("inventory/v1").alias("predicate_type"), F.when(every(29), "").otherwise("cbom.json").alias("subject_name"), F.upper(F.when(every(23), "00").otherwise(F.col("content_hash"))).alias("subject_sha256"), F.lit(True).alias("has_summary"), F.lit(3).alias("n_fingerprints"))
+    return op.verify_signed_packages(stored, kept, stated, "statement/v1", "inventory/v1")
+
+
 @query("f22_merkle_proofs", over("findings", f"WITH {LEVELS} SELECT l.scan_id AS tree, CAST(l.idx AS BIGINT) AS idx, CAST(ceil(log2(l.n)) AS INTEGER) AS proof_length, true AS valid, l4.h AS root FROM l JOIN l4 USING (scan_id)"))
 def f22(spark, d):
     p = op.merkle_proofs(leaves(spark, d))
@@ -45,12 +92,7 @@ def j19(spark, d):
 @query("j19_batch_proofs", over("findings", "WITH s AS (SELECT DISTINCT scan_id, scan_id // 64 AS batch FROM findings), r AS (SELECT *, row_number() OVER (PARTITION BY batch ORDER BY scan_id) - 1 AS idx FROM s) SELECT batch, idx, CASE WHEN batch % 5 = 0 THEN 'not anchored' WHEN idx % 7 = 0 THEN 'proof invalid' END AS reason, NOT (batch % 5 = 0 OR idx % 7 = 0) AS valid FROM r"))
 def j19b(spark, d):
     """Scans committed in batches of neighbours; some batches are not anchored, some scans were changed since."""
-    from pyspark.sql import Window
-
-    batch = F.floor(F.col("tree") / 64)
-    w = Window.partitionBy("batch")
-    members = op.merkle_roots(leaves(spark, d)).select(batch.alias("batch"), "tree", "root")
-    table = members.select(F.col("batch").alias("tree"), (F.row_number().over(w.orderBy("tree")) - 1).cast("long").alias("idx"), F.col("root").alias("hash"), F.count("*").over(w).alias("n"))
+    table = op.batch_leaves(op.merkle_roots(leaves(spark, d)), F.floor(F.col("tree") / 64))
     proofs = op.merkle_proofs(table).withColumnRenamed("tree", "batch")
     anchors = proofs.where("batch % 5 <> 0").select("batch", "root").distinct()
     changed = proofs.withColumn("leaf", F.when(F.col("idx") % 7 == 0, "00").otherwise(F.col("leaf")))

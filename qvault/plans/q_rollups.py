@@ -215,6 +215,21 @@ def j9(spark, d):
     return op.correlate_sca(manifest, source)
 
 
+OFFERED = f"SELECT p_partkey AS finding_id, p_size % 50 AS repo_id, {pick('p_partkey + p_size', 'RSA', 'aes', 'General Crypto', 'ECB', '3DES', 'SHA', 'ML-KEM-768', 'MD')} AS one, {pick('p_partkey', 'ecdsa', 'DH', 'x')} AS two FROM {{part}}"
+IN_SOURCE = "SELECT scan_id * 100 + ordinal AS finding_id, scan_id % 97 AS repo_id, CASE WHEN ordinal % 7 = 0 THEN 'AES-256-ECB mode' WHEN ordinal % 5 = 0 THEN '3DES/DES' ELSE algorithm END AS algorithm FROM findings"
+
+
+@query("j9_corroborate", over("findings", f"""WITH m AS ({plain(OFFERED)}), o AS (SELECT repo_id, finding_id, upper(unnest([one, two])) AS da FROM m), s AS ({IN_SOURCE}), f AS (SELECT *, upper(trim(algorithm)) AS a FROM s),
+u AS (SELECT DISTINCT repo_id, unnest(list_concat([a], list_filter(regexp_split_to_array(a, '[/, -]+'), lambda x: length(x) >= 2 AND x NOT IN ('MODE', 'KEY', 'WEAK', 'STATIC', 'RAW')))) AS sa FROM f),
+met AS (SELECT DISTINCT o.repo_id, o.finding_id, da FROM o JOIN u ON u.repo_id = o.repo_id AND (u.sa = da OR list_contains(string_split(u.sa, ' '), da)) WHERE da NOT IN ('GENERAL CRYPTO', 'LEGACY CRYPTO', 'SSH/CRYPTO', 'BOUNCYCASTLE')),
+b AS (SELECT DISTINCT repo_id, da AS name FROM met UNION SELECT DISTINCT u.repo_id, u.sa FROM u JOIN met ON u.repo_id = met.repo_id AND contains(u.sa, met.da))
+SELECT DISTINCT repo_id, finding_id, 'manifest' AS layer FROM met UNION ALL SELECT DISTINCT f.repo_id, f.finding_id, 'source' FROM f JOIN b ON f.repo_id = b.repo_id AND (f.a = b.name OR list_contains(regexp_split_to_array(f.a, '[/ -]+'), b.name))"""))
+def j9_both(spark, d):
+    manifest = sql(spark, d, OFFERED).select("repo_id", "finding_id", F.array("one", "two").alias("algorithms"))
+    source = findings(spark, d).selectExpr("scan_id % 97 AS repo_id", "scan_id * 100 + ordinal AS finding_id", "CASE WHEN ordinal % 7 = 0 THEN 'AES-256-ECB mode' WHEN ordinal % 5 = 0 THEN '3DES/DES' ELSE algorithm END AS algorithm")
+    return op.corroborate(manifest, source)
+
+
 FIELDS = f"SELECT o_custkey % 60 AS repo_id, o_orderkey AS field_id, {pick('o_orderkey', 'src/auth/user.sql', 'src/pay/card.py', 'lib/db/schema.sql', 'src/auth/form.py')} AS file, CAST(o_orderkey % 97 + 1 AS INT) AS line, {pick('o_orderkey', 'auth', 'pay', 'db')} AS service, o_orderkey % 3 = 0 AS is_column FROM {{orders}}"
 LINKED = f"SELECT c_custkey % 60 AS repo_id, c_custkey AS asset_id, {pick('c_custkey', 'src/auth/user.sql', 'src/auth/login.py', 'src/pay/card.py', 'x/y.py')} AS file, CAST(c_custkey % 89 + 1 AS INT) AS line, {pick('c_custkey', 'auth', 'pay', 'db', None)} AS service, c_custkey % 2 = 0 AS encrypts, c_custkey % 7 = 0 AS runtime FROM {{customer}}"
 CALLS = f"SELECT repo_id, file, line + 5 AS line, field_id FROM ({FIELDS}) x WHERE field_id % 6 = 0"

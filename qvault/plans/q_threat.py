@@ -57,6 +57,39 @@ def a14(spark, d):
     return assessed(spark, d).select("asset_id", "scenario", "family", "x", "y", "p_break", "p_violated", "low_confidence", "risk_band")
 
 
+#: Scenarios whose families have unlike distributions: each takes one or two draws a time, so what follows begins elsewhere.
+MIXED = {
+    "mixed": {"AES": ("lognormal", (40, 12)), "DH": ("triangular", (8, 12, 18)), "ECC": ("normal", (15, 4)), "HASH": ("triangular", (25, 40, 70)), "RSA": ("lognormal", (12, 3)), "OTHER": ("normal", (6, 5))},
+    "plain": {"RSA": ("triangular", (3, 6, 10)), "ECC": ("normal", (7, 2)), "OTHER": ("lognormal", (5, 4))},
+}
+
+
+def _mixed_tables() -> str:
+    rows = []
+    for name, lines in MIXED.items():
+        first = 0
+        for f in op.FAMILIES:
+            kind, params = lines.get(f) or lines["OTHER"]
+            a, b, c = (*params, 0)[:3]
+            rows.append(f"('{name}', '{f}', '{kind}', {a}::DOUBLE, {b}::DOUBLE, {c}::DOUBLE, {str(f in lines).lower()}, {first}, {op.DRAWS[kind]})")
+            first += N * op.DRAWS[kind]
+    return f"""WITH raw AS ({plain(ASSETS)}), fam AS (SELECT *, {FAMILY} AS family, {USAGE} AS cu FROM raw), assets AS (SELECT *, {X} AS x, {Y} AS y, {MULT} AS multiplier FROM fam),
+t(scenario, family, kind, a, b, c, stated, first, k) AS (VALUES {", ".join(rows)}),
+dr AS ({_sql_draw('first + i')} (SELECT t.*, unnest(range(1, {N} * k + 1)) AS i FROM t)))) ),
+two AS (SELECT scenario, family, kind, a, b, c, stated, (i - 1) // k AS j, arg_min(u, i) AS u, arg_max(u, i) AS v FROM dr GROUP BY ALL),
+g AS (SELECT *, sqrt(-2 * ln(u)) * cos(2 * pi() * v) AS gauss, ln(1 + (b / a) * (b / a)) AS s2 FROM two),
+z AS (SELECT scenario, family, stated, greatest(0.0, CASE kind WHEN 'normal' THEN a + b * gauss WHEN 'lognormal' THEN exp(ln(a) - s2 / 2 + sqrt(s2) * gauss) ELSE CASE WHEN u < (b - a) / (c - a) THEN a + sqrt(u * (c - a) * (b - a)) ELSE c - sqrt((1 - u) * (c - a) * (c - b)) END END) AS z FROM g),
+par AS (SELECT DISTINCT family, multiplier, x, y FROM assets WHERE family <> 'PQC'),
+cnt AS (SELECT scenario, z.family, stated, multiplier, x, y, count(*) FILTER (WHERE z * multiplier < y) / {N} AS p_break, count(*) FILTER (WHERE z * multiplier < x + y) / {N} AS p_violated FROM z JOIN par USING (family) GROUP BY ALL)
+SELECT asset_id, scenario, family, p_break, p_violated, (family = 'OTHER' OR NOT stated) AS low_confidence FROM assets JOIN cnt USING (family, multiplier, x, y) UNION ALL SELECT asset_id, scenario, family, 0.0, 0.0, false FROM assets, (SELECT DISTINCT scenario FROM t) WHERE family = 'PQC'"""
+
+
+@query("a14_mixed_distributions", _mixed_tables())
+def a14_mixed(spark, d):
+    found = op.threat_assessment(op.crypto_assets(sql(spark, d, ASSETS)), op.timeline_table(spark, MIXED), n=N, seed=SEED)
+    return found.select("asset_id", "scenario", "family", "p_break", "p_violated", "low_confidence")
+
+
 @query("a15_z_quantiles", _tables() + ", held AS (SELECT family, multiplier, count(*) AS assets FROM assets WHERE family <> 'PQC' GROUP BY ALL), qs AS (SELECT scenario, family, " + ", ".join(f"quantile_cont(z, {q}) AS q{int(q * 100)}" for q in (0.1, 0.5, 0.9)) + " FROM z GROUP BY ALL) SELECT scenario, family, multiplier, assets, round(q10 * multiplier, 6) AS p10, round(q50 * multiplier, 6) AS p50, round(q90 * multiplier, 6) AS p90 FROM held JOIN qs USING (family)")
 def a15(spark, d):
     q = op.family_quantiles(op.crypto_assets(sql(spark, d, ASSETS)), op.scenario_table(spark), n=N, seed=SEED)

@@ -235,3 +235,55 @@ def test_scores_stay_in_bounds(spark):
     rows = spark.createDataFrame([(p, s, m) for p in ("RSA", "AES", "MD5", None) for s in (None, 128, 4096) for m in (None, "ECB")], "p string, s int, m string")
     got = [r["v"] for r in rows.select(F.expr(scores.vulnerability_score("p", "s", "m", "'mac'", "20", "'external'", "'Critical'")).alias("v")).collect()]
     assert all(0 <= v <= 100 for v in got)
+
+
+def test_timelines_that_cannot_be_drawn_from(spark):
+    nan = float("nan")
+    rows = [("triangular", 1.0, 2.0, 3.0, None, None, None), ("triangular", 3.0, 1.0, 5.0, None, None, "years do not ascend"), ("triangular", None, 1.0, 5.0, None, None, "parameters not finite"), ("normal", None, None, None, 0.0, 2.0, None), ("normal", None, None, None, 0.0, -1.0, "sd not positive")]
+    rows += [("lognormal", None, None, None, 0.0, 1.0, "mean not positive"), ("lognormal", None, None, None, 10.0, nan, "parameters not finite"), ("uniform", None, None, None, None, None, "distribution unknown"), (None, 1.0, 2.0, 3.0, None, None, "distribution unknown")]
+    table = spark.createDataFrame([(i, *r[:6]) for i, r in enumerate(rows)], "i int, distribution string, low double, mode double, high double, mean double, sd double")
+    assert {r["i"]: r["reject_reason"] for r in model.check_timelines(table).collect()} == {i: r[6] for i, r in enumerate(rows)}
+
+
+def test_mixed_draws_are_those_of_one_generator(spark):
+    """Families take one or two draws a time in turn, as one sequential generator would give them."""
+    state, draws = 5, []
+    for _ in range(300):
+        state = (state + 0x6D2B79F5) & 0xFFFFFFFF
+        v = ((state ^ (state >> 15)) * (state | 1)) & 0xFFFFFFFF
+        v ^= (v + (((v ^ (v >> 7)) * (v | 61)) & 0xFFFFFFFF)) & 0xFFFFFFFF
+        draws.append((v ^ (v >> 14)) / 4294967296)
+    take = iter(draws)
+    gauss = lambda: math.sqrt(-2 * math.log(next(take))) * math.cos(2 * math.pi * next(take))
+    want = {"AES": [max(0, 10 + 3 * gauss()) for _ in range(40)]}
+    u = [next(take) for _ in range(40)]
+    want["ECC"] = [1 + math.sqrt(x * 9 * 2) if x < 2 / 9 else 10 - math.sqrt((1 - x) * 9 * 7) for x in u]
+    s2 = math.log1p((4 / 8) ** 2)
+    want["RSA"] = [math.exp(math.log(8) - s2 / 2 + math.sqrt(s2) * gauss()) for _ in range(40)]
+    table = model.timeline_table(spark, {"s": {"AES": ("normal", (10, 3)), "ECC": ("triangular", (1, 3, 10)), "RSA": ("lognormal", (8, 4)), "DH": ("normal", (5, -1))}})
+    got = {}
+    for r in model.draws(spark, table, ["RSA", "ECC", "AES", "PQC", "DH"], 40, 5).collect():
+        got.setdefault(r["family"], []).append(r["z"])
+    assert set(got) == set(want)
+    assert all(math.isclose(a, b, rel_tol=1e-12) for f in want for a, b in zip(sorted(got[f]), sorted(want[f]), strict=True))
+
+
+def test_rules_of_one_repository_leave_the_others(spark):
+    """Waivers, suppressions, events and locks of a repository say nothing about the same path in another."""
+    schema = "repo_id int, ordinal int, algorithm string, primitive string, key_size int, file string, usage string, quantum_status string"
+    assets = gate.gate_assets(spark.createDataFrame([(r, 1, *RSA) for r in (1, 2, 3)], schema))
+    waivers = spark.createDataFrame([(1, "W1", None, "rsa-2048-x", "src/*", 2), (2, "W2", None, "RSA", "lib/*", None), (3, "W3", None, "RSA", "src/*", 9)], "waiver_ordinal int, waiver_id string, match_fingerprint string, match_algorithm string, match_path string, repo_id int")
+    assert {r["repo_id"]: r["waiver_id"] for r in gate.apply_waivers(assets, waivers).collect()} == {1: None, 2: "W1", 3: None}
+    assert {r["waiver_id"] for r in gate.stale_waivers(waivers, assets).collect()} == {"W2", "W3"}
+    found = spark.createDataFrame([(r, r, 1, "md5", "MD5", "src/a.py", 3, "x", False) for r in (1, 2)], "repo_id int, scan_id int, ordinal int, rule_id string, algorithm string, file string, line int, code_snippet string, suppressed boolean")
+    rules_of = spark.createDataFrame([(1, "md5", None, None, None, 1)], "ordinal int, rule_id string, path string, line int, token string, repo_id int")
+    assert {r["repo_id"]: r["suppressed"] for r in findings.apply_suppressions(found, rules_of).collect()} == {1: True, 2: False}
+    events = spark.createDataFrame([(1, 1, "login.py", "sha256", 10), (2, 2, "login.py", "sha256", 10)], "event_id int, repo_id int, file string, algorithm string, line int")
+    known = spark.createDataFrame([("f1", 1, "src/login.py", "SHA-256", 10, 1)], "finding_id string, repo_id int, file string, algorithm string, line int, ordinal int")
+    assert {r["event_id"]: r["match_reason"] for r in runtime.match_events(events, known, keys=["repo_id"]).collect()} == {1: "exact_line", 2: "unmatched"}
+    deps = spark.createDataFrame([(r, "npm", "Left-Pad", "^1.0.0") for r in (1, 2, 3)], "repo_id int, ecosystem string, library string, declared_version string")
+    locks = spark.createDataFrame([(1, "a/package-lock.json", "npm", "left-pad", "9.9.9"), (1, "package-lock.json", "npm", "left-pad", "1.2.0"), (2, "package-lock.json", "npm", "left-pad", "2.0.0")], "repo_id int, path string, ecosystem string, library string, resolved_version string")
+    safe = spark.createDataFrame([("npm", "left-pad", "1.3.0")], "ecosystem string, library string, min_safe_version string")
+    got = rollups.sca_findings(deps, safe, locks)
+    assert len(set(got.columns)) == len(got.columns)
+    assert {r["repo_id"]: (r["version"], r["needs_bump"]) for r in got.collect()} == {1: ("1.2.0", True), 2: ("2.0.0", False), 3: ("1.0.0", True)}

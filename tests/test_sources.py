@@ -39,3 +39,28 @@ def test_languages(spark):
     table = spark.createDataFrame([(i, p, c) for i, (p, c, _) in enumerate(cases)], "i int, path string, content string")
     got = {r["i"]: r["v"] for r in table.select("i", detect_language(F.col("path"), F.col("content")).alias("v")).collect()}
     assert got == {i: w for i, (_, _, w) in enumerate(cases)}
+
+
+def test_strings_of_binaries_equal_a_plain_scan(spark, tmp_path):
+    import random
+    import re
+
+    from qvault.sources import binaries
+
+    rnd = random.Random(4)
+    contents = {f"f{i}.bin": b"".join(rnd.choice([b"\x00\xff", b"abc/def=", b"x" * rnd.randrange(1, 40), b" ", "é".encode(), b"MD5_Init\x01", b"Zq8Lw2Rt9Xc5Vb1Nm7Kj4\n"]) for _ in range(rnd.randrange(0, 60))) for i in range(12)}
+    contents |= {"long.bin": b"y" * 1000, "empty.bin": b"", "edge.bin": b"abcdef\x00ghijkl", "big.bin": b"z" * 5000}
+    for name, content in contents.items():
+        (tmp_path / name).write_bytes(content)
+    files = binaries.read_binaries(spark, str(tmp_path), limit=4000)
+    for chunk in (7, 64, 1 << 20):
+        got = {}
+        for r in sorted(binaries.printable_strings(files, chunk=chunk).collect(), key=lambda r: (r["at"], r["place"])):
+            got.setdefault(r["file"].rsplit("/", 1)[-1], []).append(r["text"].encode())
+        want = {n: re.findall(rb"[A-Za-z0-9_\-.:/=+%$@]{6,}", c) for n, c in contents.items() if n != "big.bin"}
+        assert got == {n: s for n, s in want.items() if s}
+    found = {(r["file"].rsplit("/", 1)[-1], r["rule_id"]): r for r in binaries.binary_signatures(files, chunk=7).collect()}
+    for n, strings in want.items():
+        first = [i + 1 for i, s in enumerate(strings) if b"MD5_Init" in s and re.search(rb"\bMD5_Init\b", s)]
+        assert [found[n, "symbol-md5"]["line"]] == first[:1] if first else (n, "symbol-md5") not in found
+    assert found["big.bin", "binary-size-exceeded"]["evidence"] == "File size: 5000 bytes"
