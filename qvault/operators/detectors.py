@@ -253,8 +253,13 @@ def k8s_secrets(lines: DataFrame) -> DataFrame:
     return pairs.where(held).select("repo_id", "file", "line", "name", (F.col("section") == "data").alias("is_base64"))
 
 
+# How sure a value of each class is, and numbers of cards that are made for tests.
+VALUE_CONFIDENCE = {"AADHAAR": 0.95, "PAN": 0.95, "PAYMENT_CARD": 0.9}
+TEST_CARDS = ["4111111111111111", "4012888888881881", "4242424242424242", "5555555555554444", "5105105105105100", "378282246310005", "371449635398431"]
+
+
 def detect_values(lines: DataFrame, classes: Sequence[str] = ("AADHAAR", "PAN", "PAYMENT_CARD"), cap: int = 200) -> DataFrame:
-    """Sensitive values, checked and masked; at most ``cap`` per file, in their order, as reports show."""
+    """Sensitive values, checked and masked, with how sure their class is and whether a card's number is one for tests; at most ``cap`` per file, in their order, as reports show."""
     # Every class has four digits in a row: other lines need no masks.
     safe = lines.where(F.col("text").rlike("[0-9]{4}")).withColumn("_safe", ft.mask_spans(F.col("text")))
     found = lambda pattern, group: F.regexp_extract_all("_safe", F.lit(pattern), group)
@@ -263,13 +268,30 @@ def detect_values(lines: DataFrame, classes: Sequence[str] = ("AADHAAR", "PAN",
         "PAN": found(r"(?<![A-Za-z0-9])([A-Z]{5}[0-9]{4}[A-Z])(?![A-Za-z0-9])", 1),
         "PAYMENT_CARD": F.filter(found(r"(?<![A-Za-z0-9])(\d{13,19})(?![A-Za-z0-9])", 1), lambda x: ft.is_luhn(x) & ft.has_issuer_prefix(x)),
     }
-    named = lambda c: lambda v: F.struct(F.lit(c).alias("data_class"), ft.masked_evidence(v).alias("evidence"))
+    named = lambda c: lambda v: F.struct(F.lit(c).alias("data_class"), ft.masked_evidence(v).alias("evidence"), F.lit(VALUE_CONFIDENCE[c]).alias("confidence"), (F.lit(c == "PAYMENT_CARD") & v.isin(*TEST_CARDS)).alias("is_test"))
     each = F.concat(*[F.transform(kinds[c], named(c)) for c in classes])
     hits = safe.select("repo_id", "file", "line", F.posexplode(each).alias("k", "v")).select("repo_id", "file", "line", "k", "v.*")
     w = Window.partitionBy("repo_id", "file").orderBy("line", "k")
     return hits.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= cap).drop("_n", "k")
 
 
+# Folders and files that are not searched for values, and the size beyond which files are not.
+SKIPPED_FOLDER = r"(?i)(^|/)(node_modules|vendor|dist|build|coverage|\.git|\.next|target|__pycache__)(/|$)"
+LOCK_FILE = r"(?i)(^|/)(package-lock\.json|yarn\.lock|pnpm-lock\.yaml|[^/]+\.lock)$"
+MAX_FILE_BYTES = 1 << 20
+
+
+def skip_reason(path: Column, content: Column) -> Column:
+    """Why a file is not searched, null if it is."""
+    path = F.replace(path, F.lit("\\"), F.lit("/"))
+    return F.when(content.isNull(), "no text").when(path.rlike(SKIPPED_FOLDER), "dependency or build folder").when(path.rlike(LOCK_FILE), "lock file").when(F.octet_length(content) > MAX_FILE_BYTES, "too large")
+
+
+def scan_coverage(files: DataFrame) -> DataFrame:
+    """Per repository how many files (repo_id, path, content) are searched, and how many are skipped for which reason, one row a reason; a null reason is of those searched."""
+    return files.groupBy("repo_id", skip_reason(F.col("path"), F.col("content")).alias("reason")).agg(F.count("*").alias("files"), F.sum(F.coalesce(F.octet_length("content"), F.lit(0))).alias("bytes"))
+
+
 def pii_stats(values: DataFrame) -> DataFrame:
     return values.groupBy("repo_id", "data_class").agg(F.count("*").alias("values"), F.count_distinct("file").alias("files"))
 

@@ -25,32 +25,49 @@ def dedup_exact(findings: DataFrame, keys: Sequence[str] = ("scan_id",)) -> Data
     return findings.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
-def _merge(acc: Column, x: Column) -> Column:
-    """The more specific of two findings, the earlier on a tie; it takes over a mode that it lacks."""
-    wins = x["specificity"] > acc["specificity"]
-    return F.struct(
-        F.when(wins, x["ordinal"]).otherwise(acc["ordinal"]).alias("ordinal"),
-        F.when(wins, x["specificity"]).otherwise(acc["specificity"]).alias("specificity"),
-        F.when(wins, F.coalesce(x["mode"], acc["mode"])).otherwise(F.coalesce(acc["mode"], x["mode"])).alias("mode"),
-        F.when(wins, x["row"]).otherwise(acc["row"]).alias("row"),
-    )
+#: What a winner takes over from the others of its group where it has none itself.
+INHERITED = ("mode", "exposure_signals", "exposure_rationale")
+
+
+def _held(findings: DataFrame) -> list[str]:
+    return [c for c in INHERITED if c in findings.columns]
+
+
+def _stated(findings: DataFrame, name: str) -> Column:
+    """A column's value, null where it is empty."""
+    kind = dict(findings.dtypes)[name]
+    return F.when(F.size(name) > 0, F.col(name)) if kind.startswith("array") else F.when(F.col(name) != "", F.col(name)) if kind == "string" else F.col(name)
+
+
+def _merge(held: Sequence[str]):
+    """A fold's step: the more specific of two findings, the earlier on a tie; it takes over what it lacks."""
+
+    def step(acc: Column, x: Column) -> Column:
+        wins = x["specificity"] > acc["specificity"]
+        pick = lambda c: F.when(wins, x[c]).otherwise(acc[c]).alias(c)
+        inherit = lambda c: F.when(wins, F.coalesce(x[c], acc[c])).otherwise(F.coalesce(acc[c], x[c])).alias(c)
+        return F.struct(pick("ordinal"), pick("specificity"), *map(inherit, held), pick("row"))
+
+    return step
 
 
 def _winners(findings: DataFrame, group: Sequence[Column | str]) -> DataFrame:
-    """The winning finding of each group, whole, with its inherited mode, the number of members and their detection methods.
+    """The winning finding of each group, whole, with what it inherits, the number of members and their detection methods.
 
     A group lies inside one site, so its members fit a list, and the winner
     needs no join back to the findings.
     """
-    member = F.struct("ordinal", "specificity", "mode", F.struct(*findings.columns).alias("row"))
+    held = _held(findings)
+    member = F.struct("ordinal", "specificity", *[_stated(findings, c).alias(c) for c in held], F.struct(*findings.columns).alias("row"))
     listed = findings.groupBy(*group).agg(F.sort_array(F.collect_list(member)).alias("l"), F.array_sort(F.collect_set(F.upper("detection_method"))).alias("methods"))
-    won = F.aggregate(F.slice("l", 2, F.greatest(F.size("l") - 1, F.lit(0))), F.get("l", F.lit(0)), _merge)
+    won = F.aggregate(F.slice("l", 2, F.greatest(F.size("l") - 1, F.lit(0))), F.get("l", F.lit(0)), _merge(held))
     rows = listed.select(won.alias("w"), F.size("l").alias("_members"), F.col("methods").alias("_methods"))
-    return rows.select(*[F.col("w.mode").alias("mode") if c == "mode" else F.col(f"w.row.{c}").alias(c) for c in findings.columns], "_members", "_methods")
+    own = lambda c: F.coalesce(F.col(f"w.{c}"), F.col(f"w.row.{c}")) if c in held else F.col(f"w.row.{c}")
+    return rows.select(*[own(c).alias(c) for c in findings.columns], "_members", "_methods")
 
 
 def collapse_same_layer(findings: DataFrame, keys: Sequence[str] = ("scan_id",)) -> DataFrame:
-    """One finding per site, detection method, algorithm and category: the most specific, with a mode inherited."""
+    """One finding per site, detection method, algorithm and category: the most specific, with a mode and signs of exposure inherited."""
     return _winners(findings, [*keys, "file", "line", "detection_method", "algorithm", "category"]).select(findings.columns)
 
 

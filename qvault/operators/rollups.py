@@ -99,6 +99,28 @@ def migration_scope(findings: DataFrame, keys: Sequence[str] = ("scan_id",)) ->
     return secrets.groupBy(*keys, "file", F.sha2("code_snippet", 256).alias("secret")).agg(F.array_join(F.transform(F.array_sort(F.collect_set("line")), lambda x: x.cast("string")), ",").alias("lines"), severity_of_rank(F.max(rank)).alias("severity"))
 
 
+# Parts of names that tell secrets and algorithms that a quantum computer breaks, in the order that decides, uses that sign, and what to move to.
+SECRET_PARTS = ["secret", "key material", "password", "token", "hardcoded"]
+BROKEN_PARTS = ["rsa", "dh", "ecdh", "ecdsa", "eddsa", "ed25519", "ed448", "dsa", "curve25519", "x25519", "x448", "ecc"]
+SIGNING = "sign|signature|verify|jwt|certificate|eddsa|ecdsa|ed25519|ed448"
+TARGETS = {
+    "secret": "Environment variable or approved secret manager; rotate exposed key", "signature": "ML-DSA-65 (FIPS 204) or SLH-DSA (FIPS 205)", "exchange": "ML-KEM-768 (FIPS 203); consider a reviewed hybrid during transition",
+    "hash": "SHA-256 / SHA3-256", "short key": "AES-256-GCM", "other": "AES-256-GCM or ChaCha20-Poly1305, selected for the observed operation",
+}
+
+
+def migration_items(findings: DataFrame) -> DataFrame:
+    """Findings (algorithm, usage, severity and others) with in_scope, remediation_class, target and priority; what is safe or informational is out of scope and stays in the table."""
+    name, use, level = F.lower(F.coalesce("algorithm", F.lit("Unknown"))), F.lower(F.coalesce("usage", F.lit("general"))), F.upper(F.coalesce("severity", F.lit("MEDIUM")))
+    held = lambda parts: F.exists(F.array(*map(F.lit, parts)), lambda p: name.contains(p))
+    kind = F.when(held(SECRET_PARTS) | use.contains("secret"), "SECRET_HYGIENE").when(held(BROKEN_PARTS), "PQC_REPLACEMENT").otherwise("SYMMETRIC_HASH_UPGRADE")
+    target = (
+        F.when(kind == "SECRET_HYGIENE", TARGETS["secret"]).when((kind == "PQC_REPLACEMENT") & F.concat_ws(" ", use, name).rlike(SIGNING), TARGETS["signature"]).when(kind == "PQC_REPLACEMENT", TARGETS["exchange"])
+        .when(held(["md5", "sha1", "sha-1"]), TARGETS["hash"]).when(held(["aes-128", "aes128"]), TARGETS["short key"]).otherwise(TARGETS["other"])
+    )
+    return findings.withColumns({"in_scope": ~level.isin("SAFE", "INFO", "INFORMATIONAL"), "remediation_class": kind, "target": target, "priority": F.when(level == "CRITICAL", 1).when(level == "HIGH", 2).otherwise(3)})
+
+
 def support_counts(assets: DataFrame) -> DataFrame:
     return assets.groupBy("family", "recommended").agg(F.count("*").alias("n"), F.sum("effort").alias("effort"))
 

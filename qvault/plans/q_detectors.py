@@ -334,12 +334,12 @@ ALL_VALUES = IDS + VALUES[5:] + f", g AS (SELECT * FROM f UNION ALL SELECT repo_
 
 @query("p27_sensitive_values", docs(ALL_VALUES + " SELECT * FROM g"))
 def p27(spark, d):
-    return op.detect_values(doc_lines(spark, d))
+    return op.detect_values(doc_lines(spark, d)).drop("confidence", "is_test")
 
 
 @query("p27_identity_numbers", conf(ALL_VALUES + " SELECT repo_id, file, line, data_class, evidence FROM g"))
 def p27_fixed(spark, d):
-    return op.detect_values(config(spark, d))
+    return op.detect_values(config(spark, d)).drop("confidence", "is_test")
 
 
 @query("a20_pii_stats", docs(ALL_VALUES + " SELECT repo_id, data_class, count(*) AS values, count(DISTINCT file) AS files FROM g GROUP BY repo_id, data_class"))
@@ -347,6 +347,20 @@ def a20(spark, d):
     return op.pii_stats(op.detect_values(doc_lines(spark, d)))
 
 
+@query("p27_value_confidence", conf(ALL_VALUES + ", t AS (SELECT * FROM g) SELECT repo_id, file, line, data_class, evidence, CASE data_class WHEN 'PAYMENT_CARD' THEN 0.9 ELSE 0.95 END::DOUBLE AS confidence, data_class = 'PAYMENT_CARD' AND evidence = '****1111' AS is_test FROM t"))
+def p27_confidence(spark, d):
+    """In these lines only the number for tests ends like that."""
+    return op.detect_values(config(spark, d)).select("repo_id", "file", "line", "data_class", "evidence", "confidence", "is_test")
+
+
+COVERED = f"SELECT source AS repo_id, {pick('doc_id', 'src/a.py', 'web/node_modules/x.js', 'yarn.lock', 'deep/dist/b.js', 'Cargo.lock', 'notes.txt', 'distant/c.py')} AS path, CASE WHEN doc_id % 17 = 0 THEN NULL WHEN doc_id % 19 = 0 THEN repeat(text, CAST(floor(1200000 / greatest(1, length(text))) AS INT) + 1) ELSE text END AS content FROM {{documents}}"
+
+
+@query("a20_files_scanned", f"WITH f AS ({plain(COVERED)}), r AS (SELECT *, CASE WHEN content IS NULL THEN 'no text' WHEN contains(path, 'node_modules/') OR contains(path, '/dist/') THEN 'dependency or build folder' WHEN ends_with(path, '.lock') THEN 'lock file' WHEN octet_length(encode(content)) > 1048576 THEN 'too large' END AS reason FROM f) SELECT repo_id, reason, count(*) AS files, CAST(sum(coalesce(octet_length(encode(content)), 0)) AS BIGINT) AS bytes FROM r GROUP BY ALL")
+def a20_files(spark, d):
+    return op.scan_coverage(sql(spark, d, COVERED))
+
+
 @query("f5_luhn", f"SELECT p_partkey AS id, {LUHN} AS is_luhn FROM (SELECT p_partkey, CAST(p_partkey * 7919 + 1000000 AS VARCHAR) AS v FROM part)")
 def f5(spark, d):
     p = load(spark, d, "part")

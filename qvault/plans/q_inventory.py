@@ -101,6 +101,24 @@ def a8(spark, d):
     return gate.gate_metrics(*pair(spark, d))
 
 
+@query("s13_markdown_report", over("assets", f"""WITH {GATE}, v AS (SELECT repo_id, count(*) FILTER (WHERE vulnerable AND NOT is_head) AS b, count(*) FILTER (WHERE vulnerable AND is_head) AS h FROM g GROUP BY repo_id),
+k AS (SELECT repo_id, category, count(*) FILTER (WHERE NOT is_head) AS b, count(*) FILTER (WHERE is_head) AS h FROM g WHERE vulnerable GROUP BY ALL),
+c AS (SELECT repo_id, string_agg('| ' || CASE category WHEN 'signature' THEN 'Signatures' WHEN 'key_exchange' THEN 'Key exchange' WHEN 'encryption' THEN 'Encryption' WHEN 'hash' THEN 'Hashes' ELSE 'Protocols' END || ' | ' || b || ' | ' || h || ' | ' || CASE WHEN h > b THEN '+' ELSE '' END || (h - b) || ' |', chr(10) ORDER BY list_position(['signature', 'key_exchange', 'encryption', 'hash', 'protocol'], category)) AS t FROM k WHERE category IN ('signature', 'key_exchange', 'encryption', 'hash', 'protocol') GROUP BY repo_id),
+o AS (SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY CASE severity WHEN 'Critical' THEN 4 WHEN 'High' THEN 3 WHEN 'Medium' THEN 2 WHEN 'Low' THEN 1 ELSE 0 END DESC, ordinal) AS n, count(*) OVER (PARTITION BY repo_id) AS of FROM h WHERE vulnerable),
+w AS (SELECT repo_id, string_agg('| ' || algorithm || ' | `' || file || ':' || line || '` | ' || severity || ' |  |', chr(10) ORDER BY n) || CASE WHEN any_value(of) > 5 THEN chr(10) || '| and ' || (any_value(of) - 5) || ' more | | | |' ELSE '' END AS t FROM o WHERE n <= 5 GROUP BY repo_id)
+SELECT v.repo_id, '## Gate: ' || CASE WHEN v.h > v.b THEN 'FAIL' ELSE 'PASS' END || CASE WHEN v.h > v.b THEN concat(chr(10), chr(10), '### Reasons', chr(10), chr(10), '- more than before', chr(10), '- see below') ELSE '' END || concat(chr(10), chr(10), '### Vulnerable assets', chr(10), chr(10), '| Category | Base | Head | Change |', chr(10), '|-|-|-|-|', chr(10), '| **All** | ', v.b, ' | ', v.h, ' | ', CASE WHEN v.h > v.b THEN '+' ELSE '' END, v.h - v.b, ' |') || coalesce(chr(10) || c.t, '') || CASE WHEN w.t IS NOT NULL THEN concat(chr(10), chr(10), '### New violations', chr(10), chr(10), '| Algorithm | Place | Severity | Instead |', chr(10), '|-|-|-|-|', chr(10), w.t) ELSE '' END AS markdown
+FROM v LEFT JOIN c ON c.repo_id = v.repo_id LEFT JOIN w ON w.repo_id = v.repo_id"""))
+def s13_markdown(spark, d):
+    from qvault.sources.files import gate_markdown
+
+    base, head = pair(spark, d)
+    both = base.select("repo_id", "vulnerable", F.lit(0).alias("h")).unionByName(head.select("repo_id", "vulnerable", F.lit(1).alias("h")))
+    counted = both.groupBy("repo_id").agg(F.count_if(F.col("vulnerable") & (F.col("h") == 0)).alias("base_vulnerable"), F.count_if(F.col("vulnerable") & (F.col("h") == 1)).alias("head_vulnerable"))
+    worse = F.col("head_vulnerable") > F.col("base_vulnerable")
+    verdicts = counted.withColumns({"verdict": F.when(worse, "FAIL").otherwise("PASS"), "reasons": F.when(worse, "more than before; see below").otherwise("")})
+    return gate_markdown(verdicts, gate.gate_metrics(base, head), head.where("vulnerable").withColumn("recommendation", F.lit(None).cast("string")), n=5)
+
+
 @query(
     "a9_gate_verdict",
     over(

@@ -115,6 +115,17 @@ def p35(spark, d):
     return op.migration_scope(findings(spark, d))
 
 
+MOVING = f"SELECT p_partkey AS id, {pick('p_partkey', 'RSA-2048', 'AES-128-CBC', 'Hardcoded Secret Material', 'MD5', 'Ed25519', 'ECDH', 'ChaCha20', 'sha-1', None)} AS algorithm, {pick('p_size', 'key exchange', 'jwt signing', 'secret store', 'file encryption', None)} AS usage, {pick('p_partkey + p_size', 'Critical', 'High', 'Info', 'Medium', 'Safe', None)} AS severity FROM {{part}}"
+
+
+@query("p35_migration_items", f"""WITH m AS (SELECT *, lower(coalesce(algorithm, 'unknown')) AS a, lower(coalesce(usage, 'general')) AS u, upper(coalesce(severity, 'medium')) AS s FROM ({plain(MOVING)})),
+k AS (SELECT *, CASE WHEN regexp_matches(a, 'secret|key material|password|token|hardcoded') OR contains(u, 'secret') THEN 'SECRET_HYGIENE' WHEN regexp_matches(a, 'rsa|dh|dsa|ed25519|ed448|curve25519|x25519|x448|ecc') THEN 'PQC_REPLACEMENT' ELSE 'SYMMETRIC_HASH_UPGRADE' END AS remediation_class FROM m)
+SELECT id, s NOT IN ('SAFE', 'INFO') AS in_scope, remediation_class, CASE remediation_class WHEN 'SECRET_HYGIENE' THEN 'Environment variable or approved secret manager; rotate exposed key' WHEN 'PQC_REPLACEMENT' THEN CASE WHEN regexp_matches(u || ' ' || a, 'sign|verify|jwt|certificate|eddsa|ecdsa|ed25519|ed448') THEN 'ML-DSA-65 (FIPS 204) or SLH-DSA (FIPS 205)' ELSE 'ML-KEM-768 (FIPS 203); consider a reviewed hybrid during transition' END
+ ELSE CASE WHEN regexp_matches(a, 'md5|sha1|sha-1') THEN 'SHA-256 / SHA3-256' WHEN regexp_matches(a, 'aes-?128') THEN 'AES-256-GCM' ELSE 'AES-256-GCM or ChaCha20-Poly1305, selected for the observed operation' END END AS target, CASE s WHEN 'CRITICAL' THEN 1 WHEN 'HIGH' THEN 2 ELSE 3 END AS priority FROM k""")
+def p35_items(spark, d):
+    return op.migration_items(sql(spark, d, MOVING)).select("id", "in_scope", "remediation_class", "target", "priority")
+
+
 @query("j22_affected_by", over("findings", f"SELECT DISTINCT scan_id, file, line, algorithm FROM findings WHERE {DEDUP_FAMILY} = 'RSA'"))
 def j22(spark, d):
     from qvault.functions.findings import algorithm_family

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from qvault.functions import inference as inf
+from qvault.functions import profiles as fp
 from qvault.functions import scores as sc
 from qvault.functions.threat import risk_family
-from qvault.plans.bindings import catalogue, findings, over, pick, sql
+from qvault.plans.bindings import catalogue, findings, over, pick, plain, sql
 from qvault.plans.q_threat import FAMILY
 from qvault.plans.registry import query
 
@@ -105,6 +106,18 @@ _scores(
     quantum=sc.quantum_vulnerability(f"({PRIM})", "key_size"), strength=sc.key_strength(f"({PRIM})", "key_size"), deprecation=sc.classical_deprecation(f"({PRIM})", "mode"),
 )
 
+PROFILED = f"SELECT p_partkey AS asset_id, {pick('p_partkey', 'aes', '3DES', 'Blowfish', 'camellia')} AS cipher, {pick('p_size', 'gcm', 'CBC', 'ECB', '', None, 'XTS', 'OCB')} AS mode, {pick('p_partkey + p_size', 128, 256, None, 192)} AS bits, {pick('p_size', 'hs256', 'RS384', 'es512', 'none', 'ps256')} AS token, {pick('p_partkey + 2', 'bcrypt', 'scrypt', 'argon2', 'pbkdf2')} AS derivation FROM {{part}}"
+
+
+@query("p21_call_profiles", f"""WITH p AS (SELECT *, upper(cipher) AS c, upper(coalesce(mode, '')) AS m FROM ({plain(PROFILED)}))
+SELECT asset_id, c || CASE WHEN bits > 0 THEN '-' || bits || '-' || m WHEN m <> '' THEN '-' || m ELSE '' END AS symmetric, CASE WHEN c IN ('3DES', 'BLOWFISH') OR m = 'ECB' THEN 'Critical' WHEN m IN ('GCM', 'OCB') THEN CASE WHEN coalesce(bits, 256) < 256 THEN 'Medium' ELSE 'Informational' END WHEN bits >= 256 THEN 'Low' ELSE 'Medium' END AS severity,
+ CASE WHEN c IN ('3DES', 'BLOWFISH') OR m = 'ECB' THEN 'Classical Risk' WHEN m IN ('GCM', 'OCB') AND coalesce(bits, 256) >= 256 THEN 'Safe' ELSE 'Quantum-Weakened' END AS quantum_risk, CASE WHEN bits IS NULL THEN 'RSA' ELSE 'RSA-' || bits END AS rsa, CASE token WHEN 'hs256' THEN 'HMAC-SHA256 (JWT)' WHEN 'RS384' THEN 'RSA-3072-SHA384 (JWT)' WHEN 'es512' THEN 'ECDSA-P521-SHA512 (JWT)' WHEN 'none' THEN 'None (JWT)' END AS token, CASE derivation WHEN 'pbkdf2' THEN 'PBKDF2' WHEN 'argon2' THEN NULL ELSE derivation END AS derivation FROM p""")
+def p21_calls(spark, d):
+    c = sql(spark, d, PROFILED)
+    s = fp.symmetric_profile(F.col("cipher"), F.col("mode"), F.col("bits"))
+    return c.select("asset_id", s["algorithm"].alias("symmetric"), s["severity"].alias("severity"), s["quantum_risk"].alias("quantum_risk"), fp.rsa_profile(F.col("bits"))["algorithm"].alias("rsa"), fp.listed(fp.TOKENS, F.lower("token"))["algorithm"].alias("token"), fp.listed(fp.DERIVATIONS, F.col("derivation"))["algorithm"].alias("derivation"))
+
+
 GUIDE_TABLE = """(VALUES ('RSA', 'key_exchange', 'ML-KEM-768'), ('RSA', 'digital_signature', 'ML-DSA-65'), ('RSA', 'unknown', 'ML-KEM-768 or ML-DSA-65'), ('ECC', 'key_exchange', 'ML-KEM-768'), ('ECC', 'digital_signature', 'ML-DSA-65'), ('ECC', 'unknown', 'ML-DSA-65'),
  ('DH', 'unknown', 'ML-KEM-768'), ('AES', 'unknown', 'AES-256-GCM'), ('HASH', 'password_hashing', 'Argon2id'), ('HASH', 'unknown', 'SHA-384')) d(f, p, r)"""
 GUIDED = f"g0 AS (SELECT *, {FAMILY} AS family, {PURPOSE.format('usage')} AS purpose FROM catalogue), g AS (SELECT *, coalesce((SELECT r FROM {GUIDE_TABLE} WHERE f = family AND d.p = purpose), (SELECT r FROM {GUIDE_TABLE} WHERE f = family AND d.p = 'unknown'), 'manual review') AS recommended FROM g0)"

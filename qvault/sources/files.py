@@ -99,6 +99,42 @@ def gate_report_rows(violations: DataFrame, keys: Sequence[str], n: int = 20) ->
     return capped_rows(violations, keys, [severity_rank(F.col("severity")).desc(), F.col("ordinal")], n)
 
 
+CATEGORY_NAMES = {"signature": "Signatures", "key_exchange": "Key exchange", "encryption": "Encryption", "hash": "Hashes", "protocol": "Protocols"}
+
+
+def gate_markdown(verdicts: DataFrame, metrics: DataFrame, violations: DataFrame, key: str = "repo_id", n: int = 20) -> DataFrame:
+    """One Markdown document per repository: the verdict, its reasons, base against head by category, and the worst ``n`` new violations.
+
+    ``verdicts`` and ``metrics`` come from the gate, ``violations`` has ordinal,
+    algorithm, file, line, severity and recommendation. Only the rows that are
+    shown are gathered, so a document is bounded whatever the repository holds.
+    """
+    code = lambda *c: F.concat(F.lit("`"), F.concat(*c), F.lit("`"))
+    signed = lambda c: F.when(c > 0, F.concat(F.lit("+"), c.cast("string"))).otherwise(c.cast("string"))
+    row = lambda *cells: F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |"))
+    name = F.create_map(*[F.lit(x) for pair in CATEGORY_NAMES.items() for x in pair])
+    place = F.array_position(F.array(*map(F.lit, CATEGORY_NAMES)), F.col("category"))
+    lines = metrics.where(F.col("category").isin(*CATEGORY_NAMES)).groupBy(key).agg(F.array_sort(F.collect_list(F.struct(place.alias("at"), row(name[F.col("category")], F.col("base").cast("string"), F.col("head").cast("string"), signed(F.col("delta"))).alias("text")))).alias("rows"))
+    shown = gate_report_rows(violations, [key], n)
+    cells = row(F.col("algorithm"), code(F.col("file"), F.lit(":"), F.col("line").cast("string")), F.col("severity"), F.coalesce("recommendation", F.lit("")))
+    worst = shown.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col("rank").alias("at"), cells.alias("text")))).alias("worst"), F.max("overflow").alias("overflow"))
+    texts = lambda c: F.transform(F.col(c), lambda x: x["text"])
+    delta = F.col("head_vulnerable") - F.col("base_vulnerable")
+    total = row(F.lit("**All**"), F.col("base_vulnerable").cast("string"), F.col("head_vulnerable").cast("string"), signed(delta))
+    reasons = F.transform(F.filter(F.split("reasons", "; "), lambda r: r != ""), lambda r: F.concat(F.lit("- "), r))
+    section = lambda given, title, body: F.when(given, F.concat(F.array(F.lit(""), title, F.lit("")), body)).otherwise(F.array().cast("array<string>"))
+    none = F.array().cast("array<string>")
+    more = F.when(F.col("overflow") > 0, F.array(F.concat(F.lit("| and "), F.col("overflow").cast("string"), F.lit(" more | | | |")))).otherwise(none)
+    document = F.concat(
+        F.array(F.concat(F.lit("## Gate: "), F.col("verdict"))),
+        section(F.size(reasons) > 0, F.lit("### Reasons"), reasons),
+        section(F.lit(True), F.lit("### Vulnerable assets"), F.concat(F.array(F.lit("| Category | Base | Head | Change |"), F.lit("|-|-|-|-|"), total), F.coalesce(texts("rows"), none))),
+        section(F.col("worst").isNotNull(), F.lit("### New violations"), F.concat(F.array(F.lit("| Algorithm | Place | Severity | Instead |"), F.lit("|-|-|-|-|")), F.coalesce(texts("worst"), none), more)),
+    )
+    joined = verdicts.join(lines, key, "left").join(worst, key, "left")
+    return joined.select(key, F.array_join(document, "\n").alias("markdown"))
+
+
 def write_report_csv(rows: DataFrame, path: str) -> None:
     """Rows as CSV with a header; cells that a spreadsheet would take for a formula begin with an apostrophe."""
     safe = lambda c: F.when(F.col(c).rlike(r"^[=+\-@\t\r]"), F.concat(F.lit("'"), F.col(c))).otherwise(F.col(c)).alias(c)

@@ -287,3 +287,10 @@ def test_rules_of_one_repository_leave_the_others(spark):
     got = rollups.sca_findings(deps, safe, locks)
     assert len(set(got.columns)) == len(got.columns)
     assert {r["repo_id"]: (r["version"], r["needs_bump"]) for r in got.collect()} == {1: ("1.2.0", True), 2: ("2.0.0", False), 3: ("1.0.0", True)}
+
+
+def test_winners_inherit_signs_of_exposure(spark):
+    schema = "scan_id int, ordinal int, file string, line int, detection_method string, algorithm string, category string, specificity int, mode string, exposure_signals array<string>, exposure_rationale string"
+    rows = [(1, 1, "a", 1, "AST", "AES", "x", 1, "CBC", ["net"], ""), (1, 2, "a", 1, "AST", "AES", "x", 3, None, [], None), (1, 3, "a", 1, "AST", "AES", "x", 2, "GCM", None, "public"), (1, 4, "b", 1, "AST", "AES", "x", 1, None, [], "")]
+    got = {r["ordinal"]: (r["mode"], r["exposure_signals"], r["exposure_rationale"]) for r in findings.collapse_same_layer(spark.createDataFrame(rows, schema)).collect()}
+    assert got == {2: ("CBC", ["net"], "public"), 4: (None, [], "")}
