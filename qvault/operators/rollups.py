@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from qvault.functions import scores
+from qvault.functions import sizes as fs
 from qvault.functions.findings import severity_of_rank, severity_rank
 from qvault.functions.text import noisy_or, version_lt
 
@@ -376,3 +377,56 @@ def pqc_size_impact(assets: DataFrame, limits: dict[str, int]) -> DataFrame:
     met = assets.select("asset_id", "family", "recommended").join(F.broadcast(now), "family").join(F.broadcast(new), "recommended")
     broken = F.array_compact(F.array(*[F.when(F.col("bytes_new") > limit, name) for name, limit in sorted(limits.items())]))
     return met.select("asset_id", "bytes_now", "bytes_new", F.array_join(broken, ",").alias("breaks"))
+
+
+def size_scenarios(moves: DataFrame, limits: dict[str, int] | None = None) -> DataFrame:
+    """What replacing an algorithm does where sizes are bounded: five rows per move, with before, after, limit and breached.
+
+    ``moves`` has move_id, current and replacement, texts that name algorithms,
+    and hybrid, whether the current key exchange stays beside the new one. A
+    token in a cookie and in a header line is counted in base 64, a handshake's
+    first flight as its certificates and key share, a code by the signature,
+    and a radio frame by the frames that a signature takes. Moves of symmetric
+    algorithms or hashes, or of unknown names, change no payload and give no rows.
+    """
+    limits = fs.LIMITS | (limits or {})
+    known = moves.select("move_id", "hybrid", fs.attributes(fs.normal_algorithm(F.col("current"))).alias("c"), fs.attributes(fs.normal_algorithm(F.col("replacement"))).alias("r")).where("c.key is not null and r.key is not null")
+    kem = lambda c: F.col(f"{c}.kind") == "kem"
+    both = F.col("hybrid") & (F.col("r.family") != "Hybrid") & (kem("c") | kem("r"))
+    sent = lambda c: F.coalesce(f"{c}.signature", f"{c}.ciphertext")
+    new = {
+        "k0": F.col("c.key"), "s0": sent("c"), "k1": F.col("r.key") + F.when(both, F.col("c.key")).otherwise(0),
+        "s1": F.when(both, F.coalesce("c.ciphertext", F.lit(fs.KEY_SHARE)) + F.coalesce("r.ciphertext", "r.signature")).otherwise(sent("r")),
+        "share0": F.when(kem("c"), F.col("c.ciphertext")).otherwise(fs.KEY_SHARE),
+    }
+    rows = known.withColumns(new).withColumn("share1", F.when(kem("r"), F.col("r.ciphertext")).otherwise(F.col("share0")))
+    token = lambda s: F.ceil((F.col(s) + fs.HEADER + fs.CLAIMS) * 4 / 3) + 2
+    flight = lambda k, s, share: (F.col(k) + F.col(s) + fs.CERTIFICATE) * fs.CERTIFICATES + F.col(share)
+    frames = lambda s: F.ceil(F.col(s) / limits["radio frame"])
+    of = lambda name, before, after, measured: F.struct(F.lit(name).alias("scenario"), before.cast("long").alias("before"), after.cast("long").alias("after"), F.lit(limits[name]).cast("long").alias("limit"), (measured > limits[name]).alias("breached"))
+    scenarios = F.array(
+        of("cookie", token("s0"), token("s1"), token("s1")), of("header line", token("s0"), token("s1"), token("s1")), of("first flight", flight("k0", "s0", "share0"), flight("k1", "s1", "share1"), flight("k1", "s1", "share1")),
+        of("QR code", F.col("s0"), F.col("s1"), F.col("s1")), of("radio frame", frames("s0"), frames("s1"), F.col("s1")),
+    )
+    return rows.select("move_id", F.explode(scenarios).alias("x")).select("move_id", "x.*")
+
+
+def affected_findings(findings: DataFrame, wanted: str, keys: Sequence[str] = ("scan_id",)) -> DataFrame:
+    """Findings of the family of the algorithm that ``wanted`` names: by their algorithm, else their library, else their snippet; one per place, algorithm and detection."""
+    library = F.lower(F.trim(F.coalesce(F.nullif("library", F.lit("")), "category")))
+    name = F.coalesce(fs.normal_algorithm(F.col("algorithm")), fs.library_algorithm(library), fs.normal_algorithm(library), fs.normal_algorithm(F.col("code_snippet")))
+    family = lambda n: fs.attributes(n)["family"]
+    return findings.where(family(name) == family(fs.normal_algorithm(F.lit(wanted)))).dropDuplicates([*keys, "file", "line", "algorithm", "detection_method"])
+
+
+# What classes of data are called.
+CLASS_NAMES = {"AADHAAR": "Aadhaar", "PAN": "PAN", "PAYMENT_CARD": "Payment card", "HEALTH": "Health", "PII_OTHER": "PII"}
+
+
+def exposure_sentence(data_class: Column, name: Column, file: Column, line: Column, algorithm: Column, key_size: Column, usage: Column, years: Column, source: Column, p: Column, scenario: Column, confidence: Column) -> Column:
+    """A sentence on how a field is protected, for how long it is kept, and how likely it is exposed; no value of the field is in it."""
+    label = F.coalesce(F.create_map(*[F.lit(x) for pair in CLASS_NAMES.items() for x in pair])[data_class], data_class, F.lit("Data"))
+    place = F.when(file.isNull(), "unknown location").otherwise(F.concat(file, F.coalesce(F.concat(F.lit(":"), line.cast("string")), F.lit(""))))
+    asset = F.concat(F.coalesce(algorithm, F.lit("cryptographic")), F.coalesce(F.concat(F.lit("-"), key_size.cast("string")), F.lit("")), F.coalesce(F.concat(F.lit(" "), F.replace(usage, F.lit("_"), F.lit(" "))), F.lit("")))
+    short = lambda x: F.regexp_replace(F.regexp_replace(x.cast("string"), r"(\.\d*?)0+$", "$1"), r"\.$", "")
+    return F.concat(label, F.lit(" field '"), F.coalesce(name, F.lit("unnamed")), F.lit("' ("), place, F.lit(") is protected by "), asset, F.lit(", "), short(F.coalesce(years, F.lit(5.0))), F.lit("-year retention ("), F.coalesce(source, F.lit("default assumption")), F.lit("), P(exposed) = "), F.format_string("%.2f", p), F.lit(" under "), scenario, F.lit(" scenario, lineage confidence "), short(F.round(confidence, 2)), F.lit("."))

@@ -126,6 +126,36 @@ def p35_items(spark, d):
     return op.migration_items(sql(spark, d, MOVING)).select("id", "in_scope", "remediation_class", "target", "priority")
 
 
+MOVES_TO = f"SELECT p_partkey AS move_id, {pick('p_partkey', 'RSA 4096', 'ecdsa', 'X25519', 'AES-128', 'prime256 P-256', 'ECDH', 'unknown', 'ed25519 key', 'rsa')} AS current, {pick('p_size', 'ML-DSA-65', 'Kyber768', 'SLH-DSA-SHA2-128f', 'Hybrid X25519', 'Falcon512', 'SHA3', 'ML-KEM-1024')} AS replacement, p_size % 2 = 0 AS hybrid FROM {{part}}"
+#: Sizes as rows of their own: family, whether it exchanges keys, key, and what is sent.
+MOVED_SQL = f"""WITH m AS ({plain(MOVES_TO)}), a(t, kem, k, s, x, mixed) AS (VALUES ('RSA 4096', false, 512, 512, 512, false), ('ecdsa', false, 64, 64, 32, false), ('X25519', true, 32, 32, 32, false), ('prime256 P-256', false, 64, 64, 32, false), ('ECDH', true, 65, 65, 65, false), ('ed25519 key', false, 32, 64, 32, false), ('rsa', false, 256, 256, 256, false),
+ ('ML-DSA-65', false, 1952, 3309, 3309, false), ('Kyber768', true, 1184, 1088, 1088, false), ('SLH-DSA-SHA2-128f', false, 32, 17088, 17088, false), ('Hybrid X25519', true, 1216, 1120, 1120, true), ('Falcon512', false, 897, 666, 666, false), ('ML-KEM-1024', true, 1568, 1568, 1568, false)),
+j AS (SELECT move_id, c.k AS k0, c.s AS s0, CASE WHEN hybrid AND NOT r.mixed AND (c.kem OR r.kem) THEN r.k + c.k ELSE r.k END AS k1, CASE WHEN hybrid AND NOT r.mixed AND (c.kem OR r.kem) THEN c.x + r.x ELSE r.s END AS s1, CASE WHEN c.kem THEN c.x ELSE 32 END AS x0, CASE WHEN r.kem THEN r.x WHEN c.kem THEN c.x ELSE 32 END AS x1 FROM m JOIN a c ON c.t = current JOIN a r ON r.t = replacement),
+o AS (SELECT move_id, unnest([1, 2, 3, 4, 5]) AS o, * EXCLUDE (move_id) FROM j),
+v AS (SELECT move_id, ['cookie', 'header line', 'first flight', 'QR code', 'radio frame'][o] AS scenario, [ceil((s0 + 236) * 4 / 3.0) + 2, ceil((s0 + 236) * 4 / 3.0) + 2, (k0 + s0 + 300) * 3 + x0, s0, ceil(s0 / 20.0)][o] AS before, [ceil((s1 + 236) * 4 / 3.0) + 2, ceil((s1 + 236) * 4 / 3.0) + 2, (k1 + s1 + 300) * 3 + x1, s1, ceil(s1 / 20.0)][o] AS after, [4096, 8192, 14600, 2953, 20][o] AS lim, o, s1 FROM o)
+SELECT move_id, scenario, CAST(before AS BIGINT) AS before, CAST(after AS BIGINT) AS after, CAST(lim AS BIGINT) AS "limit", CASE WHEN o = 5 THEN s1 ELSE after END > lim AS breached FROM v"""
+
+
+@query("j21_size_scenarios", MOVED_SQL)
+def j21_scenarios(spark, d):
+    return op.size_scenarios(sql(spark, d, MOVES_TO))
+
+
+@query("j22_affected_findings", over("findings", "WITH f AS (SELECT *, CASE ordinal % 4 WHEN 0 THEN NULL WHEN 1 THEN 'custom' ELSE algorithm END AS a, CASE ordinal % 3 WHEN 0 THEN 'node-rsa' WHEN 1 THEN 'PyOpenSSL' END AS lib, CASE WHEN line = 10 THEN 'new RSA(2048)' ELSE 'x' END AS code FROM findings) SELECT DISTINCT scan_id, file, line, a AS algorithm, detection_method FROM f WHERE CASE WHEN regexp_matches(upper(a), 'RSA|AES|DES|MD5|SHA|P-256|RC4|ECDH|KEM') THEN contains(upper(a), 'RSA') WHEN lib IS NOT NULL THEN true WHEN lib IS NULL AND regexp_matches(upper(category), 'RSA|AES|DES|MD5|SHA') THEN false ELSE contains(code, 'RSA') END"))
+def j22_findings(spark, d):
+    f = findings(spark, d).withColumns({"algorithm": F.expr("CASE ordinal % 4 WHEN 0 THEN NULL WHEN 1 THEN 'custom' ELSE algorithm END"), "library": F.expr("CASE ordinal % 3 WHEN 0 THEN 'node-rsa' WHEN 1 THEN 'PyOpenSSL' END"), "code_snippet": F.expr("CASE WHEN line = 10 THEN 'new RSA(2048)' ELSE 'x' END")})
+    return op.affected_findings(f, "rsa-3072").select("scan_id", "file", "line", "algorithm", "detection_method")
+
+
+TOLD = f"SELECT o_orderkey AS id, {pick('o_orderkey', 'PAN', 'HEALTH', 'OTHER', None)} AS data_class, CASE WHEN o_orderkey % 5 > 0 THEN 'f' || CAST(o_custkey AS STRING) END AS name, CASE WHEN o_orderkey % 7 > 0 THEN 'src/a.py' END AS file, CAST(CASE WHEN o_orderkey % 3 > 0 THEN o_custkey % 90 END AS INT) AS line, {pick('o_custkey', 'RSA', None)} AS algorithm, CAST(CASE WHEN o_custkey % 3 > 0 THEN 2048 END AS INT) AS key_size, {pick('o_custkey + o_orderkey', 'key_exchange', None)} AS usage, CAST(o_custkey % 9 AS DOUBLE) / 2 AS years, {pick('o_orderkey', 'stated', None)} AS source, CAST(o_orderkey % 101 AS DOUBLE) / 100 AS p, CAST(o_custkey % 90 AS DOUBLE) / 100 AS confidence FROM {{orders}}"
+
+
+@query("f25_exposure_sentence", f"SELECT id, CASE data_class WHEN 'PAN' THEN 'PAN' WHEN 'HEALTH' THEN 'Health' ELSE coalesce(data_class, 'Data') END || ' field ''' || coalesce(name, 'unnamed') || ''' (' || CASE WHEN file IS NULL THEN 'unknown location' ELSE file || coalesce(':' || line, '') END || ') is protected by ' || coalesce(algorithm, 'cryptographic') || coalesce('-' || key_size, '') || coalesce(' ' || replace(usage, '_', ' '), '') || ', ' || CASE WHEN years = floor(years) THEN CAST(CAST(years AS INTEGER) AS VARCHAR) ELSE CAST(years AS VARCHAR) END || '-year retention (' || coalesce(source, 'default assumption') || '), P(exposed) = ' || printf('%.2f', p) || ' under median scenario, lineage confidence ' || CASE WHEN confidence = floor(confidence) THEN CAST(CAST(confidence AS INTEGER) AS VARCHAR) ELSE CAST(confidence AS VARCHAR) END || '.' AS sentence FROM ({plain(TOLD)})")
+def f25_sentence(spark, d):
+    told = ["data_class", "name", "file", "line", "algorithm", "key_size", "usage", "years", "source", "p"]
+    return sql(spark, d, TOLD).select("id", op.exposure_sentence(*map(F.col, told), F.lit("median"), F.col("confidence")).alias("sentence"))
+
+
 @query("j22_affected_by", over("findings", f"SELECT DISTINCT scan_id, file, line, algorithm FROM findings WHERE {DEDUP_FAMILY} = 'RSA'"))
 def j22(spark, d):
     from qvault.functions.findings import algorithm_family
