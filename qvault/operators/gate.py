@@ -95,15 +95,21 @@ def match_waivers(assets: DataFrame, waivers: DataFrame, keys: Sequence[str] = (
     on = shared_keys(waivers, keys)
     a = assets.select(*keys, "algorithm", "file", "fingerprint").distinct().withColumn("name", F.upper(F.coalesce("algorithm", F.lit("")))).withColumn("scope", F.explode(scopes(on)))
     w = waivers.select("waiver_ordinal", "waiver_id", F.upper(F.trim("match_algorithm")).alias("target"), "match_path", F.lower(F.trim("match_fingerprint")).alias("print"), scope(on).alias("scope"))
-    names, targets = a.select("name").distinct(), w.select("target").where("target is not null").distinct()
-    within = names.withColumn("target", F.explode(_held_names(F.col("name")))).join(targets, "target", "left_semi").select("name", "target")
-    around = targets.withColumn("name", F.explode(_held_names(F.col("target")))).join(names, "name", "left_semi").select("name", "target")
+    # One join finds both directions: a name asks for itself among the parts of targets, and offers its parts to them.
+    key = lambda kind, c: F.struct(F.lit(kind).alias("kind"), c.alias("part"))
+    keys_of = lambda c, own, other: F.concat(F.array(key(own, F.col(c))), F.transform(_held_names(F.col(c)), lambda p: key(other, p)))
+    names = a.select("name").distinct().withColumn("key", F.explode(keys_of("name", "within", "around")))
+    targets = w.select("target").where("target is not null").distinct().withColumn("key", F.explode(keys_of("target", "around", "within")))
+    pairs = names.join(targets, "key").select("name", "target").distinct()
     path, glob = norm_path(F.col("file")), norm_path(F.col("match_path"))
     by_path = F.rlike(path, _glob(glob)) | F.rlike(path, _glob(F.concat(F.lit("*/"), glob)))
-    named = a.join(within.union(around).distinct(), "name").join(w.where("match_path is not null"), ["scope", "target"]).where(by_path)
-    printed = a.withColumn("print", F.lower("fingerprint")).join(w.drop("target").where("print is not null"), ["scope", "print"])
-    columns = [*keys, "algorithm", "file", "fingerprint", "waiver_ordinal", "waiver_id"]
-    return named.select(columns).unionByName(printed.select(columns))
+    # Then one join, on fingerprints and on names, so that assets are read once more only.
+    asked = a.withColumn("key", F.explode(F.array(key("print", F.lower("fingerprint")), key("name", F.col("name"))))).drop("name")
+    held = ["scope", "key", "waiver_ordinal", "waiver_id", "match_path"]
+    given = w.where("print is not null").withColumn("key", key("print", F.col("print"))).select(held)
+    given = given.unionByName(w.where("match_path is not null").join(pairs, "target").withColumn("key", key("name", F.col("name"))).select(held))
+    met = asked.join(given, ["scope", "key"]).where((F.col("key.kind") == "print") | by_path)
+    return met.select(*keys, "algorithm", "file", "fingerprint", "waiver_ordinal", "waiver_id")
 
 
 def apply_waivers(violations: DataFrame, waivers: DataFrame, keys: Sequence[str] = ("repo_id",)) -> DataFrame:
