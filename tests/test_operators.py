@@ -66,6 +66,12 @@ def test_values_are_masked_and_dates_are_not_taken(spark):
     assert not any(x[0] in (3, 5) for x in got)
 
 
+def test_all_values_of_a_file_are_found(spark):
+    lines = spark.range(450).selectExpr("1 AS repo_id", "'a' AS file", "CAST(id AS INT) AS line", "'card 4111111111111111 ok' AS text")
+    assert detectors.detect_values(lines).count() == 450
+    assert [r["line"] for r in detectors.detect_values(lines, cap=3).orderBy("line").collect()] == [0, 1, 2]
+
+
 def test_a_very_long_line(spark):
     lines = spark.createDataFrame([(1, "a", 1, "1" * 900_000)], "repo_id int, file string, line int, text string")
     assert detectors.detect_values(lines).count() == 0
