@@ -20,15 +20,29 @@ def hash_pair(a: Column, b: Column) -> Column:
     return F.sha2(F.concat(F.least(a, b), F.greatest(a, b)), 256)
 
 
+#: Leaves of a tree that one task numbers; larger trees are numbered by ranges.
+LARGE_TREE = 1 << 16
+
+
 def number_leaves(rows: DataFrame, tree: str, order: Sequence[str], digest: Column) -> DataFrame:
     """(tree, idx, hash, n): a leaf per row, numbered per tree by ``order``, which must tell the rows of a tree apart.
 
-    Numbers come from sums of ranges, so that one tree may hold the whole table.
+    Trees of up to ``LARGE_TREE`` leaves are numbered where their rows meet,
+    which also deals them for the grouping of their levels. The others, of
+    which there are few, get their numbers from sums of ranges, so that one
+    tree may hold the whole table.
     """
-    keyed = rows.select(F.col(tree).alias("tree"), *[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)], digest.alias("hash"))
-    numbered = running_totals(keyed, ["tree"], [f"_o{i}" for i in range(len(order))], {"idx": F.lit(1).cast("long")})
-    sizes = keyed.groupBy("tree").agg(F.count("*").alias("n"))
-    return numbered.join(sizes, "tree").select("tree", F.col("idx").cast("long").alias("idx"), "hash", "n")
+    at = [f"_o{i}" for i in range(len(order))]
+    keyed = rows.select(F.col(tree).alias("tree"), *[F.col(c).alias(o) for c, o in zip(order, at, strict=True)], digest.alias("hash"))
+    large, _ = materialize(keyed.groupBy("tree").agg(F.count("*").alias("n")).where(F.col("n") > LARGE_TREE), "large-trees")
+    some = not large.isEmpty()
+    few = keyed.join(F.broadcast(large), "tree", "left_anti") if some else keyed
+    whole = Window.partitionBy("tree")
+    numbered = few.select("tree", (F.row_number().over(whole.orderBy(*at)) - 1).cast("long").alias("idx"), "hash", F.count("*").over(whole).alias("n"))
+    if not some:
+        return numbered
+    ranged = running_totals(keyed.join(F.broadcast(large), "tree"), ["tree"], at, {"idx": F.lit(1).cast("long")})
+    return numbered.unionByName(ranged.select("tree", F.col("idx").cast("long").alias("idx"), "hash", "n"))
 
 
 def merkle_leaves(components: DataFrame, tree: str, order: Sequence[str], *columns: str) -> DataFrame:
@@ -41,41 +55,84 @@ def batch_leaves(roots: DataFrame, batch: Column) -> DataFrame:
     return number_leaves(roots.withColumn("_batch", batch), "_batch", ["tree"], F.col("root"))
 
 
-def merkle_levels(leaves: DataFrame) -> list[DataFrame]:
-    """All levels of all trees, leaves first; each level is one grouping by (tree, half of idx).
+#: Leaves of a block, as a power of two: what one row of a round holds.
+BLOCK_LEVELS = 8
 
-    Every level halves the rows. A lone node is paired with itself, and a tree
-    of one node is done and passes through. Every fourth level is a table, so
-    plans stay short.
-    """
-    depth = leaves.agg(F.max("n")).first()[0] or 1
-    levels, level = [leaves], leaves
-    while depth > 1:
-        node = hash_pair(F.min("hash"), F.max("hash"))
-        level = level.groupBy("tree", F.floor(F.col("idx") / 2).alias("idx"), "n").agg(F.when(F.col("n") > 1, node).otherwise(F.min("hash")).alias("hash"))
-        level = level.select("tree", "idx", "hash", F.ceil(F.col("n") / 2).alias("n"))
-        if len(levels) % 4 == 0:
-            level, _ = materialize(level, "merkle")
-        levels.append(level)
-        depth = -(-depth // 2)
-    return levels
+
+def _let(value: Column, then) -> Column:
+    """``then`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+def _blocks(leaves: DataFrame) -> DataFrame:
+    """(tree, block, n, hashes, depth): the nodes of each block in order, and how many levels they go up in it."""
+    size = 1 << BLOCK_LEVELS
+    nodes = F.array_sort(F.collect_list(F.struct("idx", "hash")))  # a block bounds it
+    rows = leaves.groupBy("tree", F.floor(F.col("idx") / size).alias("block")).agg(F.max("n").alias("n"), nodes.alias("nodes"))
+    depth = F.when(F.col("n") > size, BLOCK_LEVELS).otherwise(F.ceil(F.log2("n"))).cast("int")
+    return rows.select("tree", "block", "n", F.col("nodes.hash").alias("hashes"), depth.alias("depth"))
+
+
+def _above(level: Column) -> Column:
+    """The nodes above those of a block's level; a lone node is paired with itself."""
+    at = F.sequence(F.lit(0), F.floor((F.size(level) - 1) / 2).cast("int"))
+    return F.transform(at, lambda i: hash_pair(F.get(level, 2 * i), F.get(level, F.least(2 * i + 1, F.size(level) - 1))))
+
+
+def _steps(depth: Column) -> Column:
+    return F.when(depth > 0, F.sequence(F.lit(1), depth)).otherwise(F.array().cast("array<int>"))
+
+
+def _next_round(blocks: DataFrame, root: Column) -> DataFrame:
+    """The blocks' roots as the leaves of trees 2 ** BLOCK_LEVELS times smaller."""
+    return blocks.select("tree", F.col("block").alias("idx"), root.alias("hash"), F.ceil(F.col("n") / (1 << BLOCK_LEVELS)).alias("n"))
 
 
 def merkle_roots(leaves: DataFrame) -> DataFrame:
-    return merkle_levels(leaves)[-1].select("tree", F.col("hash").alias("root"))
+    """(tree, root): blocks of 256 leaves are folded at once, then blocks of their roots, until every tree is one node.
+
+    Trees of any size may stand side by side: a round takes one grouping, and
+    divides the rows of large trees by 256. A tree of one node is its root.
+    """
+    largest = leaves.agg(F.max("n")).first()[0] or 1
+    while True:
+        leaves = _next_round(blocks := _blocks(leaves), F.get(F.aggregate(_steps(F.col("depth")), F.col("hashes"), lambda level, _: _above(level)), F.lit(0)))
+        largest = -(-largest // (1 << BLOCK_LEVELS))
+        if largest <= 1:
+            return leaves.select("tree", F.col("hash").alias("root"))
 
 
 def merkle_proofs(leaves: DataFrame) -> DataFrame:
-    """Per leaf its hash, root, and the siblings on the way up, from the bottom."""
-    levels = merkle_levels(leaves)
-    rows = leaves.select("tree", "idx", F.col("hash").alias("leaf"), F.col("idx").alias("_at"), F.array().cast("array<string>").alias("proof"))
-    for level in levels[:-1]:
-        own = level.select("tree", F.col("idx").alias("_at"), F.col("n").alias("_n"))
-        beside = level.select("tree", F.col("idx").alias("_beside"), F.col("hash").alias("_sibling"))
-        placed = rows.join(own, ["tree", "_at"]).withColumn("_beside", F.when((F.col("_at") % 2 == 0) & (F.col("_at") + 1 == F.col("_n")), F.col("_at")).otherwise(F.col("_at").bitwiseXOR(F.lit(1).cast("long"))))
-        stepped = placed.join(beside, ["tree", "_beside"], "left")
-        rows = stepped.select("tree", "idx", "leaf", F.when(F.col("_n") > 1, F.floor(F.col("_at") / 2)).otherwise(F.col("_at")).alias("_at"), F.when(F.col("_n") > 1, F.concat("proof", F.array("_sibling"))).otherwise(F.col("proof")).alias("proof"))
-    return rows.join(levels[-1].select("tree", F.col("hash").alias("root")), "tree").drop("_at")
+    """Per leaf (tree, idx) its hash, root, and the siblings on the way up, from the bottom.
+
+    A block's row gives the lower part of its leaves' proofs; the rest is the
+    proof of the block's root among those of its tree, which blocks get by one
+    join before their leaves are listed.
+    """
+    if (leaves.agg(F.max("n")).first()[0] or 1) > 1 << BLOCK_LEVELS:
+        levels = _levels(_blocks(leaves))
+        levels, _ = materialize(levels, "merkle")
+        upper = merkle_proofs(_next_round(levels, F.get(F.element_at("levels", -1), F.lit(0))))
+        placed = levels.join(upper.select("tree", F.col("idx").alias("block"), F.col("proof").alias("upper"), "root"), ["tree", "block"])
+    else:
+        placed = _levels(_blocks(leaves)).withColumns({"upper": F.array().cast("array<string>"), "root": F.get(F.element_at("levels", -1), F.lit(0))})
+
+    def sibling(level: Column, at: Column) -> Column:
+        return F.get(level, F.least(at.bitwiseXOR(F.lit(1)), F.size(level) - 1))
+
+    def listed(levels: Column) -> Column:
+        place = F.sequence(F.lit(0), F.size(F.get(levels, F.lit(0))) - 1)
+        below = lambda i: F.transform(F.slice(levels, 1, F.size(levels) - 1), lambda level, j: sibling(level, F.floor(i / F.pow(F.lit(2), j)).cast("int")))
+        return F.transform(place, lambda i: F.struct(i.alias("i"), F.get(F.get(levels, F.lit(0)), i).alias("leaf"), below(i).alias("lower")))
+
+    each = placed.select("tree", "block", "upper", "root", F.explode(listed(F.col("levels"))).alias("x"))
+    return each.select("tree", (F.col("block") * (1 << BLOCK_LEVELS) + F.col("x.i")).alias("idx"), F.col("x.leaf").alias("leaf"), F.concat("x.lower", "upper").alias("proof"), "root")
+
+
+def _levels(blocks: DataFrame) -> DataFrame:
+    """Blocks with all their levels, the leaves first."""
+    up = lambda levels, _: F.concat(levels, F.array(_let(F.element_at(levels, -1), _above)))
+    return blocks.select("tree", "block", "n", F.aggregate(_steps(F.col("depth")), F.array("hashes"), up).alias("levels"))
 
 
 def verify_proof(leaf: Column, proof: Column, root: Column) -> Column:

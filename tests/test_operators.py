@@ -94,6 +94,38 @@ def test_merkle_root_and_proofs(spark, n):
     assert n == 1 or proofs.where(integrity.verify_proof(F.lit("00"), F.col("proof"), F.col("root"))).count() == 0
 
 
+@pytest.mark.parametrize("large", [1 << 16, 40])
+def test_merkle_trees_of_several_rounds(spark, monkeypatch, large):
+    """Trees of one to three rounds beside each other, with leaves numbered by windows or by ranges, against plain Python."""
+    import hashlib
+
+    def levels(level):
+        found = [level]
+        while len(level) > 1:
+            level = [hashlib.sha256("".join(sorted((level[i], level[min(i + 1, len(level) - 1)]))).encode()).hexdigest() for i in range(0, len(level), 2)]
+            found.append(level)
+        return found
+
+    monkeypatch.setattr(integrity, "BLOCK_LEVELS", 3)
+    monkeypatch.setattr(integrity, "LARGE_TREE", large)
+    sizes = [1, 2, 5, 8, 9, 17, 63, 64, 65, 130, 513]
+    rows = spark.createDataFrame([(n, -i, str(i)) for n in sizes for i in range(n)], "t long, o long, v string")
+    leaves = integrity.number_leaves(rows, "t", ["o"], F.sha2("v", 256))
+    want = {n: levels([hashlib.sha256(str(n - 1 - i).encode()).hexdigest() for i in range(n)]) for n in sizes}
+    assert {r["tree"]: r["root"] for r in integrity.merkle_roots(leaves).collect()} == {n: w[-1][0] for n, w in want.items()}
+    for r in integrity.merkle_proofs(leaves).collect():
+        w, i = want[r["tree"]], r["idx"]
+        assert r["leaf"] == w[0][i] and r["root"] == w[-1][0]
+        assert r["proof"] == [level[min(i >> j ^ 1, len(level) - 1)] for j, level in enumerate(w[:-1])]
+
+
+def test_proofs_join_no_level(spark):
+    """Proofs of trees of one block come from one grouping, without a join, and one more table a level."""
+    rows = spark.range(100).selectExpr("id % 7 AS t", "id AS o")
+    plan = integrity.merkle_proofs(integrity.number_leaves(rows, "t", ["o"], F.sha2(F.col("o").cast("string"), 256)))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan
+
+
 def test_fingerprints_ignore_lines_and_slashes(spark):
     rows = spark.createDataFrame([("RSA", "sig", 2048, "./src/a.py", "sign"), ("rsa ", "sig", 2048, "src//a.py", "Sign")], "algorithm string, primitive string, key_size int, file string, usage string").withColumn("quantum_status", F.lit(None).cast("string"))
     assert gate.gate_assets(rows).select("fingerprint").distinct().count() == 1
