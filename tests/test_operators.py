@@ -303,6 +303,14 @@ def test_field_links_of_a_file_make_no_pairs(spark):
     assert 0 < rows(links._jdf.queryExecution().executedPlan()) < 200_000
 
 
+def test_words_of_a_name_are_found_once_a_step(spark):
+    """Phrases are looked for in words that are bound once, so a plan parts an identifier in a few places, not one a phrase list."""
+    rows = spark.createDataFrame([("pan", "card payment"), ("userEmail", ""), ("total", "")], "name string, table string")
+    named = detectors.detect_names(rows)
+    assert {(r["name"], r["data_class"]) for r in named.collect()} == {("pan", "PAYMENT_CARD"), ("userEmail", "PII_OTHER")}
+    assert named._jdf.queryExecution().optimizedPlan().toString().count("([A-Z]+)([A-Z][a-z])") <= 12
+
+
 def test_plans_stay_small(spark):
     assert len(QUERIES["j21_pqc_size_impact"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()) < 100_000
     for name, scans in (("a9_gate_verdict", 3), ("w4_suppress_generic", 1), ("x4_apply_suppressions", 2)):
