@@ -25,7 +25,9 @@ def read_binaries(spark: SparkSession, path: str, *, glob: str = "*", limit: int
 def byte_chunks(files: DataFrame, size: int = CHUNK) -> DataFrame:
     """(file, at, bytes): the content of each file in chunks of ``size`` bytes, numbered from 0."""
     n = F.ceil(F.length("content") / size).cast("int")
-    cut = F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), lambda i: F.substring(F.col("content"), i * size + 1, F.lit(size)))
+    places = F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1)
+    # The content is bound once, as the element of a list: read as a column, it would be copied whole for each chunk.
+    cut = F.transform(F.array("content"), lambda c: F.transform(places, lambda i: F.substring(c, i * size + 1, F.lit(size))))[0]
     return files.where(F.length("content") > 0).select("file", F.posexplode(cut).alias("at", "bytes"))
 
 
@@ -38,10 +40,12 @@ def printable_strings(files: DataFrame, *, chunk: int = CHUNK, shortest: int = 6
     """
     character = rules.PRINTABLE.replace("{6,}", "")
     text = F.decode("bytes", "ISO-8859-1")
-    runs = byte_chunks(files, chunk).select("file", "at", text.alias("text")).select("file", "at", F.length("text").alias("n"), F.regexp_extract_all("text", F.lit(character + "+"), F.lit(0)).alias("runs"), F.col("text").rlike("^" + character).alias("begins"), F.col("text").rlike(character + r"\z").alias("ends"))
-    each = runs.select("file", "at", "n", "begins", "ends", F.size("runs").alias("of"), F.posexplode("runs").alias("place", "text"))
-    first, last = F.col("begins") & (F.col("place") == 0), F.col("ends") & (F.col("place") == F.col("of") - 1)
-    placed = each.select("file", "at", "place", "text", first.alias("first"), last.alias("last"))
+    runs = byte_chunks(files, chunk).select("file", "at", text.alias("text")).select("file", "at", F.regexp_extract_all("text", F.lit(character + "+"), F.lit(0)).alias("runs"), F.col("text").rlike("^" + character).alias("begins"), F.col("text").rlike(character + r"\z").alias("ends"))
+    of = runs.withColumn("of", F.size("runs"))
+    told = F.transform("runs", lambda t, i: F.struct(i.alias("place"), t.alias("text"), (F.col("begins") & (i == 0)).alias("first"), (F.col("ends") & (i == F.col("of") - 1)).alias("last")))
+    # Short runs inside a chunk are no strings, and go before they become rows.
+    some = F.filter(told, lambda r: r["first"] | r["last"] | (F.length(r["text"]) >= shortest))
+    placed = of.select("file", "at", F.explode(some).alias("r")).select("file", "at", "r.*")
     whole = placed.where(~(F.col("first") | F.col("last"))).select("file", "at", "place", "text")
     order = Window.partitionBy("file").orderBy("at", "place")
     goes_on = F.col("first") & F.coalesce(F.lag("last").over(order) & (F.lag("at").over(order) == F.col("at") - 1), F.lit(False))

@@ -64,3 +64,16 @@ def test_strings_of_binaries_equal_a_plain_scan(spark, tmp_path):
         first = [i + 1 for i, s in enumerate(strings) if b"MD5_Init" in s and re.search(rb"\bMD5_Init\b", s)]
         assert [found[n, "symbol-md5"]["line"]] == first[:1] if first else (n, "symbol-md5") not in found
     assert found["big.bin", "binary-size-exceeded"]["evidence"] == "File size: 5000 bytes"
+
+
+def test_many_chunks_of_one_file_take_time_by_its_size(spark, tmp_path):
+    """A chunk takes its own bytes: 65,536 chunks of one content are not as many copies of it."""
+    import time
+
+    from qvault.sources import binaries
+
+    (tmp_path / "f.bin").write_bytes(b"abcdefg\n" * (1 << 19))
+    files = binaries.read_binaries(spark, str(tmp_path))
+    start = time.monotonic()
+    assert binaries.byte_chunks(files, 64).agg(F.count("*"), F.sum(F.length("bytes"))).first() == (65536, 1 << 22)
+    assert time.monotonic() - start < 10
