@@ -55,14 +55,16 @@ def _winners(findings: DataFrame, group: Sequence[Column | str]) -> DataFrame:
     """The winning finding of each group, whole, with what it inherits, the number of members and their detection methods.
 
     A group lies inside one site, so its members fit a list, and the winner
-    needs no join back to the findings.
+    needs no join back to the findings. Columns that a group is named by stay
+    columns, so Spark knows that what they deal stays together.
     """
     held = _held(findings)
-    member = F.struct("ordinal", "specificity", *[_stated(findings, c).alias(c) for c in held], F.struct(*findings.columns).alias("row"))
+    named = [c for c in group if isinstance(c, str)]
+    member = F.struct("ordinal", "specificity", *[_stated(findings, c).alias(c) for c in held], F.struct(*[c for c in findings.columns if c not in named]).alias("row"))
     listed = findings.groupBy(*group).agg(F.sort_array(F.collect_list(member)).alias("l"), F.array_sort(F.collect_set(F.upper("detection_method"))).alias("methods"))
     won = F.aggregate(F.slice("l", 2, F.greatest(F.size("l") - 1, F.lit(0))), F.get("l", F.lit(0)), _merge(held))
-    rows = listed.select(won.alias("w"), F.size("l").alias("_members"), F.col("methods").alias("_methods"))
-    own = lambda c: F.coalesce(F.col(f"w.{c}"), F.col(f"w.row.{c}")) if c in held else F.col(f"w.row.{c}")
+    rows = listed.select(*named, won.alias("w"), F.size("l").alias("_members"), F.col("methods").alias("_methods"))
+    own = lambda c: F.col(c) if c in named else F.coalesce(F.col(f"w.{c}"), F.col(f"w.row.{c}")) if c in held else F.col(f"w.row.{c}")
     return rows.select(*[own(c).alias(c) for c in findings.columns], "_members", "_methods")
 
 
@@ -104,13 +106,14 @@ def suppress_generic(findings: DataFrame, keys: Sequence[str] = ("scan_id",)) ->
     return marked.where(~gone).select(findings.columns)
 
 
-def deduplicate(findings: DataFrame, keys: Sequence[str] = ("scan_id",)) -> DataFrame:
+def deduplicate(findings: DataFrame, keys: Sequence[str] = ("scan_id",), *, dealt: bool = False) -> DataFrame:
     """The whole chain: exact, within a layer, between layers, generic.
 
     Findings are dealt by site once; every step groups inside sites and needs
-    no other shuffle.
+    no other shuffle. With ``dealt`` they stay where they are, as those of a
+    site, or of all its scan, lie together already.
     """
-    sites = findings.repartition(*keys, "file", "line")
+    sites = findings if dealt else findings.repartition(*keys, "file", "line")
     return suppress_generic(corroborate(collapse_same_layer(dedup_exact(sites, keys), keys), keys), keys)
 
 

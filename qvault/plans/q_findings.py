@@ -48,7 +48,7 @@ def w3(spark, d):
 
 @query("w4_suppress_generic", over("findings", f"WITH {W1}, {W2}, {W3}, {W4} SELECT scan_id, ordinal, confidence, detection, category FROM w4"))
 def w4(spark, d):
-    return op.deduplicate(findings(spark, d)).select(*ID, "confidence", "detection", "category")
+    return op.deduplicate(findings(spark, d), dealt=True).select(*ID, "confidence", "detection", "category")
 
 
 @query(

@@ -388,3 +388,9 @@ def test_winners_inherit_signs_of_exposure(spark):
     rows = [(1, 1, "a", 1, "AST", "AES", "x", 1, "CBC", ["net"], ""), (1, 2, "a", 1, "AST", "AES", "x", 3, None, [], None), (1, 3, "a", 1, "AST", "AES", "x", 2, "GCM", None, "public"), (1, 4, "b", 1, "AST", "AES", "x", 1, None, [], "")]
     got = {r["ordinal"]: (r["mode"], r["exposure_signals"], r["exposure_rationale"]) for r in findings.collapse_same_layer(spark.createDataFrame(rows, schema)).collect()}
     assert got == {2: ("CBC", ["net"], "public"), 4: (None, [], "")}
+
+
+@pytest.mark.parametrize("name", ["w2_collapse_same_layer", "w3_corroborate", "w4_suppress_generic"])
+def test_findings_of_a_scan_are_dealt_once(spark, name):
+    plan = QUERIES[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
