@@ -24,7 +24,9 @@ def read_source_files(spark: SparkSession, path: str, *, glob: str = "*", max_by
 
 
 def write_findings(findings: DataFrame, path: str, format: str = "json") -> None:
-    findings.write.mode("overwrite").format(format).save(path)
+    """Findings as files; those of text are compressed, as names and values repeat in each row."""
+    writer = findings.write.mode("overwrite").format(format)
+    (writer.option("compression", "gzip") if format in ("json", "csv") else writer).save(path)
 
 
 def read_findings(spark: SparkSession, path: str, format: str = "json") -> DataFrame:

@@ -77,3 +77,12 @@ def test_many_chunks_of_one_file_take_time_by_its_size(spark, tmp_path):
     start = time.monotonic()
     assert binaries.byte_chunks(files, 64).agg(F.count("*"), F.sum(F.length("bytes"))).first() == (65536, 1 << 22)
     assert time.monotonic() - start < 10
+
+
+def test_findings_written_as_text_are_compressed(spark, tmp_path):
+    from qvault.sources import files
+
+    rows = spark.createDataFrame([(i, "src/a.py", "RSA-2048") for i in range(3)], "scan_id long, file string, algorithm string")
+    files.write_findings(rows, str(tmp_path / "f"))
+    assert {p.suffix for p in (tmp_path / "f").glob("part-*")} == {".gz"}
+    assert files.read_findings(spark, str(tmp_path / "f")).select(rows.columns).orderBy("scan_id").collect() == rows.collect()
