@@ -52,13 +52,26 @@ def gate_assets(assets: DataFrame) -> DataFrame:
 
 def asset_diff(base: DataFrame, head: DataFrame, keys: Sequence[str] = ("repo_id",)) -> DataFrame:
     """Head and base assets marked added, unchanged or removed by fingerprint; duplicates stay."""
+    both = base.withColumn("_head", F.lit(False)).unionByName(head.withColumn("_head", F.lit(True)))
+    lone = F.col("_lone")
+    for c in (*keys, "fingerprint"):
+        lone = lone | F.col(c).isNull()  # what has no key equals nothing
+    change = F.when(~lone, F.when(F.col("_head"), "unchanged")).when(F.col("_head"), "added").otherwise("removed")
+    return _with_lone(both, keys).withColumn("change", change).where("change is not null").drop("_head", "_lone")
+
+
+def _with_lone(both: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Assets of two inventories, marked by _head, with _lone: whether the other has none of their fingerprint.
+
+    Fingerprints repeat, so they are counted before they move; assets meet the
+    result and are not dealt by fingerprint themselves where it is small.
+    """
     on = [*keys, "fingerprint"]
-    have = lambda df: df.select(*on).distinct()
-    return (
-        head.join(have(base), on, "left_anti").withColumn("change", F.lit("added"))
-        .unionByName(head.join(have(base), on, "left_semi").withColumn("change", F.lit("unchanged")))
-        .unionByName(base.join(have(head), on, "left_anti").withColumn("change", F.lit("removed")))
-    )
+    seen = both.groupBy(*on).agg((F.min("_head") == F.max("_head")).alias("_lone")).alias("s")
+    same = F.lit(True)
+    for c in on:
+        same = same & F.col(f"b.{c}").eqNullSafe(F.col(f"s.{c}"))
+    return both.alias("b").join(seen, same).select("b.*", "s._lone")
 
 
 def pair_moves(diff: DataFrame, keys: Sequence[str] = ("repo_id",)) -> DataFrame:
@@ -158,27 +171,27 @@ def gate_verdict(base: DataFrame, head: DataFrame, waivers: DataFrame | None = N
     assets that grew in spite of one.
     """
     policy = load_policy(policy)
-    # Both inventories in one table; what is added, removed or moved follows from counts beside each asset.
-    both = base.withColumn("_head", F.lit(False)).unionByName(head.withColumn("_head", F.lit(True)))
-    equal, place = Window.partitionBy(*keys, "fingerprint"), Window.partitionBy(*keys, "moved_fingerprint")
-    both = both.withColumn("_lone", F.min("_head").over(equal) == F.max("_head").over(equal))
-    added, removed = F.col("_head") & F.col("_lone"), ~F.col("_head") & F.col("_lone")
-    both = both.withColumns({"_removed": F.count_if(removed).over(place), "_k": F.row_number().over(Window.partitionBy(*keys, "moved_fingerprint", "_head", "_lone").orderBy("ordinal"))})
-    marked = both.withColumn("_new", added & (F.col("_k") > F.col("_removed")))  # the k-th added pairs with the k-th removed
+    # Both inventories in one table; only what one of them lacks can be added, removed or moved, and is ranked.
+    both = _with_lone(base.withColumn("_head", F.lit(False)).unionByName(head.withColumn("_head", F.lit(True))), keys)
+    place = Window.partitionBy(*keys, "moved_fingerprint")
+    lone = both.where("_lone").withColumns({"_removed": F.count_if(~F.col("_head")).over(place), "_k": F.row_number().over(Window.partitionBy(*keys, "moved_fingerprint", "_head").orderBy("ordinal"))})
+    new = lone.where(F.col("_head") & (F.col("_k") > F.col("_removed")))  # the k-th added pairs with the k-th removed
     if waivers is not None:
-        marked = apply_waivers(marked, waivers, keys)
+        new = apply_waivers(new, waivers, keys)
     else:
-        marked = marked.withColumn("waiver_id", F.lit(None).cast("string"))
-    marked = marked.withColumn("_spec", F.when(F.col("_new"), prohibited_spec(F.col("algorithm"), F.col("key_size"), policy["prohibited_algorithms"])))
-    fresh = F.col("_new") & F.col("vulnerable")
-    rows = marked.groupBy(*keys).agg(
-        F.count_if(F.col("vulnerable") & ~F.col("_head")).alias("base_vulnerable"),
-        F.count_if(F.col("vulnerable") & F.col("_head")).alias("head_vulnerable"),
-        F.count_if(fresh & F.col("waiver_id").isNull()).alias("unwaived"),
-        F.count_if(fresh & F.col("waiver_id").isNotNull()).alias("waived"),
+        new = new.withColumn("waiver_id", F.lit(None).cast("string"))
+    new = new.withColumn("_spec", prohibited_spec(F.col("algorithm"), F.col("key_size"), policy["prohibited_algorithms"]))
+    fresh = new.groupBy(*keys).agg(
+        F.count_if(F.col("vulnerable") & F.col("waiver_id").isNull()).alias("unwaived"),
+        F.count_if(F.col("vulnerable") & F.col("waiver_id").isNotNull()).alias("waived"),
         F.count("_spec").alias("prohibited"),
         F.array_join(F.array_sort(F.collect_set("_spec")), ", ").alias("specs"),
     )
+    total = base.withColumn("_head", F.lit(False)).unionByName(head.withColumn("_head", F.lit(True))).groupBy(*keys).agg(F.count_if(F.col("vulnerable") & ~F.col("_head")).alias("base_vulnerable"), F.count_if(F.col("vulnerable") & F.col("_head")).alias("head_vulnerable"))
+    same = F.lit(True)
+    for c in keys:
+        same = same & F.col(f"t.{c}").eqNullSafe(F.col(f"n.{c}"))
+    rows = total.alias("t").join(fresh.alias("n"), same, "left").select("t.*", *[F.coalesce(f"n.{c}", F.lit(0)).alias(c) for c in ("unwaived", "waived", "prohibited")], F.coalesce("n.specs", F.lit("")).alias("specs"))
     ratchet = F.col("unwaived") > policy["max_new_quantum_vulnerable"]
     grown = F.lit(policy["max_total_quantum_vulnerable"] == "baseline") & (F.col("head_vulnerable") > F.col("base_vulnerable")) & (F.col("waived") == 0)
     banned = F.lit(bool(policy["fail_on_prohibited_in_new_code"])) & (F.col("prohibited") > 0)
