@@ -407,3 +407,11 @@ def test_inventories_are_compared_by_one_join(spark):
     verdict = gate.gate_verdict(base, head)
     assert "windowspecdefinition(repo_id, fingerprint" not in "".join(c for c in verdict._jdf.queryExecution().optimizedPlan().toString() if c not in "#0123456789")
     assert {r["repo_id"]: (r["base_vulnerable"], r["head_vulnerable"], r["unwaived"]) for r in verdict.collect()} == {1: (4, 3, 1), 2: (0, 1, 1), None: (1, 1, 0)}
+
+
+def test_lines_made_of_a_small_table_are_dealt_first(spark, monkeypatch):
+    monkeypatch.setattr(bindings, "ROWS_OF_PART", 20)
+    made = bindings.dealt(spark, DATA, q_detectors.SURFACE, "part", "p_partkey")
+    assert made.rdd.getNumPartitions() == 10
+    for name in ("p20_random_context", "p22_exposure_surface", "p23_classify_exposure", "p29_resolve_retention"):
+        assert "REPARTITION_BY_NUM" in QUERIES[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
