@@ -34,15 +34,18 @@ def cbom_components(findings: DataFrame, keys: Sequence[str] = ("scan_id",)) ->
         F.max(severity_rank(F.col("severity"))).alias("max_severity_rank"),
         F.min_by("library", "ordinal").alias("library"),
         F.min("ordinal").alias("first_ordinal"),
-        F.array_sort(F.collect_list(place)).alias("places"),
+        F.sort_array(F.collect_list(place)).alias("places"),
     )
 
 
 def build_cbom_documents(components: DataFrame, keys: Sequence[str] = ("scan_id",)) -> DataFrame:
-    """One JSON document per scan, components in first-seen order."""
+    """One JSON document per scan, components in first-seen order.
+
+    A component is written before it is gathered: a text moves and sorts at a
+    fraction of what nested arrays cost.
+    """
     prop = lambda n, v: F.struct(F.lit(n).alias("name"), v.cast("string").alias("value"))
     component = F.struct(
-        F.col("first_ordinal").alias("_o"),
         bom_ref(F.col("algorithm")).alias("bom-ref"),
         F.col("algorithm").alias("name"),
         F.lit("cryptographic-asset").alias("type"),
@@ -51,9 +54,9 @@ def build_cbom_documents(components: DataFrame, keys: Sequence[str] = ("scan_id"
         F.transform("places", lambda p: F.struct(p["file"].alias("file"), p["line"].alias("line"), F.array(prop("ordinal", p["ordinal"])).alias("properties"))).alias("occurrences"),
         F.array(prop("severityRank", F.col("max_severity_rank"))).alias("properties"),
     )
-    listed = components.groupBy(*keys).agg(F.array_sort(F.collect_list(component)).alias("c"))
-    bare = F.transform("c", lambda x: x.dropFields("_o"))
-    return listed.select(*keys, F.to_json(F.struct(F.lit("CycloneDX").alias("bomFormat"), F.lit("1.6").alias("specVersion"), bare.alias("components"))).alias("content"))
+    written = F.struct(F.col("first_ordinal").alias("o"), F.to_json(component).alias("json"))
+    listed = components.groupBy(*keys).agg(F.sort_array(F.collect_list(written)).alias("c"))
+    return listed.select(*keys, F.concat(F.lit('{"bomFormat":"CycloneDX","specVersion":"1.6","components":['), F.array_join(F.col("c.json"), ","), F.lit("]}")).alias("content"))
 
 
 def explode_cbom(documents: DataFrame, keys: Sequence[str] = ("scan_id",)) -> DataFrame:

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from qvault.functions import inference, scores, text, threat
-from qvault.operators import detectors, findings, gate, integrity, rollups, rules, running, runtime
+from qvault.operators import cbom, detectors, findings, gate, integrity, rollups, rules, running, runtime
 from qvault.operators import threat as model
 from qvault.plans import bindings, q_detectors, q_integrity
 from qvault.plans.all_queries import QUERIES
@@ -438,3 +438,29 @@ def test_lines_made_of_a_small_table_are_dealt_first(spark, monkeypatch):
     assert made.rdd.getNumPartitions() == 10
     for name in ("p20_random_context", "p22_exposure_surface", "p23_classify_exposure", "p29_resolve_retention"):
         assert "REPARTITION_BY_NUM" in QUERIES[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_names_are_put_in_upper_case_once(spark):
+    """A text is prepared once for all patterns, and plain words are found as the patterns find them."""
+    import re
+
+    from qvault.functions import sizes
+
+    texts = ["falcon512", "FALCON-1024", "sha1", "SHA-384 digest", "an ec key", "sec key", "aes in ecb", "AES-256", "3des", "des", "hybrid x25519", " rsa ", "rot13", "", None]
+    want = [next((n for p, n in sizes.SPELLED if re.search(p, t.strip().upper())), None) if t is not None else None for t in texts]
+    named = spark.createDataFrame([(t,) for t in texts], "t string").select(sizes.normal_algorithm(F.col("t")).alias("n"))
+    assert [r["n"] for r in named.collect()] == want
+    assert named._jdf.queryExecution().analyzed().toString().count("upper(") == 1
+
+
+def test_components_are_written_before_they_are_gathered(spark):
+    import json
+
+    rows = [(1, 2, "a.py", 7, 'R"SA', 2048, None, "High", "x"), (1, 1, "b.py", None, "AES", None, "CBC", "Low", None), (1, 3, "a.py", 3, 'R"SA', 2048, None, "Low", None)]
+    found = spark.createDataFrame(rows, "scan_id int, ordinal long, file string, line int, algorithm string, key_size int, mode string, severity string, library string")
+    docs = cbom.build_cbom_documents(cbom.cbom_components(found))
+    assert "collect_list(struct(o, " in docs._jdf.queryExecution().analyzed().toString()
+    (doc,) = [json.loads(r["content"]) for r in docs.collect()]
+    assert (doc["bomFormat"], doc["specVersion"], [c["name"] for c in doc["components"]]) == ("CycloneDX", "1.6", ["AES", 'R"SA'])
+    assert [(o["file"], o.get("line")) for o in doc["components"][1]["occurrences"]] == [("a.py", 3), ("a.py", 7)]
+    assert {(r["algorithm"], r["file"], r["line"]) for r in cbom.explode_cbom(docs).collect()} == {(x[4], x[2], x[3]) for x in rows}
