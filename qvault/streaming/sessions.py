@@ -1,6 +1,8 @@
 """Recording sessions as state of a stream: each run accepts requests of events while it records and its limits hold.
 
-State is kept per run: its status, totals, and the distinct calls it has seen.
+State is kept per run, in one row: its status, totals, and the distinct calls it
+has seen, which its limit bounds. A trigger reads that row once and writes it
+once for all requests of the run: each access is a message to Spark.
 Every request comes out once with the decision on it, so what was refused is a
 table of its own. The state and the decisions survive restarts by the query's
 checkpoint, and a batch that runs again replaces what it wrote.
@@ -9,9 +11,9 @@ checkpoint, and a batch that runs again replaces what it wrote.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from datetime import datetime, timedelta, timezone
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -24,6 +26,18 @@ REQUEST = "run_id long, request_id long, kind string, ts timestamp, calls array<
 DECISION = "run_id long, request_id long, kind string, accepted boolean, reason string, total long, distinct_events long, last_event timestamp, calls array<string>, counts array<long>"
 
 
+EPOCH = datetime(1970, 1, 1, tzinfo=timezone.utc)
+
+
+def _micros(at: datetime) -> int:
+    """Microseconds since 1970; a time without a zone is local."""
+    return (at.astimezone(timezone.utc) - EPOCH) // timedelta(microseconds=1)
+
+
+def _moment(micros: int | None) -> datetime | None:
+    return None if micros is None else EPOCH + timedelta(microseconds=micros)
+
+
 class Session(StatefulProcessor):
     """Decides on the requests of a run in their order: ``start``, ``events`` and ``stop``.
 
@@ -36,8 +50,7 @@ class Session(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.status = handle.getValueState("status", "status string, total long, distinct_events long, last_event timestamp")
-        self.seen = handle.getMapState("seen", "call string", "count long")
+        self.run = handle.getValueState("run", "status string, total long, last_event long, calls array<string>")
 
     def _refusal(self, status: str, kind: str, calls: list, total: int, distinct: int, increment: int) -> str | None:
         if kind not in ("start", "events", "stop"):
@@ -52,40 +65,34 @@ class Session(StatefulProcessor):
             return "event limit"
         return "aggregate limit" if distinct + len(set(calls)) > self.max_distinct else None
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        requests = pd.concat(list(rows)).sort_values("request_id", kind="stable")  # what one trigger holds of one run
-        status, total, distinct, last = self.status.get() if self.status.exists() else ("ready", 0, 0, None)
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        requests = sorted(rows, key=lambda r: (r.request_id is None, r.request_id or 0))  # what one trigger holds of one run
+        status, total, last, held = self.run.get() or ("ready", 0, None, [])
+        seen = dict.fromkeys(held)  # in the order of their first requests
         out = []
-        for r in requests.itertuples(index=False):
-            calls, counts = ([] if x is None else list(x) for x in (r.calls, r.counts))
-            reason = self._refusal(status, r.kind, calls, total, distinct, sum(counts))
+        for r in requests:
+            calls, counts = r.calls or [], r.counts or []
+            reason = self._refusal(status, r.kind, calls, total, len(seen), sum(counts))
             if reason is None and r.kind == "events":
-                for call, n in zip(calls, counts, strict=True):
-                    held = self.seen.getValue((call,))[0] if self.seen.containsKey((call,)) else 0
-                    distinct += not held
-                    self.seen.updateValue((call,), (held + n,))
+                seen.update(dict.fromkeys(calls))
                 total += sum(counts)
-                last = r.ts if not pd.isna(r.ts) else last
+                last = last if r.ts is None else _micros(r.ts)
             elif reason is None:
                 status = {"start": "recording", "stop": "stopped"}[r.kind]
-            out.append((key[0], r.request_id, r.kind, reason is None, reason, total, distinct, last, calls, counts))
-        self.status.update((status, total, distinct, last))
-        if self.idle is not None and status == "recording":
+            out.append(Row(run_id=key[0], request_id=r.request_id, kind=r.kind, accepted=reason is None, reason=reason, total=total, distinct_events=len(seen), last_event=_moment(last), calls=calls, counts=counts))
+        self.run.update((status, total, last, list(seen)))
+        times = [_micros(r.ts) for r in requests if r.ts is not None]
+        if self.idle is not None and status == "recording" and times:
             for t in list(self.handle.listTimers()):
                 self.handle.deleteTimer(t[0] if isinstance(t, tuple) else t)
-            self.handle.registerTimer(int(requests["ts"].max().timestamp() * 1000) + self.idle * 1000)
-        yield self._frame(out)
+            self.handle.registerTimer(max(times) // 1000 + self.idle * 1000)
+        yield from out
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        status, total, distinct, last = self.status.get()
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        status, total, last, held = self.run.get()
         if status == "recording":
-            self.status.update(("stopped", total, distinct, last))
-            yield self._frame([(key[0], None, "idle", True, None, total, distinct, last, [], [])])
-
-    @staticmethod
-    def _frame(rows: list[tuple]) -> pd.DataFrame:
-        frame = pd.DataFrame(rows, columns=[x.split()[0] for x in DECISION.split(", ")])
-        return frame.astype({"run_id": "Int64", "request_id": "Int64", "total": "Int64", "distinct_events": "Int64", "last_event": "datetime64[ns]"})
+            self.run.update(("stopped", total, last, held))
+            yield Row(run_id=key[0], request_id=None, kind="idle", accepted=True, reason=None, total=total, distinct_events=len(held), last_event=_moment(last), calls=[], counts=[])
 
     def close(self) -> None:
         pass
@@ -94,7 +101,7 @@ class Session(StatefulProcessor):
 def decisions(requests: DataFrame, *, max_batch: int = MAX_BATCH, max_distinct: int = MAX_DISTINCT, max_total: int = MAX_TOTAL, idle: int | None = None, late: str = "10 minutes") -> DataFrame:
     """The decision on each request (see REQUEST) of a stream: accepted or the reason why not, with the run's totals so far."""
     held = requests.withWatermark("ts", late) if idle is not None else requests
-    return held.groupBy("run_id").transformWithStateInPandas(Session(max_batch, max_distinct, max_total, idle), outputStructType=DECISION, outputMode="Append", timeMode="EventTime" if idle is not None else "None")
+    return held.groupBy("run_id").transformWithState(Session(max_batch, max_distinct, max_total, idle), outputStructType=DECISION, outputMode="Append", timeMode="EventTime" if idle is not None else "None")
 
 
 def record_sessions(requests: DataFrame, path: str, checkpoint: str, **limits) -> StreamingQuery:

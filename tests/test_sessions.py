@@ -94,3 +94,34 @@ def test_idle_sessions_stop(store, tmp_path):
     assert q.exception() is None
     assert [(r["run_id"], r["total"]) for r in se.session_table(store, str(tmp_path / "out"), "accepted").where("kind = 'idle'").collect()] == [(1, 1)]
     assert [(r["request_id"], r["reason"]) for r in se.session_table(store, str(tmp_path / "out"), "rejected").collect()] == [(4, "not recording")]
+
+
+def test_state_is_read_and_written_once_a_trigger():
+    """However many calls a run has; and a call seen no times counts once."""
+    from pyspark.sql import Row
+
+    class State:
+        def __init__(self):
+            self.value, self.messages = None, 0
+
+        def get(self):
+            self.messages += 1
+            return self.value
+
+        def update(self, value):
+            self.messages += 1
+            self.value = value
+
+    class Handle:
+        def getValueState(self, name, schema):
+            return state
+
+    state, session = State(), se.Session(max_distinct=30)
+    session.init(Handle())
+    row = lambda i, kind, calls=(): Row(run_id=1, request_id=i, kind=kind, ts=None, calls=list(calls), counts=[0] * len(calls))
+    first = [row(0, "start"), *(row(i, "events", [f"c{i % 20}"]) for i in range(1, 60))]
+    second = [row(i, "events", [f"c{i % 25}", "last"]) for i in range(60, 120)]
+    out = [r for part in (first, second) for r in session.handleInputRows((1,), iter(part[::-1]), None)]
+    assert state.messages == 4
+    assert all(r.accepted for r in out) and [r.request_id for r in out] == list(range(120))
+    assert out[59].distinct_events == 20 and out[-1].distinct_events == 26 and out[-1].total == 0
