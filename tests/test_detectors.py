@@ -65,6 +65,21 @@ def test_random_numbers_of_secrets(spark, text, want):
     assert detectors.crypto_call_sites(table(spark, "x = random.randint(1, 2)")).count() == 1
 
 
+def test_calls_on_odd_lines(spark):
+    """Names and arguments as the plain pattern gives them; a word of any length is read once."""
+    import re
+    import time
+
+    plain = re.compile(r"([A-Za-z_$][\w$]*(?:(?:\.|::)[A-Za-z_$][\w$]*)*)\s*\(([^()]*)\)", re.ASCII)
+    odd = ["1abc(x)", "a1b2(3) c", "1.b(2)", "a.1(x) b.c::d  (y)", "f(g(x), h())", "f(x)g(y)", "$a_(1)$(2)", "9(x)", "a..b(c)", "a:b(c)", "é1x(z)", "no call", "open(", "close)", "hashlib.md5(x);MD5.new ()", "x.hashlib.md5(1)", ""]
+    got = sorted((r["line"], r["name"], r["args"]) for r in detectors.call_sites(table(spark, odd)).collect())
+    assert got == sorted((i + 1, *m) for i, t in enumerate(odd) for m in plain.findall(t))
+    long = ["x" * 400_000, "a1" * 200_000 + " hashlib.md5(a)", "y" * 400_000 + " (" + "z" * 400_000 + ")=="]
+    begun = time.monotonic()
+    assert {(r["line"], r["name"]) for r in detectors.crypto_call_sites(table(spark, long)).collect()} == {(2, "hashlib.md5")}
+    assert time.monotonic() - begun < 30
+
+
 def test_nesting_by_indents_and_braces(spark):
     text = "def a():\n  def b():\n    x\n  y\n\nz\nclass C(D):\n  f = 1\n  def g(self):\n    h\ni\nmodel M {\n  id Int\n}\nconst s = new Schema({\n  k: {\n  }\n})\nend"
     rows = sorted(blocks.with_blocks(table(spark, text)).collect(), key=lambda r: r["line"])
