@@ -50,7 +50,7 @@ def exposure_surface(lines: DataFrame) -> DataFrame:
     compose = low.where(base.contains("compose")).withColumn("service", F.last(_group(r"^  ([a-zA-Z0-9_-]+):\s*$"), ignorenulls=True).over(order))
     port = F.col("text").rlike(r"^\s*-\s*[\"']?[0-9]+:[0-9]+") | F.col("text").rlike(r"ports\s*:\s*\[[^\]]+\]")
     published = compose.where(port & F.col("service").isNotNull()).select("repo_id", "file", "service").distinct()
-    builds = compose.join(published, ["repo_id", "file", "service"], "left_semi").withColumn("folder", F.regexp_replace(F.coalesce(_group(r"^\s*(?:build|context)\s*:\s*(\S+)"), F.lit("")), r"^[./]+|/+$", ""))
+    builds = compose.join(published.hint("merge"), ["repo_id", "file", "service"], "left_semi").withColumn("folder", F.regexp_replace(F.coalesce(_group(r"^\s*(?:build|context)\s*:\s*(\S+)"), F.lit("")), r"^[./]+|/+$", ""))
 
     docker = low.where(base.contains("dockerfile"))
     exposes = docker.where(F.col("text").rlike(r"(?i)^\s*EXPOSE\s+[0-9]"))
@@ -69,14 +69,14 @@ def exposure_surface(lines: DataFrame) -> DataFrame:
 
     proxy = low.where(F.col("path").rlike(PROXY_FILE))
     listens = proxy.where(F.col("text").rlike(r"(?i)\b(listen|bind)\s+[^\s;]+|<(VirtualHost|Location)|\b(reverse_proxy|frontend|entryPoints|routers|listeners)\b")).select("repo_id", "file", "folder").distinct()
-    served = proxy.join(listens.select("repo_id", "file"), ["repo_id", "file"], "left_semi")
+    served = proxy.join(listens.select("repo_id", "file").hint("merge"), ["repo_id", "file"], "left_semi")
     hosts = served.select("repo_id", F.explode(F.split(F.coalesce(_group(r"(?i)server_name\s+([^;]+);"), F.lit("")), r"\s+")).alias("host")).where((F.col("host") != "") & ~F.col("host").isin(*LOCAL_HOSTS)).select("repo_id", F.lit("service").alias("kind"), F.split("host", r"\.")[0].alias("name"))
     upstream = F.coalesce(_group(r"(?i)proxy_pass\s+https?://([a-z0-9_-]+)"), _group(r"(?i)reverse_proxy\s+([a-z0-9_-]+)"), _group(r"(?i)server\s+([a-z0-9_-]+)\s+[0-9.:]+"))
 
     parts = [
         name(published, F.col("service")), folder(builds), folder(exposes), name(docker, _group(r"(?i)LABEL\s+service\s*=\s*(\S+)")),
         name(outward, F.col("own")), folder(outward), folder(ingress), name(ingress.select("repo_id", F.explode("backends").alias("b")), F.col("b")),
-        folder(opened), name(terraform.join(opened.select("repo_id", "file"), ["repo_id", "file"], "left_semi"), resource), folder(listens), hosts, name(served.where(~F.coalesce(upstream, F.lit("")).isin(*LOCAL_HOSTS)), upstream),
+        folder(opened), name(terraform.join(opened.select("repo_id", "file").hint("merge"), ["repo_id", "file"], "left_semi"), resource), folder(listens), hosts, name(served.where(~F.coalesce(upstream, F.lit("")).isin(*LOCAL_HOSTS)), upstream),
     ]
     rows = parts[0]
     for p in parts[1:]:
@@ -89,7 +89,9 @@ def classify_exposure(findings: DataFrame, surface: DataFrame | None = None, key
     """Findings with exposure and why: private artefacts are internal, then what the surface shows, then keywords of the path, else internal.
 
     ``surface`` is that of exposure_surface. Paths meet it by their parts and
-    by their folders, once for each distinct path of a repository.
+    by their folders, once for each distinct path of a repository, and read it
+    once. No side is sent whole to all tasks: names repeat, so a table that is
+    small as it is shuffled may be large in the driver.
     """
     path = F.regexp_replace(F.col("file"), r"\\", "/")
     low = F.lower(path)
@@ -106,13 +108,15 @@ def classify_exposure(findings: DataFrame, surface: DataFrame | None = None, key
         stems = F.transform(F.split(low, "/"), lambda p: F.regexp_replace(p, r"\.[^.]*$", ""))
         variants = F.array_distinct(F.concat(F.split(low, "/"), stems, F.transform(stems, lambda s: F.replace(s, F.lit("_"), F.lit("-"))), F.transform(stems, lambda s: F.replace(s, F.lit("-"), F.lit("_")))))
         above = F.transform(F.sequence(F.lit(1), F.size(F.split(path, "/"))), lambda i: F.array_join(F.slice(F.split(path, "/"), 1, i), "/"))
-        asked = lambda kind, c, own: paths.select(*keys, "file", F.explode(c).alias("name")).join(surface.where(F.col("kind") == kind).drop("kind"), [*keys, "name"]).groupBy(*keys, "file").agg(F.min("name").alias(own))
-        paths = paths.join(asked("service", variants, "_service"), [*keys, "file"], "left").join(asked("folder", above, "_folder"), [*keys, "file"], "left")
+        of = lambda kind, names: F.transform(names, lambda n: F.struct(F.lit(kind).alias("kind"), n.alias("name")))
+        asked = paths.select(*keys, "file", F.explode(F.concat(of("service", variants), of("folder", above))).alias("n")).select(*keys, "file", "n.*")
+        shown = asked.join(surface.hint("merge"), [*keys, "kind", "name"]).groupBy(*keys, "file").agg(*[F.min(F.when(F.col("kind") == kind, F.col("name"))).alias(f"_{kind}") for kind in ("service", "folder")])
+        paths = paths.join(shown.hint("merge"), [*keys, "file"], "left")
         service, folder = F.col("_service"), F.col("_folder")
     hidden = private & ~any_of(name, OUTWARD_NAMES)
     why = F.when(hidden, "private artefact").when(service.isNotNull(), F.concat(F.lit("service:"), service)).when(folder.isNotNull(), F.concat(F.lit("folder:"), folder)).when(word.isNotNull(), F.concat(F.lit("keyword:"), word)).otherwise("no sign")
     told = paths.withColumn("exposure_reason", why).withColumn("exposure", F.when(F.col("exposure_reason").rlike("^(service|folder|keyword):"), "external-facing").otherwise("internal"))
-    return findings.drop("exposure").join(told.select(*keys, "file", "exposure", "exposure_reason"), [*keys, "file"])
+    return findings.drop("exposure").join(told.select(*keys, "file", "exposure", "exposure_reason").hint("merge"), [*keys, "file"])
 
 
 def classify_exposure_scored(findings: DataFrame, imported_by_public: Column | None = None) -> DataFrame:

@@ -464,3 +464,11 @@ def test_components_are_written_before_they_are_gathered(spark):
     assert (doc["bomFormat"], doc["specVersion"], [c["name"] for c in doc["components"]]) == ("CycloneDX", "1.6", ["AES", 'R"SA'])
     assert [(o["file"], o.get("line")) for o in doc["components"][1]["occurrences"]] == [("a.py", 3), ("a.py", 7)]
     assert {(r["algorithm"], r["file"], r["line"]) for r in cbom.explode_cbom(docs).collect()} == {(x[4], x[2], x[3]) for x in rows}
+
+
+def test_exposure_sends_no_side_to_the_driver(spark):
+    """A surface's names repeat, so what is small as it is shuffled is large when the driver builds it for all tasks."""
+    df = QUERIES["p23_classify_exposure"](spark, DATA)
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
