@@ -86,3 +86,17 @@ def test_findings_written_as_text_are_compressed(spark, tmp_path):
     files.write_findings(rows, str(tmp_path / "f"))
     assert {p.suffix for p in (tmp_path / "f").glob("part-*")} == {".gz"}
     assert files.read_findings(spark, str(tmp_path / "f")).select(rows.columns).orderBy("scan_id").collect() == rows.collect()
+
+
+def test_strings_of_all_documents(spark, duck, tmp_path):
+    """Documents without a source, and with one that is no name of a folder, count as all others do."""
+    from oracle_helpers import rows_of, rows_of_sql
+    from qvault.plans.all_queries import ORACLES, QUERIES
+
+    rows = [(0, "alpha-string beta", None), (1, None, None), (2, "in-the-empty-source", ""), (3, "x" * 700 + " short", "a/b:c d%41"), (4, "alpha-string", "web"), (5, "other-text " * 300, None)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    con = duck.cursor()
+    con.execute(f"CREATE TEMP VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    found = QUERIES["p17_file_strings"](spark, str(tmp_path))
+    assert {r["source"]: r["strings"] for r in found.collect()} == {None: 304, "": 2, "a/b:c d%41": 1, "web": 2}
+    assert rows_of(found) == rows_of_sql(con, ORACLES["p17_file_strings"])
